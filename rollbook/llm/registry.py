@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rollbook.llm import exact_dedup, simhash_dedup
+from rollbook.llm import exact_dedup, sharding, simhash_dedup, token_files
 
-MODULES = (exact_dedup, simhash_dedup)
+MODULES = (exact_dedup, sharding, simhash_dedup, token_files)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
