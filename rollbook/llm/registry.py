@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rollbook.llm import decontamination, exact_dedup, language_id, sharding, simhash_dedup, token_files
+from rollbook.llm import decontamination, exact_dedup, language_id, quality, sharding, simhash_dedup, sp_sampling, token_files
 
-MODULES = (token_files, exact_dedup, language_id, decontamination, simhash_dedup, sharding)
+MODULES = (quality, token_files, exact_dedup, sp_sampling, language_id, decontamination, simhash_dedup, sharding)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
