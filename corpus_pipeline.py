@@ -4,9 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rollbook.llm.decontamination import decontamination_stage
+from rollbook.llm.exact_dedup import exact_dedup_stage
+from rollbook.llm.quality import quality_stage
+from rollbook.llm.simhash_dedup import simhash_stage
+from rollbook.llm.sp_sampling import encoding_stage
 from rollbook.session import new_folder, table_of
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality_stage),
+    ("exact-dedup", exact_dedup_stage),
+    ("simhash-dedup", simhash_stage),
+    ("decontamination", decontamination_stage),
+    ("encoding", encoding_stage),
+]
 
 #: The classifier, the near-duplicate links and the sampled segmentations are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
