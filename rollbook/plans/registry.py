@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from rollbook.plans import core, structure
 
 FLAGSHIP = "subject_stats"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = core.QUERIES | structure.QUERIES
+ORACLES = core.ORACLES | structure.ORACLES
