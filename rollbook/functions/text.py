@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rollbook.functions import vocabulary as V
 
@@ -40,7 +41,7 @@ def strip_accents(c: Column | str) -> Column:
     return F.regexp_replace(F.translate(_col(c), ACCENTED, PLAIN), r"\p{M}+", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents_exact(s: pd.Series) -> pd.Series:
     """C1 for any code point, ligatures included."""
     return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
