@@ -9,9 +9,10 @@ repeated tasks leave nothing wrong behind.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -20,54 +21,116 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import batched, csr_take, read, shuffle_parts, texts_of
+from rollbook.llm.common import batched, csr_take, read, shuffle_parts
 from rollbook.session import new_folder, table_of
 
-#: White space as the tokenizer's pattern has it.
-_S = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Pieces that byte-level BPE encodes alike alone and in a text: a word with the one space before it, or white space.
-CHUNK = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-#: A worker forgets its pieces beyond so many tokens of them.
-CACHE_TOKENS = 4_000_000
+#: A worker keeps its encoder from task to task, and forgets the pieces beyond so many.
+CACHE_PIECES = 1_200_000
+#: So many new pieces are encoded as one text, with a special token between them.
+JOINED = 1000
 NULL_ID = -(1 << 63)
 MANIFEST = "part int, file string, n_docs long, n_tokens long, bits int"
 
 
+#: White space as the tokenizer's pattern has it: one byte, and the further bytes of longer characters by their first.
+_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
+_WIDE = {0xC2: [0x85, 0xA0], 0xE1: [0x9A80], 0xE2: [*range(0x8080, 0x808B), 0x80A8, 0x80A9, 0x80AF, 0x819F], 0xE3: [0x8080]}
+
+
+def pieces(texts: pa.StringArray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The texts cut where byte-level BPE encodes both sides alike alone and in the text, and the pieces of each text.
+
+    A piece is a word with the one space before it, or a run of white space up to the last character before a word; that
+    character, if not a space, is a piece of its own.
+    """
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[: bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = np.flatnonzero((raw[bounds[0] :] & 0xC0) != 0x80) + bounds[0]
+    lead = raw[at]
+    space = _SPACE[lead]
+    for first, rest in _WIDE.items():
+        own = np.flatnonzero(lead == first)
+        if len(own):
+            p = at[own]
+            tail = raw[p + 1].astype(np.int64) if first < 0xE0 else raw[p + 1].astype(np.int64) << 8 | raw[p + 2]
+            space[own] = np.isin(tail, rest)
+    starts = np.searchsorted(at, bounds[:-1][np.diff(bounds) > 0])
+    cut = np.zeros(len(at), bool)
+    cut[starts] = True
+    last = np.zeros(len(at), bool)  # of its text
+    last[starts[1:] - 1] = True
+    last[-1:] = True
+    before = np.concatenate([[False], space[:-1]])
+    after = np.concatenate([space[1:], [True]]) | last
+    cut |= space & ~(before & after)
+    cut[1:] |= ~space[1:] & space[:-1] & (lead[:-1] != 32)
+    off = np.concatenate([at[cut], bounds[-1:]]).astype(np.int32)
+    counts = np.diff(np.searchsorted(off[:-1], bounds))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off), data]), counts
+
+
 class ChunkEncoder:
     """Encodes whole texts by the tokenizers library, each different piece once."""
 
     def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok, self.end = Tokenizer.from_file(path), end_id
         self.dtype = np.uint16 if max(self.tok.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else np.uint32
+        bare = [(i, t.content) for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.sep = bare[0] if bare else None
         self.clear()
 
     def clear(self) -> None:
-        self.codes = {"": 0}  # the end of a document
+        self.codes = {b"": 0}  # the end of a document
         self.flat, self.off = np.array([self.end], self.dtype), np.array([0, 1], np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's end id included, and the number of ids of each text."""
-        chunks: list[str] = []
-        counts = np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            own = CHUNK.findall(t)
-            own.append("")
-            counts[i] = len(own)
-            chunks += own
-        if len(self.flat) > CACHE_TOKENS:
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's end id included, and the number of ids of each text. Null texts are empty."""
+        chunks, counts = pieces(texts)
+        found = chunks.dictionary_encode()
+        values = found.dictionary.to_pylist()
+        if len(self.codes) > CACHE_PIECES:
             self.clear()
-        new = list(set(chunks).difference(self.codes))
+        new = [v for v in values if v not in self.codes]
         if new:
-            ids = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
             self.codes.update(zip(new, range(len(self.off) - 1, len(self.off) - 1 + len(new)), strict=True))
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.fromiter((x for y in ids for x in y), self.dtype, int(lens.sum()))])
+            flat, lens = self._encode_pieces([v.decode() for v in new])
+            self.flat = np.concatenate([self.flat, flat])
             self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(lens)])
-        codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
+        own = np.fromiter(map(self.codes.__getitem__, values), np.int64, len(values))
+        codes = np.insert(own[found.indices.to_numpy()], np.cumsum(counts), 0)
         flat, lens = csr_take(self.flat, self.off, codes)
-        return flat, np.add.reduceat(lens, np.cumsum(counts) - counts) if len(texts) else np.zeros(0, np.int64)
+        return flat, np.add.reduceat(lens, np.cumsum(counts + 1) - counts - 1) if len(texts) else np.zeros(0, np.int64)
+
+    def _encode_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces and how many each has. A special token splits a text before anything else does, so that
+        pieces joined by it are encoded as each alone; those that hold its name are encoded alone."""
+        flats, lens = [], []
+        for at in range(0, len(new), JOINED):
+            part = new[at : at + JOINED]
+            ids = None
+            if self.sep:
+                joined = self.sep[1].join(part)
+                if joined.count(self.sep[1]) == len(part) - 1:
+                    ids = np.array(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
+            if ids is not None:
+                cut = ids == self.sep[0]
+                ends = np.concatenate([np.flatnonzero(cut), [len(ids)]])
+                flats.append(ids[~cut])
+                lens.append(np.diff(ends, prepend=-1) - 1)
+            else:
+                each = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+                lens.append(np.fromiter(map(len, each), np.int64, len(each)))
+                flats.append(np.fromiter((x for y in each for x in y), self.dtype, int(lens[-1].sum())))
+        return np.concatenate(flats), np.concatenate(lens)
+
+
+@lru_cache(2)
+def encoder_of(path: str, end_id: int) -> ChunkEncoder:
+    return ChunkEncoder(path, end_id)
 
 
 def _place(uri: str):
@@ -100,10 +163,10 @@ def write_tokens(
             if not b.num_rows:
                 continue
             if out is None:
-                encoder, (place, stem_path) = ChunkEncoder(tokenizer_path, end_id), _place(stem)
+                encoder, (place, stem_path) = encoder_of(tokenizer_path, end_id), _place(stem)
                 place.create_dir(stem_path.rpartition("/")[0], recursive=True)
                 out = place.open_output_stream(f"{stem_path}.tokens")
-            flat, own = encoder.encode(texts_of(b, "_text"))
+            flat, own = encoder.encode(b.column(1))
             out.write(flat.astype(flat.dtype.newbyteorder("<"), copy=False).tobytes())
             ids.append(b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
             lens.append(own)
