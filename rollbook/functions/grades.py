@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions import vocabulary as V
@@ -19,25 +19,34 @@ def _grade(value: Column, status: Column, raw: Column, scale: Column) -> Column:
     return F.struct(value.cast("double").alias("value"), status.cast("string").alias("status"), raw.alias("raw"), scale.cast("double").alias("scale"))
 
 
-def parse_grade(c: Column | str, scale: Column | float = SCALE) -> Column:
-    """A number; else an empty cell; else a status; else statuses, of which the best counts; else a number beside text."""
-    scale = scale if isinstance(scale, Column) else F.lit(float(scale))
-    raw, null = clean_text(c), F.lit(None)
-    number, key = parse_number(c), norm_text(c)
-    compact = F.trim(F.regexp_replace(key, "[^a-z0-9]+", " "))
-    words = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in V.STATUS_WORDS.items()))
+def _read(raw: Column, number: Column, key: Column, compact: Column, scale: Column) -> Column:
+    null, words = F.lit(None), F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in V.STATUS_WORDS.items()))
     status = F.coalesce(F.try_element_at(words, compact), F.try_element_at(words, F.replace(compact, F.lit(" "), F.lit(""))))
-    tokens = F.filter(F.split(compact, " "), lambda w: w != "")
     order = F.array(*map(F.lit, V.STATUSES))
-    ranks = F.transform(tokens, lambda w: F.array_position(order, F.try_element_at(words, w)))
-    best = F.when(F.size(tokens).between(2, 3) & F.forall(ranks, lambda r: r.isNotNull() & (r > 0)), F.try_element_at(order, F.array_min(ranks).cast("int")))
+    ranks = F.transform(F.filter(F.split(compact, " "), lambda w: w != ""), lambda w: F.array_position(order, F.try_element_at(words, w)))
+    best = F.when(F.size(ranks).between(2, 3) & F.forall(ranks, lambda r: r.isNotNull() & (r > 0)), F.try_element_at(order, F.array_min(ranks).cast("int")))
     inner = F.regexp_extract(raw, r"([0-9]+(?:[.,][0-9]+)?)", 1)
     beside = F.get(F.filter(F.array(*map(F.lit, V.STATUS_WORDS)), lambda w: F.startswith(compact, F.concat(w, F.lit(" "))) | F.endswith(compact, F.concat(F.lit(" "), w))), F.lit(0))
-    inside = (inner != "") & (F.length(raw) <= 24)
     found = F.when(number.isNotNull(), _grade(number, null, raw, scale))
     found = found.when(key.isin(V.EMPTY_WORDS), _grade(null, F.lit(V.NO_GRADE), raw, scale))
     found = found.when(status.isNotNull(), _grade(null, status, raw, scale)).when(best.isNotNull(), _grade(null, best, raw, scale))
-    return found.when(inside, _grade(parse_number(inner), F.try_element_at(words, beside), raw, scale)).otherwise(_grade(null, F.lit(V.NO_GRADE), raw, scale))
+    value = F.translate(inner, ",", ".").try_cast("double")
+    return found.when((inner != "") & (F.length(raw) <= 24), _grade(value, F.try_element_at(words, beside), raw, scale)).otherwise(_grade(null, F.lit(V.NO_GRADE), raw, scale))
+
+
+def parse_grade(c: Column | str, scale: Column | float = SCALE) -> Column:
+    """A number; else an empty cell; else a status; else statuses, of which the best counts; else a number beside text."""
+    scale = scale if isinstance(scale, Column) else F.lit(float(scale))
+    key = norm_text(c)
+    return _read(clean_text(c), parse_number(c), key, F.trim(F.regexp_replace(key, "[^a-z0-9]+", " ")), scale)
+
+
+def with_grade(df: DataFrame, text: str, scale: Column | float = SCALE, name: str = "grade") -> DataFrame:
+    """C13 as a column of df, in steps: what several rules look at is computed once for each row."""
+    scale = scale if isinstance(scale, Column) else F.lit(float(scale))
+    df = df.withColumns({"_raw": clean_text(text), "_number": parse_number(text), "_key": norm_text(text), "_scale": scale})
+    df = df.withColumn("_compact", F.trim(F.regexp_replace("_key", "[^a-z0-9]+", " ")))
+    return df.withColumn(name, _read(F.col("_raw"), F.col("_number"), F.col("_key"), F.col("_compact"), F.col("_scale"))).drop("_raw", "_number", "_key", "_compact", "_scale")
 
 
 def rank_of(value: Column, status: Column) -> Column:

@@ -118,32 +118,53 @@ def has_word(header: Column, words: Sequence[str]) -> Column:
     return F.coalesce(first(header), first(split_glued(header)))
 
 
+def padded(header: Column) -> Column:
+    """A normalised header between spaces, as it is and with letters and digits apart: what vocabularies are looked up in."""
+    return F.concat(F.lit(" "), header, F.lit(" | "), split_glued(header), F.lit(" "))
+
+
+def mentions(text: Column, words: Sequence[str]) -> Column:
+    """Whether a padded header holds any of the words whole; one regular expression for the list."""
+    return text.rlike(f" (?:{'|'.join(words)}) ")
+
+
+def season_of(text: Column, strong_only: bool = False) -> Column:
+    """C24 for a padded header."""
+    tried = [(s, "strong", w) for s, w in V.STRONG_SEASON] + ([] if strong_only else [(s, "weak", w) for s, w in V.WEAK_SEASON])
+    out = None
+    for season, strength, words in tried:
+        value = F.struct(F.lit(season).alias("season"), F.lit(strength).alias("strength"))
+        out = F.when(mentions(text, words), value) if out is None else out.when(mentions(text, words), value)
+    return F.coalesce(out, F.struct(F.lit(None).cast("string").alias("season"), F.lit(None).cast("string").alias("strength")))
+
+
 def season_from_text(c: Column | str, strong_only: bool = False) -> Column:
     """Struct (season, strength), both null where nothing is said."""
-    h = norm_header(c)
-    tried = [(s, "strong", w) for s, w in V.STRONG_SEASON] + ([] if strong_only else [(s, "weak", w) for s, w in V.WEAK_SEASON])
-    out = F.struct(F.lit(None).cast("string").alias("season"), F.lit(None).cast("string").alias("strength"))
-    for season, strength, words in reversed(tried):
-        out = F.when(has_word(h, words).isNotNull(), F.struct(F.lit(season).alias("season"), F.lit(strength).alias("strength"))).otherwise(out)
-    return out
+    return season_of(padded(norm_header(c)), strong_only)
 
 
 def moment_index(c: Column | str) -> Column:
     """2 or 3 next to a word of assessment, else null."""
     tokens = F.split(split_glued(norm_header(c)), " ")
-    listed = F.array(*map(F.lit, V.MOMENT_WORDS))
-    two, three = F.array_position(tokens, F.lit("2")), F.array_position(tokens, F.lit("3"))
-    first = F.when((two > 0) & ((three == 0) | (two < three)), 2).when(three > 0, 3)
-    return F.when(F.arrays_overlap(tokens, listed), first)
+    return F.when(F.arrays_overlap(tokens, F.array(*map(F.lit, V.MOMENT_WORDS))), F.get(F.filter(tokens, lambda t: t.isin("2", "3")), F.lit(0)).cast("int"))
+
+
+def route_in(text: Column) -> Column:
+    """C26 for a padded header."""
+    return F.when(mentions(text, V.EXAM_WORDS), "exame").when(mentions(text, V.CONTINUOUS_WORDS), "continua")
 
 
 def route_of(c: Column | str) -> Column:
     """Exame, continua or null."""
-    h = norm_header(c)
-    return F.when(has_word(h, V.EXAM_WORDS).isNotNull(), "exame").when(has_word(h, V.CONTINUOUS_WORDS).isNotNull(), "continua")
+    return route_in(padded(norm_header(c)))
+
+
+def priority_in(text: Column) -> Column:
+    """C27 for a padded header."""
+    listed = F.array(*[F.struct(F.lit(f" {w} ").alias("word"), F.lit(p).alias("priority")) for w, p in V.FINAL_PRIORITY.items()])
+    return F.coalesce(F.array_max(F.transform(F.filter(listed, lambda x: F.contains(text, x["word"])), lambda x: x["priority"])), F.lit(0))
 
 
 def final_priority(c: Column | str) -> Column:
     """The highest priority among the words of a header that name a final grade."""
-    h = norm_header(c)
-    return F.greatest(F.lit(0), *[F.when(has_word(h, [w]).isNotNull(), F.lit(p)).otherwise(0) for w, p in V.FINAL_PRIORITY.items()])
+    return priority_in(padded(norm_header(c)))

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions import vocabulary as V
-from rollbook.functions.grades import guess_scale, is_empty, parse_grade
+from rollbook.functions.grades import guess_scale, is_empty, with_grade
 from rollbook.functions.numbers import looks_like_id_and_name, parse_number, parse_student_id
-from rollbook.functions.text import clean_text, final_priority, has_word, looks_like_person_name, moment_index, norm_header, norm_text, route_of, season_from_text
+from rollbook.functions.text import clean_text, looks_like_person_name, mentions, moment_index, norm_header, norm_text, padded, priority_in, route_in, season_of
+from rollbook.session import table_of
 
 #: Rows looked at for a header, samples kept, and the mark below which a first result counts as failed.
 HEADER_ROWS, SAMPLES, FAILED_BELOW = 12, 5, 9.5
@@ -23,19 +24,21 @@ HEADER_ROWS, SAMPLES, FAILED_BELOW = 12, 5, 9.5
 # ---------------------------------------------------------------- header and rows
 
 
-def cell_score(text: Column) -> Column:
-    """What a cell says for or against its row being the header."""
-    h = norm_header(text)
-    hit = lambda words, n: F.when(has_word(h, words).isNotNull(), n).otherwise(0)
-    score = hit(V.NAME_WORDS, 3) + hit(V.ID_WORDS, 2) + hit(V.FINAL_WORDS + V.COMPONENT_WORDS, 2) + F.when(season_from_text(text)["season"].isNotNull(), 1).otherwise(0)
-    return F.when(h == "", 0).otherwise(score - F.when(parse_number(text).isNotNull(), 2).otherwise(0) - F.when(parse_student_id(text).isNotNull(), 3).otherwise(0))
+def with_score(cells: DataFrame, text: str = "text") -> DataFrame:
+    """Cells with score: what a cell says for or against its row being the header. Steps keep expressions small."""
+    c = cells.withColumns({"_h": norm_header(text), "_number": parse_number(text), "_id": parse_student_id(text)}).withColumn("_p", padded(F.col("_h")))
+    p = F.col("_p")
+    hit = lambda test, n: F.when(test, n).otherwise(0)
+    said = hit(mentions(p, V.NAME_WORDS), 3) + hit(mentions(p, V.ID_WORDS), 2) + hit(mentions(p, V.FINAL_WORDS + V.COMPONENT_WORDS), 2) + hit(season_of(p)["season"].isNotNull(), 1)
+    score = F.when(F.col("_h") == "", 0).otherwise(said - hit(F.col("_number").isNotNull(), 2) - hit(F.col("_id").isNotNull(), 3))
+    return c.withColumn("score", score).drop("_h", "_p")
 
 
 def header_rows(cells: DataFrame) -> DataFrame:
     """source_id, header: the best scored of the first rows, the topmost of equals; -1 if no row scores and row 0 is data."""
-    t = clean_text("text")
-    is_data = (t != "") & (looks_like_person_name(t) | parse_student_id(t).isNotNull() | parse_number(t).isNotNull())
-    rows = cells.where(F.col("row") < HEADER_ROWS).groupBy("source_id", "row").agg(F.sum(cell_score(F.col("text"))).alias("score"), F.bool_or(is_data).alias("data"))
+    c = with_score(cells.where(F.col("row") < HEADER_ROWS)).withColumn("_person", looks_like_person_name("text"))
+    is_data = F.col("_person") | F.col("_id").isNotNull() | F.col("_number").isNotNull()
+    rows = c.groupBy("source_id", "row").agg(F.sum("score").alias("score"), F.bool_or(is_data).alias("data"))
     best = rows.groupBy("source_id").agg(F.max(F.struct("score", (-F.col("row")).alias("up"))).alias("b"), F.bool_or(F.col("data") & (F.col("row") == 0)).alias("first_is_data"))
     return best.select("source_id", F.when(F.col("b.score") > 0, -F.col("b.up")).when(F.col("first_is_data"), -1).otherwise(0).cast("int").alias("header"))
 
@@ -52,17 +55,17 @@ def data_cells(cells: DataFrame, headers: DataFrame) -> DataFrame:
 
 def profiles(cells: DataFrame) -> DataFrame:
     """D3: one row for each source_id and col: ratios, extremes, distinct values and samples. One aggregation."""
+    cells = with_grade(cells, "text", name="_g").withColumns({"_number": parse_number("text"), "_id": parse_student_id("text"), "_person": looks_like_person_name("text"), "_both": looks_like_id_and_name("text")})
     t = F.col("text")
     filled = t != ""
-    g = parse_grade(t)
-    status = filled & g["value"].isNull()
+    status = filled & F.col("_g.value").isNull()
     on = lambda c: F.count_if(filled & c)
     kept = F.slice(F.array_sort(F.collect_list(F.when(filled & (F.col("row") <= F.col("_low") + 200), F.struct("row", "text")))), 1, SAMPLES)
     low = cells.withColumn("_low", F.min("row").over(Window.partitionBy("source_id")))
     p = low.groupBy("source_id", "col").agg(
-        F.count(F.lit(1)).alias("rows"), on(F.lit(True)).alias("filled"), on(parse_number(t).isNotNull()).alias("numbers"), on(parse_student_id(t).isNotNull()).alias("ids"),
-        on(looks_like_person_name(t)).alias("names"), on(looks_like_id_and_name(t)).alias("combined"), on(status & (g["status"] != V.NO_GRADE)).alias("statuses"), on(status & (g["status"] == V.NO_GRADE)).alias("dashes"),
-        F.max(parse_number(t)).alias("max_value"), F.min(parse_number(t)).alias("min_value"), F.countDistinct(F.when(filled, t)).alias("distinct"), F.transform(kept, lambda x: x["text"]).alias("samples"),
+        F.count(F.lit(1)).alias("rows"), on(F.lit(True)).alias("filled"), on(F.col("_number").isNotNull()).alias("numbers"), on(F.col("_id").isNotNull()).alias("ids"),
+        on(F.col("_person")).alias("names"), on(F.col("_both")).alias("combined"), on(status & (F.col("_g.status") != V.NO_GRADE)).alias("statuses"), on(status & (F.col("_g.status") == V.NO_GRADE)).alias("dashes"),
+        F.max(F.when(filled, F.col("_number"))).alias("max_value"), F.min(F.when(filled, F.col("_number"))).alias("min_value"), F.countDistinct(F.when(filled, t)).alias("distinct"), F.transform(kept, lambda x: x["text"]).alias("samples"),
     )
     of = lambda c: F.col(c) / F.greatest("filled", F.lit(1))
     return p.withColumns(
@@ -78,13 +81,13 @@ def profiles(cells: DataFrame) -> DataFrame:
 
 def classify(profiled: DataFrame) -> DataFrame:
     """Profiles with header -> role, kind, scale, confidence, reason and combined, by rules in order."""
-    h = norm_header("header")
-    is_ = lambda words: has_word(h, words).isNotNull()
+    profiled = profiled.withColumn("_p", padded(norm_header("header")))
+    is_ = lambda words: mentions(F.col("_p"), words)
     c = F.col
-    gradeish = (is_(V.FINAL_WORDS) | is_(V.COMPONENT_WORDS) | season_from_text("header")["season"].isNotNull()) & (c("gradeish_ratio") >= 0.95) & (c("filled") > 0)
+    gradeish = (is_(V.FINAL_WORDS) | is_(V.COMPONENT_WORDS) | season_of(F.col("_p"))["season"].isNotNull()) & (c("gradeish_ratio") >= 0.95) & (c("filled") > 0)
     grade = (c("numeric_ratio") >= 0.4) | (c("numeric_ratio") + c("status_ratio") >= 0.5) | gradeish
     final, component = is_(V.FINAL_WORDS), is_(V.COMPONENT_WORDS)
-    by_season = season_from_text("header", strong_only=True)["season"].isNotNull() & ~component
+    by_season = season_of(F.col("_p"), strong_only=True)["season"].isNotNull() & ~component
     rules = [
         (c("filled") == 0, "ignore", None, 0.9, "reason.empty_column"),
         (is_(V.IGNORE_WORDS), "ignore", None, 0.7, "reason.header_not_grade"),
@@ -106,7 +109,7 @@ def classify(profiled: DataFrame) -> DataFrame:
         out = F.when(test, value) if out is None else out.when(test, value)
     done = profiled.withColumn("_r", out)
     named = {k: F.col(f"_r.{k}") for k in ("role", "kind", "confidence", "reason")}
-    return done.withColumns(named | {"scale": guess_scale(F.col("max_value")), "combined": F.col("_r.reason") == "reason.id_and_name", "locked": F.lit(False)}).drop("_r")
+    return done.withColumns(named | {"scale": guess_scale(F.col("max_value")), "combined": F.col("_r.reason") == "reason.id_and_name", "locked": F.lit(False)}).drop("_r", "_p")
 
 
 def one_name_one_id(columns: DataFrame) -> DataFrame:
@@ -134,8 +137,8 @@ def column_pairs(cells: DataFrame, columns: DataFrame) -> DataFrame:
     A row meets itself once for each pair of its grade columns, within the row: no join of rows with rows.
     """
     graded = cells.join(columns.where("role = 'grade'").select("source_id", "col", "scale"), ["source_id", "col"])
-    g = parse_grade(F.col("text"), F.col("scale"))
-    graded = graded.select("source_id", "row", F.struct("col", "scale", g["value"].alias("value"), g["status"].alias("status"), (~is_empty(g["value"], g["status"])).alias("filled")).alias("x"))
+    graded = with_grade(graded, "text", F.col("scale"), "g")
+    graded = graded.select("source_id", "row", F.struct("col", "scale", F.col("g.value").alias("value"), F.col("g.status").alias("status"), (~is_empty(F.col("g.value"), F.col("g.status"))).alias("filled")).alias("x"))
     rows = graded.groupBy("source_id", "row").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     pair = rows.select("source_id", F.explode("xs").alias("a"), "xs").select("source_id", "a", F.explode("xs").alias("b")).where("a.col <> b.col")
     failed = F.when(F.col("a.value").isNotNull(), F.col("a.value") < F.col("b.scale") * FAILED_BELOW / 20).otherwise(F.col("a.status").isin(V.FAILING))
@@ -158,8 +161,8 @@ def assign_seasons(columns: DataFrame, pairs: DataFrame, file_season: DataFrame
 
     file_season: (source_id, file_season) that the file as a whole names.
     """
-    said = season_from_text("header")
-    c = columns.withColumns({"_season": said["season"], "_strength": said["strength"], "_moment": moment_index("header"), "_route": route_of("header")})
+    c = columns.withColumns({"_p": padded(norm_header("header")), "_moment": moment_index("header")})
+    c = c.withColumns({"_said": season_of(F.col("_p")), "_route": route_in(F.col("_p"))}).withColumns({"_season": F.col("_said.season"), "_strength": F.col("_said.strength")}).drop("_said", "_p")
     c = c.join(file_season, "source_id", "left") if file_season is not None else c.withColumn("file_season", F.lit(None).cast("string"))
     verdict = moment_verdict(F.col("n"), F.col("n_b"), F.col("failed_first"))
     alone = moment_verdict(F.col("n"), F.col("n_b"), None)
@@ -236,9 +239,8 @@ def promote_exam_routes(columns: DataFrame, cells: DataFrame) -> DataFrame:
 
     Per row, the finals of each season are looked at together with the exam column, within the row.
     """
-    grades = columns.where("role = 'grade'").select("source_id", "col", "scale", "season", (F.col("kind") == "final").alias("is_final"), ((F.col("kind") != "final") & ~F.col("locked") & has_word(norm_header("header"), V.EXAM_WORDS).isNotNull()).alias("may_be"))
-    g = parse_grade(F.col("text"), F.col("scale"))
-    seen = cells.join(grades, ["source_id", "col"]).withColumn("on", ~is_empty(g["value"], g["status"])).withColumn("s", F.coalesce("season", F.lit("")))
+    grades = columns.where("role = 'grade'").select("source_id", "col", "scale", "season", (F.col("kind") == "final").alias("is_final"), ((F.col("kind") != "final") & ~F.col("locked") & mentions(padded(norm_header("header")), V.EXAM_WORDS)).alias("may_be"))
+    seen = with_grade(cells.join(grades, ["source_id", "col"]), "text", F.col("scale"), "g").withColumn("on", ~is_empty(F.col("g.value"), F.col("g.status"))).withColumn("s", F.coalesce("season", F.lit("")))
     w = Window.partitionBy("source_id", "row", "s")
     seen = seen.withColumns({"finals": F.count_if("is_final").over(w), "filled_finals": F.count_if(F.expr("is_final and on")).over(w)})
     counts = seen.where("may_be and on and finals > 0").groupBy("source_id", "col").agg(F.count(F.lit(1)).alias("own"), F.count_if(F.col("filled_finals") == 0).alias("alone"))
@@ -250,7 +252,7 @@ def promote_exam_routes(columns: DataFrame, cells: DataFrame) -> DataFrame:
 
 def pick_finals(columns: DataFrame, pairs: DataFrame) -> DataFrame:
     """Columns with cluster; one final grade for each season and cluster of columns filled for the same rows."""
-    c = columns.withColumn("_priority", final_priority("header"))
+    c = columns.withColumn("_p", padded(norm_header("header"))).withColumn("_priority", priority_in(F.col("_p"))).drop("_p")
     same = pairs.select(F.col("source_id").alias("sheet"), "a", "b", F.coalesce(F.try_divide(F.col("n_both"), F.col("n_a") + F.col("n_b") - F.col("n_both")), F.lit(0.0)).alias("share"))
     schema = f"{columns.schema.simpleString()[7:-1]}, cluster int"
     names = columns.columns
@@ -312,18 +314,25 @@ def pick_finals(columns: DataFrame, pairs: DataFrame) -> DataFrame:
 def refresh_columns(columns: DataFrame, cells: DataFrame) -> DataFrame:
     """Routes, clusters and finals again, after columns have been changed."""
     base = columns.drop("cluster")
-    base = promote_exam_routes(base, cells)
+    base = table_of(promote_exam_routes(base, cells), "routes")
     return pick_finals(base, column_pairs(cells, base))
 
 
-def classify_columns(cells: DataFrame, headers: DataFrame, file_season: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(columns, data): from raw cells and header rows to roles, seasons, routes and final grades."""
-    data = data_cells(cells, headers)
+def classified(cells: DataFrame, headers: DataFrame, data: DataFrame, file_season: DataFrame | None = None) -> DataFrame:
+    """Columns with roles, seasons, routes and final grades, from raw cells, header rows and data cells."""
     titles = cells.join(headers, "source_id").where("row = header").select("source_id", "col", clean_text("text").alias("header"))
     everywhere = cells.select("source_id", "col").distinct()
     shaped = everywhere.join(profiles(data), ["source_id", "col"], "left").join(titles, ["source_id", "col"], "left")
     numbers = [c for c, t in shaped.dtypes if t in ("bigint", "double") and c not in ("max_value", "min_value", "col")]
-    shaped = shaped.fillna(0, numbers).withColumns({"header": F.when(F.coalesce("header", F.lit("")) != "", F.col("header")).otherwise(F.concat(F.lit("Coluna "), F.col("col") + 1)), "samples": F.coalesce("samples", F.array().cast("array<string>")), "col": F.col("col").cast("int")})
-    columns = one_name_one_id(classify(shaped))
-    columns = assign_seasons(columns, column_pairs(data, columns), file_season)
-    return refresh_columns(columns, data), data
+    named = F.when(F.coalesce("header", F.lit("")) != "", F.col("header")).otherwise(F.concat(F.lit("Coluna "), (F.col("col") + 1).cast("string")))
+    shaped = shaped.fillna(0, numbers).withColumns({"header": named, "samples": F.coalesce("samples", F.array().cast("array<string>")), "col": F.col("col").cast("int")})
+    # a row for each column from here on: written, so that each later step starts from rows, not from the whole plan
+    columns = table_of(one_name_one_id(classify(shaped)), "columns")
+    columns = table_of(assign_seasons(columns, column_pairs(data, columns), file_season), "seasons-of-columns")
+    return refresh_columns(columns, data)
+
+
+def classify_columns(cells: DataFrame, headers: DataFrame, file_season: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(columns, data): from raw cells and header rows."""
+    data = data_cells(cells, headers)
+    return classified(cells, headers, data, file_season), data

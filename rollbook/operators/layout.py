@@ -12,9 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.functions import vocabulary as V
-from rollbook.functions.numbers import parse_number, parse_student_id
-from rollbook.functions.text import clean_text, has_word, looks_like_person_name, norm_header, season_from_text
+from rollbook.functions.numbers import parse_student_id
+from rollbook.functions.text import clean_text, looks_like_person_name
+from rollbook.operators.inference import with_score
 
 # Distances in points, and shares.
 COLUMN_GAP, SEGMENT_GAP, HEADER_GAP, LABEL_GAP, LABEL_TOUCH, ID_NAME_GAP = 4.5, 22.0, 7.0, 6.0, 3.0, 1.5
@@ -52,14 +52,11 @@ def lines(words: DataFrame) -> DataFrame:
 
 def records(lined: DataFrame) -> DataFrame:
     """Doc, page, line, left, right of the lines that look like a person's row."""
-    h = norm_header("text")
-    score = F.when(has_word(h, V.NAME_WORDS).isNotNull(), 3).otherwise(0) + F.when(has_word(h, V.ID_WORDS).isNotNull(), 2).otherwise(0)
-    score = score + F.when(has_word(h, V.FINAL_WORDS + V.COMPONENT_WORDS).isNotNull(), 2).otherwise(0) + F.when(season_from_text("text")["season"].isNotNull(), 1).otherwise(0)
-    score = F.when(h == "", 0).otherwise(score - F.when(parse_number("text").isNotNull(), 2).otherwise(0) - F.when(parse_student_id("text").isNotNull(), 3).otherwise(0))
-    in_order = F.array_sort(F.collect_list(F.struct("x0", "x1", "text", parse_number("text").isNull().alias("word"))))
+    lined = with_score(lined)
+    in_order = F.array_sort(F.collect_list(F.struct("x0", "x1", "text", F.col("_number").isNull().alias("word"))))
     of = lined.groupBy(*PAGE, "line").agg(
-        in_order.alias("w"), F.sum(score).alias("score"), F.bool_or(parse_student_id("text").isNotNull()).alias("has_id"),
-        F.count_if(parse_number("text").isNotNull() | (F.length("text") <= 3)).alias("values"), F.min_by("x1", F.struct("x0", "x1")).alias("right"), F.min("x0").alias("left"),
+        in_order.alias("w"), F.sum("score").alias("score"), F.bool_or(F.col("_id").isNotNull()).alias("has_id"),
+        F.count_if(F.col("_number").isNotNull() | (F.length("text") <= 3)).alias("values"), F.min_by("x1", F.struct("x0", "x1")).alias("right"), F.min("x0").alias("left"),
     )
     name = F.array_join(F.transform(F.filter("w", lambda x: x["word"]), lambda x: x["text"]), " ")
     good = (F.size("w") >= 2) & (F.col("score") < 3) & (F.col("has_id") | looks_like_person_name(name)) & (F.col("values") >= 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.functions.grades import parse_grade
+from rollbook.functions.grades import with_grade
 from rollbook.operators import results as R
 
 #: What decides between equal entries.
@@ -75,7 +75,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = base(spark, sf_dir).withColumn("g", parse_grade("raw"))
+    g = with_grade(base(spark, sf_dir), "raw", name="g")
     return g.withColumns({"value": F.col("g.value"), "status": F.col("g.status")}).drop("g")
 
 
