@@ -1,8 +1,9 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly, a group of equal texts at a time.
 
 A group goes to the shard where the dot product of its demand with the residual capacity is highest. Groups beyond
-1/(64 x shards) of any total are few (at most 3 x 64 x shards); they are placed first, as rows of (group, demand), and
-those beyond half a shard in even pieces, so that a group with a third of all rows still spreads. The other groups are
+1/(64 x shards) of any total are few (at most 3 x 64 x shards); they are placed first, as rows of (group, demand),
+those beyond half a shard in even pieces and those beyond a shard over all shards, so that a group with a third of all
+rows still spreads. The other groups are
 placed in every partition on its own, against its share of the capacity that the large ones leave; each partition ends
 within a small text of even, and so does the sum. No text is shuffled, and only large groups' demands reach the driver.
 """
@@ -24,6 +25,8 @@ SHARDS = 24
 #: A group is large beyond 1/(LARGE x shards) of the bytes, tokens or rows; it is split beyond 1/(SPLIT x shards).
 LARGE, SPLIT = 64, 2
 DIMS = ("size", "tokens", "rows")
+#: Bytes are the law of the result, and weigh more than what is balanced beside them.
+WEIGHT = np.array([2.0, 1.0, 1.0])
 
 
 def pack(demands: np.ndarray, residual: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -31,7 +34,7 @@ def pack(demands: np.ndarray, residual: np.ndarray, total: np.ndarray) -> np.nda
 
     Demands and residuals are taken as shares of total, so that no dimension outweighs another by its unit.
     """
-    scale = 1 / np.maximum(total, 1e-9)
+    scale = WEIGHT / np.maximum(total, 1e-9)
     d, left = demands * scale, residual * scale
     out = np.zeros(len(d), np.int64)
     for i in np.lexsort((np.arange(len(d)), -d.sum(1))):
@@ -70,7 +73,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
 
     residual = np.tile(total / shards, (shards, 1))
     demand = np.array([r[1:] for r in large], float).reshape(-1, 3)
-    pieces = np.maximum(1, np.ceil((demand / np.maximum(total, 1) * SPLIT * shards).max(1, initial=0))).astype(int) if len(large) else np.zeros(0, int)
+    need = np.maximum(1, np.ceil((demand / np.maximum(total, 1) * SPLIT * shards).max(1, initial=0))).astype(int) if len(large) else np.zeros(0, int)
+    # what fills more than a shard goes to all of them alike
+    pieces = np.where(need > SPLIT, -(-need // shards) * shards, need)
     owner = np.repeat(np.arange(len(large)), pieces)
     placed = pack((demand / pieces[:, None])[owner], residual, total / shards) if len(large) else owner
     first = np.cumsum(pieces) - pieces
