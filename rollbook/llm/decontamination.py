@@ -67,8 +67,11 @@ class Canonical:
     def clear(self) -> None:
         self.index, self.kinds, self.codes, self.raw = {}, np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
-    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(code, value, text) of every template word: value is 0 for a literal, else stands for what was replaced."""
+    def words(self, texts: list[str], within: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code, value, text) of every template word: value is 0 for a literal, else stands for what was replaced.
+
+        within: the texts are read as if they stood inside a sentence, so that a capital at their start makes a name.
+        """
         toks: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -90,7 +93,9 @@ class Canonical:
         kind, code = self.kinds[at], self.codes[at]
         starts = np.ones(len(at), bool)
         if len(at):
-            starts[1:] = (kind[:-1] == MARK) | (text[1:] != text[:-1])
+            first = np.concatenate([[True], text[1:] != text[:-1]])
+            starts[1:] = kind[:-1] == MARK
+            starts = np.where(first, not within, starts)
         kind = np.where((kind == NAME) & starts, LITERAL, kind)
         keep = kind != MARK
         kind, code, text, starts = kind[keep], code[keep], text[keep], starts[keep]
@@ -152,7 +157,8 @@ def _rows(code, value, text, widths: list[int], take) -> list[np.ndarray]:
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(item, pos, width, hash, vals, item_windows): items shorter than a window have one, of all their words.
+    """(item, pos, width, hash, vals, item_windows): items shorter than a window have one, of all their words. Each item
+    is read as a text of its own and as part of a sentence.
 
     Items of fewer than MIN_LITERALS words, null and empty ones have none.
     """
@@ -162,14 +168,15 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         can = Canonical()
         for b in batches:
-            code, value, text = can.words(texts_of(b, "_text"))
-            size = np.bincount(text, minlength=b.num_rows)
-            widths = sorted({min(window, int(n)) for n in size if n >= MIN_LITERALS})
-            if not widths:
-                continue
-            got = _rows(code, value, text, widths, lambda h, n, at: (size[text[at]] == n) | ((n == window) & (size[text[at]] >= n)))
-            own = np.bincount(got[0].astype(np.int64), minlength=b.num_rows)
-            yield _batch(b.column(0), got, "item", [pa.array(own)], ["item_windows"])
+            for within in (False, True):
+                code, value, text = can.words(texts_of(b, "_text"), within)
+                size = np.bincount(text, minlength=b.num_rows)
+                widths = sorted({min(window, int(n)) for n in size if n >= MIN_LITERALS})
+                if not widths:
+                    continue
+                got = _rows(code, value, text, widths, lambda h, n, at: (size[text[at]] == n) | ((n == window) & (size[text[at]] >= n)))  # noqa: B023
+                own = np.bincount(got[0].astype(np.int64), minlength=b.num_rows)
+                yield _batch(b.column(0), got, "item", [pa.array(own)], ["item_windows"])
 
     return rows.mapInArrow(run, f"item {dict(rows.dtypes)['item']}, {_WINDOW}, item_windows long")
 
@@ -237,7 +244,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     hit = decontaminate(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs.doc_id.eqNullSafe(hit["_hit"]), "left_anti")
+    return docs.join(hit.hint("merge"), docs.doc_id.eqNullSafe(hit["_hit"]), "left_anti")
 
 
 QUERIES = {"op8_decontamination": op8_decontamination}
