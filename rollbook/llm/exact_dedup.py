@@ -96,9 +96,9 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, with its own columns; of repeated rows one stays."""
     stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kid"), F.col("text_sha256").alias("_ksha"))
-    # the digest is computed again where the row lies; (id, digest) meets its kept row, and its repetitions
+    # the digest is computed again where the row lies; ids grow with the documents and are not broadcast; (id, digest) meets its kept row, and its repetitions
     rows = docs.withColumn("_sha", F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256))
-    rows = rows.join(stay, rows.doc_id.eqNullSafe(stay["_kid"]) & (rows["_sha"] == stay["_ksha"]), "left_semi")
+    rows = rows.join(stay.hint("merge"), rows.doc_id.eqNullSafe(stay["_kid"]) & (rows["_sha"] == stay["_ksha"]), "left_semi")
     first = Window.partitionBy("doc_id", "_sha").orderBy(F.lit(0))
     return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
 

@@ -199,7 +199,7 @@ def classify(
     if not keep_columns:
         return scored.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_llr").alias("evidence"), "host_rate", "path_rate", "posterior", (F.col("posterior") >= threshold).alias("kept"))
     good = scored.groupBy("_id").agg(F.max("posterior").alias("_p")).where(F.col("_p") >= threshold).select(F.col("_id").alias("_good"))
-    return docs.join(good, F.col(id_col).eqNullSafe(F.col("_good")), "left_semi")
+    return docs.join(good.hint("merge"), F.col(id_col).eqNullSafe(F.col("_good")), "left_semi")  # ids grow with the documents: never broadcast
 
 
 def lang_path(docs: DataFrame) -> Column:

@@ -187,10 +187,10 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(read(spark, sf_dir, "documents"))
 
 
-def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle: int = 5) -> DataFrame:
-    """The document of least id of each component, with its own columns; shingles have five words."""
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle: int = 3) -> DataFrame:
+    """The document of least id of each component of op9's links, with its own columns."""
     roots = simhash_dedup(docs, shingle=shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias("_root")).distinct()
-    return docs.join(roots, docs.doc_id.eqNullSafe(roots["_root"]), "left_semi")
+    return docs.join(roots.hint("merge"), docs.doc_id.eqNullSafe(roots["_root"]), "left_semi")
 
 
 QUERIES = {"op9_simhash_dedup": op9_simhash_dedup}
