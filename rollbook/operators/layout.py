@@ -243,3 +243,24 @@ def stitch(cells: DataFrame) -> DataFrame:
     return cells.join(target, ["doc", "page", "col"], "left").select(
         "doc", "page", "row", F.coalesce("to", "col").alias("col"), "text", F.when(F.col("to").isNull() & ~F.col("page").isin([1]), F.col("page")).alias("part")
     )
+
+
+def table_scores(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys, score of candidate tables: share of filled cells in percent, less 10 for each empty column, plus the best
+    header score of the first four rows up to 12. Tables of fewer than LEAST_ROWS rows have none.
+
+    cells: (*keys, row, col, text), every cell of a table present.
+    """
+    filled = F.col("text") != ""
+    columns = cells.groupBy(*keys, "col").agg(F.bool_or(filled).alias("used")).groupBy(*keys).agg(F.count_if(~F.col("used")).alias("empty"))
+    whole = cells.groupBy(*keys).agg((F.count_if(filled) / F.count(F.lit(1)) * 100).alias("share"), F.countDistinct("row").alias("rows"))
+    heads = with_score(cells.where("row < 4")).groupBy(*keys, "row").agg(F.sum("score").alias("s")).groupBy(*keys).agg(F.max("s").alias("head"))
+    out = whole.join(columns, list(keys)).join(heads, list(keys)).where(F.col("rows") >= LEAST_ROWS)
+    return out.select(*keys, (F.col("share") - F.col("empty") * 10 + F.least("head", F.lit(12))).alias("score"))
+
+
+def best_tables(cells: DataFrame, page_keys: Sequence[str], candidate: str) -> DataFrame:
+    """The cells of the best scored candidate table of each page, the first of equals."""
+    scores = table_scores(cells, [*page_keys, candidate])
+    best = scores.groupBy(*page_keys).agg(F.max_by(candidate, F.struct("score", -F.col(candidate))).alias(candidate))
+    return cells.join(best, [*page_keys, candidate], "left_semi")

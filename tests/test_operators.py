@@ -189,3 +189,19 @@ def test_metadata():
     m = describe("SGR202425.csv", None, [], [])
     assert (m["subject"], m["subject_code"], m["document_date"]) == ("SGR", "SGR", None)
     assert describe("x.csv", None, ["Teste 1 (30%)"], [])["component_weight"] == 30 and describe("x.csv", None, ["Exame (100%)"], [])["component_label"] is None
+
+
+def test_best_of_two_readings_of_a_page(spark):
+    good, poor = [["Nome", "Nota"], ["Ana Silva", "12"], ["Rui Costa", "9"]], [["Nome", ""], ["Ana", ""], ["", ""]]
+    cells = [("d", 1, k, r, c, t) for k, table in enumerate((poor, good)) for r, row in enumerate(table) for c, t in enumerate(row)]
+    df = spark.createDataFrame(cells, "doc string, page int, candidate int, row int, col int, text string")
+    assert {r.candidate for r in Y.best_tables(df, ["doc", "page"], "candidate").collect()} == {1}
+
+
+def test_functions_in_sql_text(spark):
+    from rollbook.functions.sql import register
+
+    register(spark)
+    assert spark.sql("select strip_accents_exact('ﬁm é') a, round(sequence_ratio('abcd', 'abce'), 2) b").first() == ("fim e", 0.75)
+    got = spark.sql("select * from sheet_cells('Nome;Nota\nAna;12')").collect()
+    assert [tuple(r) for r in got] == [(0, 0, "Nome"), (0, 1, "Nota"), (1, 0, "Ana"), (1, 1, "12")]
