@@ -26,9 +26,12 @@ def ranked(entries: DataFrame) -> DataFrame:
 
 
 def best_per_source(entries: DataFrame, order_cols: Sequence[str]) -> DataFrame:
-    """With pick, 1 for the best entry of each source, the first of equals."""
+    """With pick, 1 for the best entry of each source, the first of equals.
+
+    Entries are dealt by student and subject, which every later window and aggregate over more keys can use as it is.
+    """
     w = Window.partitionBy(*GROUP, "source").orderBy(F.desc("tier"), F.desc("score"), *order_cols)
-    return ranked(entries).withColumn("pick", F.row_number().over(w))
+    return ranked(entries).repartition("student", "subject").withColumn("pick", F.row_number().over(w))
 
 
 def version_rank(picked: DataFrame, order_cols: Sequence[str]) -> DataFrame:

@@ -15,9 +15,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rollbook.session import table_of
+
 #: What can be read, byte order marks and encodings in the order tried, separators in theirs.
 KINDS = {"csv": "csv", "tsv": "csv", "txt": "txt", "xlsx": "xlsx", "xlsm": "xlsx", "xltx": "xlsx", "pdf": "pdf"}
 MARKS = [(b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"), (b"\xef\xbb\xbf", "utf-8-sig")]
@@ -194,34 +196,45 @@ def parse(name: str, data: bytes) -> list[tuple[str, str | None, list[str], list
 # ---------------------------------------------------------------- Spark
 
 
+def _numbered(paths: DataFrame, first: int) -> DataFrame:
+    """(path, file_order): paths counted in order from `first`, by a distributed sort and sums of a row for each partition."""
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = table_of(paths.orderBy("path").select("path", F.spark_partition_id().alias("part"), at.alias("at")), "paths")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return placed.join(base, "part").select("path", (F.col("base") + F.col("at") + first).alias("file_order"))
+
+
 def read_tables(spark: SparkSession, paths: str | list[str], first_order: int = 1) -> DataFrame:
     """A row for each table of the files; a file that cannot be read, or has no table, is a row with `error`.
 
     file_order counts files by path from first_order on; source_id is f<file>s<table>. Each task parses its files.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    order = {r[0]: i for i, r in enumerate(files.select("path").orderBy("path").toLocalIterator(), first_order)}
+    files = spark.read.format("binaryFile").load(paths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                name, k = path.rpartition("/")[2], order[path]
-                base = {"file_order": k, "filename": name, "kind": kind_of(name)}
+                name = path.rpartition("/")[2]
+                base = {"path": path, "filename": name, "kind": kind_of(name), "n": None, "location": None, "sheet_name": None, "title_lines": [], "footer_lines": [], "rows": [], "error": None}
                 try:
                     found = parse(name, data)
                     error = None if found else "no table"
                 except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError, csv.Error) as e:
                     found, error = [], str(e)
-                out += [base | {"source_id": f"f{k}s{i}", "location": loc, "sheet_name": sheet, "title_lines": t, "footer_lines": f, "rows": rows, "error": None} for i, (loc, sheet, t, f, rows) in enumerate(found)]
+                out += [base | {"n": i, "location": loc, "sheet_name": sheet, "title_lines": t, "footer_lines": f, "rows": rows} for i, (loc, sheet, t, f, rows) in enumerate(found)]
                 if error:
-                    out.append(base | {"source_id": f"f{k}", "location": None, "sheet_name": None, "title_lines": [], "footer_lines": [], "rows": [], "error": error})
+                    out.append(base | {"error": error})
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     s, strings = pa.string(), pa.list_(pa.string())
-    schema = pa.schema([("source_id", s), ("file_order", pa.int64()), ("filename", s), ("kind", s), ("location", s), ("sheet_name", s), ("title_lines", strings), ("footer_lines", strings), ("rows", pa.list_(strings)), ("error", s)])
-    return files.mapInArrow(run, TABLES)
+    schema = pa.schema([("path", s), ("filename", s), ("kind", s), ("n", pa.int32()), ("location", s), ("sheet_name", s), ("title_lines", strings), ("footer_lines", strings), ("rows", pa.list_(strings)), ("error", s)])
+    parsed = files.select("path", "content").mapInArrow(run, "path string, filename string, kind string, n int, location string, sheet_name string, title_lines array<string>, footer_lines array<string>, rows array<array<string>>, error string")
+    order = F.col("file_order").cast("string")
+    source = F.when(F.col("n").isNull(), F.concat(F.lit("f"), order)).otherwise(F.concat(F.lit("f"), order, F.lit("s"), F.col("n").cast("string")))
+    return parsed.join(_numbered(files.select("path"), first_order), "path").withColumn("source_id", source).select(*[c.split()[0] for c in TABLES.split(", ")])
 
 
 def cells(tables: DataFrame) -> DataFrame:
