@@ -179,3 +179,27 @@ def test_html_pages(spark):
     assert by[1].text == "Title here\n\nFirst & longer paragraph of the story, with a break.\n\nSecond é bold\n\nThird one is long enough too."
     assert by[2].text == by[3].text == "" and by[4].text == "plain <text>" and all(r.n_chars == len(r.text) for r in got)
     assert extract(df.limit(0)).count() == 0
+
+
+FIRST = "The council met on Tuesday to discuss the plan, which had been delayed twice. Members of the public spoke for an hour."
+SECOND = "Afterwards, the mayor said that work would begin in spring, and that costs had been kept low."
+REMARK = "I totally disagree with this, they never listen to us. Great article though, thanks for sharing it with all of us!"
+STORY = f"<article><h1>Council meets</h1><p>{FIRST}</p><p>{SECOND}</p></article>"
+AROUND = {
+    "comments after": f"{STORY}<section class='comments'><h2>Comments</h2><div class='comment'><p>{REMARK}</p></div></section>",
+    "comments inside": f"{STORY[:-10]}<div class='comments'><p>{REMARK}</p></div></article>",
+    "comments that are articles": f"{STORY}<section id='comments'><article><p>{REMARK}</p></article></section>",
+    "sidebar": f"<div class='sidebar'><h3>Popular</h3><ul><li><a href='x'>One story</a></li></ul></div>{STORY}<aside><p>{REMARK}</p></aside>",
+    "notice": f"<div class='cookie-notice'><p>We use cookies on this site. <button>OK</button></p></div><div class='notice'>We are moving.</div>{STORY}",
+    "form": f"{STORY}<form action='/s'><p>Subscribe to our newsletter</p><input><button>Go</button></form>",
+    "header": f"<header><h1>Example Daily</h1><p>News since 1900</p></header>{STORY}",
+    "no semantic tags": f"<div id='header'>Example Daily</div><div id='content'>{STORY[9:-10]}</div><div id='footer'>&copy; 2024 Example</div>",
+    "advert inside": STORY.replace("</p><p>", "</p><div class='ad'>Buy cheap pills now, limited offer!</div><p>"),
+    "unclosed": f"<article><h1>Council meets</h1><p><b>{FIRST}<br><p>{SECOND}</article>",
+}
+
+
+@pytest.mark.parametrize("name", AROUND)
+def test_html_leaves_out_what_stands_around(name):
+    page = f"<!DOCTYPE html><html><head><title>T</title></head><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>{AROUND[name]}<footer>&copy; example.com</footer></body></html>"
+    assert trained().extract([page]) == [f"Council meets\n\n{FIRST}\n\n{SECOND}"]
