@@ -152,7 +152,8 @@ def linked_fingerprints(classes: DataFrame) -> DataFrame:
     near, filed = _keyed(classes, True), _keyed(classes, False)
     near = near.select("key", F.col("fp").alias("x"))
     apart = F.bit_count(F.col("x").bitwiseXOR(F.col("fp")))
-    pairs = near.join(filed, (near.key == filed.key) & (F.col("x") != F.col("fp")) & (apart <= MAX_DISTANCE))
+    # a fingerprint is filed many times over, which estimates of size do not know: never broadcast
+    pairs = near.join(filed.hint("merge"), (near.key == filed.key) & (F.col("x") != F.col("fp")) & (apart <= MAX_DISTANCE))
     return pairs.select(F.least("x", "fp").alias("a"), F.greatest("x", "fp").alias("b")).distinct()
 
 
