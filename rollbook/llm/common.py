@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,3 +51,15 @@ def csr_take(flat: np.ndarray, off: np.ndarray, codes: np.ndarray) -> tuple[np.n
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t if t is not None else "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+
+
+def by_chars(texts: list[str], most: int) -> Iterator[tuple[int, list[str]]]:
+    """(index of the first, texts) in runs of up to `most` characters; a longer text is a run of its own."""
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > first and held + len(t) > most:
+            yield first, texts[first:i]
+            first, held = i, 0
+        held += len(t)
+    if first < len(texts):
+        yield first, texts[first:]

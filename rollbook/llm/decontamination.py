@@ -18,13 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import batched, read, texts_of
+from rollbook.llm.common import batched, by_chars, read, texts_of
 from rollbook.session import table_of
 
 WINDOW = 8
 #: A window of fewer words that are no placeholders is no evidence; nor is a shorter item, unless it matches whole.
 MIN_LITERALS = 4
 FILTER_BITS = 24
+#: Texts are looked at together up to so many characters.
+GROUP_CHARS = 1_000_000
 #: Benchmark windows are broadcast up to so many rows, and shuffled beyond.
 BROADCAST_ROWS = 200_000
 TOKEN = re.compile(r"[^\W_]+(?:[.,:'’/-][^\W_]+)*|[.!?:;\n\"“”]")
@@ -60,7 +62,7 @@ def _parts(tok: str) -> tuple[str, ...]:
 class Canonical:
     """Template codes and slot values of texts; each different token is looked at once."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 300_000):
         self.most = most
         self.clear()
 
@@ -214,10 +216,11 @@ def decontaminate(
             s = h & mask
             return (bits.value[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-        for b in batches:
-            got = _rows(*can.words(texts_of(b, "_text")), widths, passes) if widths else None
-            if got and len(got[0]):
-                yield _batch(b.column(0), got, "_id")
+        for b in batches if widths else ():
+            for first, own in by_chars(texts_of(b, "_text"), GROUP_CHARS):
+                got = _rows(*can.words(own), widths, passes)
+                if len(got[0]):
+                    yield _batch(b.column(0).slice(first, len(own)), got, "_id")
 
     near = rows.mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, {_WINDOW}")
     item = bench.select("item", F.col("pos").alias("item_pos"), "width", "hash", F.col("vals").alias("item_vals"), "item_windows")
