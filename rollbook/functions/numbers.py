@@ -16,6 +16,7 @@ BEFORE_ID = r"(?:n\.?[ºo°]?\s*)?"
 ID_THEN_NAME = rf"(?iu)^{BEFORE_ID}([0-9]{{4,12}})(?:{SEPARATOR}|(?=(?-i:[A-ZÀ-ÖØ-Þ])))([^0-9].+)$"
 NAME_THEN_ID = rf"(?iu)^(.+?[^0-9]){SEPARATOR}{BEFORE_ID}([0-9]{{4,12}})$"
 # End of fixed values.
+PLAIN = r"^[0-9]+(?:[.,][0-9]+)?$"
 
 
 def _decimal(text: Column) -> Column:
@@ -27,11 +28,17 @@ def _decimal(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), plain.try_cast("double"))
 
 
+def number_of(cleaned: Column) -> Column:
+    """C10 for a cleaned text: plain decimals are told by one cheap pattern, the rest by the full rules."""
+    t = F.trim(F.replace(cleaned, F.lit("%"), F.lit("")))
+    num, den = F.regexp_extract(t, FRACTION, 1), F.regexp_extract(t, FRACTION, 2)
+    full = F.when(t.rlike(FRACTION), F.when(_decimal(den) != 0, _decimal(num))).otherwise(_decimal(F.replace(t, F.lit(" "), F.lit(""))))
+    return F.when(cleaned.rlike(PLAIN), F.translate(cleaned, ",", ".").try_cast("double")).otherwise(full)
+
+
 def parse_number(c: Column | str) -> Column:
     """A number in either convention, or null. Of a fraction the numerator, if the denominator is not zero."""
-    t = F.trim(F.replace(clean_text(c), F.lit("%"), F.lit("")))
-    num, den = F.regexp_extract(t, FRACTION, 1), F.regexp_extract(t, FRACTION, 2)
-    return F.when(t.rlike(FRACTION), F.when(_decimal(den) != 0, _decimal(num))).otherwise(_decimal(F.replace(t, F.lit(" "), F.lit(""))))
+    return number_of(clean_text(c))
 
 
 def parse_student_id(c: Column | str) -> Column:
