@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rollbook.llm.html_extraction import Page, decode, extract, features, trained, training_pages
 from rollbook.llm.language_id import BASE, identify, packed_grams, train_models
-from rollbook.llm.lm_scoring import OFFSETS, Network, Trainer, Vocabulary, score, train, windows, words_of
+from rollbook.llm.lm_scoring import MASKED, OFFSETS, Network, Trainer, Vocabulary, masked, score, train, windows, words_of
 from rollbook.llm.quality import classify, fit, site_columns, site_posteriors
 
 LANGS = {"en": "the quick brown fox jumps over the lazy dog and runs away from the town ", "de": "der schnelle braune fuchs springt über den faulen hund und läuft weg ", "es": "el rápido zorro marrón salta sobre el perro perezoso y huye del pueblo "}
@@ -203,3 +203,23 @@ AROUND = {
 def test_html_leaves_out_what_stands_around(name):
     page = f"<!DOCTYPE html><html><head><title>T</title></head><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>{AROUND[name]}<footer>&copy; example.com</footer></body></html>"
     assert trained().extract([page]) == [f"Council meets\n\n{FIRST}\n\n{SECOND}"]
+
+
+def test_lm_masks_a_share_of_every_document_in_every_round():
+    keys, lens = np.arange(-200, 200) * 7919, np.arange(400) % 90
+    first = np.cumsum(lens) - lens
+    for k in range(3):
+        at = masked(keys, lens, k)
+        assert len(set(at.tolist())) == len(at) == (-(-lens // MASKED)).sum()
+        own = np.bincount(np.searchsorted(first + lens, at, side="right"), minlength=400)
+        assert (own == -(-lens // MASKED)).all()
+        places = np.bincount(at % MASKED, minlength=MASKED) / len(at)
+        assert abs(places - 1 / MASKED).max() < 0.03
+        assert set(at.tolist()) != set(masked(keys, lens, k + 1).tolist())
+
+
+def test_lm_every_round_trains(frame):
+    docs = frame([(i, prose(i, 120)) for i in range(40)])
+    for k in (0, 1):
+        own = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == k)
+        assert own.count() and (train(own)[1].flat() != Network().flat()).any()
