@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rollbook.llm.html_extraction import Page, decode, extract, features, trained, training_pages
 from rollbook.llm.language_id import BASE, identify, packed_grams, train_models
-from rollbook.llm.lm_scoring import MASKED, OFFSETS, Network, Trainer, Vocabulary, masked, score, train, windows, words_of
+from rollbook.llm.lm_scoring import MASKED, OFFSETS, Network, Trainer, Vocabulary, masked, score, train, windows, word_counts, words_of
 from rollbook.llm.quality import classify, fit, site_columns, site_posteriors
 
 LANGS = {"en": "the quick brown fox jumps over the lazy dog and runs away from the town ", "de": "der schnelle braune fuchs springt über den faulen hund und läuft weg ", "es": "el rápido zorro marrón salta sobre el perro perezoso y huye del pueblo "}
@@ -223,3 +223,20 @@ def test_lm_every_round_trains(frame):
     for k in (0, 1):
         own = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == k)
         assert own.count() and (train(own)[1].flat() != Network().flat()).any()
+
+
+def test_lm_scores_marks(frame):
+    texts = ['Well, "so-called" words (and_marks) ... l\'été\u3000x=1!', ". , .", "", "a\x1cb\xa0c"]
+    v = Vocabulary(["well", "so", ".", ",", "x"])
+    for _ in range(2):
+        ids, lens = v.ids(texts)
+        assert lens.tolist() == [len(words_of(t)) for t in texts] and lens[1] == 3
+        assert ids.tolist() == [v._id(w) for t in texts for w in words_of(t)]
+    docs = frame([(i, t) for i, t in enumerate([*texts, *(prose(i, 60) for i in range(20))])])
+    n: dict[str, int] = {}
+    for r in docs.collect():
+        for w in words_of(r.text):
+            n[w] = n.get(w, 0) + 1
+    assert {r.word: r.n for r in word_counts(docs, "text").collect()} == n
+    got = {r.doc_id: r for r in score(docs, *train(docs)).collect()}
+    assert got[1].n_words == 3 and got[1].log_likelihood < 0 and got[1].mean_log_prob < 0
