@@ -22,8 +22,11 @@ from rollbook.llm.common import batched, by_chars, read, texts_of
 from rollbook.session import table_of
 
 WINDOW = 8
-#: A window of fewer words that are no placeholders is no evidence; nor is a shorter item, unless it matches whole.
+#: A window of fewer words that are no placeholders is no evidence. An item without a better one must match whole, token
+#: by token; one of fewer tokens than this must be all of the document.
 MIN_LITERALS = 4
+#: Readings: sentence starts are literals; capitals at sentence starts are names; tokens as they are.
+PLAIN, NAMED, EXACT = range(3)
 FILTER_BITS = 24
 #: Texts are looked at together up to so many characters.
 GROUP_CHARS = 1_000_000
@@ -74,6 +77,10 @@ class Canonical:
 
         within: the texts are read as if they stood inside a sentence, so that a capital at their start makes a name.
         """
+        return self.template(*self.tokens(texts), within=within)[:3]
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(kind, code, text, starts) of every token that is no mark: starts says that a sentence starts with it."""
         toks: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -97,12 +104,19 @@ class Canonical:
         if len(at):
             first = np.concatenate([[True], text[1:] != text[:-1]])
             starts[1:] = kind[:-1] == MARK
-            starts = np.where(first, not within, starts)
-        kind = np.where((kind == NAME) & starts, LITERAL, kind)
+            starts |= first
         keep = kind != MARK
-        kind, code, text, starts = kind[keep], code[keep], text[keep], starts[keep]
+        return kind[keep], code[keep], text[keep], starts[keep]
+
+    def template(self, kind, code, text, starts, within: bool = False, named: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(code, value, text, new) of the template words of tokens; named: capitals at all sentence starts make names, new there."""
         if not len(kind):
-            return code, code, text
+            return code, code, text, starts
+        held = starts
+        if within:
+            held = starts & ~np.concatenate([[True], text[1:] != text[:-1]])
+        if not named:
+            kind = np.where((kind == NAME) & held, LITERAL, kind)
         after = np.zeros(len(kind), bool)
         after[1:] = (kind[:-1] == NUM) & (text[1:] == text[:-1])
         kind = np.where((kind == UNIT) & ~after, LITERAL, kind)
@@ -115,11 +129,11 @@ class Canonical:
             value = np.add.reduceat(code * (np.uint64(2) * step.astype(np.uint64) + np.uint64(1)), first)
         kind, text = kind[first], text[first]
         literal = kind == LITERAL
-        return np.where(literal, code[first], _CODE[kind]), np.where(literal, np.uint64(0), value | np.uint64(1)), text
+        return np.where(literal, code[first], _CODE[kind]), np.where(literal, np.uint64(0), value | np.uint64(1)), text, (kind == NAME) & held[first]
 
 
-def windows(code: np.ndarray, value: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of all windows of n words inside a text with enough literals."""
+def windows(code: np.ndarray, value: np.ndarray, text: np.ndarray, n: int, new: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of all windows of n words inside a text with enough literals, and with some word that is new if given."""
     m = len(code) - n + 1
     if m <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -131,25 +145,31 @@ def windows(code: np.ndarray, value: np.ndarray, text: np.ndarray, n: int) -> tu
         h ^= h >> np.uint64(32)
     lits = np.concatenate([[0], np.cumsum(value == 0)])
     ok = (text[:m] == text[n - 1 :]) & (lits[n:] - lits[:m] >= min(MIN_LITERALS, n))
+    if new is not None:
+        news = np.concatenate([[0], np.cumsum(new)])
+        ok &= news[n:] > news[:-n]
     at = np.flatnonzero(ok)
     return at, h[at]
 
 
-_WINDOW = "pos long, width int, hash long, vals array<long>"
+_WINDOW = "reading int, pos long, width int, hash long, vals array<long>"
 
 
-def _batch(ids: pa.Array, rows: list[np.ndarray], name: str, per_text: list[pa.Array] = (), names: list[str] = ()) -> pa.RecordBatch:
+def _batch(ids: pa.Array, reading: int, rows: list[np.ndarray], name: str, per_text: list[pa.Array] = (), names: list[str] = ()) -> pa.RecordBatch:
     text, pos, width, h, vals, off = rows
-    cols = [ids.take(pa.array(text)), pa.array(pos), pa.array(width.astype(np.int32)), pa.array(h.view(np.int64)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(vals.view(np.int64)))]
-    return pa.RecordBatch.from_arrays([*cols, *(c.take(pa.array(text)) for c in per_text)], names=[name, "pos", "width", "hash", "vals", *names])
+    cols = [ids.take(pa.array(text)), pa.array(np.full(len(text), reading, np.int32)), pa.array(pos), pa.array(width.astype(np.int32)), pa.array(h.view(np.int64)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(vals.view(np.int64)))]
+    return pa.RecordBatch.from_arrays([*cols, *(c.take(pa.array(text)) for c in per_text)], names=[name, "reading", "pos", "width", "hash", "vals", *names])
 
 
-def _rows(code, value, text, widths: list[int], take) -> list[np.ndarray]:
-    """The windows that take() lets pass, with their texts, positions in the text and slot values."""
+def _rows(code, value, text, widths: list[int], take, new: np.ndarray | None = None, exact: bool = False) -> list[np.ndarray]:
+    """The windows that take() lets pass, with their texts, positions in the text and slot values; exact: of tokens as they
+    are, which have no slots (value 0) and any number of which is enough."""
     first = np.searchsorted(text, np.arange(text[-1] + 2)) if len(text) else np.zeros(1, np.int64)
     out = []
     for n in widths:
-        at, h = windows(code, value, text, n)
+        at, h = windows(code, value, text, n, new)
+        if exact:
+            h = (h ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(_P)
         ok = take(h, n, at)
         at, h = at[ok], h[ok]
         vals = value[at[:, None] + np.arange(n)] if len(at) else np.zeros((0, n), np.uint64)
@@ -159,10 +179,10 @@ def _rows(code, value, text, widths: list[int], take) -> list[np.ndarray]:
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(item, pos, width, hash, vals, item_windows): items shorter than a window have one, of all their words. Each item
-    is read as a text of its own and as part of a sentence.
+    """(item, reading, pos, width, hash, vals, item_windows): items shorter than a window have one, of all their words. Each
+    item is read as a text of its own, as part of a sentence, and with names at sentence starts.
 
-    Items of fewer than MIN_LITERALS words, null and empty ones have none.
+    Items without a window of MIN_LITERALS literals have windows of all their tokens as they are; null and empty ones none.
     """
     batched(benchmark.sparkSession)
     rows = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("_text"))
@@ -170,15 +190,24 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         can = Canonical()
         for b in batches:
-            for within in (False, True):
-                code, value, text = can.words(texts_of(b, "_text"), within)
+            tokens = can.tokens(texts_of(b, "_text"))
+            found = np.zeros(b.num_rows, np.int64)
+            for reading, within in ((PLAIN, False), (PLAIN, True), (NAMED, False), (EXACT, False)):
+                if reading == EXACT:
+                    code, value, text, new = tokens[1], np.zeros(len(tokens[1]), np.uint64), tokens[2], None
+                else:
+                    code, value, text, new = can.template(*tokens, within=within, named=reading == NAMED)
                 size = np.bincount(text, minlength=b.num_rows)
-                widths = sorted({min(window, int(n)) for n in size if n >= MIN_LITERALS})
+                least = 1 if reading == EXACT else MIN_LITERALS
+                widths = sorted({min(window, int(n)) for n in size[found == 0] if n >= least} if reading == EXACT else {min(window, int(n)) for n in size if n >= least})
                 if not widths:
                     continue
-                got = _rows(code, value, text, widths, lambda h, n, at: (size[text[at]] == n) | ((n == window) & (size[text[at]] >= n)))  # noqa: B023
+                whole = found == 0 if reading == EXACT else np.ones(b.num_rows, bool)
+                take = lambda h, n, at: whole[text[at]] & ((size[text[at]] == n) | ((n == window) & (size[text[at]] >= n)))  # noqa: B023, E731
+                got = _rows(code, value, text, widths, take, new if reading == NAMED else None, reading == EXACT)
                 own = np.bincount(got[0].astype(np.int64), minlength=b.num_rows)
-                yield _batch(b.column(0), got, "item", [pa.array(own)], ["item_windows"])
+                found += own
+                yield _batch(b.column(0), reading, got, "item", [pa.array(own)], ["item_windows"])
 
     return rows.mapInArrow(run, f"item {dict(rows.dtypes)['item']}, {_WINDOW}, item_windows long")
 
@@ -199,13 +228,15 @@ def decontaminate(
     """One row per contaminated document and item: id_col, item_id, matched_windows, item_windows, reparameterised.
 
     A pair counts if some alignment of the two shares a window and its slots are consistent, or shares a window without
-    slots. reparameterised says that a slot holds another value than the item's. Null and empty texts match nothing;
+    slots; for an item without a window of MIN_LITERALS literals, if it stands in the document whole. reparameterised says that a slot holds another value than the item's. Null and empty texts match nothing;
     rows of one id are judged together; a repeated item counts once; other columns are ignored.
     """
     spark = docs.sparkSession
     batched(spark)
-    bench = table_of(benchmark_windows(benchmark, item_col, item_text_col, window).dropDuplicates(["item", "pos", "width", "hash"]), "benchmark-windows")
-    widths = sorted(r[0] for r in bench.select("width").distinct().collect())  # at most `window` values
+    bench = table_of(benchmark_windows(benchmark, item_col, item_text_col, window).dropDuplicates(["item", "reading", "pos", "width", "hash"]), "benchmark-windows")
+    widths: dict[int, list[int]] = {}
+    for r in sorted(bench.select("reading", "width").distinct().collect()):  # at most 3 x `window` values
+        widths.setdefault(r[0], []).append(r[1])
     bits = spark.sparkContext.broadcast(_filter(bench))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
@@ -218,16 +249,24 @@ def decontaminate(
 
         for b in batches if widths else ():
             for first, own in by_chars(texts_of(b, "_text"), GROUP_CHARS):
-                got = _rows(*can.words(own), widths, passes)
-                if len(got[0]):
-                    yield _batch(b.column(0).slice(first, len(own)), got, "_id")
+                tokens = can.tokens(own)
+                for reading, some in widths.items():
+                    if reading == EXACT:
+                        size = np.bincount(tokens[2], minlength=len(own))
+                        alone = lambda h, n, at: passes(h, n, at) & ((n >= MIN_LITERALS) | (size[tokens[2][at]] == n))  # noqa: B023, E731
+                        got = _rows(tokens[1], np.zeros(len(tokens[1]), np.uint64), tokens[2], some, alone, exact=True)
+                    else:
+                        code, value, text, new = can.template(*tokens, named=reading == NAMED)
+                        got = _rows(code, value, text, some, passes, new if reading == NAMED else None)
+                    if len(got[0]):
+                        yield _batch(b.column(0).slice(first, len(own)), reading, got, "_id")
 
     near = rows.mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, {_WINDOW}")
-    item = bench.select("item", F.col("pos").alias("item_pos"), "width", "hash", F.col("vals").alias("item_vals"), "item_windows")
+    item = bench.select("item", "reading", F.col("pos").alias("item_pos"), "width", "hash", F.col("vals").alias("item_vals"), "item_windows")
     if bench.count() <= broadcast_rows:
         item = F.broadcast(item)
-    hits = table_of(near.join(item, ["hash", "width"]).drop("hash"), "window-hits")
-    run_key = ["_id", "item", "shift"]
+    hits = table_of(near.join(item, ["hash", "width", "reading"]).drop("hash"), "window-hits")
+    run_key = ["_id", "item", "reading", "shift"]
     hits = hits.withColumn("shift", F.expr("pos - item_pos"))
     slots = hits.where("exists(vals, v -> v <> 0)").select(*run_key, F.explode(F.arrays_zip("vals", "item_vals")).alias("s"))
     slots = slots.where("s.item_vals <> 0").groupBy(*run_key, F.col("s.item_vals").alias("bench")).agg(F.min("s.vals").alias("lo"), F.max("s.vals").alias("hi"))
@@ -235,8 +274,10 @@ def decontaminate(
     runs = hits.groupBy(*run_key).agg(F.countDistinct("item_pos").alias("n"), F.max("item_windows").alias("item_windows"), F.count_if(F.expr("not exists(vals, v -> v <> 0)")).alias("plain"))
     on = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in run_key]
     runs = runs.alias("r").join(slots.alias("s"), on, "left").select("r.*", "s.consistent", "s.other").where("plain > 0 or coalesce(consistent, true)")
+    runs = runs.where(f"reading <> {EXACT} or n = item_windows")
+    other = F.expr("coalesce(other, false)")  # windows with names at sentence starts see only some slots: they speak if no others do
     return runs.groupBy(F.col("_id").alias(id_col), F.col("item").alias("item_id")).agg(
-        F.max("n").alias("matched_windows"), F.max("item_windows").alias("item_windows"), F.coalesce(F.bool_and(F.expr("coalesce(other, false)")), F.lit(False)).alias("reparameterised")
+        F.max("n").alias("matched_windows"), F.max("item_windows").alias("item_windows"), F.coalesce(F.bool_and(F.when(F.col("reading") != NAMED, other)), F.bool_and(other)).alias("reparameterised")
     )
 
 

@@ -41,6 +41,30 @@ def test_short_items_match_whole(spark, frame):
     assert got == {1}
 
 
+def test_items_of_few_literals_match_whole(spark, frame):
+    sums, row, name = "What is 345 + 678 + 12?", "3 14 15 92 65 35 89 79 32 38 46 26", "Who was Ada Lovelace?"
+    items = bench(spark, [(1, sums), (2, row), (3, name), (4, "3 14 15")])
+    rows = [(1, prose(1, 30) + ". " + sums + " " + prose(2, 30)), (2, "see " + row + " there"), (3, prose(3, 20) + " who was Ada Lovelace then"), (4, "3 14, 15")]
+    rows += [(5, sums.replace("345", "346")), (6, row[:-3]), (7, "Who was Ada?"), (8, "3 14 15 16"), (9, row[3:] + " " + row[:6])]
+    for limit in (0, 200_000):
+        got = {(r.doc_id, r.item_id): r for r in decontaminate(frame(rows), items, broadcast_rows=limit).collect()}
+        assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4)} and not any(r.reparameterised for r in got.values())
+        assert all(r.matched_windows == r.item_windows for r in got.values())
+
+
+def test_names_at_sentence_starts(spark, frame):
+    item = "Tom has 5 apples. Tom gives 2 away."
+    rows = [(1, prose(1, 20) + ". " + item.replace("Tom", "Sam").replace("5", "9")), (2, "Sam has 5 apples. Eve gives 2 away."), (3, item), (4, prose(4, 90))]
+    got = {r.doc_id: r.reparameterised for r in decontaminate(frame(rows), bench(spark, [(1, item)])).collect()}
+    assert got == {1: True, 3: False}
+
+
+def test_other_values_away_from_sentence_starts(spark, frame):
+    item = "we took the old road past 12 mills and over many hills with cold rain. Nobody there saw the light from our small camp that night"
+    got = {r.doc_id: r.reparameterised for r in decontaminate(frame([(1, item.replace("12", "15")), (2, item)]), bench(spark, [(1, item)])).collect()}
+    assert got == {1: True, 2: False}
+
+
 def test_against_brute_force(spark, frame):
     items = [(i, prose(200 + i, 30)) for i in range(10)]
     rows = [(i, prose(i, 100) + ". " + items[i % 10][1] + " " + prose(i + 50, 60) if i % 4 == 0 else prose(i, 200)) for i in range(60)]
