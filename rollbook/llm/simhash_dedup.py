@@ -1,12 +1,17 @@
 """SimHash near-dedup with Golay-code fuzzy hashing.
 
-A fingerprint's 64 bits are cut into segments of 22, 21 and 21 bits. Of at most three differing bits, some two segments
-hold at most one each (three segments share three errors: 3+0+0, 2+1+0 or 1+1+1). The perfect Golay code of length 23
-has one codeword within distance 3 of any word, and for words one bit apart the nearest codeword of the first lies
-within distance 4 of the second. So each fingerprint probes, for each of the three pairs of segments, with the indices
-of its two nearest codewords, and is filed under every pair of codewords within distance 4 (at most 6 x 6). Fingerprints
-within three bits of each other therefore always meet, in a bucket of a 24-bit key; the join verifies the distance.
-Equal fingerprints are one class beforehand, so that copies are never expanded into pairs.
+A fingerprint's 64 bits are cut into five segments. Of at most three differing bits two segments hold none, and for some
+such two a chosen third holds at most one: PLAN names the third of each two, and a test goes through all ways in which
+three errors can fall. The perfect Golay code of length 23 has one codeword within distance 3 of any word, and for words
+one bit apart the nearest codeword of the first lies within distance 4 of the second. So a fingerprint probes, for each
+of the ten choices, with two segments as they are and the index of the third's nearest codeword, and is filed under the
+indices of all codewords within distance 4 of the third (at most 6). Fingerprints within three bits of each other
+therefore always meet, in a bucket of a key of 38 bits; the join verifies the distance. Equal fingerprints are one class
+beforehand, so that copies are never expanded into pairs.
+
+Near copies by words (`near_duplicates`) differ in more bits than three of a fingerprint of word sequences. There the
+same keys are made of three fingerprints of the set of words, which an edit changes less, and what meets is verified on
+the full sets of five-word shingles.
 """
 
 from __future__ import annotations
@@ -22,14 +27,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import LOWER, batched, read, texts_of
+from rollbook.llm.common import LOWER, batched, free_name, read, texts_of
 from rollbook.operators.components import connected_components
 from rollbook.session import table_of
 
 MAX_DISTANCE = 3
-#: Low bit and width of the three segments, widest first.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+#: Low bit and width of the segments.
+SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Two segments that a key holds as they are, and the one that it holds by codeword.
+PLAN = tuple((a, b, min({0, 1, 2, 3, 4} - {a, b}, key=lambda j: (j - a - b) % 5)) for a, b in itertools.combinations(range(5), 2))
+#: Fingerprints that more than 1/HOT of the rows have are broadcast to their rows: there are fewer than HOT.
+HOT = 512
+#: Near copies: words of a shingle, least share of common shingles, and the mean of differing bits beyond which no pair is
+#: looked at (unrelated texts differ in 32).
+WORDS_OF_SHINGLE, SIMILARITY, LOOSE = 5, 0.8, 12
 #: Generator polynomial of the (23, 12) binary Golay code.
 GENERATOR = 0b101011100011
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -119,42 +130,43 @@ def segment_keys(words: np.ndarray) -> np.ndarray:
     return np.where(e < 0, -1, (words[:, None] ^ e) >> 11)
 
 
-def pair_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, probe) of every key of every fingerprint: probes by nearest codewords, files under all near ones."""
+def plan_keys(fp: np.ndarray, probes: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the keys that fingerprints probe with, or are filed under."""
     fp = fp.view(np.uint64)
-    keys = [segment_keys(((fp >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)) for low, width in SEGMENTS]
-    rows, out, probe = [], [], []
-    for p, (i, j) in enumerate(PAIRS):
-        grid = (np.int64(p) << 24) | (keys[i][:, :, None] << 12) | keys[j][:, None, :]
-        ok = (keys[i][:, :, None] >= 0) & (keys[j][:, None, :] >= 0)
-        r = np.nonzero(ok)[0]
-        rows += [r, np.arange(len(fp))]
-        out += [grid[ok], grid[:, 0, 0]]
-        probe += [np.zeros(len(r), bool), np.ones(len(fp), bool)]
-    return np.concatenate(rows), np.concatenate(out), np.concatenate(probe)
-
-
-def _keyed(classes: DataFrame, probes: bool) -> DataFrame:
+    parts = [((fp >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64) for low, width in SEGMENTS]
+    coded = [segment_keys(x)[:, :1] if probes else segment_keys(x) for x in parts]
+    rows, keys = [], []
+    for p, (a, b, j) in enumerate(PLAN):
+        own = ((((p << 13) | parts[a]) << 13 | parts[b]) << 12)[:, None] | coded[j]
+        ok = coded[j] >= 0
+        rows.append(np.nonzero(ok)[0])
+        keys.append(own[ok])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _keyed(nodes: DataFrame, probes: bool) -> DataFrame:
+    """nodes (node and its fingerprints, any number, in _fps) as (key, node): equal keys of different fingerprints differ."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(fp), 4096):
-                part = fp[at : at + 4096]
-                rows, keys, probe = pair_keys(part)
-                take = probe == probes
-                yield pa.RecordBatch.from_arrays([pa.array(keys[take].astype(np.int32)), pa.array(part[rows[take]])], names=["key", "fp"])
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                fps = np.array(part.column(1).to_pylist(), np.int64).reshape(part.num_rows, -1)
+                for m in range(fps.shape[1]):
+                    rows, keys = plan_keys(np.ascontiguousarray(fps[:, m]), probes)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys | m << 56), part.column(0).take(pa.array(rows))], names=["key", "node"])
 
-    return classes.select("_fp").mapInArrow(run, "key int, fp long")
+    return nodes.select("node", "_fps").mapInArrow(run, "key long, node long")
 
 
 def linked_fingerprints(classes: DataFrame) -> DataFrame:
     """(a, b) with a < b: all pairs of different fingerprints (column _fp, distinct) within MAX_DISTANCE bits."""
-    near, filed = _keyed(classes, True), _keyed(classes, False)
-    near = near.select("key", F.col("fp").alias("x"))
-    apart = F.bit_count(F.col("x").bitwiseXOR(F.col("fp")))
+    nodes = classes.select(F.col("_fp").alias("node"), F.array("_fp").alias("_fps"))
+    near, filed = _keyed(nodes, True).select("key", F.col("node").alias("x")), _keyed(nodes, False)
+    apart = F.bit_count(F.col("x").bitwiseXOR(F.col("node")))
     # a fingerprint is filed many times over, which estimates of size do not know: never broadcast
-    pairs = near.join(filed.hint("merge"), (near.key == filed.key) & (F.col("x") != F.col("fp")) & (apart <= MAX_DISTANCE))
-    return pairs.select(F.least("x", "fp").alias("a"), F.greatest("x", "fp").alias("b")).distinct()
+    pairs = near.join(filed.hint("merge"), (near.key == filed.key) & (F.col("x") != F.col("node")) & (apart <= MAX_DISTANCE))
+    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
 # ---------------------------------------------------------------- the operator
@@ -165,9 +177,9 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Fingerprints link at MAX_DISTANCE or fewer differing bits; component_id is the smallest id reachable over links,
     the row's own included. class_size counts the rows of the same fingerprint, links the other fingerprints linked to
-    it. Null and empty texts and texts of white space have fingerprint zero, which links like any other; repeated rows
-    share a class; null ids are reachable but never a component_id unless there is no other. Other columns of docs are
-    ignored. An empty table gives an empty one.
+    it. Null and empty texts and texts of white space have fingerprint zero, which links like any other; a very long text
+    is read whole; repeated rows and ties share a class; null ids are reachable but never a component_id unless there is
+    no other. Other columns of docs are ignored, whatever their names. An empty table gives an empty one.
     """
     fps = table_of(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     classes = table_of(fps.groupBy("_fp").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("class_size")), "classes")
@@ -179,19 +191,141 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = of.groupBy("component").agg(F.min("_first").alias("_least"))
     of = of.join(first, "component").select("_fp", "_least", "links")
     known = classes.join(of, "_fp", "left").select("_fp", F.coalesce("_least", "_first").alias("component_id"), "class_size", F.coalesce("links", F.lit(0)).alias("links"))
-    return fps.join(known, "_fp").select(
+    known = table_of(known, "known")
+    # a fingerprint with a large share of the rows is settled where its rows lie: fewer than HOT can have over 1/HOT of them
+    hot = F.broadcast(known.where(F.col("class_size") * HOT > fps.count()).limit(HOT))
+    settled = fps.join(hot, "_fp")
+    rest = fps.join(hot.select("_fp"), "_fp", "left_anti").join(known.hint("merge"), "_fp")
+    return settled.unionByName(rest).select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size", "links"
     )
 
 
+# ---------------------------------------------------------------- near copies by words
+
+
+def shingle_set(text: str) -> np.ndarray:
+    return np.unique(shingle_hashes(text, WORDS_OF_SHINGLE, 42))
+
+
+def word_fingerprints(texts: list[str]) -> np.ndarray:
+    """(texts, 3): three SimHashes of the set of words of each text; of the set of shingles where four are the most."""
+    d = xxhash.xxh3_128_digest
+    raw, lens, few = [], np.zeros(len(texts), np.int64), {}
+    for i, t in enumerate(texts):
+        words = WORDS.findall(t.translate(LOWER) if not t.islower() else t)
+        if len(words) < 2 * WORDS_OF_SHINGLE - 1:  # sets of up to four shingles are equal or below the bound
+            few[i] = _three(np.frombuffer(d(shingle_set(t).tobytes()), np.uint64)[None])[0]
+        else:
+            own = set(words)
+            lens[i] = len(own)
+            raw += own
+    hashes = _three(np.frombuffer(b"".join(map(d, (w.encode() for w in raw))), np.uint64).reshape(-1, 2))
+    out = np.stack([majority_bits(np.ascontiguousarray(hashes[:, m]), lens) for m in range(3)], 1)
+    for i, x in few.items():
+        out[i] = x
+    return out
+
+
+def _three(halves: np.ndarray) -> np.ndarray:
+    """The two halves of 128-bit hashes, and a third number mixed from both."""
+    with np.errstate(over="ignore"):
+        x = (halves[:, 0] ^ (halves[:, 1] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + halves[:, 1]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.column_stack([halves, x ^ (x >> np.uint64(29))])
+
+
+def _word_nodes(docs: DataFrame, text_col: str) -> DataFrame:
+    """(node, _fps) of the different texts; a node is the 64-bit hash of its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = word_fingerprints(texts_of(b, "_text"))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, fps.size + 1, fps.shape[1], dtype=np.int32)), pa.array(fps.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["node", "_fps"])
+
+    rows = docs.select(_node_of(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return rows.mapInArrow(run, "node long, _fps array<long>").dropDuplicates(["node"])
+
+
+def _node_of(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose texts share SIMILARITY of their shingles; only the texts of pairs are read again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t) for t in texts_of(b, "_text")]
+            flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["node", "shingles"])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("_asked")).distinct()
+    rows = docs.select(_node_of(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = rows.join(asked.hint("merge"), F.col("node") == F.col("_asked"), "left_semi").dropDuplicates(["node"])
+    sets = table_of(rows.mapInArrow(run, "node long, shingles array<long>"), "shingles")
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")).hint("merge") for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    return both.where(F.expr(f"common >= {SIMILARITY} * (size(sa) + size(sb) - common)")).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(node, component): the texts, by 64-bit hash, that have near copies, and the least node of their component.
+
+    Near copies share SIMILARITY or more of their different five-word shingles (lower-cased A-Z; the whole sequence of
+    fewer words; two texts without words are near copies). Candidates are texts that meet under a Golay key of one of three
+    fingerprints of their words. First each text is compared with one other, the least of those it meets as the least
+    of their buckets, so that large groups come together by as many comparisons as they have members. Then of each bucket
+    one text of each component is compared with those of all others in it. Null counts as empty; very long texts are
+    read whole; equal texts are one node; ties go to the least node; an empty table gives an empty one.
+    """
+    batched(docs.sparkSession)
+    nodes = table_of(_word_nodes(docs, text_col), "word-nodes")
+    prints = nodes.select(F.col("node").alias("x"), F.col("_fps").alias("fx"))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """Different pairs (a < b) whose fingerprints are not too far apart."""
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
+        both = pairs.join(prints.select(F.col("x").alias("a"), F.col("fx").alias("fa")).hint("merge"), "a").join(prints.select(F.col("x").alias("b"), F.col("fx").alias("fb")).hint("merge"), "b")
+        return both.where(F.expr(f"aggregate(zip_with(fa, fb, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v) <= {LOOSE} * size(fa)")).select("a", "b")
+
+    least = _keyed(nodes, False).groupBy("key").agg(F.min("node").alias("y"))
+    met = _keyed(nodes, True).select("key", F.col("node").alias("x")).join(least.hint("merge"), "key")
+    one = close(met).groupBy(F.col("b").alias("x")).agg(F.min("a").alias("y"))
+    first = table_of(_verified(table_of(one.select(F.col("y").alias("a"), F.col("x").alias("b")), "first-pairs"), docs, text_col), "first-links")
+    of = connected_components(first)
+    of = nodes.join(of.withColumnRenamed("component", "_component"), "node", "left").select("node", "_fps", F.coalesce("_component", "node").alias("component"))
+    of = table_of(of, "first-components")
+    comp = of.select("node", "component")
+
+    def by_component(keyed: DataFrame) -> DataFrame:
+        return keyed.join(comp.hint("merge"), "node").groupBy("key", "component").agg(F.min("node").alias("node"))
+
+    x, y = by_component(_keyed(of, True)), by_component(_keyed(of, False))
+    x, y = x.select("key", F.col("component").alias("cx"), F.col("node").alias("x")), y.select("key", F.col("component").alias("cy"), F.col("node").alias("y"))
+    others = table_of(close(x.join(y.hint("merge"), "key").where("cx <> cy")), "other-pairs")
+    return connected_components(first.unionByName(_verified(others, docs, text_col)))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(read(spark, sf_dir, "documents"))
 
 
-def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle: int = 3) -> DataFrame:
-    """The document of least id of each component of op9's links, with its own columns."""
-    roots = simhash_dedup(docs, shingle=shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias("_root")).distinct()
-    return docs.join(roots.hint("merge"), docs.doc_id.eqNullSafe(roots["_root"]), "left_semi")
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies (`near_duplicates`), with its own columns: that of the least id, of equal ids the
+    one of the least text hash; repeated rows are one. A null id is larger than any other."""
+    of = near_duplicates(docs)
+    node = _node_of("text")
+    members = docs.select(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), node.alias("h")).alias("_at"), node.alias("node"))
+    # texts without near copies are their own group; the sum is partial before the shuffle
+    grouped = members.join(of.hint("merge"), "node", "left").groupBy(F.coalesce("component", "node").alias("_group")).agg(F.min("_at").alias("_at"))
+    stay = grouped.select(F.col("_at.i").alias("_kid"), F.col("_at.h").alias("_kh"))
+    name = free_name("_h", docs.columns)
+    rows = docs.withColumn(name, node)
+    rows = rows.join(stay.hint("merge"), rows["doc_id"].eqNullSafe(stay["_kid"]) & (rows[name] == stay["_kh"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", name]).select(*docs.columns)
 
 
 QUERIES = {"op9_simhash_dedup": op9_simhash_dedup}

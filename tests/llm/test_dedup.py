@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import random
 
 import numpy as np
 import xxhash
-from conftest import prose
+from conftest import SCHEMA, prose
 
 from rollbook.llm.exact_dedup import MisraGries, exact_dedup, exact_dedup_stage
-from rollbook.llm.simhash_dedup import golay_tables, linked_fingerprints, shingle_hashes, simhash_dedup, simhash_stage
+from rollbook.llm.simhash_dedup import PLAN, golay_tables, linked_fingerprints, near_duplicates, shingle_hashes, shingle_set, simhash_dedup, simhash_stage
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 EDGE = [(1, None), (2, ""), (3, "A b"), (4, "a B"), (5, "É"), (6, "é"), (7, "a b "), (7, "a b "), (8, "w " * 30_000), (9, "W " * 30_000), (10, " \t\n")]
@@ -37,6 +39,9 @@ def test_exact_stage_keeps_one_row_and_columns(spark, frame):
     out = exact_dedup_stage(spark, d, "")
     assert out.columns == d.columns
     assert sorted(r.doc_id for r in out.collect()) == [2, 4, 5, 6, 7, 9, 10]
+    clash = spark.createDataFrame([(1, "a", "mine"), (2, "A", "yours")], "doc_id long, text string, _sha string")
+    assert [tuple(r) for r in exact_dedup_stage(spark, clash, "").collect()] == [(2, "A", "yours")]
+    assert exact_dedup_stage(spark, frame([]), "").count() == 0
 
 
 def test_misra_gries_keeps_frequent_keys():
@@ -100,8 +105,86 @@ def test_golay_code_is_perfect():
     assert len(shingle_hashes("", 3, 42)) == 0
 
 
+def test_three_errors_always_leave_a_key():
+    for errors in itertools.product(range(4), repeat=5):
+        assert sum(errors) > 3 or any(errors[a] == errors[b] == 0 and errors[j] <= 1 for a, b, j in PLAN)
+
+
+def test_simhash_hot_fingerprint(frame):
+    rows = [(i, "one text that many rows have") for i in range(50)] + [(100 + i, prose(i, 40)) for i in range(900)]
+    got = {r.doc_id: r for r in simhash_dedup(frame(rows)).collect()}
+    assert len(got) == len(rows) and all(got[i].component_id == 0 and got[i].class_size == 50 for i in range(50))
+
+
+def invented(r, n):
+    return ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 7))) for _ in range(n)]
+
+
+def edited(r, words, every):
+    """words with about one in `every` replaced."""
+    return [r.choice(words) + "x" if r.random() < 1 / every else w for w in words]
+
+
+def alike(a, b):
+    x, y = set(shingle_set(a or "").tolist()), set(shingle_set(b or "").tolist())
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def near_brute(rows):
+    """Groups of rows (id, text) that links of 0.8 or more join; each as the list of its places."""
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if alike(rows[i][1], rows[j][1]):
+            root[find(i)] = find(j)
+    groups: dict[int, list[int]] = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(i)
+    return list(groups.values())
+
+
+def test_near_copies_are_found_and_others_left(spark):
+    r = random.Random(4)
+    rows, planted = [], []
+    for k in range(120):
+        words = invented(r, r.randint(60, 400))
+        rows.append((10 * k, " ".join(words)))
+        rows.append((10 * k + 1, " ".join(edited(r, words, 60)).upper()))
+        if alike(rows[-1][1].lower(), rows[-2][1]):
+            planted.append((len(rows) - 2, len(rows) - 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.node: x.component for x in near_duplicates(docs).collect()}
+    node = {x.doc_id: x.h for x in docs.selectExpr("doc_id", "xxhash64(text) as h").collect()}
+    hit = [found.get(node[rows[a][0]], 0) == found.get(node[rows[b][0]], 1) for a, b in planted]
+    assert len(planted) > 60 and np.mean(hit) >= 0.93
+    joined = {tuple(sorted((a, b))) for a, b in itertools.combinations(range(len(rows)), 2) if found.get(node[rows[a][0]], 0) == found.get(node[rows[b][0]], 1)}
+    assert joined <= set(planted)
+
+
+def test_a_large_group_of_near_copies_is_one(spark):
+    r = random.Random(5)
+    words = invented(r, 150)
+    rows = [(i, " ".join([*words[: i % 150], f"n{i}", *words[i % 150 + 1 :]])) for i in range(400)] + [(1000 + i, " ".join(invented(r, 90))) for i in range(50)]
+    out = simhash_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    got = sorted(x.doc_id for x in out.collect())
+    assert got[0] == 0 and got[1:] == [1000 + i for i in range(50)]
+
+
 def test_simhash_empty_and_stage(spark, frame):
     assert simhash_dedup(frame([])).count() == 0
-    d = frame([(5, "same text here now"), (3, "same text here now"), (9, prose(1, 50)), (7, None), (8, "")])
+    few = "only six words are in here"
+    long = " ".join(invented(random.Random(1), 20_000))
+    rows = [(5, "same text here now"), (3, "same text here now"), (9, prose(1, 50)), (7, None), (8, ""), (6, " \t"), (11, few), (12, few.upper()), (13, few + " too"), (14, long), (15, long + " end"), (None, prose(7, 50)), (9, prose(9, 50)), (9, prose(1, 50) + " x")]
+    d = frame(rows)
     out = simhash_stage(spark, d, "")
-    assert out.columns == d.columns and sorted(r.doc_id for r in out.collect()) == [3, 7, 9]
+    groups = near_brute(rows)
+    assert out.columns == d.columns and out.count() == len(groups)
+    assert sorted((r.doc_id for r in out.collect()), key=str) == sorted((min((rows[i][0] for i in g), key=lambda x: (x is None, x)) for g in groups), key=str)
+    clash = spark.createDataFrame([(1, "a b", "mine", "k"), (2, "A b", "yours", "l")], "doc_id long, text string, _h string, node string")
+    assert [tuple(r) for r in simhash_stage(spark, clash, "").collect()] == [(1, "a b", "mine", "k")]
+    assert simhash_stage(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
