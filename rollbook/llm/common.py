@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: a batch of the longest texts still fits in a Python worker.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch: a batch of the longest texts still fits in a Python worker.
+BATCH_ROWS, BATCH_BYTES = 512, 64 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,10 +19,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def batched(spark: SparkSession) -> None:
-    """Keeps Arrow batches small in this session (a larger setting is lowered, a smaller one stays)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keeps Arrow batches small in this session, for good: plans are run after the operators return. A larger setting is
+    lowered, a smaller one stays."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        held = spark.conf.get(key).lower().removesuffix("b")
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, str(most))
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """name, or the first of name1, name2, ... that no column has."""
+    held = {c.lower() for c in columns}
+    return next(x for x in [name, *(f"{name}{i}" for i in range(1, len(held) + 2))] if x.lower() not in held)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

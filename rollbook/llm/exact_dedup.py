@@ -1,7 +1,7 @@
 """Exact dedup with a heavy-hitter split.
 
-Misra-Gries summaries, one per partition, name the digests that may be frequent; an exact partial count verifies them.
-The verified winners (at most `counters` rows, whatever the input) are broadcast, so that rows of the largest groups
+Misra-Gries summaries, one per partition, name the digests that may be frequent; an exact partial count verifies which of
+them hold over 1/counters of the rows. These winners (fewer than `counters`, whatever the input) are broadcast, so that rows of the largest groups
 are settled where they lie and never meet in one task. All other digests take an ordinary shuffle, in which no group
 can hold more than about 1/counters of the rows.
 """
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import ascii_lower, read
+from rollbook.llm.common import ascii_lower, free_name, read
 from rollbook.session import table_of
 
 #: Counters of a Misra-Gries summary, and the bound on the rows broadcast.
@@ -61,8 +61,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with the largest id stays; of
-    repeated rows with that id exactly one stays, and a null id is less than any other. Other columns of docs are
-    ignored, whatever their names. An empty table gives an empty one.
+    repeated rows with that id exactly one stays, and a null id is less than any other. A very long text is digested whole.
+    Other columns of docs are ignored, whatever their names. An empty table gives an empty one.
     """
     sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
     digests = docs.select(F.col(id_col).alias("_id"), F.unhex(sha).alias("_sha"), F.monotonically_increasing_id().alias("_row"))
@@ -72,8 +72,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.max(F.struct(F.col("_id"), F.col("_row"))).alias("_best")
     size = F.count(F.lit(1)).alias("group_size")
     # limit() bounds the candidates at `counters` rows, and so the winners: both broadcasts have a proven size
-    heavy = table_of(digests.join(F.broadcast(candidates), "_sha", "left_semi").groupBy("_sha").agg(best, size), "heavy")
-    heavy = heavy.withColumn("_heavy", F.lit(True))
+    counted = digests.join(F.broadcast(candidates), "_sha", "left_semi").groupBy("_sha").agg(best, size)
+    heavy = table_of(counted.where(F.col("group_size") * counters > digests.count()), "heavy").withColumn("_heavy", F.lit(True))
 
     marked = digests.join(F.broadcast(heavy), "_sha", "left")
     settled = marked.where(F.col("_heavy")).select("_id", "_sha", "_row", "_best", "group_size")
@@ -97,10 +97,10 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each group of equal texts, with its own columns; of repeated rows one stays."""
     stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kid"), F.col("text_sha256").alias("_ksha"))
     # the digest is computed again where the row lies; ids grow with the documents and are not broadcast; (id, digest) meets its kept row, and its repetitions
-    rows = docs.withColumn("_sha", F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256))
-    rows = rows.join(stay.hint("merge"), rows.doc_id.eqNullSafe(stay["_kid"]) & (rows["_sha"] == stay["_ksha"]), "left_semi")
-    first = Window.partitionBy("doc_id", "_sha").orderBy(F.lit(0))
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    sha = free_name("_sha", docs.columns)
+    rows = docs.withColumn(sha, F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256))
+    rows = rows.join(stay.hint("merge"), rows["doc_id"].eqNullSafe(stay["_kid"]) & (rows[sha] == stay["_ksha"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", sha]).select(*docs.columns)
 
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
