@@ -1,9 +1,10 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
 Spark counts the packed 4-grams of each language, and derives continuation counts, discounts and back-off weights by
-grouped aggregation. The models of all languages lie in one pair of sorted hash arrays, whose keys have SLOT_BITS bits:
-the broadcast is bounded by 2^SLOT_BITS entries whatever the corpus. A text goes to the language of least mean
-cross-entropy per character.
+grouped aggregation. The models of all languages lie in one pair of arrays sorted by 64-bit hash, so that what is looked
+up is verified. The broadcast is bounded by 2 x ENTRIES entries whatever the corpus: beyond that the grams of lowest
+counts are left out, and their share goes to the shorter grams, as in any Kneser-Ney model with cut-offs. A text goes to
+the language of least mean cross-entropy per character.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from rollbook.llm.common import batched, read, texts_of
 from rollbook.session import table_of
 
 ORDER = 4
-SLOT_BITS = 24
-#: Documents whose cross-entropies calibrate score and rejection; a bound, drawn by hash of their id.
+#: Grams kept for all languages: a half of them 4-grams, a quarter 3-grams, and so on; as many contexts at most.
+ENTRIES = 1 << 23
+#: Documents whose cross-entropies calibrate score and rejection; a bound, drawn by hash, and a tenth of the rows at most.
+#: The models do not learn from them.
 CALIBRATION_ROWS = 2000
 #: Probability of a character that no model has seen, by the uniform distribution below the unigrams.
 BASE = 1.0 / 4096
@@ -103,7 +106,17 @@ def _masked(c: Column, chars: int) -> Column:
     return c.bitwiseAND(F.lit((1 << 16 * chars) - 1)) if chars < 4 else c
 
 
-def _entries(counts: DataFrame) -> DataFrame:
+def _cutoff(c: DataFrame, most: int) -> int:
+    """The least power of two so that at most `most` grams occur as often; 1 where all are kept."""
+    at = F.floor(F.log2("n")).cast("int")
+    for power, n in sorted(((r[0], r[1]) for r in c.groupBy(at.alias("p")).agg(F.count(F.lit(1))).collect()), reverse=True):  # up to 64 rows
+        most -= n
+        if most < 0:
+            return 1 << power + 1
+    return 1
+
+
+def _entries(counts: DataFrame, entries: int = ENTRIES) -> DataFrame:
     """(lang, kind, key, value): kind 2k is the discounted share of a k-gram, 2k + 1 the back-off weight of its context."""
     out = None
     c = counts
@@ -112,13 +125,14 @@ def _entries(counts: DataFrame) -> DataFrame:
             c = c.groupBy("lang", _masked(F.col("g"), k).alias("g")).agg(F.count(F.lit(1)).alias("n"))
         d = c.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
         d = d.select("lang", F.greatest(F.lit(0.1), F.coalesce(F.try_divide("n1", F.expr("n1 + 2 * n2")), F.lit(0.5))).alias("d"))
-        ctx = F.shiftrightunsigned("g", 16)
-        of = c.groupBy("lang", ctx.alias("ctx")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
-        d = F.broadcast(d)  # a row for each language
+        # a row for each language
+        own = c.join(F.broadcast(d), "lang").withColumns({"ctx": F.shiftrightunsigned("g", 16), "stays": F.col("n") >= _cutoff(c, entries >> ORDER + 1 - k)})
+        mass = F.when(F.col("stays"), F.col("d")).otherwise(F.col("n"))
+        of = own.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum(mass).alias("mass"), F.bool_or("stays").alias("some"))
         # contexts hold the rows of few k-grams each, so the join back is even
-        shares = c.withColumn("ctx", ctx).join(of, ["lang", "ctx"]).join(d, "lang")
+        shares = own.where("stays").join(of, ["lang", "ctx"])
         shares = shares.select("lang", F.lit(2 * k).alias("kind"), F.col("g").alias("key"), F.expr("greatest(n - d, 0) / total").alias("value"))
-        weights = of.join(d, "lang").select("lang", F.lit(2 * k + 1).alias("kind"), F.col("ctx").alias("key"), F.expr("d * types / total").alias("value"))
+        weights = of.where("some").select("lang", F.lit(2 * k + 1).alias("kind"), F.col("ctx").alias("key"), F.expr("mass / total").alias("value"))
         both = shares.unionByName(weights)
         out = both if out is None else out.unionByName(both)
     return out
@@ -128,8 +142,7 @@ def slots(key: np.ndarray, kind: int | np.ndarray, lang: int | np.ndarray) -> np
     with np.errstate(over="ignore"):
         x = key.astype(np.uint64) ^ (np.asarray(kind, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.asarray(lang, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return (x >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+        return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
 
 
 class Models:
@@ -167,14 +180,14 @@ class Models:
             self.seen = np.full(1 << _CACHE_BITS, 1, np.uint64)  # 1 is no gram: its first characters are 0
             self.kept = np.zeros((1 << _CACHE_BITS, len(self.langs)), np.float32)
         g, lens = packed_grams(texts)
-        at = (slots(g, 0, 0) >> np.uint32(SLOT_BITS - _CACHE_BITS)).astype(np.int64)
+        at = (slots(g, 0, 0) >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
         rows = self.kept[at]
         miss = np.flatnonzero(self.seen[at] != g)
         if len(miss):
             new, inverse = np.unique(g[miss], return_inverse=True)
             own = self.surprise(new)
             rows[miss] = own[inverse]
-            to = (slots(new, 0, 0) >> np.uint32(SLOT_BITS - _CACHE_BITS)).astype(np.int64)
+            to = (slots(new, 0, 0) >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
             self.seen[to], self.kept[to] = new, own
             clash = self.seen[to] != new  # of several grams of a slot one stays, with its own row
             last = to[~clash]
@@ -186,8 +199,8 @@ class Models:
         return out, lens
 
 
-def train_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Models:
-    """The models of all non-null values of lang_col, from the whole texts of docs."""
+def train_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", entries: int = ENTRIES) -> Models:
+    """The models of all non-null values of lang_col (1000 at most, else it raises), from the whole texts of docs."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
     batched(docs.sparkSession)
     counts = table_of(_counts(rows), "grams")
@@ -200,11 +213,10 @@ def train_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         for b in batches:
             lang = np.array([index[x] for x in b.column(0).to_pylist()], np.uint64)
             s = slots(b.column(2).to_numpy().view(np.uint64), b.column(1).to_numpy().astype(np.uint64), lang)
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64)), b.column(3).cast(pa.float32())], names=["slot", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), b.column(3).cast(pa.float32())], names=["slot", "value"])
 
-    model = _entries(counts).mapInArrow(hashed, "slot long, value float").groupBy("slot").agg(F.max("value").alias("value"))
-    found = model.toArrow()  # at most 2^SLOT_BITS rows
-    keys, values = found.column("slot").to_numpy().astype(np.uint32), found.column("value").to_numpy().astype(np.float32)
+    found = _entries(counts, entries).mapInArrow(hashed, "slot long, value float").toArrow()  # at most 2 x entries rows
+    keys, values = found.column("slot").to_numpy().view(np.uint64), found.column("value").to_numpy().astype(np.float32)
     order = np.argsort(keys)
     return Models(langs, keys[order], values[order])
 
@@ -236,20 +248,26 @@ def _scored(docs: DataFrame, models: Models, temperature: float, centre: list[fl
 def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
     """One row per input row: id_col, held_out, lang_pred, score (0 to 1), cross_entropy, rejected.
 
-    Learns from rows that are not held_out and have a language. lang_pred is a learned value, `und` for null texts and
-    texts without a letter (score 0, rejected); with nothing to learn from it is `und` for all. rejected marks texts
-    that no model explains as well as calibration rows. Repeated rows count each; other columns are ignored.
+    Learns from rows that are not held_out and have a language. lang_pred is a learned value, the first in order of equal
+    ones, `und` for null texts and texts without a letter (score 0, rejected); with nothing to learn from it is `und` for
+    all. rejected marks texts that no model explains as well as calibration rows. Very long texts are read whole. A null
+    held_out counts as held out. Repeated rows count each; null ids are ids like any other; other columns are ignored,
+    whatever their names; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     batched(spark)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), held_out.alias("_held"), F.col(text_col).alias("_text"))
-    models = train_models(rows.where("not _held"), "_text", "_lang")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.coalesce(held_out, F.lit(True)).alias("_held"), F.col(text_col).alias("_text"))
+    known = rows.where("not _held and _lang is not null and _text is not null").withColumn("_key", F.xxhash64("_id", "_text"))
+    # languages of few rows are learned from all of them
+    counts = [(r[0], r[1]) for r in known.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).where("n >= 20").orderBy(F.desc("n"), "_lang").limit(1000).collect()]
+    some = known.where(F.col("_lang").isin([c[0] for c in counts]))
+    keys = table_of(some.select("_key").distinct().orderBy(F.xxhash64("_key"), "_key").limit(min(calibration_rows, sum(c[1] for c in counts) // 10)), "calibration")
+    models = train_models(known.join(F.broadcast(keys), "_key", "left_anti"), "_text", "_lang")  # calibration_rows keys at most
     if not models.langs:
         return rows.select(F.col("_id").alias(id_col), F.col("_held").alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
 
-    ids = rows.where("not _held and _lang is not null and _text is not null").select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(calibration_rows)
-    sample = rows.where("not _held").join(F.broadcast(ids), "_id", "left_semi")
-    seen = [r for r in _scored(sample, models, 1.0, [0.0] * len(models.langs), 0.0).where("chars > 0 and _lang is not null").select("_lang", "chars", "all_ce").limit(4 * calibration_rows).collect()]
+    sample = known.join(F.broadcast(keys), "_key", "left_semi").dropDuplicates(["_key"]).select("_id", "_lang", "_held", "_text")
+    seen = [r for r in _scored(sample, models, 1.0, [0.0] * len(models.langs), 0.0).where("chars > 0").select("_lang", "chars", "all_ce").collect() if r[0] in models.langs]
     temperature, centre, limit = calibrated(models.langs, seen)
     out = _scored(rows, models, temperature, centre, limit)
     return out.select(F.col("_id").alias(id_col), F.col("_held").alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
