@@ -26,6 +26,8 @@ THRESHOLD = 0.5
 #: Rates of sites are broadcast up to so many rows, and joined by a shuffle beyond.
 BROADCAST_ROWS = 100_000
 PAIRS = 512
+#: A site of over 1/HOT of all documents is broadcast where others are joined by a shuffle.
+HOT = 512
 
 
 # ---------------------------------------------------------------- document evidence
@@ -85,16 +87,19 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.02, steps: int = 25) ->
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: int) -> DocumentModel:
     """The document model from at most fit_rows labelled rows (those of least hashed id)."""
-    ids = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    ids = ids.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id")  # fit_rows rows at most
+    ids = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
+    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_h"))
+    rows = rows.join(F.broadcast(ids), "_id")  # fit_rows rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(t).tobytes() for t in texts_of(b, "_text")]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary())], names=["_id", "_y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(2), pa.array(x, pa.binary())], names=["_id", "_y", "_h", "x"])
 
-    got = rows.mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, _y int, x binary").dropDuplicates(["_id"]).limit(fit_rows).collect()
+    # of rows of one id the text of least hash speaks, so that a table has one model
+    got = rows.mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, _y int, _h long, x binary")
+    got = got.groupBy("_id").agg(F.max("_y").alias("_y"), F.min_by("x", "_h").alias("x")).limit(fit_rows).collect()
     got.sort(key=lambda r: str(r[0]))
     x = np.array([np.frombuffer(r[2], np.float32) for r in got])
     return fit(x, np.array([r[1] for r in got], float))
@@ -136,12 +141,20 @@ def _strength(sites: DataFrame, rate: Column) -> float:
     return 1 / rho - 1
 
 
-def _by_site(rows: DataFrame, sites: DataFrame, keys: list[str], broadcast_rows: int) -> DataFrame:
-    """rows with the columns of their site; each row has one. Skewed keys are left to adaptive execution."""
+def _by_site(rows: DataFrame, sites: DataFrame, keys: list[str], size: str, broadcast_rows: int) -> DataFrame:
+    """rows with the columns of their site; each row has one. Many sites are joined by a shuffle, of which the sites of over
+    1/HOT of `size` (fewer than HOT) are left out: these are broadcast to their rows."""
     small = sites.limit(broadcast_rows + 1).count() <= broadcast_rows
     right = sites.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in sites.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return rows.join(F.broadcast(right) if small else right, on, "left").drop(*[f"_{k}" for k in keys])
+    mine = [f"_{k}" for k in keys]
+    if small:
+        return rows.join(F.broadcast(right), on, "left").drop(*mine)
+    is_hot = F.col(size) * HOT > F.lit(float(right.agg(F.sum(size)).first()[0]))
+    hot = F.broadcast(right.where(is_hot).limit(HOT))
+    settled = rows.join(hot, on).drop(*mine)
+    rest = rows.join(hot, on, "left_anti").join(right.where(~is_hot), on, "left").drop(*mine)
+    return settled.unionByName(rest)
 
 
 def site_posteriors(rows: DataFrame, prior: float, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -154,13 +167,13 @@ def site_posteriors(rows: DataFrame, prior: float, broadcast_rows: int = BROADCA
     rate = min(0.999, max(0.001, total[0] / total[1])) if total[1] else prior
     m_host = _strength(hosts, F.lit(rate))
     host_of = hosts.select("_host", F.col("k").alias("_hk"), F.col("n").alias("_hn"))
-    both = _by_site(paths, host_of, ["_host"], broadcast_rows)
+    both = _by_site(paths, host_of, ["_host"], "_hn", broadcast_rows)
     shrunk = F.least(F.lit(0.999), F.greatest(F.lit(0.001), (F.col("_hk") + F.lit(m_host * rate)) / (F.col("_hn") + F.lit(m_host))))
     m_path = _strength(both, shrunk)
     # without the row's own share: another row's label or estimate never counts twice
     host_rate = (F.col("_hk") - F.col("_e") + F.lit(m_host * rate)) / (F.col("_hn") - F.lit(1.0) + F.lit(m_host))
     path_rate = (F.col("k") - F.col("_e") + F.lit(m_path) * F.col("host_rate")) / (F.col("n") - F.lit(1.0) + F.lit(m_path))
-    out = _by_site(rows, both, ["_host", "_path"], broadcast_rows).withColumn("host_rate", host_rate).withColumn("path_rate", path_rate)
+    out = _by_site(rows, both, ["_host", "_path"], "n", broadcast_rows).withColumn("host_rate", host_rate).withColumn("path_rate", path_rate)
     held = F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col("path_rate")))
     return out.withColumn("posterior", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("_llr") + _logit(held))))).drop("k", "n", "_hk", "_hn", "_e")
 
@@ -181,8 +194,10 @@ def classify(
 
     With keep_columns the rows of docs that are kept, with their own columns only. evidence is the log likelihood ratio
     of the whole text; a label informs the site's rates, never its own row. Null and empty texts have features of zero;
-    a null source is the host ''. Repeated rows count each. Without labels, or labels of one class, nothing is known of
-    documents and the rates decide. Extra columns are ignored, or kept as they are with keep_columns.
+    a null source is the host ''; very long texts are read whole. Repeated rows count each; of rows of one labelled id the
+    model sees one, and of several labels the largest. Without labels, or labels of one class, nothing is known of
+    documents and the rates decide. A posterior equal to the threshold is kept. Extra columns are ignored, or kept as they
+    are with keep_columns. An empty table gives an empty one.
     """
     batched(docs.sparkSession)
     model = fitted(docs, labels, id_col, text_col, label_col, fit_rows)

@@ -24,6 +24,8 @@ from rollbook.session import table_of
 SHARDS = 24
 #: A group is large beyond 1/(LARGE x shards) of the bytes, tokens or rows; it is split beyond 1/(SPLIT x shards).
 LARGE, SPLIT = 64, 2
+#: Rows of sizes (no texts) that one task packs, about.
+PART_ROWS = 500_000
 DIMS = ("size", "tokens", "rows")
 #: Bytes are the law of the result, and weigh more than what is balanced beside them.
 WEIGHT = np.array([2.0, 1.0, 1.0])
@@ -50,11 +52,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
 
     Size is the text's UTF-8 bytes plus 8, a null text has none and counts as equal to the empty one; tokens are words
     between white space. Slots run from 0 without a gap in each shard, repeated rows each have their own. Rows of equal
-    texts share a shard unless they need more than half a shard. Other columns are ignored; no rows give no rows.
+    texts share a shard unless they need more than half a shard. A null id is an id like any other, a very long text takes
+    up its shard's share; ties between shards go to the first, which turns from partition to partition. Other columns
+    are ignored, whatever their names; no rows give no rows.
     """
     spark = docs.sparkSession
     batched(spark)
-    n = shuffle_parts(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("_id"),
@@ -66,6 +69,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     rows = table_of(rows.withColumn("_row", F.monotonically_increasing_id()), "sizes")
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in DIMS[:2]] + [F.count(F.lit(1)).alias("rows")]
     total = np.array([float(v) for v in rows.agg(*sums).first()])
+    n = max(shuffle_parts(spark), int(-(-total[2] // PART_ROWS)))
     groups = rows.groupBy("grp").agg(*sums)
     is_large = " or ".join(f"{c} > {t / (LARGE * shards)}" for c, t in zip(DIMS, total, strict=True))
     # at most 3 x LARGE x shards groups can each hold over 1/(LARGE x shards) of a total
