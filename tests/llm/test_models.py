@@ -43,6 +43,53 @@ def test_language_models_sum_to_one(frame):
         assert abs(p[:-1].sum() + p[-1] * (1 / BASE - len(last)) - 1) < 1e-3
 
 
+def plain_kneser_ney(texts, order=4):
+    """log p of the last character of a gram, by dictionaries and the textbook's recursion."""
+    grams: dict[str, int] = {}
+    for t in texts:
+        s = "   " + t
+        for i in range(order - 1, len(s)):
+            g = s[i - order + 1 : i + 1]
+            grams[g] = grams.get(g, 0) + 1
+    levels = {order: grams}
+    for k in range(order - 1, 0, -1):
+        c: dict[str, int] = {}
+        for g in levels[k + 1]:
+            c[g[1:]] = c.get(g[1:], 0) + 1
+        levels[k] = c
+
+    def p(g, k):
+        if k == 0:
+            return BASE
+        c, ctx = levels[k], g[-k:-1]
+        n1, n2 = (sum(1 for v in c.values() if v == x) for x in (1, 2))
+        d = max(0.1, n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5)
+        own = [v for x, v in c.items() if x[:-1] == ctx]
+        if not own:
+            return p(g, k - 1)
+        return max(c.get(g[-k:], 0) - d, 0) / sum(own) + d * len(own) / sum(own) * p(g, k - 1)
+
+    return lambda g: float(np.log(p(g, order)))
+
+
+def test_language_models_against_plain_kneser_ney(frame):
+    texts = ["the cat sat on the mat", "a cat and a hat", "that hat is that cat s"]
+    m = train_models(frame([(i, t, "x") for i, t in enumerate(texts)]))
+    want = plain_kneser_ney(texts)
+    seen, _ = packed_grams([*texts, "the zebra hats"])
+    for g in np.unique(seen):
+        text = "".join(chr(int(g) >> s & 0xFFFF) for s in (48, 32, 16, 0))
+        assert abs(-m.surprise(np.array([g]))[0, 0] - want(text)) < 1e-4
+
+
+def test_language_cutoffs_bound_the_models(frame):
+    docs = frame(lang_rows())
+    whole, cut = train_models(docs), train_models(docs, entries=400)
+    assert len(cut.keys) <= 800 < len(whole.keys)
+    got = [cut.langs[int(cut.entropies([t])[0][0].argmin())] for t in LANGS.values()]
+    assert got == list(LANGS)
+
+
 def test_language_nothing_to_learn(frame):
     assert {r.lang_pred for r in identify(frame([(1, "abc", None), (2, None, None)]), F.lit(False)).collect()} == {"und"}
     assert identify(frame([]), F.lit(False)).count() == 0
@@ -106,7 +153,7 @@ def test_lm_prefers_text_like_its_corpus(frame):
 def test_lm_training_lowers_the_loss_and_probabilities_sum_to_one():
     text = prose(2, 3000)
     v = Vocabulary(sorted(set(words_of(text))))
-    ids, lens = v.ids([text, "", "a"])
+    ids, _, lens = v.ids([text, "", "a"])
     laid, at = windows(ids, lens)
     near, y = laid[at[:, None] + OFFSETS], laid[at]
     assert lens.tolist()[1] == 0 and near[0][0] == 0
@@ -229,7 +276,7 @@ def test_lm_scores_marks(frame):
     texts = ['Well, "so-called" words (and_marks) ... l\'été\u3000x=1!', ". , .", "", "a\x1cb\xa0c"]
     v = Vocabulary(["well", "so", ".", ",", "x"])
     for _ in range(2):
-        ids, lens = v.ids(texts)
+        ids, _, lens = v.ids(texts)
         assert lens.tolist() == [len(words_of(t)) for t in texts] and lens[1] == 3
         assert ids.tolist() == [v._id(w) for t in texts for w in words_of(t)]
     docs = frame([(i, t) for i, t in enumerate([*texts, *(prose(i, 60) for i in range(20))])])
@@ -238,5 +285,21 @@ def test_lm_scores_marks(frame):
         for w in words_of(r.text):
             n[w] = n.get(w, 0) + 1
     assert {r.word: r.n for r in word_counts(docs, "text").collect()} == n
-    got = {r.doc_id: r for r in score(docs, *train(docs)).collect()}
+    vocabulary, net = train(docs, words=128)
+    assert len(vocabulary.frequent) == 128 or len(n) < 128
+    got = {r.doc_id: r for r in score(docs, vocabulary, net).collect()}
+    for r in docs.collect():  # word by word
+        words = words_of(r.text)
+        ids = [0, 0, *map(vocabulary._id, words), 0, 0]
+        want = 0.0
+        for i, w in enumerate(words):
+            h = np.tanh(net.w["bias"] + sum(net.w["embed"][ids[i + 2 + o]] * net.w["place"][j] for j, o in enumerate((-2, -1, 1, 2))))
+            c, k = divmod(ids[i + 2] - 1, 64)
+            for x, at in ((h @ net.w["class_w"] + net.w["class_b"], c), (h @ net.w["word_w"][c] + net.w["word_b"][c], k)):
+                want += float(x[at] - np.log(np.exp(x.astype(float)).sum()))
+            if ids[i + 2] > vocabulary.most:
+                raw = [256, *w.encode(), 256]
+                want += min(0.0, float(sum(vocabulary.spelling[a, b] for a, b in zip(raw, raw[1:]))) + float(np.log(256)))
+        assert abs(got[r.doc_id].log_likelihood - want) < 1e-3 * max(1, len(words)) and got[r.doc_id].n_words == len(words)
+    assert score(frame([(1, "word, " * 40_000)]), vocabulary, net).first().n_words == 80_000
     assert got[1].n_words == 3 and got[1].log_likelihood < 0 and got[1].mean_log_prob < 0
