@@ -1,13 +1,12 @@
 """What the columns of a sheet mean.
 
-cells (source_id, row, col, text) are profiled by grouped aggregation; rules over the profiles are expressions. Only the
-division of a sheet's few columns into seasons, and the choice of its final grades, depend on what was decided for the
-column before: these run sheet by sheet on column rows and on counts for pairs of columns, never on the sheet's rows.
+cells (source_id, row, col, text) are profiled by grouped aggregation; rules over the profiles are expressions. The
+division of a sheet's columns into seasons, and the choice of its final grades, are windows over a row for each column
+and joins with counts for pairs of columns; the sheet's rows are not looked at again.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,20 +53,25 @@ def data_cells(cells: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def profiles(cells: DataFrame) -> DataFrame:
-    """D3: one row for each source_id and col: ratios, extremes, distinct values and samples. One aggregation."""
-    cells = with_grade(cells, "text", name="_g").withColumns({"_number": parse_number("text"), "_id": parse_student_id("text"), "_person": looks_like_person_name("text"), "_both": looks_like_id_and_name("text")})
-    t = F.col("text")
-    filled = t != ""
-    status = filled & F.col("_g.value").isNull()
-    on = lambda c: F.count_if(filled & c)
-    kept = F.slice(F.array_sort(F.collect_list(F.when(filled & (F.col("row") <= F.col("_low") + 200), F.struct("row", "text")))), 1, SAMPLES)
-    low = cells.withColumn("_low", F.min("row").over(Window.partitionBy("source_id")))
-    p = low.groupBy("source_id", "col").agg(
-        F.count(F.lit(1)).alias("rows"), on(F.lit(True)).alias("filled"), on(F.col("_number").isNotNull()).alias("numbers"), on(F.col("_id").isNotNull()).alias("ids"),
+    """D3: one row for each source_id and col: ratios, extremes, distinct values and samples (the first filled cells).
+
+    The rules look at each different text of a column once, with the number of its cells.
+    """
+    first = F.row_number().over(Window.partitionBy("source_id", "col").orderBy("row", "text"))
+    kept = cells.where("text <> ''").select("source_id", "col", "row", "text").withColumn("_n", first).where(F.col("_n") <= SAMPLES)
+    kept = kept.groupBy("source_id", "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "text"))), lambda x: x["text"]).alias("samples"))
+    texts = cells.groupBy("source_id", "col", "text").agg(F.count(F.lit(1)).alias("_k"))
+    texts = with_grade(texts, "text", name="_g").withColumns({"_number": parse_number("text"), "_id": parse_student_id("text"), "_person": looks_like_person_name("text"), "_both": looks_like_id_and_name("text")})
+    filled = F.col("text") != ""
+    status = F.col("_g.value").isNull()
+    on = lambda c: F.coalesce(F.sum(F.when(filled & c, F.col("_k"))), F.lit(0))
+    p = texts.groupBy("source_id", "col").agg(
+        F.sum("_k").alias("rows"), on(F.lit(True)).alias("filled"), on(F.col("_number").isNotNull()).alias("numbers"), on(F.col("_id").isNotNull()).alias("ids"),
         on(F.col("_person")).alias("names"), on(F.col("_both")).alias("combined"), on(status & (F.col("_g.status") != V.NO_GRADE)).alias("statuses"), on(status & (F.col("_g.status") == V.NO_GRADE)).alias("dashes"),
-        F.max(F.when(filled, F.col("_number"))).alias("max_value"), F.min(F.when(filled, F.col("_number"))).alias("min_value"), F.countDistinct(F.when(filled, t)).alias("distinct"), F.transform(kept, lambda x: x["text"]).alias("samples"),
+        F.max(F.when(filled, F.col("_number"))).alias("max_value"), F.min(F.when(filled, F.col("_number"))).alias("min_value"), F.count_if(filled).alias("distinct"),
     )
     of = lambda c: F.col(c) / F.greatest("filled", F.lit(1))
+    p = p.join(kept, ["source_id", "col"], "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
     return p.withColumns(
         {
             "filled_ratio": F.col("filled") / F.greatest("rows", F.lit(1)), "numeric_ratio": of("numbers"), "status_ratio": of("statuses"), "dash_ratio": of("dashes"),
@@ -156,82 +160,78 @@ def moment_verdict(rows: Column, second: Column, failed: Column | None) -> Colum
     return F.when(second == 0, "recurso").when(only, "recurso").when(cover >= 0.7, "continua").when(share >= 0.5, "recurso").otherwise("continua")
 
 
+def season_blocks(columns: DataFrame) -> DataFrame:
+    """Grade columns with block, block_moment, block_season and shared, from left to right.
+
+    A column whose header names a season for certain begins a block of that season; one that names another moment than
+    the block so far begins a block of that moment, unless the file as a whole names its season. In any other block the
+    first header that hints at a season gives it. Columns of the first block that come before any season are shared.
+    columns: _season, _strength and _moment say what the header says, file_season what the file says.
+    """
+    left = Window.partitionBy("source_id").orderBy("col")
+    strong = F.coalesce(F.col("_strength") == "strong", F.lit(False))
+    by_moment = F.col("_moment").isNotNull() & F.col("file_season").isNull()
+    # the moment that holds after a column: that of its block, 0 for none; 1 before any
+    c = columns.where("role = 'grade'").withColumn("_holds", F.when(strong, 0).when(by_moment, F.col("_moment")))
+    before = F.coalesce(F.last("_holds", ignorenulls=True).over(left.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1))
+    c = c.withColumn("_starts", strong | (by_moment & (before != F.col("_moment"))))
+    c = c.withColumn("block", F.sum(F.col("_starts").cast("int")).over(left.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    inside = Window.partitionBy("source_id", "block").orderBy("col")
+    whole, so_far = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), inside.rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumn("_hint", F.when((F.col("_strength") == "weak") & ~F.col("_starts"), F.col("_season")))
+    opened = F.first(F.when(F.col("_starts") & strong, F.col("_season")), ignorenulls=True).over(whole)
+    hinted = F.first("_hint", ignorenulls=True)
+    c = c.withColumns(
+        {
+            "block_season": F.coalesce(opened, F.when(F.col("block") == 0, F.col("file_season")), hinted.over(whole)),
+            "block_moment": F.when(F.col("block") == 0, 1).otherwise(F.first(F.when(F.col("_starts"), F.col("_holds")), ignorenulls=True).over(whole)),
+            "shared": (F.col("block") == 0) & F.col("file_season").isNull() & hinted.over(so_far).isNull(),
+        }
+    )
+    return c.drop("_holds", "_starts", "_hint")
+
+
 def assign_seasons(columns: DataFrame, pairs: DataFrame, file_season: DataFrame | None = None) -> DataFrame:
-    """Columns with season, route and moment: blocks of columns from left to right, each of one season.
+    """Columns with season, route and moment.
 
-    file_season: (source_id, file_season) that the file as a whole names.
+    A block of a moment without a season has that of the block before it or the one after that, as the final grades of
+    both say. file_season: (source_id, file_season) that the file as a whole names.
     """
     c = columns.withColumns({"_p": padded(norm_header("header")), "_moment": moment_index("header")})
     c = c.withColumns({"_said": season_of(F.col("_p")), "_route": route_in(F.col("_p"))}).withColumns({"_season": F.col("_said.season"), "_strength": F.col("_said.strength")}).drop("_said", "_p")
     c = c.join(file_season, "source_id", "left") if file_season is not None else c.withColumn("file_season", F.lit(None).cast("string"))
-    verdict = moment_verdict(F.col("n"), F.col("n_b"), F.col("failed_first"))
-    alone = moment_verdict(F.col("n"), F.col("n_b"), None)
-    p = pairs.select(F.col("source_id").alias("sheet"), "a", "b", verdict.alias("verdict"), alone.alias("alone"))
-    schema = f"{columns.schema.simpleString()[7:-1]}, season string, route string, moment int"
-    names = columns.columns
-
-    def one_sheet(cols: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        cols = cols.sort_values("col").reset_index(drop=True)
-        decided = {(a, b): v for a, b, v in zip(pairs["a"], pairs["b"], pairs["verdict"], strict=True)}
-        whole = cols["file_season"].iloc[0] if len(cols) and pd.notna(cols["file_season"].iloc[0]) else None
-        blocks: list[dict] = [{"moment": 1, "season": whole, "cols": []}]
-        shared: set[int] = set()
-        now = blocks[0]
-        for r in cols[cols["role"] == "grade"].itertuples():
-            row = cols.loc[r.Index]
-            season, strength = row["_season"], row["_strength"]
-            moment = int(row["_moment"]) if pd.notna(row["_moment"]) else None
-            if strength == "strong":
-                now = {"moment": None, "season": season, "cols": []}
-                blocks.append(now)
-            elif moment and whole is None and now["moment"] != moment:
-                now = {"moment": moment, "season": None, "cols": []}
-                blocks.append(now)
-            elif strength == "weak" and now["season"] is None:
-                now["season"] = season
-            elif now is blocks[0] and now["season"] is None:
-                shared.add(r.Index)
-            now["cols"].append(r.Index)
-
-        def final_of(block: dict) -> int | None:
-            finals = [i for i in block["cols"] if cols.at[i, "kind"] == "final"]
-            return (finals or block["cols"] or [None])[-1]
-
-        for k, block in enumerate(blocks):
-            if block["season"] is not None or block["moment"] in (None, 1):
-                continue
-            before = next((b for b in reversed(blocks[:k]) if b["season"] is not None or b["moment"] == 1), blocks[0])
-            first, second = final_of(before), final_of(block)
-            if second is None:
-                verdict = "recurso"
-            elif first is None:
-                own = pairs[pairs["b"] == cols.at[second, "col"]]
-                verdict = own["alone"].iloc[0] if len(own) else "recurso"
-            else:
-                verdict = decided.get((cols.at[first, "col"], cols.at[second, "col"]), "recurso")
-            base = before["season"] or V.SEASONS[0]
-            block["season"] = base if verdict == "continua" else V.SEASONS[min(V.SEASONS.index(base) + 1, 2)]
-            block["route"] = "continua" if verdict == "continua" else "exame"
-        if len(blocks) > 1:
-            for block in blocks:
-                if block["season"] is None and block["moment"] == 1:
-                    block["season"] = V.SEASONS[0]
-        if len({b["season"] for b in blocks if b["season"]}) < 2:
-            shared = set()
-        out = cols[names].copy()
-        out["season"], out["route"], out["moment"] = None, None, pd.array([pd.NA] * len(out), dtype="Int32")
-        for block in blocks:
-            for i in block["cols"]:
-                route = cols.at[i, "_route"] if pd.notna(cols.at[i, "_route"]) else None
-                season = None if i in shared else block["season"]
-                if i not in shared:
-                    route = "exame" if season in V.SEASONS[1:] else route or block.get("route")
-                out.at[i, "season"], out.at[i, "route"] = season, route
-                if block["moment"]:
-                    out.at[i, "moment"] = block["moment"]
-        return out
-
-    return c.groupBy("source_id").cogroup(p.groupBy("sheet")).applyInPandas(one_sheet, schema)
+    c = season_blocks(c)
+    verdict, alone = moment_verdict(F.col("n"), F.col("n_b"), F.col("failed_first")), moment_verdict(F.col("n"), F.col("n_b"), None)
+    said = pairs.select("source_id", F.col("a").alias("_final_before"), F.col("b").alias("_final"), verdict.alias("_both"))
+    lone = pairs.groupBy("source_id", F.col("b").alias("_final")).agg(F.max(alone).alias("_alone"))
+    # a row for each block: its final grade is the last column that is one, or the last
+    blocks = c.groupBy("source_id", "block").agg(
+        F.first("block_season").alias("known"), F.first("block_moment").alias("moment"), F.first("file_season").alias("file_season"),
+        F.coalesce(F.max(F.when(F.col("kind") == "final", F.col("col"))), F.max("col")).alias("_final"),
+    )
+    order = Window.partitionBy("source_id").orderBy("block")
+    blocks = blocks.withColumn("_final_before", F.lag("_final").over(order))
+    blocks = blocks.join(said, ["source_id", "_final", "_final_before"], "left").join(lone, ["source_id", "_final"], "left")
+    verdict = F.coalesce(F.when(F.col("_final_before").isNull(), F.col("_alone")).otherwise(F.col("_both")), F.lit("recurso"))
+    open_ = F.col("known").isNull() & (F.col("moment") > 1)
+    place = lambda s: F.array_position(F.array(*map(F.lit, V.SEASONS)), s).cast("int") - 1
+    # steps from the last block whose season is known; the first block counts as the first season, present or not
+    fixed = F.when(~open_, F.coalesce(place(F.col("known")), F.lit(0)))
+    blocks = blocks.withColumns({"_fixed": fixed, "_step": F.when(open_, (verdict == "recurso").cast("int")).otherwise(0), "_way": F.when(open_, F.when(verdict == "continua", "continua").otherwise("exame"))})
+    blocks = blocks.withColumn("_run", F.count("_fixed").over(order))
+    run = Window.partitionBy("source_id", "_run").orderBy("block")
+    start = F.coalesce(F.first("_fixed", ignorenulls=True).over(run), place(F.col("file_season")), F.lit(0))
+    at = F.least(start + F.sum("_step").over(run), F.lit(len(V.SEASONS) - 1))
+    sheet = Window.partitionBy("source_id")
+    several = F.max("block").over(sheet) > 0
+    season = F.when(open_ | (several & (F.col("block") == 0)), F.get(F.array(*map(F.lit, V.SEASONS)), at)).otherwise(F.col("known"))
+    blocks = blocks.withColumn("_of_block", season).withColumn("_seasons", F.size(F.collect_set("_of_block").over(sheet)))
+    blocks = blocks.select("source_id", "block", "moment", "_of_block", "_way", "_seasons")
+    c = c.join(blocks, ["source_id", "block"]).withColumn("shared", F.col("shared") & (F.col("_seasons") > 1))
+    own = F.when(~F.col("shared"), F.col("_of_block"))
+    route = F.when(F.col("shared"), F.col("_route")).when(own.isin(V.SEASONS[1:]), "exame").otherwise(F.coalesce("_route", "_way"))
+    c = c.select("source_id", "col", own.alias("season"), route.alias("route"), F.nullif(F.col("moment"), F.lit(0)).alias("moment"))
+    return columns.join(c, ["source_id", "col"], "left").select(*columns.columns, "season", "route", "moment")
 
 
 def promote_exam_routes(columns: DataFrame, cells: DataFrame) -> DataFrame:
@@ -250,65 +250,59 @@ def promote_exam_routes(columns: DataFrame, cells: DataFrame) -> DataFrame:
     return out.withColumns({"kind": when(F.lit("final"), "kind"), "route": when(F.lit("exame"), "route"), "reason": when(F.lit("reason.exam_route"), "reason"), "confidence": when(F.greatest("confidence", F.lit(0.7)), "confidence")}).drop("_exam").select(*columns.columns)
 
 
+def with_clusters(columns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Columns with cluster, for grade columns: the least column that a chain of overlaps leads to among the final grades
+    of one season. Columns overlap that share half of the rows that either has."""
+    share = F.try_divide(F.col("n_both"), F.col("n_a") + F.col("n_b") - F.col("n_both"))
+    finals = columns.where("role = 'grade' and kind = 'final'").select("source_id", "col", F.coalesce("season", F.lit("")).alias("s"))
+    linked = pairs.where((share >= 0.5) & (F.col("a") < F.col("b"))).select("source_id", "a", "b")
+    linked = linked.join(finals.withColumnRenamed("col", "a"), ["source_id", "a"]).join(finals.withColumnRenamed("col", "b"), ["source_id", "b", "s"])
+    links = linked.groupBy("source_id", "s").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("links"))
+    groups = finals.groupBy("source_id", "s").agg(F.collect_list(F.struct("col", F.col("col").alias("cluster"))).alias("of")).join(links, ["source_id", "s"])
+    label = lambda of, col: F.get(F.filter(of, lambda x: x["col"] == col), F.lit(0))["cluster"]
+
+    def join(of: Column, link: Column) -> Column:
+        p, q = label(of, link["a"]), label(of, link["b"])
+        return F.transform(of, lambda x: F.struct(x["col"].alias("col"), F.when((x["cluster"] == p) | (x["cluster"] == q), F.least(p, q)).otherwise(x["cluster"]).alias("cluster")))
+
+    groups = groups.select("source_id", F.explode(F.aggregate("links", F.col("of"), join)).alias("x")).select("source_id", "x.col", F.col("x.cluster").alias("_cluster"))
+    out = columns.join(groups, ["source_id", "col"], "left")
+    return out.withColumn("cluster", F.when(F.col("role") == "grade", F.coalesce("_cluster", "col"))).drop("_cluster")
+
+
 def pick_finals(columns: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Columns with cluster; one final grade for each season and cluster of columns filled for the same rows."""
-    c = columns.withColumn("_p", padded(norm_header("header"))).withColumn("_priority", priority_in(F.col("_p"))).drop("_p")
-    same = pairs.select(F.col("source_id").alias("sheet"), "a", "b", F.coalesce(F.try_divide(F.col("n_both"), F.col("n_a") + F.col("n_b") - F.col("n_both")), F.lit(0.0)).alias("share"))
-    schema = f"{columns.schema.simpleString()[7:-1]}, cluster int"
-    names = columns.columns
-
-    def one_sheet(cols: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        cols = cols.sort_values("col").reset_index(drop=True)
-        alike = {(a, b) for a, b, s in zip(pairs["a"], pairs["b"], pairs["share"], strict=True) if s >= 0.5}
-        season = [s if isinstance(s, str) else None for s in cols["season"]]
-        grade = cols["role"] == "grade"
-        final = (grade & (cols["kind"] == "final")).tolist()
-        cluster = cols["col"].tolist()
-        ids = [i for i in range(len(cols)) if final[i]]
-        for i in ids:
-            for j in ids:
-                if i < j and season[i] == season[j] and (cols.at[i, "col"], cols.at[j, "col"]) in alike and cluster[i] != cluster[j]:
-                    cluster = [cluster[i] if x == cluster[j] else x for x in cluster]
-
-        def mark(i: int, **v) -> None:
-            for k, x in v.items():
-                cols.at[i, k] = x
-
-        any_season = any(final[i] and season[i] for i in ids)
-        for s in dict.fromkeys(season[i] for i in range(len(cols)) if grade[i]):
-            group = [i for i in range(len(cols)) if grade[i] and season[i] == s]
-            if s is None and any_season:
-                for i in group:
-                    if not cols.at[i, "locked"]:
-                        mark(i, kind="component", reason="reason.shared_component")
-                continue
-            chosen = [i for i in group if cols.at[i, "kind"] == "final"]
-            if not chosen:
-                free = [i for i in group if not cols.at[i, "locked"]]
-                free = [i for i in free if cols.at[i, "numeric_ratio"] > 0.3] or free
-                if free:
-                    mark(free[-1], kind="final", reason="reason.last_of_block", confidence=min(cols.at[free[-1], "confidence"], 0.35))
-                continue
-            parts: dict[int, list[int]] = {}
-            for i in chosen:
-                parts.setdefault(cluster[i], []).append(i)
-            for own in parts.values():
-                fixed = [i for i in own if cols.at[i, "locked"]]
-                best = fixed[-1] if fixed else max(own, key=lambda i: (cols.at[i, "_priority"], cols.at[i, "col"]))
-                for i in own:
-                    if i != best and not cols.at[i, "locked"]:
-                        mark(i, kind="component", reason="reason.other_final_chosen")
-                if len(own) > 1 and not fixed:
-                    top = sorted((cols.at[i, "_priority"] for i in own), reverse=True)
-                    if top[0] - top[1] < 20:
-                        mark(best, confidence=min(cols.at[best, "confidence"], 0.55))
-                if len(parts) > 1:
-                    mark(best, reason="reason.alt_route")
-        out = cols[names].copy()
-        out["cluster"] = pd.array([c if g else pd.NA for c, g in zip(cluster, grade, strict=True)], dtype="Int32")
-        return out
-
-    return c.groupBy("source_id").cogroup(same.groupBy("sheet")).applyInPandas(one_sheet, schema)
+    """Columns with cluster; one final grade for each season and cluster of columns filled for the same rows.
+
+    Beside final grades of seasons, a grade of no season is a shared component. Of the final grades of a cluster the last
+    locked one stays, else the one of highest priority, the last of equals; it is less sure if another comes close, and
+    an alternative route if the season has several clusters. A season without final grade takes its last column that is
+    not locked, numeric ones first. Locked columns stay as they are.
+    """
+    c = with_clusters(columns, pairs)
+    c = c.withColumn("_p", padded(norm_header("header"))).withColumn("_priority", priority_in(F.col("_p"))).drop("_p")
+    grade = F.col("role") == "grade"
+    c = c.withColumns({"_grade": grade, "_final": grade & (F.col("kind") == "final"), "_s": F.coalesce("season", F.lit(""))})
+    sheet = Window.partitionBy("source_id")
+    season = Window.partitionBy("source_id", "_grade", "_s")
+    cluster = Window.partitionBy("source_id", "_final", "_s", "cluster")
+    locked, free = F.col("locked"), ~F.col("locked")
+    best = cluster.orderBy(F.desc("locked"), F.when(locked, 0).otherwise(F.col("_priority")).desc(), F.desc("col"))
+    last = season.orderBy(locked, (F.col("numeric_ratio") <= 0.3), F.desc("col"))
+    c = c.withColumns(
+        {
+            "_seasonal": F.bool_or(F.col("_final") & (F.col("_s") != "")).over(sheet), "_finals": F.count_if("_final").over(season), "_parts": F.size(F.collect_set(F.when(F.col("_final"), F.col("cluster"))).over(season)),
+            "_best": F.row_number().over(best) == 1, "_next": F.lead("_priority").over(best), "_fixed": F.bool_or("locked").over(cluster), "_last": F.row_number().over(last) == 1,
+        }
+    )
+    shared = F.col("_grade") & (F.col("_s") == "") & F.col("_seasonal")
+    fallback = F.col("_grade") & ~shared & (F.col("_finals") == 0) & F.col("_last") & free
+    chosen = F.col("_final") & ~shared & F.col("_best")
+    lost = F.col("_final") & ~shared & ~F.col("_best") & free
+    close = chosen & ~F.col("_fixed") & (F.col("_priority") - F.col("_next") < 20)
+    kind = F.when((shared & free) | lost, "component").when(fallback, "final").otherwise(F.col("kind"))
+    reason = F.when(shared & free, "reason.shared_component").when(fallback, "reason.last_of_block").when(lost, "reason.other_final_chosen").when(chosen & (F.col("_parts") > 1), "reason.alt_route").otherwise(F.col("reason"))
+    sure = F.when(fallback, F.least("confidence", F.lit(0.35))).when(close, F.least("confidence", F.lit(0.55))).otherwise(F.col("confidence"))
+    return c.withColumns({"kind": kind, "reason": reason, "confidence": sure}).select(*columns.columns, "cluster")
 
 
 def refresh_columns(columns: DataFrame, cells: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollbook.operators import identity as I
+from rollbook.operators import inference as N
 from rollbook.operators import layout as Y
 from rollbook.operators import overlays as O
 from rollbook.operators import reports as P
@@ -16,7 +17,7 @@ from rollbook.operators import results as R
 from rollbook.operators.components import connected_components
 from rollbook.operators.similarity import similar_names
 from rollbook.settings import Settings
-from rollbook.sources.metadata import describe
+from rollbook.sources.metadata import subject_score, with_metadata
 from rollbook.streaming import incremental
 
 ENTRY = "student string, subject string, season_ord int, source string, file_order long, document_date string, value double, status string, n int"
@@ -183,12 +184,92 @@ def test_settings_are_read_leniently():
     assert t.grade_overrides == {} and t.pass_mark == 12.0 and Settings.of(t.to_dict()) == t
 
 
-def test_metadata():
-    m = describe("Pauta_SGR_2024_2025_1E.xlsx", None, ["03713 - SGR - Segurança e Gestão de Redes", "2º Semestre 2024/25"], ["Lisboa, 3/2/2025"])
-    assert (m["subject"], m["subject_code"], m["semester"], m["academic_year"], m["document_date"]) == ("Segurança e Gestão de Redes", "03713", "2", "2024/2025", "2025-02-03")
-    m = describe("SGR202425.csv", None, [], [])
-    assert (m["subject"], m["subject_code"], m["document_date"]) == ("SGR", "SGR", None)
-    assert describe("x.csv", None, ["Teste 1 (30%)"], [])["component_weight"] == 30 and describe("x.csv", None, ["Exame (100%)"], [])["component_label"] is None
+TABLE = "k int, filename string, sheet_name string, title_lines array<string>, footer_lines array<string>"
+
+
+def test_metadata(spark):
+    tables = [
+        (0, "a/Pauta_SGR_2024_2025_1E.xlsx", None, ["03713 - SGR - Segurança e Gestão de Redes", "2º Semestre 2024/25"], ["Lisboa, 3/2/2025"]),
+        (1, "SGR202425.csv", None, [], []),
+        (2, "x.csv", None, ["Teste 1 (30%)"], None),
+        (3, "x.csv", None, ["Exame (100%)"], []),
+        (4, "notas_de_Mecanica_Quantica_final.csv", None, ["Universidade Nova", "Pauta | Física Aplicada às Ondas 2023/2024 | 1st semester"], ["12.01.2024", "2024-02-05", "nada"]),
+        (5, "x.xlsx", "Notação Musical", None, []),
+        (6, None, None, ["LEI - 12", "Redes Dados"], []),
+        (7, "pauta.xlsx", "Sheet1", ["ALG - Álgebra Linear"], []),
+        (8, "ist_REDES2.xlsx", None, ["abc"], []),
+    ]
+    m = {r.k: r for r in with_metadata(spark.createDataFrame(tables, TABLE)).collect()}
+    assert (m[0].subject, m[0].subject_confidence, m[0].subject_code, m[0].subject_code_confidence) == ("Segurança e Gestão de Redes", 0.9, "03713", 0.9)
+    assert (m[0].semester, m[0].academic_year, m[0].document_date, m[0].file_season) == ("2", "2024/2025", "2025-02-03", "epoca1")
+    assert (m[1].subject, m[1].subject_code, m[1].document_date) == ("SGR", "SGR", None)
+    assert (m[2].component_label, m[2].component_weight) == ("Teste 1", 30) and (m[3].component_label, m[3].component_weight) == (None, None)
+    assert (m[4].subject, m[4].subject_confidence, m[4].semester, m[4].academic_year, m[4].document_date) == ("Física Aplicada às Ondas", 0.85, "1", "2023/2024", "2024-02-05")
+    assert (m[5].subject, m[5].subject_confidence) == ("Notação Musical", 0.35)
+    assert (m[6].subject, m[6].subject_confidence, m[6].subject_code) == ("Redes Dados", 0.4, None)
+    assert (m[7].subject, m[7].subject_code, m[7].subject_code_confidence) == ("Álgebra Linear", "ALG", 0.7)
+    assert (m[8].subject, m[8].subject_confidence) == ("REDES", 0.5)
+    assert with_metadata(spark.createDataFrame([], TABLE)).count() == 0
+
+
+def test_scores_of_subjects(spark):
+    d = spark.createDataFrame([("Gestão de Redes",), ("Redes",), ("2024",), ("",), ("Universidade de Lisboa",), ("Peso 30% X",)], "t string")
+    got = [r[0] for r in d.select(subject_score(F.col("t"))).collect()]
+    assert got == [7.5, -2.5, -99.0, -99.0, -4.5, -6.0]
+
+
+def column_rows(spark, rows):
+    """Columns from (col, header, kind or None for no grade, locked, numeric_ratio)."""
+    full = [("s", c, h, "grade" if k else "ignore", k, lock, num, 20.0, 0.8, "r") for c, h, k, lock, num in rows]
+    return spark.createDataFrame(full, "source_id string, col int, header string, role string, kind string, locked boolean, numeric_ratio double, scale double, confidence double, reason string")
+
+
+PAIR = "source_id string, a int, b int, n long, n_a long, n_b long, n_both long, failed_first long"
+
+
+def test_blocks_of_seasons(spark):
+    c = column_rows(spark, [(0, "Nome", None, False, 0.0), (1, "Teste 1", "component", False, 0.9), (2, "Nota Final", "final", False, 0.9), (3, "Teste 2", "component", False, 0.9), (4, "Nota Final 2", "final", False, 0.9), (5, "Nota 3", "final", False, 0.9), (6, "Época Especial", "final", False, 0.9), (7, "Final", "final", False, 0.9)])
+    pairs = [("s", 2, 4, 10, 10, 3, 3, 3), ("s", 4, 2, 10, 3, 10, 3, 0), ("s", 4, 5, 10, 3, 9, 3, 0)]
+    got = {r.col: (r.season, r.route, r.moment) for r in N.assign_seasons(c, spark.createDataFrame(pairs, PAIR)).collect()}
+    assert got == {
+        0: (None, None, None), 1: ("epoca1", "continua", 1), 2: ("epoca1", None, 1), 3: ("epoca2", "exame", 2), 4: ("epoca2", "exame", 2),
+        5: ("epoca2", "exame", 3), 6: ("especial", "exame", None), 7: ("especial", "exame", None),
+    }
+    whole = spark.createDataFrame([("s", "epoca2")], "source_id string, file_season string")
+    got = {r.col: r.season for r in N.assign_seasons(c, spark.createDataFrame(pairs, PAIR), whole).collect()}
+    assert got[1] == got[5] == "epoca2" and got[6] == "especial"
+
+
+def test_shared_columns_and_an_empty_first_block(spark):
+    c = column_rows(spark, [(0, "Projeto", "component", False, 0.9), (1, "1.ª Época", "final", False, 0.9), (2, "2.ª Época", "final", False, 0.9)])
+    none = spark.createDataFrame([], PAIR)
+    assert [r.season for r in N.assign_seasons(c, none).orderBy("col").collect()] == [None, "epoca1", "epoca2"]
+    c = column_rows(spark, [(0, "Nota 2", "component", False, 0.9), (1, "Nota 3", "component", False, 0.9)])
+    got = N.assign_seasons(c, spark.createDataFrame([("s", 1, 0, 10, 9, 9, 9, 0), ("s", 0, 1, 10, 9, 2, 2, 0)], PAIR)).orderBy("col").collect()
+    assert [(r.season, r.route) for r in got] == [("epoca1", "continua"), ("epoca1", "continua")]
+
+
+def test_choice_of_finals(spark):
+    c = column_rows(spark, [(0, "Nota", "final", False, 0.9), (1, "Nota Final", "final", False, 0.9), (2, "Média", "final", False, 0.9), (3, "Exame", "final", False, 0.9), (4, "Teste", "component", False, 0.9), (5, "Obs", None, False, 0.0)])
+    c = c.withColumn("season", F.lit("epoca1"))
+    pairs = [("s", 0, 2, 9, 9, 9, 9, 0), ("s", 1, 2, 9, 9, 9, 9, 0), ("s", 1, 3, 9, 9, 9, 1, 0)]
+    got = {r.col: (r.kind, r.reason, r.cluster) for r in N.pick_finals(c, spark.createDataFrame(pairs, PAIR)).collect()}
+    assert got == {0: ("component", "reason.other_final_chosen", 0), 1: ("final", "reason.alt_route", 0), 2: ("component", "reason.other_final_chosen", 0), 3: ("final", "reason.alt_route", 3), 4: ("component", "r", 4), 5: (None, "r", None)}
+    locked = c.withColumn("locked", F.col("col") == 2)
+    got = {r.col: r.kind for r in N.pick_finals(locked, spark.createDataFrame(pairs, PAIR)).collect()}
+    assert [got[i] for i in range(4)] == ["component", "component", "final", "final"]
+    few = column_rows(spark, [(0, "Teste 1", "component", False, 0.9), (1, "Teste 2", "component", False, 0.1)]).withColumn("season", F.lit(None).cast("string"))
+    got = {r.col: (r.kind, r.confidence) for r in N.pick_finals(few, spark.createDataFrame([], PAIR)).collect()}
+    assert got == {0: ("final", 0.35), 1: ("component", 0.8)}
+    mixed = few.withColumns({"kind": F.lit("final"), "season": F.when(F.col("col") == 1, "epoca2")})
+    assert {r.col: r.reason for r in N.pick_finals(mixed, spark.createDataFrame([], PAIR)).collect()}[0] == "reason.shared_component"
+
+
+def test_samples_are_the_first_filled_cells(spark):
+    cells = [("s", i, 0, "" if i < 300 else f"v{i % 7}") for i in range(400)] + [("s", i, 1, "12") for i in range(3)]
+    p = {r.col: r for r in N.profiles(spark.createDataFrame(cells, "source_id string, row long, col int, text string").repartition(5)).collect()}
+    assert p[0].samples == [f"v{i % 7}" for i in range(300, 305)] and p[1].samples == ["12"] * 3
+    assert (p[0].rows, p[0].filled, p[0].distinct, p[1].numbers, p[1].max_value) == (400, 100, 7, 3, 12.0)
 
 
 def test_best_of_two_readings_of_a_page(spark):
