@@ -2,13 +2,15 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 import pytest
 from conftest import prose
-from test_dedup import LOWER, brute
+from test_dedup import LOWER, near_brute
 
 import corpus_pipeline
 from rollbook.llm.quality import quality_stage
 from rollbook.llm.registry import ORACLES, QUERIES
+from rollbook.llm.sp_sampling import decode_ids
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -31,10 +33,24 @@ def test_stages_against_brute_force(spark, frame, tmp_path):
     for i, t in kept:
         last[t.translate(LOWER)] = max(i, last.get(t.translate(LOWER), -1))
     kept = [(i, t) for i, t in kept if last[t.translate(LOWER)] == i]
-    roots = {c for _, _, c in brute(kept)}
+    roots = {min(kept[i][0] for i in g) for g in near_brute(kept)}
+    assert len(roots) < len(kept)
     kept = [(i, t) for i, t in kept if i in roots and item not in t]
-    assert sorted(r.doc_id for r in out) == sorted(i for i, _ in kept)
-    assert all(len(r.ids) == r.n_pieces > 0 for r in out)
+    assert sorted({r.doc_id for r in out}) == sorted(i for i, _ in kept) and len(out) == 2 * len(kept)
+    assert all(len(r.ids) == r.n_pieces > 0 and r.round_trip and 0 < r.inclusion <= 1 for r in out)
+    text = dict(kept)
+    ids = spark.createDataFrame([(r.doc_id, r.ids) for r in out if r["sample"] == 1], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in decode_ids(ids, public_tokenizers.path("piece_bpe_32k.model")).collect()} == text
+
+
+def test_stages_of_empty_tables(spark, frame, tmp_path):
+    frame([]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = frame([(1, prose(1, 40), "en", "s"), (2, None, None, None), (None, "", None, "s")])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
