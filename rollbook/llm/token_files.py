@@ -9,7 +9,9 @@ repeated tasks leave nothing wrong behind.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,13 +30,19 @@ from rollbook.session import new_folder, table_of
 #: A worker keeps its encoder from task to task, and forgets the pieces beyond so many.
 CACHE_PIECES = 1_200_000
 #: So many new pieces are encoded as one text, with a special token between them.
-JOINED = 1000
+JOINED = 100
+#: Texts are encoded together from so many bytes on.
+GROUP_BYTES = 6 << 20
+#: A part holds about so many bytes of text where there are more than the session's shuffle partitions can hold.
+PART_BYTES = 512 << 20
 NULL_ID = -(1 << 63)
 MANIFEST = "part int, file string, n_docs long, n_tokens long, bits int"
 
 
 #: White space as the tokenizer's pattern has it: one byte, and the further bytes of longer characters by their first.
 _SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
+#: 1 for ASCII letters and digits, 2 for ASCII marks but the apostrophe, which contractions begin with.
+_SORT = np.array([1 if chr(i).isascii() and chr(i).isalnum() else 2 if 32 < i < 127 and i != 39 else 0 for i in range(256)], np.int8)
 _WIDE = {0xC2: [0x85, 0xA0], 0xE1: [0x9A80], 0xE2: [*range(0x8080, 0x808B), 0x80A8, 0x80A9, 0x80AF, 0x819F], 0xE3: [0x8080]}
 
 
@@ -41,7 +50,8 @@ def pieces(texts: pa.StringArray) -> tuple[pa.BinaryArray, np.ndarray]:
     """The texts cut where byte-level BPE encodes both sides alike alone and in the text, and the pieces of each text.
 
     A piece is a word with the one space before it, or a run of white space up to the last character before a word; that
-    character, if not a space, is a piece of its own.
+    character, if not a space, is a piece of its own. Words are also cut between an ASCII letter or digit and an ASCII
+    mark, the apostrophe apart. The texts hold no special token.
     """
     bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = texts.buffers()[2]
@@ -65,31 +75,51 @@ def pieces(texts: pa.StringArray) -> tuple[pa.BinaryArray, np.ndarray]:
     after = np.concatenate([space[1:], [True]]) | last
     cut |= space & ~(before & after)
     cut[1:] |= ~space[1:] & space[:-1] & (lead[:-1] != 32)
+    sort = _SORT[lead]
+    cut[1:] |= sort[1:] + sort[:-1] == 3
     off = np.concatenate([at[cut], bounds[-1:]]).astype(np.int32)
     counts = np.diff(np.searchsorted(off[:-1], bounds))
     return pa.BinaryArray.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off), data]), counts
 
 
 class ChunkEncoder:
-    """Encodes whole texts by the tokenizers library, each different piece once."""
+    """Encodes whole texts by the tokenizers library; with byte-level BPE, each different piece once."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok, self.end = Tokenizer.from_file(path), end_id
+        self.tok.no_truncation()
+        self.tok.no_padding()
         self.dtype = np.uint16 if max(self.tok.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else np.uint32
-        bare = [(i, t.content) for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
-        self.sep = bare[0] if bare else None
+        added = self.tok.get_added_tokens_decoder()
+        bare = {t.content: i for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)}
+        spec = json.loads(self.tok.to_str())
+        pre = spec["pre_tokenizer"] or {}
+        #: Whether pieces() holds: GPT-2's pattern, nothing normalised, and added tokens that only match as they stand.
+        self.by_pieces = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"] and len(bare) == len(added)
+        self.special = dict(sorted(bare.items(), key=lambda x: -len(x[0])))
+        self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.sep = next(((i, t.content) for i, t in added.items() if t.special and t.content in bare), None)
         self.clear()
 
     def clear(self) -> None:
-        self.codes = {b"": 0}  # the end of a document
-        self.flat, self.off = np.array([self.end], self.dtype), np.array([0, 1], np.int64)
+        self.codes = {}
+        # code 0 is the end of a document, then the special tokens
+        self.flat = np.array([self.end, *self.special.values()], self.dtype)
+        self.off = np.arange(len(self.flat) + 1, dtype=np.int64)
 
-    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's end id included, and the number of ids of each text. Null texts are empty."""
-        chunks, counts = pieces(texts)
+        texts = texts.cast(pa.string()).fill_null("")
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        if not self.by_pieces:
+            each = [[*e.ids, self.end] for e in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter((x for y in each for x in y), self.dtype), np.array(list(map(len, each)), np.int64)
+        parts, ends, segments = self._segments(texts)
+        chunks, counts = pieces(parts)
         found = chunks.dictionary_encode()
         values = found.dictionary.to_pylist()
         if len(self.codes) > CACHE_PIECES:
@@ -101,22 +131,36 @@ class ChunkEncoder:
             self.flat = np.concatenate([self.flat, flat])
             self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(lens)])
         own = np.fromiter(map(self.codes.__getitem__, values), np.int64, len(values))
-        codes = np.insert(own[found.indices.to_numpy()], np.cumsum(counts), 0)
+        codes = np.insert(own[found.indices.to_numpy()], np.cumsum(counts), ends)
         flat, lens = csr_take(self.flat, self.off, codes)
-        return flat, np.add.reduceat(lens, np.cumsum(counts + 1) - counts - 1) if len(texts) else np.zeros(0, np.int64)
+        lens = np.add.reduceat(lens, np.cumsum(counts + 1) - counts - 1)
+        return flat, np.add.reduceat(lens, np.cumsum(segments) - segments)
+
+    def _segments(self, texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+        """The texts cut at special tokens, as the library cuts them before anything else; the code that follows each segment
+        (a special token's, or the document's end), and the segments of each text."""
+        plain = np.ones(len(texts), bool)
+        for token in self.special:
+            plain &= ~pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if plain.all():
+            return texts, np.zeros(len(texts), np.int64), np.ones(len(texts), np.int64)
+        code = {t: k for k, t in enumerate(self.special, 1)}
+        parts, ends, counts = [], [], []
+        for t, whole in zip(texts.to_pylist(), plain.tolist(), strict=True):
+            own = [t] if whole else self.split.split(t)
+            parts += own[::2]
+            ends += [*(code[x] for x in own[1::2]), 0]
+            counts.append(len(own[::2]))
+        return pa.array(parts, pa.string()), np.array(ends, np.int64), np.array(counts, np.int64)
 
     def _encode_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces and how many each has. A special token splits a text before anything else does, so that
-        pieces joined by it are encoded as each alone; those that hold its name are encoded alone."""
+        """The ids of all pieces, which hold no special token, and how many each has. A special token splits a text before
+        anything else does, so that pieces joined by it are encoded as each alone."""
         flats, lens = [], []
         for at in range(0, len(new), JOINED):
             part = new[at : at + JOINED]
-            ids = None
             if self.sep:
-                joined = self.sep[1].join(part)
-                if joined.count(self.sep[1]) == len(part) - 1:
-                    ids = np.array(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
-            if ids is not None:
+                ids = np.array(self.tok.encode_batch_fast([self.sep[1].join(part)], add_special_tokens=False)[0].ids, self.dtype)
                 cut = ids == self.sep[0]
                 ends = np.concatenate([np.flatnonzero(cut), [len(ids)]])
                 flats.append(ids[~cut])
@@ -144,12 +188,15 @@ def write_tokens(
 ) -> DataFrame:
     """Writes the token files of docs in ascending order of id under path; returns the manifest, itself written there.
 
-    Null texts are empty and have the end id alone; rows of one id follow one another in the order of a hash of their
-    texts; null ids come first and are read back as null. Other columns are ignored. No part is written for no rows.
+    Null texts are empty and have the end id alone; a very long text is encoded whole, in a group of its own. Rows of one
+    id follow one another in the order of a hash of their texts, equal rows each have their own ids; null ids come first
+    and are read back as null, for which the id -2^63 is kept: a row that has it raises. Other columns are ignored,
+    whatever their names. No rows give an empty manifest. parts: by default the session's shuffle partitions, and more
+    where a part would hold over PART_BYTES of text.
     """
     spark = docs.sparkSession
     batched(spark)
-    n = parts or shuffle_parts(spark)
+    n = parts or max(shuffle_parts(spark), -(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // PART_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_h", F.xxhash64("_text"))
     rows = rows.repartitionByRange(n, F.col("_id").asc_nulls_first(), "_h").sortWithinPartitions(F.col("_id").asc_nulls_first(), "_h")
@@ -158,7 +205,15 @@ def write_tokens(
         encoder, ids, lens, place = None, [], [], None
         at = TaskContext.get()
         stem = f"{path.rstrip('/')}/{at.partitionId():06d}-{at.taskAttemptId()}"
-        out = None
+        out, held, size = None, [], 0
+
+        def write() -> None:
+            texts = pa.concat_arrays([b.column(1).cast(pa.string()) for b in held])
+            flat, own = encoder.encode(texts)
+            out.write(flat.astype(flat.dtype.newbyteorder("<"), copy=False).tobytes())
+            lens.append(own)
+            held.clear()
+
         for b in batches:
             if not b.num_rows:
                 continue
@@ -166,10 +221,16 @@ def write_tokens(
                 encoder, (place, stem_path) = encoder_of(tokenizer_path, end_id), _place(stem)
                 place.create_dir(stem_path.rpartition("/")[0], recursive=True)
                 out = place.open_output_stream(f"{stem_path}.tokens")
-            flat, own = encoder.encode(b.column(1))
-            out.write(flat.astype(flat.dtype.newbyteorder("<"), copy=False).tobytes())
+            if pc.any(pc.equal(b.column(0), NULL_ID)).as_py():
+                raise ValueError(f"the id {NULL_ID} stands for null")
             ids.append(b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
-            lens.append(own)
+            if held and size + b.column(1).nbytes > GROUP_BYTES:
+                write()
+                size = 0
+            held.append(b)
+            size += b.column(1).nbytes
+        if held:
+            write()
         if out is None:
             return
         out.close()

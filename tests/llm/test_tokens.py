@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -30,6 +31,32 @@ def test_encoder_equals_the_library():
     assert flat.tolist() == [2] and n.tolist() == [1]
 
 
+def test_encoder_fuzz():
+    r = random.Random(2)
+    atoms = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "\n\n", "\t", "\xa0", "\u2009", "\u3000", "\x85", "\x1c", "'s", "'ll", "'", "don't", "a", "Zé", "é", "ß", ",", ".", "%%%", "“", "_", "12", "3.5", "²", "½", "中文", "e.g.", "\r\n", "-", "😀", "<", "|", "\u200b", "ª"]
+    texts = ["".join(r.choice(atoms) for _ in range(r.randint(0, 9))) for _ in range(20_000)]
+    tok, e = Tokenizer.from_file(BPE), ChunkEncoder(BPE, 2)
+    for at in range(0, len(texts), 1000):
+        part = texts[at : at + 1000]
+        flat, n = e.encode(pa.array(part, pa.large_string() if at % 2000 else pa.string()))
+        want = [x.ids + [2] for x in tok.encode_batch(part, add_special_tokens=False)]
+        assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+
+
+def test_encoder_of_another_kind():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, tok = ChunkEncoder(path, 2), Tokenizer.from_file(path)
+    assert not e.by_pieces
+    flat, n = e.encode(pa.array(["Some Words, 12", None, "x <|endoftext|> y"]))
+    want = [tok.encode(t, add_special_tokens=False).ids + [2] for t in ("Some Words, 12", "", "x <|endoftext|> y")]
+    assert flat.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
+
+
+def test_the_id_of_null_is_refused(spark, frame):
+    with pytest.raises(Exception, match="stands for null"):
+        write_tokens(frame([(-(1 << 63), "a")]), new_folder(spark, "t"), BPE)
+
+
 def test_files_round_trip(spark, frame):
     rows = [(10 * i, t) for i, t in enumerate(TEXTS)] + [(5, None), (30, "again"), (None, "no id")]
     m = write_tokens(frame(rows), new_folder(spark, "t"), BPE)
