@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import LOWER, batched, free_name, read, texts_of
+from rollbook.llm.common import LOWER, batched, free_name, read, shuffle_parts, texts_of
 from rollbook.operators.components import connected_components
 from rollbook.session import table_of
 
@@ -38,6 +38,10 @@ SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 PLAN = tuple((a, b, min({0, 1, 2, 3, 4} - {a, b}, key=lambda j: (j - a - b) % 5)) for a, b in itertools.combinations(range(5), 2))
 #: Fingerprints that more than 1/HOT of the rows have are broadcast to their rows: there are fewer than HOT.
 HOT = 512
+#: Nodes whose keys a task makes together.
+KEYED_NODES = 8192
+#: Bits of the filter, of fixed size, that texts of no pair are left out by before they are shuffled.
+FILTER_BITS = 26
 #: Near copies: words of a shingle, least share of common shingles, and the mean of differing bits beyond which no pair is
 #: looked at (unrelated texts differ in 32).
 WORDS_OF_SHINGLE, SIMILARITY, LOOSE = 5, 0.8, 12
@@ -145,18 +149,49 @@ def plan_keys(fp: np.ndarray, probes: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(nodes: DataFrame, probes: bool) -> DataFrame:
-    """nodes (node and its fingerprints, any number, in _fps) as (key, node): equal keys of different fingerprints differ."""
+    """nodes (node, its fingerprints, any number, in _fps) as (key, node), and with component if they have one: equal keys of
+    different fingerprints differ. Of a component a task files one node under a key for each run of its nodes.
+
+    A component goes as its difference from the node, mostly 0, which takes no room in a shuffle. A node has many keys:
+    nodes are dealt to all partitions first.
+    """
+    whole = "component" in nodes.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def keyed() -> Iterator[pa.RecordBatch]:
+            part = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            fps = part.column("_fps").combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1)
+            node = part.column("node").to_numpy()
+            comp = part.column("component").to_numpy() if whole else node
+            _, group, n = np.unique(comp, return_inverse=True, return_counts=True)
+            several = n[group] > 1
+            for m in range(fps.shape[1]):
+                rows, keys = plan_keys(np.ascontiguousarray(fps[:, m]), probes)
+                keys = keys | m << 56
+                if several.any():
+                    often = several[rows]
+                    order = np.lexsort((node[rows[often]], comp[rows[often]], keys[often]))
+                    r, k = rows[often][order], keys[often][order]
+                    first = np.concatenate([[True], (k[1:] != k[:-1]) | (comp[r[1:]] != comp[r[:-1]])])[: len(k)]
+                    rows, keys = np.concatenate([rows[~often], r[first]]), np.concatenate([keys[~often], k[first]])
+                cols = [pa.array(keys), pa.array(node[rows])] + [pa.array(comp[rows] ^ node[rows])] * whole
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "node", "component"][: len(cols)])
+
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                fps = np.array(part.column(1).to_pylist(), np.int64).reshape(part.num_rows, -1)
-                for m in range(fps.shape[1]):
-                    rows, keys = plan_keys(np.ascontiguousarray(fps[:, m]), probes)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys | m << 56), part.column(0).take(pa.array(rows))], names=["key", "node"])
+            held.append(b)
+            size += b.num_rows
+            if size >= KEYED_NODES:
+                yield from keyed()
+                size = 0
+        if size:
+            yield from keyed()
 
-    return nodes.select("node", "_fps").mapInArrow(run, "key long, node long")
+    columns = ["node", "component"][: 1 + whole]
+    dealt = nodes.select(*columns, "_fps").repartition(shuffle_parts(nodes.sparkSession), "node")
+    return dealt.mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in columns))
 
 
 def linked_fingerprints(classes: DataFrame) -> DataFrame:
@@ -252,20 +287,34 @@ def _node_of(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def _asked(nodes: DataFrame) -> np.ndarray:
+    """2^FILTER_BITS bits, set at the lowest bits of the nodes."""
+    slot = F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = nodes.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("bits")).toArrow()  # at most 2^(FILTER_BITS - 6) rows
+    out = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose texts share SIMILARITY of their shingles; only the texts of pairs are read again."""
+    """The pairs (a, b) whose texts share SIMILARITY of their shingles; only the texts of pairs are read again.
+
+    Shingles travel as 32 bits of their hashes: two of one text that fall together count once.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(_asked(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t) for t in texts_of(b, "_text")]
-            flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
+            slot = b.column(0).to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+            asked = (bits.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+            b = b.filter(pa.array(asked))
+            sets = [np.unique(shingle_set(t).astype(np.uint32)) for t in texts_of(b, "_text")]
+            flat = pa.array(np.concatenate(sets).view(np.int32) if sets else np.zeros(0, np.int32))
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["node", "shingles"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("_asked")).distinct()
     rows = docs.select(_node_of(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.join(asked.hint("merge"), F.col("node") == F.col("_asked"), "left_semi").dropDuplicates(["node"])
-    sets = table_of(rows.mapInArrow(run, "node long, shingles array<long>"), "shingles")
+    sets = table_of(rows.mapInArrow(run, "node long, shingles array<int>").dropDuplicates(["node"]), "shingles")
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")).hint("merge") for c in "ab")
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.expr(f"common >= {SIMILARITY} * (size(sa) + size(sb) - common)")).select("a", "b")
@@ -276,10 +325,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Near copies share SIMILARITY or more of their different five-word shingles (lower-cased A-Z; the whole sequence of
     fewer words; two texts without words are near copies). Candidates are texts that meet under a Golay key of one of three
-    fingerprints of their words. First each text is compared with one other, the least of those it meets as the least
-    of their buckets, so that large groups come together by as many comparisons as they have members. Then of each bucket
-    one text of each component is compared with those of all others in it. Null counts as empty; very long texts are
-    read whole; equal texts are one node; ties go to the least node; an empty table gives an empty one.
+    fingerprints of their words. First each text is compared with one other, the least of those that probe with a key of
+    its own, so that large groups come together by as many comparisons as they have members. Then of each bucket one
+    text of each component is compared with those of all others in it. Null counts as empty; very long texts are read
+    whole; equal texts are one node; ties go to the least node; an empty table gives an empty one.
     """
     batched(docs.sparkSession)
     nodes = table_of(_word_nodes(docs, text_col), "word-nodes")
@@ -291,21 +340,22 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
         both = pairs.join(prints.select(F.col("x").alias("a"), F.col("fx").alias("fa")).hint("merge"), "a").join(prints.select(F.col("x").alias("b"), F.col("fx").alias("fb")).hint("merge"), "b")
         return both.where(F.expr(f"aggregate(zip_with(fa, fb, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v) <= {LOOSE} * size(fa)")).select("a", "b")
 
-    least = _keyed(nodes, False).groupBy("key").agg(F.min("node").alias("y"))
-    met = _keyed(nodes, True).select("key", F.col("node").alias("x")).join(least.hint("merge"), "key")
+    probes = _keyed(nodes, True)
+    least = probes.groupBy("key").agg(F.min("node").alias("y"), F.max("node").alias("z")).where("y <> z").drop("z")
+    met = probes.select("key", F.col("node").alias("x")).join(least.hint("merge"), "key")
     one = close(met).groupBy(F.col("b").alias("x")).agg(F.min("a").alias("y"))
     first = table_of(_verified(table_of(one.select(F.col("y").alias("a"), F.col("x").alias("b")), "first-pairs"), docs, text_col), "first-links")
-    of = connected_components(first)
-    of = nodes.join(of.withColumnRenamed("component", "_component"), "node", "left").select("node", "_fps", F.coalesce("_component", "node").alias("component"))
+    of = nodes.join(connected_components(first), "node", "left").select("node", "_fps", F.coalesce("component", "node").alias("component"))
     of = table_of(of, "first-components")
-    comp = of.select("node", "component")
 
-    def by_component(keyed: DataFrame) -> DataFrame:
-        return keyed.join(comp.hint("merge"), "node").groupBy("key", "component").agg(F.min("node").alias("node"))
+    def bucketed(probes: bool, node: str, component: str) -> DataFrame:
+        # dealt by key once, for the grouping and for the join; tasks have brought each component's nodes down to few
+        keyed = _keyed(of, probes).repartition("key").withColumn("component", F.col("component").bitwiseXOR(F.col("node")))
+        keyed = keyed.groupBy("key", "component").agg(F.min("node").alias("node"))
+        return keyed.select("key", F.col("component").alias(component), F.col("node").alias(node))
 
-    x, y = by_component(_keyed(of, True)), by_component(_keyed(of, False))
-    x, y = x.select("key", F.col("component").alias("cx"), F.col("node").alias("x")), y.select("key", F.col("component").alias("cy"), F.col("node").alias("y"))
-    others = table_of(close(x.join(y.hint("merge"), "key").where("cx <> cy")), "other-pairs")
+    met = bucketed(True, "x", "cx").join(bucketed(False, "y", "cy").hint("merge"), "key").where("cx <> cy")
+    others = table_of(close(met.select("x", "y")), "other-pairs")
     return connected_components(first.unionByName(_verified(others, docs, text_col)))
 
 
