@@ -28,11 +28,11 @@ from rollbook.llm.common import batched, csr_take, read, shuffle_parts
 from rollbook.session import new_folder, table_of
 
 #: A worker keeps its encoder from task to task, and forgets the pieces beyond so many.
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 500_000
 #: So many new pieces are encoded as one text, with a special token between them.
 JOINED = 100
 #: Texts are encoded together from so many bytes on.
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 2 << 20
 #: A part holds about so many bytes of text where there are more than the session's shuffle partitions can hold.
 PART_BYTES = 512 << 20
 NULL_ID = -(1 << 63)
