@@ -35,6 +35,8 @@ BROADCAST_ROWS = 200_000
 TOKEN = re.compile(r"[^\W_]+(?:[.,:'’/-][^\W_]+)*|[.!?:;\n\"“”]")
 NUMBER = re.compile(r"\d+(?:[.,:/-]\d+)*")
 NUMBER_UNIT = re.compile(r"(\d+(?:[.,]\d+)*)([^\W\d_]+)")
+#: A text without this has no number with a unit glued to it.
+GLUED = re.compile(r"\d[^\W\d_]")
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams kilogram kilograms ton tons lb lbs pound pounds oz ounce ounces "
     "ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
@@ -85,7 +87,7 @@ class Canonical:
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             own = TOKEN.findall(t)
-            if any(c.isdigit() for c in t):
+            if GLUED.search(t):
                 own = [y for x in own for y in _parts(x)]
             counts[i] = len(own)
             toks += own
@@ -228,8 +230,10 @@ def decontaminate(
     """One row per contaminated document and item: id_col, item_id, matched_windows, item_windows, reparameterised.
 
     A pair counts if some alignment of the two shares a window and its slots are consistent, or shares a window without
-    slots; for an item without a window of MIN_LITERALS literals, if it stands in the document whole. reparameterised says that a slot holds another value than the item's. Null and empty texts match nothing;
-    rows of one id are judged together; a repeated item counts once; other columns are ignored.
+    slots; for an item without a window of MIN_LITERALS literals, if it stands in the document whole. reparameterised says
+    that a slot holds another value than the item's. Null and empty texts match nothing; very long texts are read whole;
+    rows of one id are judged together, null being an id like any other; a repeated item counts once; other columns are
+    ignored, whatever their names; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     batched(spark)
