@@ -7,7 +7,11 @@ that join rows of one person. Decisions are kept as JSON beside the tables, in a
 from __future__ import annotations
 
 import json
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +28,8 @@ from rollbook.operators import results as R
 from rollbook.operators.similarity import similar_names
 from rollbook.session import drop_folder, table_of
 from rollbook.settings import Settings
-from rollbook.sinks.workbook import Formula, Sheet, rows_of, workbook
+from rollbook.sinks.report import Selection, sheets_of
+from rollbook.sinks.workbook import rows_of, workbook
 from rollbook.sources.files import TABLES, cells, read_tables
 from rollbook.sources.metadata import with_metadata
 
@@ -63,25 +68,50 @@ class Engine:
             self.settings = Settings.of(state["settings"])
 
     def _save(self) -> None:
-        """Written beside, then put in place."""
+        """Written beside, then put in place in one step, which replaces what was there."""
         state = {"version": VERSION, "answers": self.answers, "overrides": self.overrides, "settings": self.settings.to_dict(), "next_order": self.next_order}
         new, fs = self._fs(f"{self.folder}/state.json.new")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(state, ensure_ascii=False).encode()))
         out.close()
         at, _ = self._fs(f"{self.folder}/state.json")
-        fs.delete(at, False)
-        fs.rename(new, at)
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(fs.makeQualified(new), fs.makeQualified(at), overwrite)
+
+    @contextmanager
+    def _alone(self, seconds: float = 600.0) -> Iterator[None]:
+        """K8: one engine at a time counts files: a lock file, whose creation is atomic. It is left if a driver dies."""
+        at, fs = self._fs(f"{self.folder}/state.lock")
+        end = time.monotonic() + seconds
+        while True:
+            try:
+                fs.create(at, False).close()
+                break
+            except Py4JJavaError as e:
+                if not fs.exists(at):
+                    raise
+                if time.monotonic() > end:
+                    raise TimeoutError(f"another engine works on {self.folder}; if none does, remove state.lock") from e
+                time.sleep(0.5)
+        try:
+            yield
+        finally:
+            fs.delete(at, False)
 
     # ------------------------------------------------------------ files
 
     def ingest(self, paths: str | list[str]) -> DataFrame:
         """K1: reads files into the state; (filename, source_id, error) of every table and of files without one."""
-        found = table_of(read_tables(self.spark, paths, self.next_order), "ingest")
-        good = found.where("error is null")
-        good.write.mode("append").partitionBy("file_order").parquet(f"{self.folder}/tables")
-        self.next_order = (found.agg(F.max("file_order")).first()[0] or self.next_order - 1) + 1
-        self._save()
+        with self._alone():
+            self._load()  # numbers that another engine has taken since
+            found = table_of(read_tables(self.spark, paths, self.next_order), "ingest")
+            good = found.where("error is null")
+            good.write.mode("append").partitionBy("file_order").parquet(f"{self.folder}/tables")
+            self.next_order = (found.agg(F.max("file_order")).first()[0] or self.next_order - 1) + 1
+            self._save()
         return found.select("filename", "source_id", "error")
 
     def tables(self) -> DataFrame:
@@ -220,7 +250,8 @@ class Engine:
         """Sheets, columns and open questions."""
         sheets, (columns, _) = self.sheets(), self.columns()
         answered = self._frame([(k,) for k in self.answers], "id string")
-        return {"sheets": sheets, "columns": columns, "questions": O.questions(sheets.select("source_id", "subject", "subject_confidence"), columns, answered)}
+        asked = O.questions(sheets.select("source_id", "subject", "subject_confidence"), columns, answered).unionByName(O.merge_questions(sheets))
+        return {"sheets": sheets, "columns": columns, "questions": asked}
 
     # ------------------------------------------------------------ result
 
@@ -302,6 +333,14 @@ class Engine:
         params = F.create_map(F.lit("n"), "detail", F.lit("source"), "detail", F.lit("chosen"), F.coalesce("subject", F.lit("")), F.lit("left"), F.coalesce("student", F.lit("")), F.lit("right"), "detail")
         return notices.withColumn("message", render(key, params, F.lit(lang or self.settings.language)))
 
+    def result_json(self) -> DataFrame:
+        """The whole result as lines of JSON: (part, json) for every row of every part of the bundle."""
+        out = None
+        for part, rows in self.result().items():
+            lines = rows.select(F.lit(part).alias("part"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+            out = lines if out is None else out.unionByName(lines)
+        return out
+
     def to_json(self) -> DataFrame:
         """One JSON text for each student, with results nested."""
         r = self.result()
@@ -320,68 +359,19 @@ class Engine:
         people = rows_of(picked.orderBy("pos", sort_key("name"), "student"))
         keys = self._frame([(p["student"],) for p in people], "student string")
         results = results.join(F.broadcast(keys), "student", "left_semi")  # as many as the report has, which is bounded
-        rows = rows_of(results)
-        names = [x["subject"] for x in rows_of(r["subjects"].orderBy("place")) if subjects is None or x["subject"] in subjects]
-        names = [s for s in names if any(x["subject"] == s for x in rows)]
-        final = {(x["student"], x["subject"]): x for x in rows}
-        seasons = {(x["student"], x["subject"], x["season_ord"]): x for x in rows_of(r["seasons"].join(F.broadcast(keys), "student", "left_semi"))}
-        out = [self._summary(people, names, final)]
-        for s in names:
-            sheet = Sheet(s, freeze="C6")
-            sheet.add(s, style="title")
-            sheet.add("")
-            sheet.add("Nota mínima", next((x["pass_mark"] for x in rows if x["subject"] == s), self.settings.pass_mark))
-            sheet.add("")
-            sheet.add("Número", "Nome", "1.ª Época", "2.ª Época", "Especial", "Melhor", "Arredondada", "Estado", style="head")
-            for p in people:
-                if (p["student"], s) not in final:
-                    continue
-                k = len(sheet.rows) + 1
-                three = [self._shown(seasons.get((p["student"], s, i))) for i in range(3)]
-                edited = final[p["student"], s]
-                best = (edited["value"], "good") if edited["edited"] else (Formula(f'IF(COUNT(C{k}:E{k})=0,"",MAX(C{k}:E{k}))'), "number")
-                sheet.add(p["student_id"], p["name"], *three, best, Formula(f'IF(F{k}="","",ROUND(F{k},0))'), Formula(f'IF(F{k}="","",IF(F{k}>=$B$3,"Aprovado","Reprovado"))'))
-            out.append(sheet)
-        means = Sheet("Médias", freeze="C2")
-        means.add("Nome", "Nível", "Ano", "Semestre", "Média", "Cadeiras", style="head")
-        by = {p["student"]: p["name"] for p in people}
-        for a in rows_of(r["averages"].join(F.broadcast(keys), "student", "left_semi").orderBy("student", "level", "year", "semester")):
-            means.add(by[a["student"]], a["level"], a["year"], a["semester"], (a["mean"], "number"), a["count"])
-        detail = Sheet("Detalhe", freeze="A2")
-        detail.add("Nome", "Cadeira", "Época", "Nota", "Origem", style="head")
-        for (student, subject, k), x in sorted(seasons.items()):
-            if subject in names:
-                detail.add(by[student], subject, V.SEASONS[k], self._shown(x), x["source"])
-        notices = Sheet("Avisos", freeze="A2")
-        notices.add("Tipo", "Aluno", "Cadeira", "Mensagem", style="head")
-        for x in rows_of(self.messages(P.notices(r["conflicts"], r["warnings"]))):
-            notices.add(x["type"], x["student"], x["subject"], x["message"])
-        if len(notices.rows) == 1:
-            notices.add("Tudo em ordem.")
+        final = {(x["student"], x["subject"]): x for x in rows_of(results)}
+        used = {subject for _, subject in final}
+        order = [x for x in rows_of(r["subjects"].orderBy("place")) if x["subject"] in used and (subjects is None or x["subject"] in subjects)]
+        of_keys = lambda name: rows_of(r[name].join(F.broadcast(keys), "student", "left_semi"))
+        selection = Selection(
+            people=people, subjects=[x["subject"] for x in order], results=final, seasons={(x["student"], x["subject"], x["season_ord"]): x for x in of_keys("seasons")}, averages=of_keys("averages"),
+            curriculum={x["subject"]: x for x in order}, notices=rows_of(self.messages(P.notices(r["conflicts"], r["warnings"]))), pass_mark=self.settings.pass_mark, language=self.settings.language,
+        )
         at, fs = self._fs(path)
         stream = fs.create(at, True)
-        stream.write(bytearray(workbook([*out, means, detail, notices])))
+        stream.write(bytearray(workbook(sheets_of(selection))))
         stream.close()
 
-    @staticmethod
-    def _shown(x) -> object:
-        return None if x is None else x["value"] if x["value"] is not None else x["status"]
-
-    def _summary(self, people: list, names: list[str], final: dict) -> Sheet:
-        sheet = Sheet("Resumo", freeze="C3")
-        sheet.add("Resumo", style="title")
-        sheet.add("Número", "Nome", *names, "Média", "Aprovadas", "Cadeiras", style="head")
-        from rollbook.sinks.workbook import column_name
-
-        for p in people:
-            k, last = len(sheet.rows) + 1, column_name(1 + len(names))
-            got = [final.get((p["student"], s)) for s in names]
-            shown = [(None if g is None else g["final"] if g["final"] is not None else g["status"], "plain" if g is None or g["approved"] is None else "good" if g["approved"] else "bad") for g in got]
-            span = f"C{k}:{last}{k}"
-            passed = sum(1 for g in got if g is not None and g["approved"])
-            sheet.add(p["student_id"], p["name"], *shown, (Formula(f'IF(COUNT({span})=0,"",ROUND(AVERAGE({span}),2))'), "number"), passed, Formula(f"COUNTA({span})"))
-        return sheet
-
 
 def clean_name(name: str) -> str:
     return " ".join(name.split())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions import vocabulary as V
-from rollbook.functions.numbers import number_of, parse_number
+from rollbook.functions.numbers import number_of, parse_number, plain_number
 from rollbook.functions.text import clean_text, norm_text
 
 GRADE = "struct<value:double,status:string,raw:string,scale:double>"
@@ -42,13 +42,17 @@ def parse_grade(c: Column | str, scale: Column | float = SCALE) -> Column:
 
 
 def with_grade(df: DataFrame, text: str, scale: Column | float = SCALE, name: str = "grade") -> DataFrame:
-    """C13 as a column of df, in steps: what several rules look at is computed once for each row."""
+    """C13 as a column of df, in steps: what several rules look at is computed once for each row.
+
+    Most cells are plain decimals: these are told before anything is cleaned, and are clean already.
+    """
     scale = scale if isinstance(scale, Column) else F.lit(float(scale))
-    df = df.withColumns({"_raw": clean_text(text), "_scale": scale})
-    df = df.withColumn("_number", number_of(F.col("_raw")))
+    df = df.withColumns({"_plain": plain_number(text), "_scale": scale})
+    df = df.withColumn("_raw", F.when(F.col("_plain").isNull(), clean_text(text)).otherwise(F.col(text)))
+    df = df.withColumn("_number", F.when(F.col("_plain").isNull(), number_of(F.col("_raw"))).otherwise(F.col("_plain")))
     df = df.withColumn("_key", F.when(F.col("_number").isNull(), norm_text("_raw")))  # most cells are numbers
     df = df.withColumn("_compact", F.trim(F.regexp_replace("_key", "[^a-z0-9]+", " ")))
-    return df.withColumn(name, _read(F.col("_raw"), F.col("_number"), F.col("_key"), F.col("_compact"), F.col("_scale"))).drop("_raw", "_number", "_key", "_compact", "_scale")
+    return df.withColumn(name, _read(F.col("_raw"), F.col("_number"), F.col("_key"), F.col("_compact"), F.col("_scale"))).drop("_plain", "_raw", "_number", "_key", "_compact", "_scale")
 
 
 def rank_of(value: Column, status: Column) -> Column:

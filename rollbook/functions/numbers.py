@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.text import clean_text, looks_like_person_name
 
-# What counts as a number, and as a number glued to a name.
+# What counts as a number, and as a number glued to a name; the JVM's \d and ^...$ ask for classes and anchors.
 NUMBER = r"^(?:[+-]?[0-9]{1,3}(?:[ .][0-9]{3})*(?:[.,][0-9]+)?|[+-]?[0-9]+(?:[.,][0-9]+)?)$"
 FRACTION = r"^([0-9]+(?:[.,][0-9]+)?)\s*/\s*([0-9]+(?:[.,][0-9]+)?)$"
 ID_PREFIX = r"(?i)^(ist|n\.?|no|nº)"
@@ -28,6 +28,12 @@ def _decimal(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), plain.try_cast("double"))
 
 
+def plain_number(text: Column | str) -> Column:
+    """The value of a text that is a plain decimal as it stands; null for any other."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.when(c.rlike(PLAIN), F.translate(c, ",", ".").try_cast("double"))
+
+
 def number_of(cleaned: Column) -> Column:
     """C10 for a cleaned text: plain decimals are told by one cheap pattern, the rest by the full rules."""
     t = F.trim(F.replace(cleaned, F.lit("%"), F.lit("")))
@@ -38,7 +44,8 @@ def number_of(cleaned: Column) -> Column:
 
 def parse_number(c: Column | str) -> Column:
     """A number in either convention, or null. Of a fraction the numerator, if the denominator is not zero."""
-    return number_of(clean_text(c))
+    plain = plain_number(c)
+    return F.when(plain.isNull(), number_of(clean_text(c))).otherwise(plain)
 
 
 def parse_student_id(c: Column | str) -> Column:

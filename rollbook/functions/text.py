@@ -60,7 +60,12 @@ def norm_text(c: Column | str) -> Column:
 
 def norm_header(c: Column | str) -> Column:
     """C4: words of letters and digits, a space between them."""
-    return F.trim(F.regexp_replace(norm_text(c), "[^a-z0-9]+", " "))
+    return header_of(norm_text(c))
+
+
+def header_of(norm: Column) -> Column:
+    """C4 from a text that is normalised already."""
+    return F.trim(F.regexp_replace(norm, "[^a-z0-9]+", " "))
 
 
 def split_glued(c: Column | str) -> Column:

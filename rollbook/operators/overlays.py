@@ -75,6 +75,13 @@ def apply_answers(columns: DataFrame, cells: DataFrame, answers: DataFrame) -> D
     return refresh_columns(out.select(*columns.columns), cells)
 
 
+def merge_questions(sheets: DataFrame) -> DataFrame:
+    """One question for each group of sheets whose names differ and which nobody confirmed; sheets (source_id, group_key,
+    canonical, names, confirmed). The default is the name that the group has now."""
+    groups = sheets.where("size(names) > 1 and not confirmed").groupBy("group_key").agg(F.min("source_id").alias("source_id"), F.min("canonical").alias("default"))
+    return groups.select(F.concat(F.lit("merge:"), F.col("group_key")).alias("id"), F.lit("merge").alias("type"), "source_id", F.lit("info").alias("severity"), "default")
+
+
 def questions(sources: DataFrame, columns: DataFrame, answered: DataFrame | None = None) -> DataFrame:
     """Id, type, source_id, severity, default: what is still undecided; answered ids are left out.
 

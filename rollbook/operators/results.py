@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.grades import approved, is_empty, rank_of, round_grade
 
-#: Common subjects that a plan of studies may list.
-PLAN_LIMIT = 5000
+#: Common subjects that go to a student together.
+PLAN_BLOCK = 5000
+#: Subjects are broadcast up to so many.
+BROADCAST_ROWS = 100_000
 GROUP = ("student", "subject", "season_ord")
 
 
@@ -25,17 +27,20 @@ def ranked(entries: DataFrame) -> DataFrame:
     return entries.withColumns({"tier": r["tier"], "score": r["score"]})
 
 
-def best_per_source(entries: DataFrame, order_cols: Sequence[str]) -> DataFrame:
-    """With pick, 1 for the best entry of each source, the first of equals.
+def dealt(entries: DataFrame) -> DataFrame:
+    """Entries dealt by student and subject, which every later window and aggregate over more keys can use as it is. To be
+    done before cells are parsed: what is shuffled is then the least."""
+    return entries.repartition("student", "subject")
 
-    Entries are dealt by student and subject, which every later window and aggregate over more keys can use as it is.
-    """
+
+def best_per_source(entries: DataFrame, order_cols: Sequence[str], are_dealt: bool = False) -> DataFrame:
+    """With pick, 1 for the best entry of each source, the first of equals. Entries are dealt unless they are already."""
     w = Window.partitionBy(*GROUP, "source").orderBy(F.desc("tier"), F.desc("score"), *order_cols)
-    return ranked(entries).repartition("student", "subject").withColumn("pick", F.row_number().over(w))
+    return ranked(entries if are_dealt else dealt(entries)).withColumn("pick", F.row_number().over(w))
 
 
 def version_rank(picked: DataFrame, order_cols: Sequence[str]) -> DataFrame:
-    """H1, H2: with version (1 is the one that counts) and by_date, over the best entries of all sources.
+    """H1, H2: with version (1 is the one that counts), by_date and reason, over the best entries of all sources.
 
     If all versions of a group have a date the newest wins, then the later file; else the later file, then the date.
     """
@@ -44,17 +49,18 @@ def version_rank(picked: DataFrame, order_cols: Sequence[str]) -> DataFrame:
     date = F.coalesce("document_date", F.lit(""))
     first, second = F.when(F.col("by_date"), date).otherwise(""), F.when(F.col("by_date"), "").otherwise(date)
     w = g.orderBy(first.desc(), F.desc("file_order"), second.desc(), *order_cols)
-    return out.withColumn("version", F.row_number().over(w).cast("bigint"))
+    reason = F.when(F.col("by_date"), "reason.newest_document").otherwise("reason.latest_file")
+    return out.withColumns({"version": F.row_number().over(w).cast("bigint"), "reason": reason})
 
 
-def season_results(entries: DataFrame, order_cols: Sequence[str]) -> DataFrame:
+def season_results(entries: DataFrame, order_cols: Sequence[str], are_dealt: bool = False) -> DataFrame:
     """The entry that counts for each student, subject and season."""
-    return version_rank(best_per_source(entries, order_cols).where("pick = 1"), order_cols).where("version = 1")
+    return version_rank(best_per_source(entries, order_cols, are_dealt).where("pick = 1"), order_cols).where("version = 1")
 
 
-def version_conflicts(entries: DataFrame, order_cols: Sequence[str]) -> DataFrame:
+def version_conflicts(entries: DataFrame, order_cols: Sequence[str], are_dealt: bool = False) -> DataFrame:
     """Groups whose sources do not agree: versions and distinct (value, status)."""
-    picked = best_per_source(entries, order_cols).where("pick = 1")
+    picked = best_per_source(entries, order_cols, are_dealt).where("pick = 1")
     return picked.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("versions"), F.countDistinct(F.struct("value", "status")).alias("distinct_grades")).where("distinct_grades > 1")
 
 
@@ -63,10 +69,10 @@ def repeated_rows(entries: DataFrame, column: str) -> DataFrame:
     return entries.groupBy(*GROUP, "source", column).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(F.struct("value", "status")).alias("distinct_grades")).where("distinct_grades > 1")
 
 
-def other_versions(entries: DataFrame, order_cols: Sequence[str]) -> DataFrame:
+def other_versions(entries: DataFrame, order_cols: Sequence[str], are_dealt: bool = False) -> DataFrame:
     """Entries that lost, with the reason: `route` within their source, `version` between sources; empty ones left out."""
-    picked = best_per_source(entries, order_cols)
-    routes = picked.where("pick > 1").withColumn("lost_as", F.lit("route"))
+    picked = best_per_source(entries, order_cols, are_dealt)
+    routes = picked.where("pick > 1").withColumns({"lost_as": F.lit("route"), "reason": F.lit(None).cast("string")})
     versions = version_rank(picked.where("pick = 1"), order_cols).where("version > 1").withColumn("lost_as", F.lit("version"))
     both = routes.unionByName(versions.select(*routes.columns))
     return both.where(~is_empty(F.col("value"), F.col("status")))
@@ -151,12 +157,13 @@ def plan_coverage(results: DataFrame, known: DataFrame) -> DataFrame:
     course, and the student's own, are enough.
     """
     students = results.select("student").distinct()
-    own = results.select("student", "subject").distinct().join(F.broadcast(known) if _few(known) else known, "subject")
+    # one look at the subjects before the plan is made: how many there are, and how many are everybody's
+    n_known, everywhere = known.agg(F.count(F.lit(1)), F.count_if(F.col("course").isNull())).first()
+    own = results.select("student", "subject").distinct().join(F.broadcast(known) if n_known <= BROADCAST_ROWS else known, "subject")
     mine = own.where("course is not null").groupBy("student").agg(F.collect_set("course").alias("courses"), F.count(F.lit(1)).alias("in_course"))
     common = own.where("course is null").groupBy("student").agg(F.count(F.lit(1)).alias("in_common"))
     sizes = known.where("course is not null").groupBy("course").agg(F.count(F.lit(1)).alias("size"))
     total = mine.select("student", F.explode("courses").alias("course")).join(sizes, "course").groupBy("student").agg(F.sum("size").alias("of_courses"))
-    everywhere = known.where("course is null").count()
     out = students.join(mine, "student", "left").join(common, "student", "left").join(total, "student", "left").withColumn("all_common", F.lit(everywhere))
     n = F.coalesce(F.size("courses"), F.lit(0))
     n = F.when(F.col("courses").isNull(), 0).otherwise(n)
@@ -166,21 +173,17 @@ def plan_coverage(results: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def _few(table: DataFrame, most: int = 100_000) -> bool:
-    return table.limit(most + 1).count() <= most
-
-
 def plan_missing(results: DataFrame, known: DataFrame) -> DataFrame:
     """(student, subject) of the plan without a result: a left anti join of plan and results."""
     students = results.select("student").distinct()
     own = results.select("student", "subject").distinct()
     mine = own.join(known.where("course is not null"), "subject").select("student", "course").distinct()
     plan = mine.join(known.where("course is not null"), "course").select("student", "subject")
-    # common subjects are every student's; there are as many as a plan lists
-    every = [r[0] for r in known.where("course is null").select("subject").limit(PLAN_LIMIT + 1).collect()]
-    if len(every) > PLAN_LIMIT:
-        raise ValueError(f"a plan has at most {PLAN_LIMIT} common subjects")
-    common = students.select("student", F.explode(F.array(*map(F.lit, every)).cast("array<string>")).alias("subject"))
+    # common subjects are every student's: blocks of them meet every student by their numbers
+    numbered = known.where("course is null").select("subject", F.pmod(F.xxhash64("subject"), F.lit(1 << 30)).alias("h"))
+    blocks = numbered.agg((F.count(F.lit(1)) / PLAN_BLOCK).cast("int") + 1).first()[0]
+    lists = numbered.groupBy((F.col("h") % blocks).alias("block")).agg(F.collect_list("subject").alias("of"))
+    common = students.select("student", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block")).join(lists, "block").select("student", F.explode("of").alias("subject"))
     return plan.unionByName(common).join(own, ["student", "subject"], "left_anti")
 
 

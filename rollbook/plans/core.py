@@ -5,27 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.functions.grades import format_grade, guess_scale, is_empty, rank_of, rescale, round_grade
+from rollbook.functions.grades import format_grade, guess_scale, is_empty, rank_of, rescale, round_grade, with_grade
 from rollbook.operators import reports as P
 from rollbook.operators import results as R
 from rollbook.plans import lens as L
+from rollbook.plans.catalog import Catalog
 
-QUERIES, ORACLES = {}, {}
+CATALOG = Catalog()
+query = CATALOG.query
 SUBJECTS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
-def query(sql: str | None = None):
-    """Registers a function (spark, sf_dir) -> DataFrame under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 @query(f"with {L.BASE_SQL} select student, subject, season_ord, source, raw, document_date from base")
 def scan_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries with subject and source looked up."""
@@ -35,7 +25,7 @@ def scan_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {L.BASE_SQL} select student, subject, value, status, tier, score from ranked where not (value is null and status = 'SEM_NOTA')")
 def filter_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed, ranked, empty ones dropped."""
-    e = L.entries(spark, sf_dir)
+    e = L.entries(spark, sf_dir, deal=False)
     r = rank_of(F.col("value"), F.col("status"))
     return e.where(~is_empty(F.col("value"), F.col("status"))).select("student", "subject", "value", "status", r["tier"].alias("tier"), r["score"].alias("score"))
 
@@ -43,13 +33,14 @@ def filter_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {L.BASE_SQL} select raw, count(*) as n, min(value) as value, min(status) as status from entries group by raw")
 def parse_grade_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C13 over every spelling in the lens."""
-    return L.entries(spark, sf_dir).groupBy("raw").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("value"), F.min("status").alias("status"))
+    texts = L.base(spark, sf_dir).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))  # each spelling is read once
+    return with_grade(texts, "raw", name="g").select("raw", "n", F.col("g.value").alias("value"), F.col("g.status").alias("status"))
 
 
 @query(f"with {L.BASE_SQL} select value, count(*) as n, cast(floor(value + 0.5) as bigint) as final, round(value * 100 / 20, 4) as value100 from entries where value is not null group by value")
 def round_and_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C17, C18."""
-    e = L.entries(spark, sf_dir).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    e = L.entries(spark, sf_dir, deal=False).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     g = F.struct(F.col("value"), F.lit(None).cast("string").alias("status"), F.lit("").alias("raw"), F.lit(20.0).alias("scale"))
     return e.select("value", "n", round_grade(F.col("value")).alias("final"), rescale(g, 100.0)["value"].alias("value100"))
 
@@ -75,21 +66,21 @@ def scale_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {L.VERSIONS_SQL} select student, subject, season_ord, source, value, status from picked where pick = 1")
 def best_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G3, G5."""
-    return R.best_per_source(L.entries(spark, sf_dir), L.ORDER).where("pick = 1").select("student", "subject", "season_ord", "source", "value", "status")
+    return R.best_per_source(L.entries(spark, sf_dir), L.ORDER, are_dealt=True).where("pick = 1").select("student", "subject", "season_ord", "source", "value", "status")
 
 
-@query(f"with {L.VERSIONS_SQL} select student, subject, season_ord, source, version, by_date from versions")
+@query(f"with {L.VERSIONS_SQL} select student, subject, season_ord, source, version, by_date, case when by_date then 'reason.newest_document' else 'reason.latest_file' end as reason from versions")
 def version_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1, H2."""
-    p = R.best_per_source(L.entries(spark, sf_dir), L.ORDER).where("pick = 1")
-    return R.version_rank(p, L.ORDER).select("student", "subject", "season_ord", "source", "version", "by_date")
+    p = R.best_per_source(L.entries(spark, sf_dir), L.ORDER, are_dealt=True).where("pick = 1")
+    return R.version_rank(p, L.ORDER).select("student", "subject", "season_ord", "source", "version", "by_date", "reason")
 
 
 @query(f"""with {L.VERSIONS_SQL} select student, subject, season_ord, count(*) as versions, count(distinct coalesce(cast(value as varchar), '') || '|' || coalesce(status, '')) as distinct_grades
 from firsts group by all having count(distinct coalesce(cast(value as varchar), '') || '|' || coalesce(status, '')) > 1""")
 def version_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G6."""
-    return R.version_conflicts(L.entries(spark, sf_dir), L.ORDER)
+    return R.version_conflicts(L.entries(spark, sf_dir), L.ORDER, are_dealt=True)
 
 
 @query(f"""with {L.BASE_SQL} select student, subject, season_ord, source, l_linenumber, count(*) as rows, count(distinct coalesce(cast(value as varchar), '') || '|' || coalesce(status, '')) as distinct_grades
@@ -104,7 +95,7 @@ select student, subject, season_ord, source, value, status, 'route' as lost_as f
 union all select student, subject, season_ord, source, value, status, 'version' from versions where version > 1 and not (value is null and status = 'SEM_NOTA')""")
 def other_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G7."""
-    return R.other_versions(L.entries(spark, sf_dir), L.ORDER).select("student", "subject", "season_ord", "source", "value", "status", "lost_as")
+    return R.other_versions(L.entries(spark, sf_dir), L.ORDER, are_dealt=True).select("student", "subject", "season_ord", "source", "value", "status", "lost_as")
 
 
 @query(f"with {L.BEST_SQL} select * from best")
@@ -130,7 +121,7 @@ def subject_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.subject_stats(L.subjects(spark, sf_dir), L.results(spark, sf_dir))
 
 
-@query(f"""with {L.BEST_SQL}, listed as (select distinct student, subject from base where source = 1 union select student, subject from results),
+@query(f"""with {L.BEST_SQL}, listed as (select distinct student, subject from base union select student, subject from results),
 idle as (select l.subject, count(*) as n from listed l where not exists (select 1 from results r where r.student = l.student and r.subject = l.subject and r.status is distinct from null or r.student = l.student and r.subject = l.subject and r.value is not null) group by 1)
 select s.subject, count(r.student) + coalesce(max(i.n), 0) as students, count(*) filter (where approved) as approved, count(*) filter (where not approved) as failed,
  count(r.student) filter (where approved is null) + coalesce(max(i.n), 0) as pending, round(avg(final), 2) as average,
@@ -140,8 +131,7 @@ def subject_stats_with_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Students whom a sheet lists without any grade are pending."""
     all_results = L.results(spark, sf_dir)
     graded = all_results.where("value is not null or status is not null")
-    listed = L.base(spark, sf_dir).where("source = 1")
-    return R.subject_stats(L.subjects(spark, sf_dir), graded, R.seen_subjects(listed, all_results))
+    return R.subject_stats(L.subjects(spark, sf_dir), graded, R.seen_subjects(L.base(spark, sf_dir), all_results))
 
 
 @query(f"""with {L.BEST_SQL} select count(distinct student) as students, count(distinct subject) as subjects, count(*) filter (where approved) as approved,
@@ -171,28 +161,36 @@ def missing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.missing_curriculum(L.results(spark, sf_dir), L.curriculum(spark, sf_dir))
 
 
-@query(f"""with {L.BEST_SQL}, few as (select * from results where best_season = 0), mine as (select distinct s.student, c.course from few s join curriculum c on c.subject = s.subject where c.course is not null),
-n as (select student, count(*) as n, min(course) as one from mine group by 1),
-plan as (select st.student, c.subject from (select distinct student from few) st join curriculum c on c.course is null or exists (select 1 from mine m where m.student = st.student and m.course = c.course))
-select p.student, case when max(n.n) = 1 then max(n.one) end as course, coalesce(max(n.n), 0) as n_courses, count(*) filter (where exists (select 1 from few s where s.student = p.student and s.subject = p.subject)) as have, count(*) as total
+_PLAN = """known as (select subject, course from curriculum union all select distinct p_brand, case cast(right(p_brand, 1) as int) % 3 when 0 then 'A' when 1 then 'B' end from part),
+mine as (select distinct s.student, k.course from results s join known k on k.subject = s.subject where k.course is not null),
+plan as (select st.student, k.subject from (select distinct student from results) st join known k on k.course is null or exists (select 1 from mine m where m.student = st.student and m.course = k.course))"""
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects with their course: those of the lens, and brands, in which nobody has a result."""
+    course = F.when(F.col("p_brand").rlike("[0369]$"), "A").when(F.col("p_brand").rlike("[147]$"), "B")
+    brands = L.table(spark, sf_dir, "part").select(F.col("p_brand").alias("subject"), course.alias("course")).distinct()
+    return L.curriculum(spark, sf_dir).select("subject", "course").unionByName(brands)
+
+
+@query(f"""with {L.BEST_SQL}, {_PLAN}, n as (select student, count(*) as n, min(course) as one from mine group by 1)
+select p.student, case when max(n.n) = 1 then max(n.one) end as course, coalesce(max(n.n), 0) as n_courses, count(*) filter (where exists (select 1 from results s where s.student = p.student and s.subject = p.subject)) as have, count(*) as total
 from plan p left join n on n.student = p.student group by p.student""")
 def plan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F9."""
-    return R.plan_coverage(L.results(spark, sf_dir).where("best_season = 0"), L.curriculum(spark, sf_dir))
+    return R.plan_coverage(L.results(spark, sf_dir), _known(spark, sf_dir))
 
 
-@query(f"""with {L.BEST_SQL}, few as (select * from results where best_season = 0), mine as (select distinct s.student, c.course from few s join curriculum c on c.subject = s.subject where c.course is not null)
-select st.student, c.subject from (select distinct student from few) st join curriculum c on c.course is null or exists (select 1 from mine m where m.student = st.student and m.course = c.course)
-except select student, subject from few""")
+@query(f"with {L.BEST_SQL}, {_PLAN} select student, subject from plan except select student, subject from results")
 def plan_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set difference of plan and results."""
-    return R.plan_missing(L.results(spark, sf_dir).where("best_season = 0"), L.curriculum(spark, sf_dir))
+    return R.plan_missing(L.results(spark, sf_dir), _known(spark, sf_dir))
 
 
-@query(f"with {L.BEST_SQL} select distinct student, subject from base where source = 1 union select student, subject from results where approved")
+@query(f"with {L.BEST_SQL} select distinct student, subject from base union select student, subject from results")
 def seen_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F8."""
-    return R.seen_subjects(L.base(spark, sf_dir).where("source = 1"), L.results(spark, sf_dir).where("approved"))
+    return R.seen_subjects(L.base(spark, sf_dir), L.results(spark, sf_dir))
 
 
 _EDITS = "edits as (select o_custkey as student, p_type as subject, max(o_orderkey) % 20 + 0.5 as edit from orders join part on p_partkey = o_custkey where o_custkey % 7 = 0 group by 1, 2)"
@@ -209,10 +207,10 @@ def grade_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.apply_edits(R.best_season(L.seasons(spark, sf_dir)), edits).drop("best_season")
 
 
-@query(f"with {L.BASE_SQL} select student, subject, raw from base where subject not in (select p_type from part where p_size < 2)")
+@query(f"with {L.BASE_SQL} select student, subject, raw from base where subject not in (select p_type from part where length(p_type) > 6)")
 def removed_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anti join before anything else reads the rows."""
-    gone = L.table(spark, sf_dir, "part").where("p_size < 2").select(F.col("p_type").alias("subject")).distinct()
+    gone = L.table(spark, sf_dir, "part").where("length(p_type) > 6").select(F.col("p_type").alias("subject")).distinct()
     return L.base(spark, sf_dir).join(gone, "subject", "left_anti").select("student", "subject", "raw")
 
 
@@ -272,7 +270,7 @@ def notices_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B8, J2."""
     e = L.entries(spark, sf_dir)
     kind = lambda df, t, s: df.withColumns({"type": F.lit(t), "severity": F.lit(s)})
-    grades = kind(R.version_conflicts(e, L.ORDER).select("student", "subject"), "nota", "warning")
+    grades = kind(R.version_conflicts(e, L.ORDER, are_dealt=True).select("student", "subject"), "nota", "warning")
     rows = kind(R.repeated_rows(e, "l_linenumber").select("student", "subject"), "linha repetida", "warning")
     names = kind(L.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("student")), "nome", "info")
     return P.notices(grades, rows, names).groupBy("type", "severity").agg(F.count(F.lit(1)).alias("n"), F.count("subject").alias("with_subject"))

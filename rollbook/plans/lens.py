@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.grades import with_grade
 from rollbook.operators import results as R
+from rollbook.session import spread
 
 #: What decides between equal entries.
 ORDER = ["o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax", "raw"]
@@ -65,7 +66,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     tenths = F.col("l_quantity").cast("bigint") * 4
     raw = F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.08), "RE").when((F.col("l_returnflag") == "A") & (F.col("l_discount") >= 0.09), "NA").when(F.col("l_discount") < 0.01, "-")
     raw = raw.otherwise(F.concat_ws(",", F.floor(tenths / 10).cast("string"), (tenths % 10).cast("string")))
-    joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    joined = spread(spark, f"{sf_dir}/lineitem.parquet", "l_orderkey").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     season = F.when(F.col("l_linenumber") % 3 == 1, 0).when(F.col("l_linenumber") % 3 == 2, 1).otherwise(2)
     source = F.col("l_suppkey") % 3
     return joined.select(
@@ -74,8 +75,10 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = with_grade(base(spark, sf_dir), "raw", name="g")
+def entries(spark: SparkSession, sf_dir: str, deal: bool = True) -> DataFrame:
+    """The lens with grades read; dealt by student and subject first unless no operator over these follows."""
+    rows = base(spark, sf_dir)
+    g = with_grade(R.dealt(rows) if deal else rows, "raw", name="g")
     return g.withColumns({"value": F.col("g.value"), "status": F.col("g.status")}).drop("g")
 
 
@@ -92,7 +95,7 @@ def pass_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.season_results(entries(spark, sf_dir), ORDER)
+    return R.season_results(entries(spark, sf_dir), ORDER, are_dealt=True)
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:

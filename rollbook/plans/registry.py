@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from rollbook.plans import core, structure
+from rollbook.plans import core, ingest, structure
+from rollbook.plans.catalog import Catalog
 
 FLAGSHIP = "subject_stats"
-QUERIES = core.QUERIES | structure.QUERIES
-ORACLES = core.ORACLES | structure.ORACLES
+ALL = Catalog().add(core.CATALOG).add(structure.CATALOG).add(ingest.CATALOG)
+QUERIES, ORACLES = ALL.queries, ALL.oracles

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions import text as T
@@ -11,19 +11,12 @@ from rollbook.operators import identity as I
 from rollbook.operators import inference as N
 from rollbook.operators import layout as Y
 from rollbook.operators.similarity import similar_names as similar
+from rollbook.plans.catalog import Catalog
 from rollbook.plans.lens import table
+from rollbook.session import spread
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+CATALOG = Catalog()
+query = CATALOG.query
 
 
 # ---------------------------------------------------------------- text
@@ -44,24 +37,28 @@ def _norm(c: str) -> str:
     return f"trim(regexp_replace(lower({_plain(split)}), '{_SPACE}', ' ', 'g'))"
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark, f"{sf_dir}/documents.parquet", "doc_id")
+
+
 @query(f"select doc_id, md5({_clean('text')}) as cleaned, length({_clean('text')}) as n from documents")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2 over whole texts; the digest stands for the text."""
     t = T.clean_text("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.cast("binary")).alias("cleaned"), F.length(t).cast("bigint").alias("n"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(t.cast("binary")).alias("cleaned"), F.length(t).cast("bigint").alias("n"))
 
 
 @query(f"select doc_id, md5({_plain('coalesce(text, chr(32))')}) as plain from documents")
 def strip_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.strip_accents(F.coalesce("text", F.lit(" "))).cast("binary")).alias("plain"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(T.strip_accents(F.coalesce("text", F.lit(" "))).cast("binary")).alias("plain"))
 
 
 @query(f"select doc_id, md5(trim(regexp_replace({_norm('text')}, '[^a-z0-9]+', ' ', 'g'))) as header, md5({_norm('text')}) as norm from documents")
 def norm_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C3, C4."""
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5(T.norm_header("text").cast("binary")).alias("header"), F.md5(T.norm_text("text").cast("binary")).alias("norm"))
+    d = _documents(spark, sf_dir).select("doc_id", T.norm_text("text").alias("norm"))
+    return d.select("doc_id", F.md5(T.header_of(F.col("norm")).cast("binary")).alias("header"), F.md5(F.col("norm").cast("binary")).alias("norm"))
 
 
 @query("select p_partkey, trim(regexp_replace(regexp_replace(lower(p_brand || 'x' || p_size), '([a-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([a-z])', '\\1 \\2', 'g')) as apart from (select p_partkey, replace(p_brand, '#', '') as p_brand, p_size from part)")
@@ -98,11 +95,15 @@ def student_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", i.alias("student_id"), student_key(i, T.norm_name("c_name")).alias("key"))
 
 
-@query("""select p_partkey, cast(100000 + p_partkey as varchar) as student_id, array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split(p_name, ' ')], ' ') as name from part where len(string_split(p_name, ' ')) >= 2""")
+@query("""with n as (select p_partkey, cast(100000 + p_partkey as varchar) as number, case when p_size % 6 = 0 then string_split(p_name, ' ')[1] else p_name end as words from part),
+c as (select *, array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split(words, ' ')], ' ') as name from n),
+s as (select *, case p_partkey % 4 when 0 then number || name when 1 then number || ' ' || name when 2 then number || ' - ' || name else name || ' | ' || number end as cell from c)
+select p_partkey, case when contains(words, ' ') then number end as student_id, case when contains(words, ' ') then name else cell end as name from s""")
 def id_name_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number and name in one cell, glued, spaced, or the name first."""
-    p = table(spark, sf_dir, "part").where("size(split(p_name, ' ')) >= 2")
-    number, name, k = (F.col("p_partkey") + 100000).cast("string"), T.title_name("p_name"), F.col("p_partkey") % 4
+    """Number and name in one cell, glued, spaced, or the name first; a lone word is no name, and its cell stays whole."""
+    words = F.when(F.col("p_size") % 6 == 0, F.get(F.split("p_name", " "), F.lit(0))).otherwise(F.col("p_name"))
+    p = table(spark, sf_dir, "part").withColumn("words", words)
+    number, name, k = (F.col("p_partkey") + 100000).cast("string"), T.title_name("words"), F.col("p_partkey") % 4
     cell = F.when(k == 0, F.concat(number, name)).when(k == 1, F.concat(number, F.lit(" "), name)).when(k == 2, F.concat(number, F.lit(" - "), name)).otherwise(F.concat(name, F.lit(" | "), number))
     s = split_id_from_name(cell)
     return p.select("p_partkey", s["student_id"].alias("student_id"), s["name"].alias("name"))
@@ -198,7 +199,7 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as sheets: a source for each priority, a row for each order."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(spark, f"{sf_dir}/orders.parquet", "o_orderkey")
     cols = F.array(
         F.concat(F.lit("Ana Silva "), F.col("o_orderstatus")), F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 7 == 0, "RE").otherwise(F.concat_ws(",", (F.col("o_orderkey") % 20).cast("string"), (F.col("o_custkey") % 10).cast("string"))),
         F.when(F.col("o_orderkey") % 4 == 0, (F.col("o_custkey") % 20).cast("string")).otherwise(""), F.when(F.col("o_orderkey") % 2 == 0, "-").otherwise(F.col("o_orderstatus")),
@@ -258,26 +259,40 @@ def column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.select("source_id", "col", "header", "role", "kind", "season", "route", "scale", "confidence")
 
 
-@query("""with b as (select p_type as source_id, p_brand as row, p_partkey from part), t as (select source_id, row, count(*) as n from b group by 1, 2)
-select source_id, cast(row_number() over (order by source_id) - row_number() over (order by source_id) as int) as header from (select distinct source_id from b)""")
+_HEADED = """placed as (select p_brand as source_id, cast(right(p_brand, 1) as int) % 5 as k, p_name, p_partkey, p_size, row_number() over (partition by p_brand order by p_partkey) as n from part),
+rows as (select distinct source_id, unnest(range(k)) as row, ['Pauta de Redes', '', ''] as cells from placed
+ union all select distinct source_id, k, ['Nome', 'Nº Aluno', case when k % 2 = 0 then 'Nota Final' else 'Final grade' end] from placed
+ union all select source_id, k + n, [upper(p_name), cast(900000 + p_partkey as varchar), cast(p_size % 21 as varchar)] from placed)"""
+
+
+@query(f"""with {_HEADED}, cells as (select source_id, row, unnest(cells) as text from rows where row < 12),
+scored as (select source_id, row, case when text = '' then 0 when text = 'Nome' then 3 when text = 'Nº Aluno' then 5 when text in ('Nota Final', 'Final grade', 'Pauta de Redes') then 2
+  when regexp_full_match(text, '[0-9]+') then case when length(text) >= 4 then -5 else -2 end else 0 end as score from cells),
+sums as (select source_id, row, sum(score) as score from scored group by 1, 2)
+select source_id, cast(arg_min(row, (-score, row)) as int) as header from sums group by source_id""")
 def header_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A header row above rows of names and numbers is found at the top."""
-    p = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("source_id")).agg(F.min("p_partkey").alias("k"))
-    rows = F.array(F.array(F.lit("Nome"), F.lit("Nº Aluno"), F.lit("Nota Final")), F.array(F.lit("Ana Silva"), (F.col("k") + 100000).cast("string"), F.lit("12")))
-    cells = p.select("source_id", F.posexplode(rows).alias("row", "cells")).select("source_id", "row", F.posexplode("cells").alias("col", "text"))
+    """The header of sheets of all parts, under zero to four title lines, by the scores of its cells."""
+    w = Window.partitionBy("source_id").orderBy("p_partkey")
+    p = table(spark, sf_dir, "part").withColumns({"source_id": F.col("p_brand"), "k": (F.right("p_brand", F.lit(1)).cast("int") % 5).cast("bigint")}).withColumn("n", F.row_number().over(w))
+    lit = lambda *t: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in t])
+    sheets = p.select("source_id", "k").distinct()
+    titles = sheets.where("k > 0").select("source_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).alias("row"), lit("Pauta de Redes", "", "").alias("cells"))
+    heads = sheets.select("source_id", F.col("k").alias("row"), lit("Nome", "Nº Aluno", F.when(F.col("k") % 2 == 0, "Nota Final").otherwise("Final grade")).alias("cells"))
+    data = p.select("source_id", (F.col("k") + F.col("n")).alias("row"), lit(F.upper("p_name"), (F.col("p_partkey") + 900000).cast("string"), (F.col("p_size") % 21).cast("string")).alias("cells"))
+    cells = titles.unionByName(heads).unionByName(data).select("source_id", "row", F.posexplode("cells").alias("col", "text"))
     return N.header_rows(cells)
 
 
 # ---------------------------------------------------------------- layout
 
-_BOXES = """boxes as (select l_suppkey % 10 as page, l_orderkey as line, cast(l_linenumber * 40 + l_partkey % 7 as double) as x0, cast(l_linenumber * 40 + l_partkey % 7 + 6 + l_quantity % 20 as double) as x1 from lineitem where l_linenumber <> 4),
+_BOXES = """boxes as (select l_suppkey % 10 as page, l_orderkey as line, cast(l_linenumber * 40 + case when l_linenumber > 4 then 60 else 0 end + l_partkey % 7 as double) as x0, cast(l_linenumber * 40 + case when l_linenumber > 4 then 60 else 0 end + l_partkey % 7 + 6 + l_quantity % 20 as double) as x1 from lineitem),
 cuts as (select page, x0, x1, greatest(max(x1) over w, min(x0) over w) as reach from boxes window w as (partition by page order by x0, x1 rows between unbounded preceding and 1 preceding)),
 bounds as (select page, unnest([min(x0) - 1] || list((reach + x0) / 2) filter (where x0 > reach + 4.5) || [max(x1) + 1]) as bound from cuts group by page)"""
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x0 = (F.col("l_linenumber") * 40 + F.col("l_partkey") % 7).cast("double")
-    return table(spark, sf_dir, "lineitem").where("l_linenumber <> 4").select((F.col("l_suppkey") % 10).alias("page"), F.col("l_orderkey").alias("line"), x0.alias("x0"), (x0 + 6 + F.col("l_quantity") % 20).alias("x1"))
+    x0 = (F.col("l_linenumber") * 40 + F.when(F.col("l_linenumber") > 4, 60).otherwise(0) + F.col("l_partkey") % 7).cast("double")
+    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("page"), F.col("l_orderkey").alias("line"), x0.alias("x0"), (x0 + 6 + F.col("l_quantity") % 20).alias("x1"))
 
 
 @query(f"with {_BOXES} select page, bound, row_number() over (partition by page order by bound) - 1 as place from bounds")
@@ -293,8 +308,8 @@ def assign_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8f, A8h: words in their bands, and where each column has values."""
     boxes = _boxes(spark, sf_dir)
     placed = Y.band_of(boxes, Y.column_bounds(boxes, ["page"]), ["page"])
-    n = placed.groupBy("page", F.col("col").cast("bigint").alias("col")).agg(F.count(F.lit(1)).alias("words"), F.min("x0").alias("lo"), F.max("x1").alias("hi"))
-    return n
+    n = placed.groupBy("page", "col").agg(F.count(F.lit(1)).alias("words"))
+    return n.join(Y.value_spans(placed, ["page"]), ["page", "col"]).withColumn("col", F.col("col").cast("bigint"))
 
 
 # ---------------------------------------------------------------- overlays and serialisation
@@ -303,7 +318,7 @@ def assign_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with old as (select user_id as k, value as v from events where event_id % 2 = 0 qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1), new as (select user_id as k, case when event_type = 'error' then null else value end as v from events where event_id % 2 = 1 and user_id % 3 <> 0 qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)
 select coalesce(o.k, n.k) as k, case when n.k is not null then n.v else o.v end as v from old o full outer join new n on o.k = n.k where case when n.k is not null then n.v else o.v end is not null""")
 def upsert_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K3: new values over old ones, empty ones delete."""
+    """K3: new values over old ones, empty ones delete; a third of the users get none, so that old ones stay."""
     from rollbook.operators.overlays import upsert
 
     e = table(spark, sf_dir, "events")

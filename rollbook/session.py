@@ -27,17 +27,32 @@ def get_spark(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all machines see; a temporary one only where none is set (tests)."""
+    """The folder of spark.checkpoint.dir, which all machines see; a temporary one where none is set and all is one machine."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         if at.isDefined():
             return at.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         held = f"file://{tempfile.mkdtemp(prefix='rollbook-')}"
         spark.sparkContext.setCheckpointDir(held)
     return held
 
 
+#: A table of fewer bytes lies in few row groups, which would keep most cores idle.
+SMALL_BYTES = 256 << 20
+
+
+def spread(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The Parquet table at path; a small one is dealt by key to all cores, a large one is read as it lies."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    rows = spark.read.parquet(path)
+    return rows.repartition(spark.sparkContext.defaultParallelism, key) if size < SMALL_BYTES else rows
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/rollbook/{name}-{uuid.uuid4().hex}"
 

@@ -117,21 +117,62 @@ def test_answers_and_overrides_are_taken_back(engine, tmp_path):
     assert "moment" not in {r["type"] for r in engine.review()["questions"].collect()}
 
 
+def formulas(data, sheet):
+    """Cell -> formula of a sheet by number."""
+    import io
+    import re
+    import zipfile
+
+    xml = zipfile.ZipFile(io.BytesIO(data)).read(f"xl/worksheets/sheet{sheet}.xml").decode()
+    return dict(re.findall(r'<c r="([A-Z]+[0-9]+)"[^>]*><f>([^<]*)</f>', xml))
+
+
 def test_workbook_round_trip(engine, tmp_path):
     put(tmp_path, "Fisica.csv", SHEET)
     engine.ingest(str(tmp_path / "*.csv"))
+    engine.update(settings={"subject_curriculum": {"Fisica": {"year": 1, "semester": 2, "ects": 6}}})
     out = tmp_path / "out.xlsx"
     engine.export_xlsx(f"file://{out}", students=["Pessoa Beta Dois", "id:900001"])
     got = dict(sheets(out.read_bytes()))
     assert list(got) == ["Resumo", "Fisica", "Médias", "Detalhe", "Avisos"]
-    assert [r[1] for r in got["Resumo"][2:]] == ["Pessoa Beta Dois", "Pessoa Alfa Um"]
+    assert [r[1] for r in got["Resumo"][4:6]] == ["Pessoa Beta Dois", "Pessoa Alfa Um"]
+    assert got["Resumo"][1][2] == "1.º ano · 2.º sem." and got["Médias"][1][:2] == ["ECTS", "6"]
+    first, second, third = (formulas(out.read_bytes(), i) for i in (1, 2, 3))
+    assert first["C5"] == "IF('Fisica'!$G$6=\"\",\"\",'Fisica'!$G$6)" and first["C3"] == "'Fisica'!$B$3" and "AVERAGE(C5:C6)" in first["C7"]
+    assert second["K7"] == 'COUNTIFS($G$6:$G$7,"&gt;=10",$G$6:$G$7,"&lt;=13")' and "AVERAGE($G$6:$G$7)" in second["G12"]
+    assert third["C4"] == third["D4"] and "B4*B$2" in third["C4"]
+    engine.update(settings={"language": "en"})
     engine.export_xlsx(f"file://{out}")
-    assert parse("out.xlsx", out.read_bytes())[0][0] == "sheet:Resumo"
+    assert parse("out.xlsx", out.read_bytes())[0][0] == "sheet:Summary"
+    assert any("Not admitted" in r for r in dict(sheets(out.read_bytes()))["Detail"])
     js = {r["student"]: r["json"] for r in engine.to_json().collect()}
     assert '"subject":"Fisica"' in js["id:900001"]
+    whole = engine.result_json().where("part in ('results', 'stats', 'settings')").collect()
+    assert {r["part"] for r in whole} == {"results", "stats", "settings"} and sum(r["part"] == "results" for r in whole) == 3
     assert all(r["message"] for r in engine.messages(engine.result()["warnings"]).collect())
 
 
+def test_state_is_replaced_in_one_step(spark, engine, tmp_path):
+    engine.update(answers={"a:subject": "X"})
+    engine.update(answers={"a:subject": "Y"})
+    assert Engine(spark, engine.folder).answers == {"a:subject": "Y"} and not (tmp_path / "state" / "state.json.new").exists()
+    (tmp_path / "state" / "state.lock").write_text("")
+    with pytest.raises(TimeoutError):
+        with engine._alone(seconds=0):
+            pass
+
+
+def test_merge_questions(engine, tmp_path):
+    put(tmp_path, "a1.csv", "Nome;Nota Final\nPessoa Alfa Um;12\n")
+    put(tmp_path, "a2.csv", "Nome;Nota Final\nPessoa Beta Dois;13\n")
+    engine.ingest(str(tmp_path / "*.csv"))
+    engine.update(answers={"f1s0:subject": "Redes", "f2s0:subject": "REDES"})
+    asked = {r["id"]: r["default"] for r in engine.review()["questions"].where("type = 'merge'").collect()}
+    assert list(asked) == ["merge:nome:redes"]
+    engine.update(answers={"merge:nome:redes": "Redes"})
+    assert engine.review()["questions"].where("type = 'merge'").count() == 0
+
+
 def test_empty_engine(engine):
     r = engine.result()
     assert r["results"].count() == 0 and r["stats"].first()["students"] == 0
