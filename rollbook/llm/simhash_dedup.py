@@ -325,8 +325,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Near copies share SIMILARITY or more of their different five-word shingles (lower-cased A-Z; the whole sequence of
     fewer words; two texts without words are near copies). Candidates are texts that meet under a Golay key of one of three
-    fingerprints of their words. First each text is compared with one other, the least of those that probe with a key of
-    its own, so that large groups come together by as many comparisons as they have members. Then of each bucket one
+    fingerprints of their words. First each text is compared, for each of the 30 keys it probes with, with the least of
+    those that probe with the same, so that large groups come together by comparisons in proportion to their members, even
+    where only some of their pairs are near enough. Then of each bucket one
     text of each component is compared with those of all others in it. Null counts as empty; very long texts are read
     whole; equal texts are one node; ties go to the least node; an empty table gives an empty one.
     """
@@ -343,8 +344,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     probes = _keyed(nodes, True)
     least = probes.groupBy("key").agg(F.min("node").alias("y"), F.max("node").alias("z")).where("y <> z").drop("z")
     met = probes.select("key", F.col("node").alias("x")).join(least.hint("merge"), "key")
-    one = close(met).groupBy(F.col("b").alias("x")).agg(F.min("a").alias("y"))
-    first = table_of(_verified(table_of(one.select(F.col("y").alias("a"), F.col("x").alias("b")), "first-pairs"), docs, text_col), "first-links")
+    first = table_of(_verified(table_of(close(met), "first-pairs"), docs, text_col), "first-links")
     of = nodes.join(connected_components(first), "node", "left").select("node", "_fps", F.coalesce("component", "node").alias("component"))
     of = table_of(of, "first-components")
 
