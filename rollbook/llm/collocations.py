@@ -31,9 +31,11 @@ BUCKET_BITS, PHRASE_BITS = 24, 26
 #: Counters in a block that tasks hand on.
 BLOCK = 4096
 #: Characters of texts that are counted together; a longer text is a run of its own.
-RUN_CHARS = 8 << 20
+RUN_CHARS = 4 << 20
 #: Parts of a hot key (a word that many phrases begin or end with, a language).
 SALTS = 32
+#: floor(1000 a n / (l r)), exact to 38 digits.
+SCORE = "cast(1000 as decimal(4,0)) * a * n div (cast(l as decimal(19,0)) * r)"
 
 _DELIMITERS = b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)
@@ -179,6 +181,22 @@ def phrase_bits(phrases: DataFrame, bits: int) -> DataFrame:
     return phrases.select("lang", "phrase").mapInArrow(run, "word int, bits long")
 
 
+def packed(counters: np.ndarray) -> bytes:
+    """A block of counters; places and counters of those that are not zero, if that is shorter."""
+    used = np.flatnonzero(counters)
+    short = len(used) * (2 + counters.itemsize) < counters.nbytes
+    return used.astype("<u2").tobytes() + counters[used].tobytes() if short else counters.tobytes()
+
+
+def unpacked(data: pa.Buffer, kind: np.dtype) -> np.ndarray:
+    if data.size == BLOCK * kind.itemsize:
+        return np.frombuffer(data, kind)
+    n = data.size // (2 + kind.itemsize)
+    out = np.zeros(BLOCK, kind)
+    out[np.frombuffer(data, "<u2", n)] = np.frombuffer(data, kind, n, 2 * n)
+    return out
+
+
 def bucket_bits(blocks: DataFrame, least: int) -> DataFrame:
     """(word, bits) of the buckets that reach `least`, from blocks (block, counters) of all tasks."""
     kind = np.min_scalar_type(least)
@@ -187,8 +205,8 @@ def bucket_bits(blocks: DataFrame, least: int) -> DataFrame:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for block, counters in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = np.frombuffer(counters.as_buffer(), kind).astype(np.int64)
-                sums[block] = np.minimum(sums[block] + own, least).astype(kind) if block in sums else own.astype(kind)
+                own = unpacked(counters.as_buffer(), kind)
+                sums[block] = np.minimum(sums[block].astype(np.int64) + own, least).astype(kind) if block in sums else own
         for block, s in sums.items():
             bits = np.packbits(s >= least, bitorder="little").view(np.int64)
             word = np.flatnonzero(bits).astype(np.int32)
@@ -243,7 +261,7 @@ def _pass(docs: DataFrame, k: int, frequent: Bitmap | None, buckets: Bitmap | No
         used = np.flatnonzero(blocks.any(1))
         for at in range(0, len(used), 256):
             part = used[at : at + 256]
-            counters = pa.array([blocks[i].tobytes() for i in part], pa.binary())
+            counters = pa.array([packed(blocks[i]) for i in part], pa.binary())
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(part), t) for t in (pa.string(), pa.string(), pa.int64())), pa.array(part.astype(np.int32)), counters], names=NAMES)
 
     return docs.select("lang", "text").mapInArrow(work, "lang string, phrase string, n long, block int, counters binary")
@@ -310,8 +328,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
         known = parts.select("lang", F.col("phrase").alias(part), F.col("n").alias(count), "salt")
         kept = kept.withColumn("salt", F.when(F.col(is_word), _salt_of("phrase")).otherwise(0)).join(known, ["lang", part, "salt"]).drop("salt")
     kept = kept.withColumn("salt", _salt_of("phrase")).join(_salted(totals), ["lang", "salt"]).drop("salt")
-    score = F.expr("cast(cast(1000 as decimal(4,0)) * a * n as decimal(38,0)) div (cast(l as decimal(19,0)) * r)")
-    best = kept.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
+    best = kept.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(F.expr(SCORE).alias("score"), "k", "l", "r")).alias("cut"))
     best = best.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
 
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
