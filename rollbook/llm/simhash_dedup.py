@@ -45,6 +45,8 @@ FILTER_BITS = 26
 #: Near copies: words of a shingle, least share of common shingles, and the mean of differing bits beyond which no pair is
 #: looked at (unrelated texts differ in 32).
 WORDS_OF_SHINGLE, SIMILARITY, LOOSE = 5, 0.8, 12
+#: Components that probe with one key, from which on they are a crowd.
+CROWD = 8
 #: Generator polynomial of the (23, 12) binary Golay code.
 GENERATOR = 0b101011100011
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -296,12 +298,12 @@ def _asked(nodes: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose texts share SIMILARITY of their shingles; only the texts of pairs are read again.
+def _shingle_sets(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(node, shingles) of the given nodes (node, repeated or not); only their texts are cut into shingles.
 
     Shingles travel as 32 bits of their hashes: two of one text that fall together count once.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(_asked(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
+    bits = docs.sparkSession.sparkContext.broadcast(_asked(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -314,12 +316,51 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["node", "shingles"])
 
     rows = docs.select(_node_of(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    sets = table_of(rows.mapInArrow(run, "node long, shingles array<int>").dropDuplicates(["node"]), "shingles")
+    return table_of(rows.mapInArrow(run, "node long, shingles array<int>").dropDuplicates(["node"]), "shingles")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose texts share SIMILARITY of their shingles; only the texts of pairs are read again."""
+    sets = _shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, text_col)
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")).hint("merge") for c in "ab")
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.expr(f"common >= {SIMILARITY} * (size(sa) + size(sb) - common)")).select("a", "b")
 
 
+def _crowded(of: DataFrame) -> DataFrame:
+    """(node): texts in crowds: what CROWD components or more probe for with one key."""
+    keyed = table_of(_keyed(of, True).select("key", "node"), "crowds")
+    full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CROWD).select("key")
+    return table_of(keyed.join(full.hint("merge"), "key", "left_semi").select("node").distinct(), "crowd")
+
+
+def _pairs_of_crowd(of: DataFrame, crowd: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(a, b) with a < b: candidates among the texts of crowds, of different components: all that can share SIMILARITY = t.
+
+    Texts of a crowd are close, and mostly not near enough. They are told apart by their rarest shingles. In any order that
+    all sets follow, two that are near enough have their first common shingle among the first (1 - t) of either, and
+    among the first (1 - t) / (1 + t) of one of them: what comes before it they do not share. In order of how many texts of
+    the crowds have a shingle, what an edit made comes first, and few have that.
+    """
+    t = SIMILARITY
+    sets = _shingle_sets(crowd, docs, text_col).join(crowd.hint("merge"), "node", "left_semi")
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    order = each.join(often.hint("merge"), "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("w"))
+    order = order.select("node", F.size("w").alias("size"), F.slice("w", F.lit(1), F.ceil(F.size("w") * (1 - t) + 1 + 1e-6).cast("int")).alias("w"))
+    rare = order.select("node", "size", F.posexplode("w").alias("place", "s")).where("s.n > 1").select("node", "size", "place", F.col("s.shingle").alias("shingle"))
+    # of each component the text that has a shingle first stands for all
+    first = F.min(F.struct("place", "size", "node")).alias("w")
+    keyed = rare.join(of.select("node", "component").hint("merge"), "node").groupBy("shingle", "component").agg(first)
+    keyed = table_of(keyed.select("shingle", "component", "w.*"), "rare-shingles")
+    one, two = (keyed.select("shingle", *[F.col(c).alias(f"{c}_{v}") for c in ("component", "node", "size", "place")]) for v in "xy")
+    one = one.where(F.col("place_x") * (1 + t) <= F.col("size_x") * (1 - t) + 1e-6)
+    left = F.least(F.expr("size_x - place_x"), F.expr("size_y - place_y"))
+    may = (F.col("component_x") != F.col("component_y")) & (left * (1 + t) + 1e-6 >= (F.col("size_x") + F.col("size_y")) * t)
+    pairs = one.join(two.hint("merge"), (one["shingle"] == two["shingle"]) & may)
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(node, component): the texts, by 64-bit hash, that have near copies, and the least node of their component.
 
@@ -328,7 +369,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     fingerprints of their words. First each text is compared, for each of the 30 keys it probes with, with the least of
     those that probe with the same, so that large groups come together by comparisons in proportion to their members, even
     where only some of their pairs are near enough. Then of each bucket one
-    text of each component is compared with those of all others in it. Null counts as empty; very long texts are read
+    text of each component is compared with those of all others in it; texts of crowded buckets are told apart by their
+    rarest shingles before (`_pairs_of_crowd`), which loses no pair. Null counts as empty; very long texts are read
     whole; equal texts are one node; ties go to the least node; an empty table gives an empty one.
     """
     batched(docs.sparkSession)
@@ -347,15 +389,18 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     first = table_of(_verified(table_of(close(met), "first-pairs"), docs, text_col), "first-links")
     of = nodes.join(connected_components(first), "node", "left").select("node", "_fps", F.coalesce("component", "node").alias("component"))
     of = table_of(of, "first-components")
+    crowd = _crowded(of)
+    # any pair meets under the keys that either probes with: of pairs out of and in a crowd one that is filed is enough
+    filed = of.join(crowd.hint("merge"), "node", "left_anti")
 
     def bucketed(probes: bool, node: str, component: str) -> DataFrame:
         # dealt by key once, for the grouping and for the join; tasks have brought each component's nodes down to few
-        keyed = _keyed(of, probes).repartition("key").withColumn("component", F.col("component").bitwiseXOR(F.col("node")))
+        keyed = _keyed(of if probes else filed, probes).repartition("key").withColumn("component", F.col("component").bitwiseXOR(F.col("node")))
         keyed = keyed.groupBy("key", "component").agg(F.min("node").alias("node"))
         return keyed.select("key", F.col("component").alias(component), F.col("node").alias(node))
 
-    met = bucketed(True, "x", "cx").join(bucketed(False, "y", "cy").hint("merge"), "key").where("cx <> cy")
-    others = table_of(close(met.select("x", "y")), "other-pairs")
+    met = bucketed(True, "x", "cx").join(bucketed(False, "y", "cy").hint("merge"), "key").where("cx <> cy").select("x", "y")
+    others = table_of(close(met).unionByName(_pairs_of_crowd(of, crowd, docs, text_col)).distinct(), "other-pairs")
     return connected_components(first.unionByName(_verified(others, docs, text_col)))
 
 

@@ -9,6 +9,7 @@ import xxhash
 from conftest import SCHEMA, prose
 
 from rollbook.llm.exact_dedup import MisraGries, exact_dedup, exact_dedup_stage
+from rollbook.llm import simhash_dedup as S
 from rollbook.llm.simhash_dedup import PLAN, golay_tables, linked_fingerprints, near_duplicates, shingle_hashes, shingle_set, simhash_dedup, simhash_stage
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -175,6 +176,35 @@ def test_a_large_group_of_near_copies_is_one(spark):
     assert got[0] == 0 and got[1:] == [1000 + i for i in range(50)]
 
 
+def test_pairs_of_a_crowd_lose_none(spark):
+    """Texts that are close, few of them near enough: every pair that is comes out, and not many others."""
+    r = random.Random(8)
+    words = invented(r, 120)
+    rows = [(i, " ".join(edited(r, words, r.choice((8, 12, 20, 40, 90)))[: r.choice((120, 115, 100))])) for i in range(260)]
+    rows += [(1000 + i, " ".join(w for w in words if r.random() > 0.03)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = docs.selectExpr("xxhash64(text) as node").distinct()
+    of = nodes.selectExpr("node", "node as component")
+    pairs = {(x.a, x.b) for x in S._pairs_of_crowd(of, nodes, docs, "text").collect()}
+    node = {x.doc_id: x.h for x in docs.selectExpr("doc_id", "xxhash64(text) as h").collect()}
+    want = {tuple(sorted((node[a], node[b]))) for (a, s), (b, t) in itertools.combinations(rows, 2) if s != t and alike(s, t)}
+    assert len(want) > 100 and want <= pairs
+    assert len(pairs) < 0.35 * len(rows) * (len(rows) - 1) / 2
+
+
+def test_crowded_buckets_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "CROWD", 2)
+    r = random.Random(9)
+    words = invented(r, 150)
+    rows = [(i, " ".join(edited(r, words, r.choice((15, 25, 60, 120))))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.node: x.component for x in near_duplicates(docs).collect()}
+    node = [x.h for x in docs.selectExpr("doc_id", "xxhash64(text) as h").orderBy("doc_id").collect()]
+    groups = [g for g in near_brute(rows) if len(g) > 1]
+    split = sum(len({found.get(node[i], -i) for i in g}) - 1 for g in groups)
+    assert sum(map(len, groups)) > 20 and split <= 0.05 * sum(map(len, groups))
+
+
 def test_simhash_empty_and_stage(spark, frame):
     assert simhash_dedup(frame([])).count() == 0
     few = "only six words are in here"
