@@ -1,17 +1,17 @@
 """The engine: files in, decisions laid over them, results out as a bundle of DataFrames.
 
-Tables of files are written once under the state folder; everything after that is one lazy plan, apart from the rounds
-that join rows of one person. Decisions are kept as JSON beside the tables, in any store that Spark reaches.
+Tables of files are written once under the state folder. What a sheet says is inferred sheet by sheet and kept (`views`):
+only sheets that came in, or whose decisions changed, are read again. Decisions are numbered states (`statelog`) beside
+the tables, in any store that Spark reaches; several engines may work on one folder.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-import time
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,212 +26,273 @@ from rollbook.operators import overlays as O
 from rollbook.operators import reports as P
 from rollbook.operators import results as R
 from rollbook.operators.similarity import similar_names
-from rollbook.session import drop_folder, table_of
+from rollbook.session import drop_folder, new_folder, table_of
 from rollbook.settings import Settings
 from rollbook.sinks.report import Selection, sheets_of
 from rollbook.sinks.workbook import rows_of, workbook
-from rollbook.sources.files import TABLES, cells, read_tables
+from rollbook.sources.files import ROWS, TABLES, cells, read_sheets
 from rollbook.sources.metadata import with_metadata
+from rollbook.statelog import StateLog
+from rollbook.views import Views
 
-VERSION = 1
+VERSION = 2
 OVERRIDES = "source_id string, col int, role string, kind string, season string, scale double"
 ANSWERS = "source_id string, question string, arg string, value string"
 ORDER = ["row", "col"]
+#: Files whose tables are read by name of folder; of more, all folders are listed.
+FEW_FILES = 1000
+
+
+@dataclass(frozen=True)
+class State:
+    """What users decided, the next file's number, and how often files came or went. Never changed in place."""
+
+    answers: dict = field(default_factory=dict)
+    overrides: dict = field(default_factory=dict)
+    settings: Settings = field(default_factory=Settings)
+    next_order: int = 1
+    files: int = 0
+
+    @classmethod
+    def of(cls, held: dict | None) -> State:
+        """A state of another version, or one that cannot be read, is an empty one."""
+        if not held or held.get("version") != VERSION:
+            return cls()
+        return cls(held["answers"], held["overrides"], Settings.of(held["settings"]), held["next_order"], held["files"])
+
+    def to_dict(self) -> dict:
+        return {"version": VERSION, "answers": self.answers, "overrides": self.overrides, "settings": self.settings.to_dict(), "next_order": self.next_order, "files": self.files}
+
+    def keys(self) -> dict[str, str]:
+        """Of each sheet that something was decided about, a digest of that; a sheet's name is laid over it later."""
+        said: dict[str, list] = {}
+        for k, v in sorted(self.answers.items()):
+            if not k.endswith(":subject"):
+                said.setdefault(k.split(":")[0], []).append([k, v])
+        for source, columns in sorted(self.overrides.items()):
+            if columns:
+                said.setdefault(source, []).append(columns)
+        return {s: hashlib.sha256(json.dumps(x, sort_keys=True).encode()).hexdigest()[:32] for s, x in said.items()}
 
 
 class Engine:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.answers: dict[str, str] = {}
-        self.overrides: dict[str, dict] = {}
-        self.settings = Settings()
-        self.next_order, self.tables_seen, self._memo = 1, 0, {}
-        self._load()
+        self.log = StateLog(spark, f"{self.folder}/state")
+        self.views = Views(spark, f"{self.folder}/views")
+        self._memo: dict[str, list[tuple[str, str, DataFrame]]] = {}
+        self.state = State()
+        self.refresh()
 
     # ------------------------------------------------------------ state
 
+    answers = property(lambda self: self.state.answers)
+    overrides = property(lambda self: self.state.overrides)
+    settings = property(lambda self: self.state.settings)
+    next_order = property(lambda self: self.state.next_order)
+
+    def refresh(self) -> None:
+        """Takes up what other engines on this folder have decided since."""
+        self.state = State.of(self.log.latest()[1])
+
+    def _change(self, change: Callable[[State], State]) -> State:
+        """Makes one change to the newest state, whoever wrote that, and gives back the state it was made to."""
+        before = State()
+
+        def apply(held: dict | None) -> dict:
+            nonlocal before
+            before = State.of(held)
+            return change(before).to_dict()
+
+        self.state = State.of(self.log.change(apply)[1])
+        return before
+
+    def _set(self, change: Callable[[Settings], dict]) -> None:
+        """Merges change(newest settings) into them."""
+        self._change(lambda s: replace(s, settings=s.settings.merged(change(s.settings))))
+
     def _fs(self, path: str):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _load(self) -> None:
-        """A state of another version, or one that cannot be read, is an empty one."""
-        at, fs = self._fs(f"{self.folder}/state.json")
-        if not fs.exists(at):
-            return
-        try:
-            state = json.loads(self.spark.read.text(f"{self.folder}/state.json", wholetext=True).first()[0])
-        except (ValueError, TypeError):
-            return
-        if isinstance(state, dict) and state.get("version") == VERSION:
-            self.answers, self.overrides, self.next_order = state["answers"], state["overrides"], state["next_order"]
-            self.settings = Settings.of(state["settings"])
-
-    def _save(self) -> None:
-        """Written beside, then put in place in one step, which replaces what was there."""
-        state = {"version": VERSION, "answers": self.answers, "overrides": self.overrides, "settings": self.settings.to_dict(), "next_order": self.next_order}
-        new, fs = self._fs(f"{self.folder}/state.json.new")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps(state, ensure_ascii=False).encode()))
-        out.close()
-        at, _ = self._fs(f"{self.folder}/state.json")
-        jvm = self.spark.sparkContext._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(fs.makeQualified(new), fs.makeQualified(at), overwrite)
-
-    @contextmanager
-    def _alone(self, seconds: float = 600.0) -> Iterator[None]:
-        """K8: one engine at a time counts files: a lock file, whose creation is atomic. It is left if a driver dies."""
-        at, fs = self._fs(f"{self.folder}/state.lock")
-        end = time.monotonic() + seconds
-        while True:
-            try:
-                fs.create(at, False).close()
-                break
-            except Py4JJavaError as e:
-                if not fs.exists(at):
-                    raise
-                if time.monotonic() > end:
-                    raise TimeoutError(f"another engine works on {self.folder}; if none does, remove state.lock") from e
-                time.sleep(0.5)
-        try:
-            yield
-        finally:
-            fs.delete(at, False)
-
     # ------------------------------------------------------------ files
 
     def ingest(self, paths: str | list[str]) -> DataFrame:
-        """K1: reads files into the state; (filename, source_id, error) of every table and of files without one."""
-        with self._alone():
-            self._load()  # numbers that another engine has taken since
-            found = table_of(read_tables(self.spark, paths, self.next_order), "ingest")
-            good = found.where("error is null")
-            good.write.mode("append").partitionBy("file_order").parquet(f"{self.folder}/tables")
-            self.next_order = (found.agg(F.max("file_order")).first()[0] or self.next_order - 1) + 1
-            self._save()
+        """K1: reads files into the state; (filename, source_id, error) of every table and of files without one.
+
+        Numbers are taken from the state before files are read, so engines that ingest at once never give one twice.
+        """
+        n = self.spark.read.format("binaryFile").load(paths).select("path").count()
+        first = self._change(lambda s: replace(s, next_order=s.next_order + n)).next_order
+        found, rows = read_sheets(self.spark, paths, first)
+        found = table_of(found, "ingest")
+        # rows first: a table that is there has all of them
+        rows.write.mode("append").partitionBy("file_order").parquet(f"{self.folder}/rows")
+        found.where("error is null").write.mode("append").partitionBy("file_order").parquet(f"{self.folder}/tables")
+        self._change(lambda s: replace(s, files=s.files + 1))
         return found.select("filename", "source_id", "error")
 
+    def _stored(self, name: str, schema: str) -> DataFrame:
+        at, fs = self._fs(f"{self.folder}/{name}")
+        if not fs.exists(at) or not any(s.isDirectory() for s in fs.listStatus(at)):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+
     def tables(self) -> DataFrame:
         """The tables of all files, as written when they came in."""
-        at, fs = self._fs(f"{self.folder}/tables")
-        if not fs.exists(at) or not any(s.isDirectory() for s in fs.listStatus(at)):
-            return self.spark.createDataFrame([], TABLES)
-        return self.spark.read.schema(TABLES).parquet(f"{self.folder}/tables")
+        return self._stored("tables", TABLES)
+
+    def rows(self) -> DataFrame:
+        """The rows of all tables: source_id, file_order, row, cells."""
+        return self._stored("rows", ROWS)
 
     def remove_file(self, filename: str) -> None:
         """K2: a file goes, with what was decided about its sheets."""
-        gone = [r[0] for r in self.tables().where(F.col("filename") == filename).select("source_id").collect()]
+        gone = {r[0] for r in self.tables().where(F.col("filename") == filename).select("source_id").collect()}
+
+        def without(s: State) -> State:
+            settings = s.settings.merged({"confirmed_sources": [x for x in s.settings.confirmed_sources if x not in gone]})
+            return replace(s, answers={k: v for k, v in s.answers.items() if k.split(":")[0] not in gone}, overrides={k: v for k, v in s.overrides.items() if k not in gone}, settings=settings, files=s.files + 1)
+
         for order in {s[1:].split("s")[0] for s in gone}:
-            drop_folder(self.spark, f"{self.folder}/tables/file_order={order}")
-        self.tables_seen += 1
-        self.answers = {k: v for k, v in self.answers.items() if k.split(":")[0] not in gone}
-        self.overrides = {k: v for k, v in self.overrides.items() if k not in gone}
-        self.settings.confirmed_sources = [s for s in self.settings.confirmed_sources if s not in gone]
-        self._save()
-
-    def document(self, source_id: str) -> DataFrame:
-        """K9: the tables of the file that a sheet came from."""
-        order = int(source_id[1:].split("s")[0])
-        return self.tables().where(F.col("file_order") == order)
+            for name in ("tables", "rows"):
+                drop_folder(self.spark, f"{self.folder}/{name}/file_order={order}")
+        self._change(without)
+
+    def document(self, source_id: str) -> tuple[DataFrame, DataFrame]:
+        """K9: (tables, rows) of the file that a sheet came from; no other file is read."""
+        own = F.col("file_order") == int(source_id[1:].split("s")[0])
+        return self.tables().where(own), self.rows().where(own)
 
     def reset(self) -> None:
-        drop_folder(self.spark, f"{self.folder}/tables")
-        self.tables_seen += 1
-        self.answers, self.overrides, self.settings, self.next_order = {}, {}, Settings(), 1
-        self._save()
+        """Everything goes but the count of files: numbers are not given again, as sheets are known by them."""
+        for name in ("tables", "rows"):
+            drop_folder(self.spark, f"{self.folder}/{name}")
+        self._change(lambda s: State(next_order=s.next_order, files=s.files + 1))
+        self.views.drop()
 
     # ------------------------------------------------------------ decisions
 
     def update(self, answers: dict | None = None, overrides: dict | None = None, settings: dict | None = None) -> None:
         """K3: an empty value takes a decision back. `merge:<group>` answers are names of subjects."""
-        for key, value in (answers or {}).items():
-            if key.startswith("merge:"):
-                self.settings = self.settings.merged({"subject_aliases": {key[len("merge:") :]: value}})
-            elif value in (None, ""):
-                self.answers.pop(key, None)
-            else:
-                self.answers[key] = str(value)
-        for source, columns in (overrides or {}).items():
-            kept = self.overrides.setdefault(source, {})
-            for col, spec in columns.items():
-                kept[str(col)] = spec
-                if not spec:
-                    kept.pop(str(col))
-        if settings:
-            self.settings = self.settings.merged(settings)
-        self._save()
+
+        def change(s: State) -> State:
+            said, fixed, held = dict(s.answers), {k: dict(v) for k, v in s.overrides.items()}, s.settings
+            for key, value in (answers or {}).items():
+                if key.startswith("merge:"):
+                    held = held.merged({"subject_aliases": {key[len("merge:") :]: value}})
+                elif value in (None, ""):
+                    said.pop(key, None)
+                else:
+                    said[key] = str(value)
+            for source, columns in (overrides or {}).items():
+                kept = fixed.setdefault(source, {})
+                for col, spec in columns.items():
+                    kept[str(col)] = spec
+                    if not spec:
+                        kept.pop(str(col))
+            return replace(s, answers=said, overrides=fixed, settings=held.merged(settings) if settings else held)
+
+        self._change(change)
 
     def confirm(self, source_id: str, yes: bool = True) -> None:
         """K7"""
-        s = set(self.settings.confirmed_sources)
-        self.update(settings={"confirmed_sources": sorted(s | {source_id} if yes else s - {source_id})})
+        self._set(lambda s: {"confirmed_sources": sorted(_toggled(s.confirmed_sources, source_id, yes))})
 
     def rename_subject(self, group_key: str, name: str) -> None:
         """K5: the name of every sheet of a group; an empty one takes the name back."""
-        self.update(settings={"subject_aliases": {group_key: name}})
+        self._set(lambda s: {"subject_aliases": {group_key: name}})
 
     def create_subject(self, name: str) -> None:
-        self.update(settings={"manual_subjects": [*self.settings.manual_subjects, clean_name(name)]})
+        self._set(lambda s: {"manual_subjects": [*s.manual_subjects, clean_name(name)]})
 
     def assign_subject(self, source_id: str, name: str) -> None:
         self.update(answers={f"{source_id}:subject": name})
 
     def remove_subject(self, name: str, yes: bool = True) -> None:
-        s = set(self.settings.removed_subjects)
-        self.update(settings={"removed_subjects": sorted(s | {name} if yes else s - {name})})
+        self._set(lambda s: {"removed_subjects": sorted(_toggled(s.removed_subjects, name, yes))})
 
     def edit_grade(self, student: str, subject: str, value: object) -> None:
         """K6: a typed grade; blank takes it back."""
-        self.update(settings={"grade_overrides": {student: {subject: value}}})
+        self._set(lambda s: {"grade_overrides": {student: {subject: value}}})
 
     def remove_student(self, student: str, yes: bool = True) -> None:
-        s = [x for x in self.settings.removed_students if x != student]
-        self.update(settings={"removed_students": [*s, student] if yes else s})
+        self._set(lambda s: {"removed_students": _toggled(s.removed_students, student, yes)})
 
     # ------------------------------------------------------------ sheets
 
     def _frame(self, rows: list, schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
 
-    def _kept(self, name: str, made) -> DataFrame:
-        """K8: what made() gives, written once for the state as it is: later plans start at the written table."""
-        state = json.dumps([self.answers, self.overrides, self.settings.to_dict(), self.next_order, self.tables_seen], sort_keys=True, default=str)
-        if self._memo.get("state") != state:
-            self._memo = {"state": state}
-        if name not in self._memo:
-            self._memo[name] = table_of(made(), name)
-        return self._memo[name]
+    def _kept(self, name: str, made: Callable[[], DataFrame], *parts: object) -> DataFrame:
+        """K8: what made() gives, written once for as long as `parts`, which it depends on, stay as they are. The one before
+        stays for frames that were given out; older ones go."""
+        key = json.dumps(parts, sort_keys=True, default=str)
+        held = self._memo.setdefault(name, [])
+        if not held or held[-1][0] != key:
+            path = new_folder(self.spark, name)
+            held.append((key, path, table_of(made(), name, path)))
+            for _, old, _ in held[:-2]:
+                drop_folder(self.spark, old)
+            del held[:-2]
+        return held[-1][2]
+
+    def _of(self, stored: DataFrame, missing: DataFrame) -> DataFrame:
+        """What is stored of the given sheets (source_id); of few files only their folders are read."""
+        orders = missing.select(F.regexp_extract("source_id", r"^f(\d+)s", 1).cast("long").alias("o")).distinct().limit(FEW_FILES + 1).collect()
+        if len(orders) <= FEW_FILES:
+            stored = stored.where(F.col("file_order").isin([r[0] for r in orders]))
+        return stored.join(missing.select("source_id"), "source_id", "left_semi")
+
+    def _infer(self, missing: DataFrame) -> dict[str, DataFrame]:
+        """What the given sheets say: about themselves, their columns, their rows of people and final grades."""
+        sheets = table_of(with_metadata(self._of(self.tables(), missing)).drop("title_lines", "footer_lines", "error"), "sheets")
+        raw = table_of(cells(self._of(self.rows(), missing)), "cells")
+        headers = table_of(N.header_rows(raw), "headers")
+        data = table_of(N.data_cells(raw, headers), "data")
+        columns = table_of(self._columns(sheets, raw, headers, data), "inferred")
+        people, grades = self._rows(sheets, columns, data)
+        return {"sheets": sheets, "headers": headers, "columns": columns, "people": people, "grades": grades}
+
+    def _sheet_views(self) -> dict[str, DataFrame]:
+        """K1, K2, K8: of all sheets there are; those with new files or decisions are inferred, others are as they were."""
+        parts = json.dumps([self.state.files, sorted(self.state.keys().items())])
+        held = self._memo.setdefault("views", [])
+        if not held or held[-1][0] != parts:
+            keys = self._frame(list(self.state.keys().items()), "source_id string, key string")
+            wanted = self.tables().select("source_id").join(keys, "source_id", "left").select("source_id", F.coalesce("key", F.lit("-")).alias("key"))
+            held[:] = [(parts, "", self.views.refresh(wanted, self._infer))]
+        return held[-1][2]
+
+    def _inferred(self) -> tuple:
+        """What all results of sheets depend on."""
+        return self.state.files, self.state.keys()
+
+    def _named(self) -> tuple:
+        """What the subjects of sheets depend on."""
+        return {k: v for k, v in self.answers.items() if k.endswith(":subject")}, self.settings.subject_aliases
 
     def sheets(self) -> DataFrame:
         """Tables with what they say about themselves, and what users say about them."""
-        return self._kept("sheets", self._sheets)
+        return self._kept("sheets", self._sheets, self._inferred(), self._named())
 
     def _sheets(self) -> DataFrame:
         said = [(k.split(":")[0], v) for k, v in self.answers.items() if k.endswith(":subject")]
-        s = with_metadata(self.tables()).join(self._frame(said, "source_id string, _said string"), "source_id", "left")
+        s = self._sheet_views()["sheets"].join(self._frame(said, "source_id string, _said string"), "source_id", "left")
         s = s.withColumns({"subject": F.coalesce(clean_text_or_null("_said"), "subject"), "subject_confidence": F.when(F.col("_said").isNotNull(), 1.0).otherwise(F.col("subject_confidence"))}).drop("_said")
         key = I.subject_group_key(norm_text("subject_code"), F.col("subject_code_confidence"), norm_name("subject"), F.col("source_id"))
-        s = s.withColumns({"group_key": key, "label": F.concat_ws(" ", "filename", "location")})
+        s = table_of(s.withColumns({"group_key": key, "label": F.concat_ws(" ", "filename", "location")}), "keyed-sheets")
         aliases = self._frame(list(self.settings.subject_aliases.items()), "group_key string, alias string")
         resolved = I.resolve_subjects(s.select("source_id", "group_key", "subject", "label"), aliases)
         return s.join(resolved.select("source_id", "canonical", "names", "confirmed"), "source_id")
 
-    def _data(self) -> tuple[DataFrame, DataFrame]:
-        raw = self._kept("cells", lambda: cells(self.sheets()))
-        headers = self._kept("headers", lambda: N.header_rows(raw))
-        return headers, self._kept("data", lambda: N.data_cells(raw, headers))
-
     def columns(self) -> tuple[DataFrame, DataFrame]:
         """(columns, data cells) with answers and overrides applied."""
-        return self._kept("columns", self._columns), self._data()[1]
+        views = self._sheet_views()
+        return views["columns"], N.data_cells(cells(self.rows()), views["headers"])
 
-    def _columns(self) -> DataFrame:
-        sheets, (headers, data) = self.sheets(), self._data()
-        columns = N.classified(self._kept("cells", None), headers, data, sheets.select("source_id", "file_season"))
-        columns = self._kept("inferred", lambda: columns)
+    def _columns(self, sheets: DataFrame, raw: DataFrame, headers: DataFrame, data: DataFrame) -> DataFrame:
+        columns = table_of(N.classified(raw, headers, data, sheets.select("source_id", "file_season")), "classified")
         component = sheets.where("component_label is not null").select("source_id", F.lit(True).alias("_part"))
         finals = columns.where("role = 'grade' and kind = 'final'").groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"))
         only = component.join(finals.where("_n = 1"), "source_id").select("source_id", "_part")
@@ -248,20 +309,16 @@ class Engine:
 
     def review(self) -> dict[str, DataFrame]:
         """Sheets, columns and open questions."""
-        sheets, (columns, _) = self.sheets(), self.columns()
+        self.refresh()
+        sheets, columns = self.sheets(), self._sheet_views()["columns"]
         answered = self._frame([(k,) for k in self.answers], "id string")
         asked = O.questions(sheets.select("source_id", "subject", "subject_confidence"), columns, answered).unionByName(O.merge_questions(sheets))
         return {"sheets": sheets, "columns": columns, "questions": asked}
 
-    # ------------------------------------------------------------ result
-
-    def records(self) -> tuple[DataFrame, DataFrame]:
-        """(rows of people, their grades in long form) of the sheets whose subject is not removed."""
-        gone = self._frame([(s,) for s in self.settings.removed_subjects], "canonical string")
-        sheets = self.sheets().join(gone, "canonical", "left_anti").select("source_id", "file_order", "document_date", F.col("canonical").alias("subject"))
-        columns, data = self.columns()
-        of = data.join(columns.select("source_id", "col", "role", "kind", "season", "route", "header", "scale"), ["source_id", "col"]).join(sheets, "source_id")
-        who = of.where("role in ('name', 'id')").groupBy("source_id", "file_order", "row", "subject").agg(
+    def _rows(self, sheets: DataFrame, columns: DataFrame, data: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows of people, their final grades in long form, as written) of sheets."""
+        of = data.join(columns.select("source_id", "col", "role", "kind", "season", "route", "header", "scale"), ["source_id", "col"]).join(sheets.select("source_id", "file_order", "document_date"), "source_id")
+        who = of.where("role in ('name', 'id')").groupBy("source_id", "file_order", "row").agg(
             F.max(F.when(F.col("role") == "name", F.col("text"))).alias("_name"), F.max(F.when(F.col("role") == "id", F.col("text"))).alias("_id")
         )
         who = table_of(who.withColumn("_name", title_name(F.coalesce("_name", F.lit("")))), "named")
@@ -270,32 +327,59 @@ class Engine:
         who = table_of(who.withColumns({"student_id": F.coalesce("_own", "_s.student_id"), "name": again}), "people")
         table = F.regexp_extract("source_id", r"s(\d+)$", 1).cast("long")
         row_id = F.shiftleft(F.col("file_order").cast("long"), 44) + F.shiftleft(table, 32) + F.col("row").cast("long")
-        people = who.where("name <> '' or student_id is not null").select(row_id.alias("row_id"), "source_id", "row", "subject", "name", "student_id", norm_name("name").alias("name_key"))
+        people = who.where("name <> '' or student_id is not null").select(row_id.alias("row_id"), "source_id", "row", "name", "student_id", norm_name("name").alias("name_key"))
         graded = with_grade(of.where("role = 'grade' and kind = 'final'"), "text", F.col("scale"), "g")
-        grades = graded.withColumn("g", rescale(F.col("g"), self.settings.scale)).select(
-            "source_id", "row", "col", "subject", F.coalesce("season", F.lit(V.SEASONS[0])).alias("season"), "route", F.col("header").alias("column"), "document_date", "file_order", "g.value", "g.status", "g.raw"
-        )
-        grades = table_of(grades.where("value is not null or status <> 'SEM_NOTA'"), "grades")
-        return people, grades.withColumn("season_ord", F.array_position(F.array(*map(F.lit, V.SEASONS)), F.col("season")).cast("int") - 1)
+        grades = graded.select("source_id", "row", "col", F.coalesce("season", F.lit(V.SEASONS[0])).alias("season"), "route", F.col("header").alias("column"), "document_date", "file_order", "g")
+        return people, grades.where("g.value is not null or g.status <> 'SEM_NOTA'")
+
+    # ------------------------------------------------------------ result
+
+    def _subjects_of(self) -> DataFrame:
+        """(source_id, subject) of the sheets whose subject is not removed."""
+        gone = self._frame([(s,) for s in self.settings.removed_subjects], "canonical string")
+        return self.sheets().join(gone, "canonical", "left_anti").select("source_id", F.col("canonical").alias("subject"))
+
+    def records(self) -> tuple[DataFrame, DataFrame]:
+        """(rows of people, their grades in long form) of the sheets whose subject is not removed."""
+        views, subjects = self._sheet_views(), self._subjects_of()
+        grades = views["grades"].withColumn("g", rescale(F.col("g"), self.settings.scale)).join(subjects, "source_id")
+        grades = grades.select("source_id", "row", "col", "subject", "season", "route", "column", "document_date", "file_order", "g.value", "g.status", "g.raw")
+        return views["people"].join(subjects, "source_id"), grades.withColumn("season_ord", F.array_position(F.array(*map(F.lit, V.SEASONS)), F.col("season")).cast("int") - 1)
+
+    def _people(self) -> DataFrame:
+        """People of rows: cluster, student, names and numbers; typed grades and marks leave them as they are."""
+        st = self.settings
+        depends = self._inferred(), self._named(), st.removed_subjects, st.merge_by_name
+        people = self._kept("people", lambda: I.cluster_records(self.records()[0], st.merge_by_name), *depends)
+
+        def spelled() -> DataFrame:
+            s = I.described(people)
+            name = F.coalesce("best_name", F.lit(""))
+            keyed = student_key(F.col("best_id"), norm_name(name)).alias("student")
+            return s.select("cluster", keyed, F.when(name != "", name).otherwise(F.concat_ws(" ", F.lit("(sem nome)"), "best_id")).alias("name"), "best_name", F.col("best_id").alias("student_id"), "all_ids", "all_names")
+
+        return self._kept("students", spelled, *depends), people, depends
 
     def result(self) -> dict[str, DataFrame]:
         """Students, results, seasons, conflicts, warnings, subjects, averages, coverage and counts."""
+        self.refresh()
         st, spark = self.settings, self.spark
-        people, grades = self.records()
-        people = table_of(I.cluster_records(people, st.merge_by_name), "people")
-        spelled = I.spellings(people).join(I.best_names(people), "cluster", "left").join(I.best_ids(people), "cluster", "left")
-        name = F.coalesce("best_name", F.lit(""))
-        students = spelled.select("cluster", student_key(F.col("best_id"), norm_name(name)).alias("student"), F.when(name != "", name).otherwise(F.concat_ws(" ", F.lit("(sem nome)"), "best_id")).alias("name"), F.col("best_id").alias("student_id"), "all_ids", "all_names")
+        spelled, people, depends = self._people()
         gone = self._frame([(s,) for s in st.removed_students], "student string")
-        students = students.join(gone, "student", "left_anti")
-        keyed = people.join(students.select("cluster", "student"), "cluster")
-        keyed = table_of(keyed, "keyed")
-        entries = table_of(grades.join(keyed.select("source_id", "row", "student"), ["source_id", "row"]).withColumn("source", F.col("source_id")), "entries")
-        seasons = table_of(R.season_results(entries, ORDER), "seasons")
+        students = spelled.drop("best_name").join(gone, "student", "left_anti")
+        depends = (*depends, st.removed_students)
+        keyed = self._kept("keyed", lambda: people.join(students.select("cluster", "student"), "cluster"), *depends)
+        of_rows = lambda: self.records()[1].join(keyed.select("source_id", "row", "student"), ["source_id", "row"]).withColumn("source", F.col("source_id"))
+        entries = self._kept("entries", of_rows, *depends, st.scale)
+        seasons = self._kept("seasons", lambda: R.season_results(entries, ORDER), *depends, st.scale)
         marks = self._frame([(k, float(v)) for k, v in st.subject_pass_marks.items()], "subject string, pass_mark double")
         edits = [(k, s, float(v)) for k, g in st.grade_overrides.items() for s, v in g.items() if s not in st.removed_subjects]
-        best = R.apply_edits(R.best_season(seasons), self._frame(edits, "student string, subject string, edit double").join(students.select("student"), "student", "left_semi"))
-        results = table_of(R.with_marks(best, marks, st.pass_mark), "results")
+
+        def marked() -> DataFrame:
+            best = R.apply_edits(R.best_season(seasons), self._frame(edits, "student string, subject string, edit double").join(students.select("student"), "student", "left_semi"))
+            return R.with_marks(best, marks, st.pass_mark)
+
+        results = self._kept("results", marked, *depends, st.scale, edits, st.subject_pass_marks, st.pass_mark)
         sheets = self.sheets().join(self._frame([(s,) for s in st.removed_subjects], "canonical string"), "canonical", "left_anti")
         known = sheets.select(F.col("canonical").alias("subject")).unionByName(self._frame([(s,) for s in st.manual_subjects if s not in st.removed_subjects], "subject string")).distinct()
         stated = sheets.where("semester is not null").groupBy(F.col("canonical").alias("subject")).agg(F.min_by(F.col("semester").try_cast("long"), "file_order").alias("_semester"))
@@ -314,7 +398,7 @@ class Engine:
         alike = kind(alike.select(F.col("left_name").alias("student"), "right_name", "similarity"), "possivel_duplicado", "info", F.concat_ws(" ", "right_name", F.col("similarity").cast("string"))).drop("right_name", "similarity")
         merged = sheets.where("size(names) > 1 and not confirmed").groupBy(F.col("canonical").alias("subject")).agg(F.array_join(F.first("names"), "; ").alias("n"))
         merged = kind(merged, "cadeiras juntadas", "info", F.col("n")).drop("n")
-        columns, _ = self.columns()
+        columns = self._sheet_views()["columns"]
         finals = columns.where("role = 'grade' and kind = 'final'").select("source_id").distinct()
         without = kind(sheets.join(finals, "source_id", "left_anti").select(F.col("canonical").alias("subject"), "label"), "pauta sem nota final", "warning", F.col("label")).drop("label")
         own = results.select("student", "subject", "value", "status", "approved", "final")
@@ -363,9 +447,13 @@ class Engine:
         used = {subject for _, subject in final}
         order = [x for x in rows_of(r["subjects"].orderBy("place")) if x["subject"] in used and (subjects is None or x["subject"] in subjects)]
         of_keys = lambda name: rows_of(r[name].join(F.broadcast(keys), "student", "left_semi"))
+        seasons = of_keys("seasons")
+        sources = self._frame([(x,) for x in sorted({r["source"] for r in seasons})], "source_id string")
+        labels = {x["source_id"]: x["label"] for x in rows_of(self.sheets().join(F.broadcast(sources), "source_id").select("source_id", "label"))}
+        files = {x["subject"]: x["files"] for x in rows_of(r["subject_files"])}
         selection = Selection(
-            people=people, subjects=[x["subject"] for x in order], results=final, seasons={(x["student"], x["subject"], x["season_ord"]): x for x in of_keys("seasons")}, averages=of_keys("averages"),
-            curriculum={x["subject"]: x for x in order}, notices=rows_of(self.messages(P.notices(r["conflicts"], r["warnings"]))), pass_mark=self.settings.pass_mark, language=self.settings.language,
+            people=people, subjects=[x["subject"] for x in order], results=final, seasons={(x["student"], x["subject"], x["season_ord"]): x for x in seasons}, averages=of_keys("averages"),
+            curriculum={x["subject"]: x for x in order}, notices=rows_of(self.messages(P.notices(r["conflicts"], r["warnings"]))), pass_mark=self.settings.pass_mark, language=self.settings.language, labels=labels, files=files,
         )
         at, fs = self._fs(path)
         stream = fs.create(at, True)
@@ -373,6 +461,10 @@ class Engine:
         stream.close()
 
 
+def _toggled(held: list[str], value: str, yes: bool) -> list[str]:
+    return [*(x for x in held if x != value), *([value] if yes else [])]
+
+
 def clean_name(name: str) -> str:
     return " ".join(name.split())
 

@@ -45,6 +45,22 @@ def spellings(records: DataFrame, key: str = "cluster") -> DataFrame:
     return records.groupBy(key).agg(one("student_id").alias("all_ids"), one("name").alias("all_names"))
 
 
+def described(records: DataFrame, key: str = "cluster") -> DataFrame:
+    """best_name, best_id, all_ids and all_names of each person, of one table of counted spellings.
+
+    Rows are first brought down to the different (name, number) of a person, so that each name is looked at once.
+    """
+    seen = records.groupBy(key, "name", "student_id").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"))
+    named = F.coalesce("name", F.lit("")) != ""
+    order = F.struct(F.size(name_tokens("name")), F.length("name"), -F.col("first"))
+    seen = seen.withColumn("order", F.when(named, order))
+    numbers = seen.where("student_id is not null").groupBy(key, "student_id").agg(F.sum("n").alias("n"))
+    best_id = numbers.groupBy(key).agg(F.min_by("student_id", F.struct(-F.col("n"), F.length("student_id"), "student_id")).alias("best_id"))
+    one = lambda c: F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c))))
+    found = seen.groupBy(key).agg(F.max_by("name", "order").alias("best_name"), one("student_id").alias("all_ids"), one("name").alias("all_names"))
+    return found.join(best_id, key, "left")
+
+
 def identity_notices(spelled: DataFrame, key: str = "cluster") -> DataFrame:
     """(key, type, severity, detail): several numbers are a conflict, several spellings a remark."""
     ids = spelled.where(F.size("all_ids") > 1).select(key, F.lit("numero").alias("type"), F.lit("warning").alias("severity"), F.array_join("all_ids", ", ").alias("detail"))

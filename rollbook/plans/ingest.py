@@ -13,16 +13,18 @@ from rollbook.operators import layout as Y
 from rollbook.operators import overlays as O
 from rollbook.plans.catalog import Catalog
 from rollbook.plans.lens import table
-from rollbook.session import new_folder
+from rollbook.session import new_folder, table_of
 from rollbook.sinks.workbook import Sheet, workbook
-from rollbook.sources.files import cells, parse, read_tables
+from rollbook.sources.files import cells, read_sheets, sheets_in
 from rollbook.sources.metadata import with_metadata
 
 CATALOG = Catalog()
 query = CATALOG.query
 HEAD = ("Nome", "Nº Aluno", "Nota Final")
-#: Customers of one page or workbook at most.
-PAGE_ROWS, BOOK_ROWS = 40, 10_000
+#: Customers of one page, workbook or text at most.
+PAGE_ROWS, BOOK_ROWS, BLOCK_ROWS = 40, 10_000, 5_000
+#: Bytes of a file beyond which it is read in pieces.
+SPLIT = 2048
 
 # ---------------------------------------------------------------- sheets of customers
 
@@ -44,59 +46,76 @@ def _grade2() -> Column:
     return F.when(k % 5 == 0, "").when(k % 7 == 0, "Faltou").otherwise(F.concat((k * 3 % 20).cast("string"), F.lit(",5")))
 
 
-def _sheets(spark: SparkSession, sf_dir: str, by: str, grade: Column) -> DataFrame:
+def _sheets(spark: SparkSession, sf_dir: str, by: Column, grade: Column) -> DataFrame:
     """(g, o, a, b, c): a header and a row for each customer, in order o within a sheet g."""
     c = table(spark, sf_dir, "customer")
-    head = c.select(F.col(by).cast("string").alias("g")).distinct().select("g", F.lit(-1).cast("bigint").alias("o"), *[F.lit(h).alias(x) for h, x in zip(HEAD, "abc", strict=True)])
-    rows = c.select(F.col(by).cast("string").alias("g"), F.col("c_custkey").cast("bigint").alias("o"), F.col("c_name").alias("a"), (F.col("c_custkey") + 900000).cast("string").alias("b"), grade.alias("c"))
+    head = c.select(by.alias("g")).distinct().select("g", F.lit(-1).cast("bigint").alias("o"), *[F.lit(h).alias(x) for h, x in zip(HEAD, "abc", strict=True)])
+    rows = c.select(by.alias("g"), F.col("c_custkey").cast("bigint").alias("o"), F.col("c_name").alias("a"), (F.col("c_custkey") + 900000).cast("string").alias("b"), grade.alias("c"))
     return head.unionByName(rows)
 
 
-def _written(sheets: DataFrame, kind: str) -> str:
+def _written(sheets: DataFrame, kind: str, **options: str) -> str:
     """A file for each sheet, its rows in order; the folder of the files."""
     folder = new_folder(sheets.sparkSession, f"sheets-{kind}")
     rows = sheets.repartition("g").sortWithinPartitions("g", "o")
     if kind == "csv":
-        rows.select("g", "a", "b", "c").write.partitionBy("g").option("sep", ";").csv(folder)
+        rows.select("g", "a", "b", "c").write.partitionBy("g").options(**({"sep": ";"} | options)).csv(folder)
     else:
         line = F.concat(F.rpad("a", 24, " "), F.rpad("b", 12, " "), F.col("c"))
         rows.select("g", line.alias("line")).write.partitionBy("g").text(folder)
     return folder
 
 
-_CELLS = f"""with {_FILES}, rows as (select k, 0 as row, 'Nome' as a, 'Nº Aluno' as b, 'Nota Final' as c from nations
- union all select k, row_number() over (partition by k order by c_custkey), c_name, cast(900000 + c_custkey as varchar), {_GRADE1} from customer join nations using (c_nationkey))
+#: Separators and encodings of files, by nation.
+_FORMS = ({"sep": ";", "encoding": "UTF-8"}, {"sep": ",", "encoding": "windows-1252"}, {"sep": "|", "encoding": "UTF-16"}, {"sep": "\t", "encoding": "ISO-8859-1"})
+#: A block of customers of a nation is a sheet.
+_BLOCK = f"concat_ws('-', cast(c_nationkey % {len(_FORMS)} as {{text}}), cast(c_nationkey as {{text}}), cast(c_custkey {{by}} {BLOCK_ROWS} as {{text}}))"
+_BLOCKS = f"blocks as (select *, {_BLOCK.format(text='varchar', by='//')} as g from customer), files as (select g, row_number() over (order by g) as k from (select distinct g from blocks))"
+_CELLS = f"""with {_BLOCKS}, rows as (select k, 0 as row, 'Nome' as a, 'Nº Aluno' as b, 'Nota Final' as c from files
+ union all select k, row_number() over (partition by k order by c_custkey), c_name, cast(900000 + c_custkey as varchar), {_GRADE1} from blocks join files using (g))
 select 'f' || k || 's0' as source_id, row, unnest([0, 1, 2]) as col, unnest([a, b, c]) as text from rows"""
 
 
+def _block() -> Column:
+    return F.expr(_BLOCK.format(text="string", by="div"))
+
+
 @query(_CELLS)
 def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Separated files by nation, read back to cells."""
-    return cells(read_tables(spark, f"{_written(_sheets(spark, sf_dir, 'c_nationkey', _grade1()), 'csv')}/*/*.csv"))
+    """Separated files of blocks of customers, of four separators and encodings, read back to cells; those of
+    more than SPLIT bytes in pieces."""
+    sheets = _sheets(spark, sf_dir, _block(), _grade1())
+    at = new_folder(spark, "sheets-csv")
+    for i, form in enumerate(_FORMS):
+        own = sheets.where(F.substring_index("g", "-", 1) == str(i)).repartition("g").sortWithinPartitions("g", "o")
+        own.select("g", "a", "b", "c").write.partitionBy("g").options(**form).csv(f"{at}/{i}")
+    return cells(read_sheets(spark, f"{at}/*/*/*.csv", split_bytes=SPLIT)[1])
 
 
 @query(_CELLS)
 def txt_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: the same in columns of a fixed width."""
-    return cells(read_tables(spark, f"{_written(_sheets(spark, sf_dir, 'c_nationkey', _grade1()), 'txt')}/*/*.txt"))
+    return cells(read_sheets(spark, f"{_written(_sheets(spark, sf_dir, _block(), _grade1()), 'txt')}/*/*.txt")[1])
 
 
 @query(f"""with rows as (select c_nationkey, c_custkey // {BOOK_ROWS} as part, 0 as row, 'Nome' as a, 'Nº Aluno' as b, 'Nota Final' as c, '' as sheet from customer group by 1, 2
- union all select c_nationkey, c_custkey // {BOOK_ROWS}, row_number() over (partition by c_nationkey, c_custkey // {BOOK_ROWS} order by c_custkey), c_name, cast(900000 + c_custkey as varchar), {_GRADE1}, '' from customer)
-select 'sheet:N ' || c_nationkey || '-' || part as location, row, unnest([0, 1, 2]) as col, unnest([a, b, c]) as text from rows""")
+ union all select c_nationkey, c_custkey // {BOOK_ROWS}, row_number() over (partition by c_nationkey, c_custkey // {BOOK_ROWS} order by c_custkey), c_name, cast(900000 + c_custkey as varchar), {_GRADE1}, '' from customer),
+files as (select c_nationkey, part, row_number() over (order by c_nationkey || '-' || part || '.xlsx') as k from (select distinct c_nationkey, part from rows))
+select 'f' || k || 's0' as source_id, 'sheet:N ' || c_nationkey || '-' || part as location, row, unnest([0, 1, 2]) as col, unnest([a, b, c]) as text from rows join files using (c_nationkey, part)""")
 def xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Workbooks of up to BOOK_ROWS customers of a nation, written and read within a task."""
+    """Workbooks of up to BOOK_ROWS customers of a nation, made by tasks and read by the source as files in rows."""
     c = table(spark, sf_dir, "customer").select("c_nationkey", (F.col("c_custkey") / BOOK_ROWS).cast("bigint").alias("part"), "c_custkey", "c_name", (F.col("c_custkey") + 900000).cast("string").alias("id"), _grade1().alias("grade"))
 
     def book(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sheet = Sheet(f"N {key[0]}-{key[1]}")
+        sheet.add("")
         sheet.add(*HEAD)
         for r in pdf.sort_values("c_custkey").itertuples():
             sheet.add(r.c_name, r.id, int(r.grade) if r.grade.isdigit() else r.grade)
-        out = [(location, i, j, t) for location, _, _, _, rows in parse("x.xlsx", workbook([sheet])) for i, row in enumerate(rows) for j, t in enumerate(row)]
-        return pd.DataFrame(out, columns=["location", "row", "col", "text"])
+        return pd.DataFrame([(f"{key[0]}-{key[1]}.xlsx", workbook([sheet]))], columns=["path", "content"])
 
-    return c.groupBy("c_nationkey", "part").applyInPandas(book, "location string, row long, col int, text string")
+    tables, rows = sheets_in(table_of(c.groupBy("c_nationkey", "part").applyInPandas(book, "path string, content binary"), "books"))
+    return cells(rows).join(tables.select("source_id", "location"), "source_id")
 
 
 # ---------------------------------------------------------------- the engine, from files to results
@@ -108,8 +127,8 @@ def _engine(spark: SparkSession, sf_dir: str) -> Engine:
     c = table(spark, sf_dir, "customer")
     nations = sorted(str(r[0]) for r in c.select("c_nationkey").distinct().collect())
     segments = sorted(r[0] for r in c.select("c_mktsegment").distinct().collect())
-    e.ingest(f"{_written(_sheets(spark, sf_dir, 'c_nationkey', _grade1()), 'csv')}/*/*.csv")
-    e.ingest(f"{_written(_sheets(spark, sf_dir, 'c_mktsegment', _grade2()), 'csv')}/*/*.csv")
+    e.ingest(f"{_written(_sheets(spark, sf_dir, F.col('c_nationkey').cast('string'), _grade1()), 'csv')}/*/*.csv")
+    e.ingest(f"{_written(_sheets(spark, sf_dir, F.col('c_mktsegment'), _grade2()), 'csv')}/*/*.csv")
     said = {f"f{k}s0:subject": f"Subject {int(n) % 5}" for k, n in enumerate(nations, 1)}
     said |= {f"f{k}s0:subject": f"Subject {i}" for i, k in enumerate(range(len(nations) + 1, len(nations) + 1 + len(segments)))}
     e.update(answers=said)

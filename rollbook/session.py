@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,9 +65,32 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Folders of the tables that table_of() has made inside scratch(), innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that table_of() makes inside go at the end: whatever needs them has to be written by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        spark = SparkSession.getActiveSession()
+        for path in _SCRATCH.pop():
+            if spark is not None:
+                drop_folder(spark, path)
+
+
 def table_of(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """df written once as Parquet in the shared folder and read again: cuts the lineage, and outlives lost executors."""
+    """df written once as Parquet in the shared folder and read again: cuts the lineage, and outlives lost executors.
+
+    A table with a path of its own stays; any other goes with the innermost scratch() around.
+    """
     spark = df.sparkSession
-    path = path or new_folder(spark, name)
+    if path is None:
+        path = new_folder(spark, name)
+        if _SCRATCH:
+            _SCRATCH[-1].append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ import io
 import re
 import zipfile
 from collections.abc import Sequence
+from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
@@ -19,6 +20,7 @@ STYLES = {"plain": 0, "title": 1, "head": 2, "number": 3, "good": 4, "bad": 5}
 _XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _PACK = "http://schemas.openxmlformats.org/package/2006"
+_DRAW = "http://schemas.openxmlformats.org/drawingml/2006"
 _OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
 
@@ -61,9 +63,48 @@ def _cell(ref: str, value: object, style: int) -> str:
     return f'<c r="{ref}"{s} t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
 
 
+@dataclass
+class Chart:
+    """Columns side by side: titles, where the categories are, (name, values) of each series, and the cell (column, row from
+    0) at which its corner lies."""
+
+    title: str
+    across: str
+    up: str
+    categories: str
+    series: list[tuple[str, str]]
+    at: tuple[int, int]
+
+    def xml(self) -> str:
+        said = lambda t: f'<c:title><c:tx><c:rich><a:bodyPr/><a:p><a:r><a:t>{escape(t)}</a:t></a:r></a:p></c:rich></c:tx><c:overlay val="0"/></c:title>'
+        drawn = "".join(
+            f'<c:ser><c:idx val="{i}"/><c:order val="{i}"/><c:tx><c:strRef><c:f>{escape(name)}</c:f></c:strRef></c:tx>'
+            f"<c:cat><c:strRef><c:f>{escape(self.categories)}</c:f></c:strRef></c:cat><c:val><c:numRef><c:f>{escape(values)}</c:f></c:numRef></c:val></c:ser>"
+            for i, (name, values) in enumerate(self.series)
+        )
+        axis = lambda kind, own, other, side, t: f'<c:{kind}><c:axId val="{own}"/><c:scaling><c:orientation val="minMax"/></c:scaling><c:delete val="0"/><c:axPos val="{side}"/>{said(t)}<c:crossAx val="{other}"/></c:{kind}>'
+        return (
+            f'{_XML}<c:chartSpace xmlns:c="{_DRAW}/chart" xmlns:a="{_DRAW}/main"><c:chart>{said(self.title)}<c:plotArea><c:layout/>'
+            f'<c:barChart><c:barDir val="col"/><c:grouping val="clustered"/>{drawn}<c:axId val="1"/><c:axId val="2"/></c:barChart>'
+            f'{axis("catAx", 1, 2, "b", self.across)}{axis("valAx", 2, 1, "l", self.up)}</c:plotArea><c:legend><c:legendPos val="r"/></c:legend></c:chart></c:chartSpace>'
+        )
+
+
+def _drawing(charts: Sequence[Chart]) -> str:
+    """Where the charts of a sheet lie; the i-th is relation i."""
+    frames = "".join(
+        f"<xdr:oneCellAnchor><xdr:from><xdr:col>{c.at[0]}</xdr:col><xdr:colOff>0</xdr:colOff><xdr:row>{c.at[1]}</xdr:row><xdr:rowOff>0</xdr:rowOff></xdr:from><xdr:ext cx=\"5760000\" cy=\"2880000\"/>"
+        f'<xdr:graphicFrame><xdr:nvGraphicFramePr><xdr:cNvPr id="{i + 1}" name="Chart {i}"/><xdr:cNvGraphicFramePr/></xdr:nvGraphicFramePr><xdr:xfrm><a:off x="0" y="0"/><a:ext cx="0" cy="0"/></xdr:xfrm>'
+        f'<a:graphic><a:graphicData uri="{_DRAW}/chart"><c:chart xmlns:c="{_DRAW}/chart" r:id="rId{i}"/></a:graphicData></a:graphic></xdr:graphicFrame><xdr:clientData/></xdr:oneCellAnchor>'
+        for i, c in enumerate(charts, 1)
+    )
+    return f'{_XML}<xdr:wsDr xmlns:xdr="{_DRAW}/spreadsheetDrawing" xmlns:a="{_DRAW}/main" xmlns:r="{_OFFICE}">{frames}</xdr:wsDr>'
+
+
 class Sheet:
     def __init__(self, name: str, freeze: str | None = None, filtered: str | None = None):
         self.name, self.freeze, self.filtered, self.rows = name, freeze, filtered, []
+        self.charts: list[Chart] = []
 
     def add(self, *values: object, style: str = "plain") -> int:
         """Appends a row of values, or of (value, style) pairs; returns its number."""
@@ -78,7 +119,7 @@ class Sheet:
             view = f'<sheetViews><sheetView workbookViewId="0"><pane xSplit="{x}" ySplit="{int(m[2]) - 1}" topLeftCell="{self.freeze}" activePane="bottomRight" state="frozen"/></sheetView></sheetViews>'
         body = "".join(f'<row r="{r}">{"".join(_cell(f"{column_name(c)}{r}", v, STYLES[s]) for c, (v, s) in enumerate(row))}</row>' for r, row in enumerate(self.rows, 1))
         tail = f'<autoFilter ref="{self.filtered}"/>' if self.filtered else ""
-        return f'{_XML}<worksheet xmlns="{_MAIN}">{view}<sheetData>{body}</sheetData>{tail}</worksheet>'
+        return f'{_XML}<worksheet xmlns="{_MAIN}" xmlns:r="{_OFFICE}">{view}<sheetData>{body}</sheetData>{tail}{'<drawing r:id="rId1"/>' if self.charts else ""}</worksheet>'
 
 
 def workbook(sheets: Sequence[Sheet]) -> bytes:
@@ -103,6 +144,21 @@ def workbook(sheets: Sequence[Sheet]) -> bytes:
         "xl/styles.xml": styles,
     }
     parts |= {f"xl/worksheets/sheet{i}.xml": s.xml() for i, s in zip(n, sheets, strict=True)}
+    kinds, drawn = [], 0
+    relations = lambda of: f'{_XML}<Relationships xmlns="{_PACK}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{_OFFICE}/{kind}" Target="{to}"/>' for i, (kind, to) in enumerate(of, 1)) + "</Relationships>"
+    for i, s in zip(n, sheets, strict=True):
+        if not s.charts:
+            continue
+        parts[f"xl/worksheets/_rels/sheet{i}.xml.rels"] = relations([("drawing", f"../drawings/drawing{i}.xml")])
+        parts[f"xl/drawings/drawing{i}.xml"] = _drawing(s.charts)
+        parts[f"xl/drawings/_rels/drawing{i}.xml.rels"] = relations([("chart", f"../charts/chart{drawn + j}.xml") for j in range(1, len(s.charts) + 1)])
+        kinds.append((f"/xl/drawings/drawing{i}.xml", "drawing"))
+        for c in s.charts:
+            drawn += 1
+            parts[f"xl/charts/chart{drawn}.xml"] = c.xml()
+            kinds.append((f"/xl/charts/chart{drawn}.xml", "drawingml.chart"))
+    own = "".join(f'<Override PartName="{name}" ContentType="application/vnd.openxmlformats-officedocument.{kind}+xml"/>' for name, kind in kinds)
+    parts["[Content_Types].xml"] = parts["[Content_Types].xml"].replace("</Types>", f"{own}</Types>")
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in parts.items():

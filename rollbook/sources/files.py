@@ -1,7 +1,8 @@
 """Grade sheets in files: delimited and fixed-width text in any encoding, spreadsheets, and word boxes.
 
-Files are read as binary rows by Spark, so any store that Spark reaches will do, and a task parses whole files. A table
-is (source_id, filename, kind, location, sheet_name, title_lines, footer_lines, rows); cells() turns it into long form.
+Files are read by Spark, so any store that it reaches will do. Most are binary rows that a task parses whole; long
+delimited texts are read in pieces (`texts`). A table is (source_id, filename, kind, location, sheet_name, title_lines,
+footer_lines); its rows are a table of their own, which cells() turns into long form.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollbook.session import table_of
+from rollbook.sources.texts import long_texts
 
 #: What can be read, byte order marks and encodings in the order tried, separators in theirs.
 KINDS = {"csv": "csv", "tsv": "csv", "txt": "txt", "xlsx": "xlsx", "xlsm": "xlsx", "xltx": "xlsx", "pdf": "pdf"}
@@ -28,7 +30,10 @@ SEPARATORS = ["\t", ";", "|", ","]
 SAMPLE_LINES = 60
 # End of fixed values.
 
-TABLES = "source_id string, file_order long, filename string, kind string, location string, sheet_name string, title_lines array<string>, footer_lines array<string>, rows array<array<string>>, error string"
+TABLES = "source_id string, file_order long, filename string, kind string, location string, sheet_name string, title_lines array<string>, footer_lines array<string>, error string"
+ROWS = "source_id string, file_order long, row long, cells array<string>"
+#: Delimited text beyond so many bytes is parsed in pieces. Rows that a task hands on together.
+SPLIT_BYTES, PARSED_ROWS = 8 << 20, 10_000
 _DASH = str.maketrans("‐‑‒–—−", "------")
 
 
@@ -205,39 +210,72 @@ def _numbered(paths: DataFrame, first: int) -> DataFrame:
     return placed.join(base, "part").select("path", (F.col("base") + F.col("at") + first).alias("file_order"))
 
 
-def read_tables(spark: SparkSession, paths: str | list[str], first_order: int = 1) -> DataFrame:
-    """A row for each table of the files; a file that cannot be read, or has no table, is a row with `error`.
-
-    file_order counts files by path from first_order on; source_id is f<file>s<table>. Each task parses its files.
-    """
-    files = spark.read.format("binaryFile").load(paths)
+def _parsed(files: DataFrame) -> DataFrame:
+    """A row for each table (row is null) and for each row of one, of files (path, content) that tasks parse whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                name = path.rpartition("/")[2]
-                base = {"path": path, "filename": name, "kind": kind_of(name), "n": None, "location": None, "sheet_name": None, "title_lines": [], "footer_lines": [], "rows": [], "error": None}
+                base = dict.fromkeys(names) | {"path": path}
                 try:
-                    found = parse(name, data)
+                    found = parse(path.rpartition("/")[2], data)
                     error = None if found else "no table"
                 except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError, csv.Error) as e:
                     found, error = [], str(e)
-                out += [base | {"n": i, "location": loc, "sheet_name": sheet, "title_lines": t, "footer_lines": f, "rows": rows} for i, (loc, sheet, t, f, rows) in enumerate(found)]
-                if error:
-                    out.append(base | {"error": error})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                heads = [base | {"n": i, "location": loc, "sheet_name": sheet, "title_lines": t, "footer_lines": f} for i, (loc, sheet, t, f, _) in enumerate(found)]
+                yield pa.RecordBatch.from_pylist(heads or [base | {"title_lines": [], "footer_lines": [], "error": error}], schema=schema)
+                for i, (*_, rows) in enumerate(found):
+                    for at in range(0, len(rows), PARSED_ROWS):
+                        part = rows[at : at + PARSED_ROWS]
+                        yield pa.RecordBatch.from_pylist([base | {"n": i, "row": at + j, "cells": r} for j, r in enumerate(part)], schema=schema)
 
     s, strings = pa.string(), pa.list_(pa.string())
-    schema = pa.schema([("path", s), ("filename", s), ("kind", s), ("n", pa.int32()), ("location", s), ("sheet_name", s), ("title_lines", strings), ("footer_lines", strings), ("rows", pa.list_(strings)), ("error", s)])
-    parsed = files.select("path", "content").mapInArrow(run, "path string, filename string, kind string, n int, location string, sheet_name string, title_lines array<string>, footer_lines array<string>, rows array<array<string>>, error string")
-    order = F.col("file_order").cast("string")
-    source = F.when(F.col("n").isNull(), F.concat(F.lit("f"), order)).otherwise(F.concat(F.lit("f"), order, F.lit("s"), F.col("n").cast("string")))
-    return parsed.join(_numbered(files.select("path"), first_order), "path").withColumn("source_id", source).select(*[c.split()[0] for c in TABLES.split(", ")])
+    schema = pa.schema([("path", s), ("n", pa.int32()), ("location", s), ("sheet_name", s), ("title_lines", strings), ("footer_lines", strings), ("error", s), ("row", pa.int64()), ("cells", strings)])
+    names = schema.names
+    return files.mapInArrow(run, "path string, n int, location string, sheet_name string, title_lines array<string>, footer_lines array<string>, error string, row long, cells array<string>")
 
 
-def cells(tables: DataFrame) -> DataFrame:
+def read_sheets(spark: SparkSession, paths: str | list[str], first_order: int = 1, split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(tables, rows) of the files. tables has a row for each table; a file that cannot be read, or has no table, is a
+    row with `error`. rows (source_id, file_order, row, cells) has the tables' rows, of equal width in each.
+
+    file_order counts files by path from first_order on; source_id is f<file>s<table>. A task parses whole files; of
+    delimited text beyond split_bytes it parses pieces, with the same rows as outcome.
+    """
+    m = F.col("_metadata")
+    files = spark.read.format("binaryFile").load(paths).select(m.file_path.alias("path"), "length", "content")
+    texts = [k for k, kind in KINDS.items() if kind in ("csv", "txt")]
+    long_text = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(texts) & (F.col("length") > split_bytes)
+    if not files.where(long_text).select("path").limit(1).count():
+        return sheets_in(files.select("path", "content"), first_order)
+    named, pieces = long_texts(spark, paths, split_bytes, texts, SAMPLE_LINES, separator_of, clean)
+    named, pieces = table_of(named, "long-files"), table_of(pieces, "pieces")
+    whole = files.where(long_text).join(named.where("whole").select("path"), "path", "left_semi")
+    many = pieces.groupBy("path").agg(F.count(F.lit(1)).alias("many"))
+    none = F.array().cast("array<string>")
+    some = F.col("many") > 1
+    heads = named.where("not whole").join(many, "path", "left").select("path", F.when(some, 0).alias("n"), F.when(some, "text").alias("location"), none.alias("title_lines"), none.alias("footer_lines"), F.when(F.coalesce("many", F.lit(0)) < 2, "no table").alias("error"))
+    body = pieces.join(many.where(some).select("path"), "path", "left_semi").select("path", F.lit(0).alias("n"), "row", "cells")
+    parsed = _parsed(files.where(~long_text).unionByName(whole).select("path", "content")).unionByName(heads, allowMissingColumns=True).unionByName(body, allowMissingColumns=True)
+    return _named(parsed, files.select("path"), first_order)
+
+
+def sheets_in(files: DataFrame, first_order: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(tables, rows), as `read_sheets` has them, of files that are rows (path, content) already."""
+    return _named(_parsed(files), files.select("path"), first_order)
+
+
+def _named(parsed: DataFrame, paths: DataFrame, first_order: int) -> tuple[DataFrame, DataFrame]:
+    """(tables, rows) of what was parsed, with the names that files and tables have by their order."""
+    parsed = table_of(parsed, "parsed").join(table_of(_numbered(paths, first_order), "numbered"), "path")
+    number, table = F.col("file_order").cast("string"), F.col("n").cast("string")
+    parsed = parsed.withColumn("source_id", F.when(F.col("n").isNull(), F.concat(F.lit("f"), number)).otherwise(F.concat(F.lit("f"), number, F.lit("s"), table)))
+    kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    name = F.url_decode(F.replace(F.regexp_extract("path", r"([^/]*)$", 1), F.lit("+"), F.lit("%2B")))
+    tables = parsed.where("row is null").withColumn("filename", name).withColumn("kind", F.try_element_at(kind, F.lower(F.regexp_extract("filename", r"\.([^.]*)$", 1))))
+    return tables.select(*[c.split()[0] for c in TABLES.split(", ")]), parsed.where("row is not null").select(*[c.split()[0] for c in ROWS.split(", ")])
+
+
+def cells(rows: DataFrame) -> DataFrame:
     """Long form: source_id, row, col, text."""
-    rows = tables.select("source_id", F.posexplode("rows").alias("row", "r"))
-    return rows.select("source_id", F.col("row").cast("long").alias("row"), F.posexplode("r").alias("col", "text"))
+    return rows.select("source_id", F.col("row").cast("long").alias("row"), F.posexplode("cells").alias("col", "text"))

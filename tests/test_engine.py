@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
 from rollbook.engine import Engine
 from rollbook.sinks.report import Selection, sheets_of
-from rollbook.sinks.workbook import workbook
+from rollbook.sinks.workbook import Chart, Sheet, workbook
 from rollbook.sources.files import decode, fixed_width, parse, separator_of, sheets, text_rows
+from rollbook.statelog import StateLog
 
 
 def put(folder, name, text, encoding="utf-8"):
@@ -29,20 +32,69 @@ def rows(df, *cols):
 SHEET = "Nome;Nº Aluno;Teste 1;Nota Final;Teste 2;Nota Final 2\nPessoa Alfa Um;900001;13,25;15,5;-;-\nPessoa Beta Dois;900002;5,1;RE;11,75;14\nPessoa Gama Três;900003;0;NA;-;-\nTotal;3;;;;\n"
 
 
-def test_resit_sheet(engine, tmp_path):
-    put(tmp_path, "Fisica.csv", SHEET)
-    found = engine.ingest(str(tmp_path / "*.csv"))
-    assert found.where("error is null").count() == 1
+@pytest.fixture(scope="module")
+def school(spark, tmp_path_factory):
+    """One engine over sheets of several shapes, with its result; nothing here changes it."""
+    at = tmp_path_factory.mktemp("school")
+    put(at, "Calculo.csv", "Nome;Teste 1;Teste 2;Nota Contínua;Obs;Nota Exame\n" + "".join(f"Aluno {a} Um;10;11;{'12' if i < 4 else ''};;{'' if i < 4 else '13'}\n" for i, a in enumerate(["Alfa", "Beta", "Gama", "Delta", "Zeta", "Eta", "Teta"])))
+    put(at, "Fisica.csv", SHEET)
+    put(at, "Notas_XYZ.csv", "Nome;Nota Final\nPessoa Rho Um;85\nPessoa Tau Dois;42\n")
+    put(at, "Redes.csv", "Nome;Nota final;Exame\n" + "".join(f"Colega {a} Um;{'12' if i < 3 else ''};{'' if i < 3 else '14'}\n" for i, a in enumerate(["Alfa", "Beta", "Gama", "Delta", "Zeta"])))
+    put(at, "a1.csv", "Nome;Nº Aluno;Nota Final\nPessoa Lambda Um;900011;15\nPessoa Mi;900012;10\n")
+    put(at, "a2.csv", "Nome;Nota Final\nPESSOA LAMBDA UM;12\nPessoa Ni;17\n")
+    engine = Engine(spark, str(at / "state"))
+    engine.ingest(str(at / "*.csv"))
+    engine.update(answers={"f5s0:subject": "Química", "f6s0:subject": "Química"})
+    return engine, engine.result()
+
+
+def of(r, name, subject, *cols):
+    return rows(r[name].where(F.col("subject") == subject), *cols)
+
+
+def test_resit_sheet(school):
+    engine, r = school
     columns, data = engine.columns()
-    got = {r["header"]: (r["role"], r["kind"], r["season"], r["route"]) for r in columns.collect()}
+    got = {x["header"]: (x["role"], x["kind"], x["season"], x["route"]) for x in columns.where("source_id = 'f2s0'").collect()}
     assert got["Nome"][0] == "name" and got["Nº Aluno"][0] == "id"
     assert got["Nota Final"] == ("grade", "final", "epoca1", None)
     assert got["Nota Final 2"] == ("grade", "final", "epoca2", "exame")
     assert got["Teste 1"][1] == "component"
-    assert data.select("row").distinct().count() == 3  # the row of totals is no student
-    r = engine.result()
-    assert rows(r["results"], "student", "value", "status", "final", "approved") == [("id:900001", 15.5, None, 16, True), ("id:900002", 14.0, None, 14, True), ("id:900003", None, "NAO_ADMITIDO", None, False)]
-    assert rows(r["subject_stats"], "subject", "students", "approved", "failed", "pass_rate") == [("Fisica", 3, 2, 1, 0.667)]
+    assert data.where("source_id = 'f2s0'").select("row").distinct().count() == 3  # the row of totals is no student
+    assert of(r, "results", "Fisica", "student", "value", "status", "final", "approved") == [("id:900001", 15.5, None, 16, True), ("id:900002", 14.0, None, 14, True), ("id:900003", None, "NAO_ADMITIDO", None, False)]
+    assert of(r, "subject_stats", "Fisica", "students", "approved", "failed", "pass_rate") == [(3, 2, 1, 0.667)]
+
+
+def test_versions_and_identity(school):
+    _, r = school
+    # the later file counts, although its grade is lower
+    assert of(r, "results", "Química", "student", "value") == [("id:900011", 12.0), ("id:900012", 10.0), ("nome:pessoa ni", 17.0)]
+    assert of(r, "conflicts", "Química", "student", "type") == [("id:900011", "nota")]
+    assert of(r, "other_versions", "Química", "student", "value", "lost_as") == [("id:900011", 15.0, "version")]
+    assert {tuple(x["all_names"]) for x in r["students"].where("student = 'id:900011'").collect()} == {("Pessoa Lambda Um",)}
+
+
+def test_scale_of_a_hundred(school):
+    _, r = school
+    assert of(r, "results", "XYZ", "student", "value", "final", "approved") == [("nome:pessoa rho um", 17.0, 17, True), ("nome:pessoa tau dois", 8.4, 8, False)]
+
+
+def test_two_routes(school):
+    engine, r = school
+    finals = {x["header"]: x["route"] for x in engine.columns()[0].where("source_id = 'f1s0' and kind = 'final'").collect()}
+    assert finals == {"Nota Contínua": "continua", "Nota Exame": "exame"}
+    assert {x[0] for x in of(r, "results", "Calculo", "value")} == {12.0, 13.0}
+
+
+def test_exam_filled_only_without_final(school):
+    engine, _ = school
+    assert {x["header"] for x in engine.columns()[0].where("source_id = 'f4s0' and kind = 'final'").collect()} == {"Nota final", "Exame"}
+
+
+def test_document_is_the_whole_file(school):
+    tables, rows_ = school[0].document("f4s0")
+    assert [r["filename"] for r in tables.collect()] == ["Redes.csv"]
+    assert [list(r["cells"]) for r in rows_.orderBy("row").collect()][:2] == [["Nome", "Nota final", "Exame"], ["Colega Alfa Um", "12", ""]]
 
 
 def test_edits_removals_and_restart(spark, engine, tmp_path):
@@ -65,45 +117,6 @@ def test_edits_removals_and_restart(spark, engine, tmp_path):
     assert again.tables().count() == 0
 
 
-def test_versions_and_identity(engine, tmp_path):
-    put(tmp_path, "a1.csv", "Nome;Nº Aluno;Nota Final\nPessoa Alfa Um;900001;15\nPessoa Beta;900002;10\n")
-    put(tmp_path, "a2.csv", "Nome;Nota Final\nPESSOA ALFA UM;12\nPessoa Gama;17\n")
-    engine.ingest(str(tmp_path / "*.csv"))
-    engine.update(answers={"f1s0:subject": "Química", "f2s0:subject": "Química"})
-    r = engine.result()
-    # the later file counts, although its grade is lower
-    assert rows(r["results"], "student", "value") == [("id:900001", 12.0), ("id:900002", 10.0), ("nome:pessoa gama", 17.0)]
-    assert rows(r["conflicts"], "student", "type") == [("id:900001", "nota")]
-    assert rows(r["other_versions"], "student", "value", "lost_as") == [("id:900001", 15.0, "version")]
-    names = {tuple(x["all_names"]) for x in r["students"].where("student = 'id:900001'").collect()}
-    assert names == {("Pessoa Alfa Um",)}
-
-
-def test_scale_of_a_hundred(engine, tmp_path):
-    put(tmp_path, "Notas_XYZ.csv", "Nome;Nota Final\nPessoa Alfa Um;85\nPessoa Beta Dois;42\n")
-    engine.ingest(str(tmp_path / "*.csv"))
-    r = engine.result()
-    assert rows(r["results"], "student", "value", "final", "approved") == [("nome:pessoa alfa um", 17.0, 17, True), ("nome:pessoa beta dois", 8.4, 8, False)]
-
-
-def test_two_routes(engine, tmp_path):
-    body = "".join(f"Pessoa {a} Um;10;11;{'12' if i < 4 else ''};;{'' if i < 4 else '13'}\n" for i, a in enumerate(["Alfa", "Beta", "Gama", "Delta", "Zeta", "Eta", "Teta"]))
-    put(tmp_path, "Calculo.csv", "Nome;Teste 1;Teste 2;Nota Contínua;Obs;Nota Exame\n" + body)
-    engine.ingest(str(tmp_path / "*.csv"))
-    columns, _ = engine.columns()
-    finals = {r["header"]: r["route"] for r in columns.where("kind = 'final'").collect()}
-    assert finals == {"Nota Contínua": "continua", "Nota Exame": "exame"}
-    assert {r["value"] for r in engine.result()["results"].collect()} == {12.0, 13.0}
-
-
-def test_exam_filled_only_without_final(engine, tmp_path):
-    body = "".join(f"Pessoa {a} Um;{'12' if i < 3 else ''};{'' if i < 3 else '14'}\n" for i, a in enumerate(["Alfa", "Beta", "Gama", "Delta", "Zeta"]))
-    put(tmp_path, "Redes.csv", "Nome;Nota final;Exame\n" + body)
-    engine.ingest(str(tmp_path / "*.csv"))
-    columns, _ = engine.columns()
-    assert {r["header"] for r in columns.where("kind = 'final'").collect()} == {"Nota final", "Exame"}
-
-
 def test_answers_and_overrides_are_taken_back(engine, tmp_path):
     put(tmp_path, "Fisica.csv", SHEET)
     engine.ingest(str(tmp_path / "*.csv"))
@@ -130,44 +143,135 @@ def formulas(data, sheet):
 
 
 def test_report_sheets():
-    people = [{"student": "id:2", "student_id": "2", "name": "Beta"}, {"student": "id:1", "student_id": "1", "name": "Alfa"}]
-    one = lambda v, s, a, e=False: {"value": v, "status": s, "final": None if v is None else round(v), "approved": a, "edited": e, "pass_mark": 9.5}
-    results = {("id:2", "Fisica"): one(14.0, None, True), ("id:1", "Fisica"): one(15.5, None, True, True), ("id:1", "Redes"): one(None, "NAO_ADMITIDO", False)}
-    seasons = {("id:2", "Fisica", 1): {"value": 14.0, "status": None, "source": "f1"}, ("id:1", "Redes", 0): {"value": None, "status": "NAO_ADMITIDO", "source": "f2"}}
+    people = [{"student": "id:2", "student_id": "2", "name": "Beta"}, {"student": "id:1", "student_id": "01", "name": "Alfa"}]
+    one = lambda v, s, a, k, e=False: {"value": v, "status": s, "final": None if v is None else round(v), "approved": a, "edited": e, "pass_mark": 9.5, "best_season": k}
+    results = {("id:2", "Fisica"): one(14.0, None, True, 1), ("id:1", "Fisica"): one(15.5, None, True, None, True), ("id:1", "Redes"): one(None, "NAO_ADMITIDO", False, 0)}
+    seasons = {("id:2", "Fisica", 1): {"value": 14.0, "status": None, "source": "f1s0"}, ("id:1", "Redes", 0): {"value": None, "status": "NAO_ADMITIDO", "source": "f2s0"}}
     curriculum = {"Fisica": {"year": 1, "semester": 2, "ects": 6}, "Redes": {"year": None, "semester": None, "ects": None}}
-    for lang, names, state in (("pt", ["Resumo", "Fisica", "Redes", "Médias", "Detalhe", "Avisos"], "Não admitido"), ("en", ["Summary", "Fisica", "Redes", "Averages", "Detail", "Notices"], "Not admitted")):
-        data = workbook(sheets_of(Selection(people, ["Fisica", "Redes"], results, seasons, [], curriculum, [], 9.5, lang)))
+    said = {
+        "pt": (["Resumo", "Fisica", "Redes", "Médias", "Detalhe", "Avisos"], "Não admitido", "Fisica\n1.º ano · 2.º sem.", "Reprovado", "1.ª Época", "escrita à mão"),
+        "en": (["Summary", "Fisica", "Redes", "Averages", "Detail", "Notices"], "Not admitted", "Fisica\nYear 1 · sem. 2", "Failed", "1st season", "typed"),
+    }
+    for lang, (names, state, heading, failed, season, typed) in said.items():
+        data = workbook(sheets_of(Selection(people, ["Fisica", "Redes"], results, seasons, [], curriculum, [], 9.5, lang, labels={"f1s0": "a.csv text"}, files={"Fisica": ["a.csv"]})))
         got = dict(sheets(data))
         assert list(got) == names
-        assert [r[1] for r in got[names[0]][4:6]] == ["Beta", "Alfa"] and got[names[0]][5][3] == state
+        assert [r[1] for r in got[names[0]][4:6]] == ["Beta", "Alfa"] and got[names[0]][5][3] == state and got[names[0]][3][2] == " ".join(heading.split())
+        assert [r[0] for r in got[names[0]][4:6]] == ["2", "01"]
         first, second, fourth = (formulas(data, i) for i in (1, 2, 4))
-        assert first["C5"] == "IF('Fisica'!$G$6=\"\",\"\",'Fisica'!$G$6)" and first["C3"] == "'Fisica'!$B$3" and "AVERAGE(C5:C6)" in first["C7"]
-        assert second["K7"] == 'COUNTIFS($G$6:$G$7,"&gt;=10",$G$6:$G$7,"&lt;=13")' and "AVERAGE($G$6:$G$7)" in second["G12"]
-        assert "F6" in second and "F7" not in second  # a typed grade stands as it is
+        assert first["C5"] == "'Fisica'!$G$6" and first["C3"] == "'Fisica'!$B$3" and "AVERAGE(C5:C6)" in first["C7"] and '&amp;"/"&amp;COUNT(C5:C6)' in first["C8"]
+        assert first["B13"] == "COUNTIFS('Fisica'!$G$6:$G$7,\"&gt;=10\",'Fisica'!$G$6:$G$7,\"&lt;=13\")"
+        # the state compares the best as it is; its season is where the best stands
+        assert second["I6"].startswith('IF(NOT(ISNUMBER(F6)),"—",IF(F6&gt;=$B$3,') and "MATCH(MAX(C6:E6),C6:E6,0)" in second["H6"] and "$C$5:$E$5" in second["H6"]
+        assert "F6" in second and "F7" not in second and "H7" not in second  # a typed grade stands as it is
+        fisica, redes = got["Fisica"], got["Redes"]
+        assert fisica[4][9] == "a.csv text" and fisica[5][5:] == ["15.5", "", "-", "", typed] and fisica[4][2] == "-"
+        assert redes[4][2:] == [state, "-", "-", state, "-", season, failed, "f2s0"]
         assert "B4*B$2" in fourth["D4"] and "C$2" in fourth["F4"] and "C$2" not in fourth["D4"]
         assert any(state in r for r in got[names[4]])
-    assert got["Averages"][1][:3] == ["ECTS", "6", "1"] and got["Summary"][1][2] == "Year 1 · sem. 2"
+    assert got["Averages"][1][:3] == ["ECTS", "6", "1"]
 
 
-def test_workbook_round_trip(engine, tmp_path):
-    put(tmp_path, "Fisica.csv", SHEET)
-    engine.ingest(str(tmp_path / "*.csv"))
+def test_charts_and_their_relations():
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    sheet = Sheet("A & B")
+    sheet.add("x", 1)
+    sheet.charts.append(Chart("t <1>", "x", "y", "'A & B'!$A$1:$A$1", [("'A & B'!$B$1", "'A & B'!$B$1:$B$1")], (3, 0)))
+    z = zipfile.ZipFile(io.BytesIO(workbook([Sheet("Empty"), sheet])))
+    for name in z.namelist():
+        ElementTree.fromstring(z.read(name))
+    assert {"xl/charts/chart1.xml", "xl/drawings/drawing2.xml", "xl/worksheets/_rels/sheet2.xml.rels"} <= set(z.namelist())
+    assert b"../charts/chart1.xml" in z.read("xl/drawings/_rels/drawing2.xml.rels") and b"drawingml.chart+xml" in z.read("[Content_Types].xml")
+
+
+def test_workbook_round_trip(school, tmp_path):
+    engine, _ = school
     out = tmp_path / "out.xlsx"
     engine.export_xlsx(f"file://{out}", students=["Pessoa Beta Dois", "id:900001"])
     got = dict(sheets(out.read_bytes()))
     assert list(got) == ["Resumo", "Fisica", "Médias", "Detalhe", "Avisos"]
     assert [r[1] for r in got["Resumo"][4:6]] == ["Pessoa Beta Dois", "Pessoa Alfa Um"]
+    assert [r[9] for r in got["Fisica"][4:6]] == ["Fisica.csv text"] * 2
     assert parse("out.xlsx", out.read_bytes())[0][0] == "sheet:Resumo"
 
 
-def test_state_is_replaced_in_one_step(spark, engine, tmp_path):
-    engine.update(answers={"a:subject": "X"})
-    engine.update(answers={"a:subject": "Y"})
-    assert Engine(spark, engine.folder).answers == {"a:subject": "Y"} and not (tmp_path / "state" / "state.json.new").exists()
-    (tmp_path / "state" / "state.lock").write_text("")
-    with pytest.raises(TimeoutError):
-        with engine._alone(seconds=0):
-            pass
+def test_log_takes_each_number_once(spark, tmp_path):
+    logs = [StateLog(spark, str(tmp_path / "log")) for _ in range(4)]
+    assert logs[0].latest() == (0, None)
+    with ThreadPoolExecutor(4) as pool:  # all change the same state at once
+        list(pool.map(lambda i: logs[i % 4].change(lambda s: {"said": [*(s or {"said": []})["said"], i]}), range(24)))
+    number, state = logs[0].latest()
+    assert number == 24 and sorted(state["said"]) == list(range(24)) and state["previous"] == 23
+    assert [len(logs[1].read(n)["said"]) for n in logs[1].numbers()] == list(range(1, 25))
+    assert not logs[0].append(3, {}) and logs[0].latest()[0] == 24
+    assert logs[0].change(lambda s: {k: v for k, v in s.items() if k != "previous"})[0] == 24  # no change, no state
+    assert not [p for p in (tmp_path / "log").iterdir() if p.suffix != ".json"]
+
+
+def test_engines_on_one_folder_lose_nothing(spark, tmp_path):
+    put(tmp_path, "a1.csv", "Nome;Nota Final\nPessoa Alfa Um;12\n")
+    put(tmp_path, "b1.csv", "Nome;Nota Final\nPessoa Beta Um;13\n")
+    one, two = (Engine(spark, str(tmp_path / "state")) for _ in range(2))
+    one.ingest(str(tmp_path / "a1.csv"))
+    two.update(answers={"f1s0:subject": "X"}, overrides={"f1s0": {"1": {"scale": 20}}})  # two was opened before
+    two.ingest(str(tmp_path / "b1.csv"))
+    one.edit_grade("id:1", "X", 11)
+    two.edit_grade("id:2", "X", 12)
+    one.confirm("f1s0")
+    two.confirm("f2s0")
+    two.remove_student("id:3")
+    one.remove_student("id:4")
+    one.create_subject("Y")
+    assert sorted(r[0] for r in two.tables().select("source_id").collect()) == ["f1s0", "f2s0"]
+    last = Engine(spark, one.folder)
+    assert last.answers == {"f1s0:subject": "X"} and last.overrides == {"f1s0": {"1": {"scale": 20}}} and last.next_order == 3
+    s = last.settings
+    assert (s.grade_overrides, s.confirmed_sources, s.removed_students, s.manual_subjects) == ({"id:1": {"X": 11.0}, "id:2": {"X": 12.0}}, ["f1s0", "f2s0"], ["id:3", "id:4"], ["Y"])
+    two.remove_file("a1.csv")
+    one.update(answers={"f2s0:subject": "Z"})
+    last.refresh()
+    assert last.answers == {"f2s0:subject": "Z"} and last.overrides == {} and last.settings.confirmed_sources == ["f2s0"]
+    # a state that cannot be read, or is of another version, is an empty one; what comes next builds on that
+    (tmp_path / "state" / "state" / f"{one.log.latest()[0] + 1:012d}.json").write_text("{not json")
+    assert Engine(spark, one.folder).answers == {}
+    one.update(answers={"f2s0:subject": "W"})
+    assert Engine(spark, one.folder).answers == {"f2s0:subject": "W"}
+
+
+def test_only_changed_sheets_are_inferred_again(spark, tmp_path):
+    for i in range(4):
+        put(tmp_path, f"s{i}.csv", f"Nome;Nº Aluno;Teste;Nota Final\nPessoa Alfa;900001;5;{10 + i}\nPessoa Beta;900002;6;8\nPessoa {'ABCD'[i]} Um;;7;{12 + i}\n")
+    engine = Engine(spark, str(tmp_path / "state"))
+    engine.ingest(str(tmp_path / "s[012].csv"))
+    parts = ("results", "seasons", "subject_stats", "students")
+    values = lambda r: {p: rows(r[p].drop("best_season"), *[c for c in r[p].columns if c != "best_season"]) for p in parts}
+    engine.result()
+    assert engine.views.made == 3
+    engine.edit_grade("id:900001", "S0", 18)
+    engine.remove_student("id:900002")
+    engine.update(answers={"f1s0:subject": "S2"}, settings={"pass_mark": 11})  # names are laid over
+    engine.result()
+    assert engine.views.made == 3
+    engine.update(overrides={"f2s0": {"2": {"kind": "final"}, "3": {"kind": "component"}}})
+    engine.ingest(str(tmp_path / "s3.csv"))
+    got = values(engine.result())
+    assert engine.views.made == 5  # the sheet that was decided about, and the new one
+    other = Engine(spark, engine.folder)
+    assert values(other.result()) == got and other.views.made == 0
+    engine.remove_file("s0.csv")
+    engine.update(overrides={"f2s0": {"2": {}, "3": {}}})
+    kept = values(engine.result())
+    assert engine.views.made == 5  # as it was before, so known
+    whole = Engine(spark, str(tmp_path / "again"))
+    whole.ingest([str(tmp_path / f"s{i}.csv") for i in (1, 2, 3)])
+    whole.edit_grade("id:900001", "S0", 18)
+    whole.remove_student("id:900002")
+    whole.update(settings={"pass_mark": 11})
+    fresh = values(whole.result())
+    assert [r for r in kept["results"]] == [r for r in fresh["results"]] and kept["subject_stats"] == fresh["subject_stats"]
 
 
 def test_merge_questions(engine, tmp_path):
