@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import batched, by_chars, read, texts_of
+from rollbook.llm.common import batched, by_chars, free_name, read, texts_of
 from rollbook.session import table_of
 
 WINDOW = 8
@@ -290,9 +290,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    hit = decontaminate(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit.hint("merge"), docs.doc_id.eqNullSafe(hit["_hit"]), "left_anti")
+    """Documents without a benchmark passage, with their own columns, whatever their names.
+
+    Rows of one id, a null one as well, go together if any has a passage. Null and empty texts have none and stay; very long
+    texts are searched whole; repeated rows stay repeated; an empty table gives an empty one.
+    """
+    name = free_name("_hit", docs.columns)
+    hit = decontaminate(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit.hint("merge"), docs["doc_id"].eqNullSafe(hit[name]), "left_anti")
 
 
 QUERIES = {"op8_decontamination": op8_decontamination}

@@ -94,7 +94,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, with its own columns; of repeated rows one stays."""
+    """One document of each group of equal texts, that of the largest id, with its own columns, whatever their names.
+
+    Of rows repeated with id and text one stays; a null id is less than any other. A null text counts as empty; a very
+    long one is digested whole; an empty table gives an empty one.
+    """
     stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kid"), F.col("text_sha256").alias("_ksha"))
     # the digest is computed again where the row lies; ids grow with the documents and are not broadcast; (id, digest) meets its kept row, and its repetitions
     sha = free_name("_sha", docs.columns)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import batched, read, texts_of
+from rollbook.llm.common import batched, free_name, read, texts_of
 from rollbook.session import table_of
 
 #: Labelled rows that the document model is fitted on, drawn by hash of their id.
@@ -213,8 +213,10 @@ def classify(
     scored = site_posteriors(slim, model.prior)
     if not keep_columns:
         return scored.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_llr").alias("evidence"), "host_rate", "path_rate", "posterior", (F.col("posterior") >= threshold).alias("kept"))
-    good = scored.groupBy("_id").agg(F.max("posterior").alias("_p")).where(F.col("_p") >= threshold).select(F.col("_id").alias("_good"))
-    return docs.join(good.hint("merge"), F.col(id_col).eqNullSafe(F.col("_good")), "left_semi")  # ids grow with the documents: never broadcast
+    good = scored.groupBy("_id").agg(F.max("posterior").alias("_p")).where(F.col("_p") >= threshold)
+    name = free_name("_good", docs.columns)
+    good = good.select(F.col("_id").alias(name))
+    return docs.join(good.hint("merge"), docs[id_col].eqNullSafe(good[name]), "left_semi")  # ids grow with the documents: never broadcast
 
 
 def lang_path(docs: DataFrame) -> Column:
@@ -229,7 +231,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps; rows of one id are judged by the best of them."""
+    """Documents that the classifier keeps, with their own columns, whatever their names.
+
+    Rows of one id, a null one as well, are judged by the best of them: all stay or go. Null and empty texts are judged by
+    their site alone; very long texts are read whole; repeated rows stay repeated; an empty table gives an empty one.
+    """
     return classify(docs, read(spark, sf_dir, "labels"), path=lang_path(docs), keep_columns=True)
 
 

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+import random
+
 import numpy as np
 import pytest
 from conftest import prose
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 from rollbook.llm.html_extraction import Page, decode, extract, features, trained, training_pages
 from rollbook.llm.language_id import BASE, identify, packed_grams, train_models
 from rollbook.llm.lm_scoring import MASKED, OFFSETS, Network, Trainer, Vocabulary, masked, score, train, windows, word_counts, words_of
-from rollbook.llm.quality import classify, fit, site_columns, site_posteriors
+from rollbook.llm.quality import classify, fit, quality_stage, site_columns, site_posteriors
 
 LANGS = {"en": "the quick brown fox jumps over the lazy dog and runs away from the town ", "de": "der schnelle braune fuchs springt über den faulen hund und läuft weg ", "es": "el rápido zorro marrón salta sobre el perro perezoso y huye del pueblo "}
 
@@ -129,6 +132,69 @@ def test_site_posteriors_shrink_sparse_sites(spark):
         assert out[0].path_rate > 0.8 and out[200].path_rate < 0.2 and 0.05 < out[401].path_rate < 0.5
 
 
+def test_posteriors_equal_brute_force(spark):
+    """Hosts of a hundred rows and of one, paths within; half of the rows labelled."""
+    r = random.Random(3)
+    rows = []
+    for h in range(60):
+        good = r.random()
+        for _ in range(r.choice((1, 2, 3, 40, 100))):
+            y = int(r.random() < good)
+            rows.append((len(rows), f"h{h}", f"p{r.randrange(3)}", r.gauss(2 * y - 1, 1.5), y if r.random() < 0.5 else None))
+    prior = 0.4
+    known = [float(y) if y is not None else 1 / (1 + math.exp(-(llr + math.log(prior / (1 - prior))))) for *_, llr, y in rows]
+
+    def sums(key):
+        out: dict = {}
+        for row, e in zip(rows, known, strict=True):
+            k, n = out.get(key(row), (0.0, 0))
+            out[key(row)] = (k + e, n + 1)
+        return out
+
+    def worth(sites, rate):
+        between = sum(n * (k / n - rate(s)) ** 2 for s, (k, n) in sites.items())
+        within, total = (sum(w(n) * rate(s) * (1 - rate(s)) for s, (_, n) in sites.items()) for w in (lambda n: 1, lambda n: n))
+        return 1 / min(0.999, max(1e-3, max(0.0, between - within) / max(1e-9, total - within))) - 1
+
+    inside = lambda p: min(0.999, max(0.001, p))
+    hosts, paths = sums(lambda x: x[1]), sums(lambda x: (x[1], x[2]))
+    base = inside(sum(known) / len(known))
+    mh = worth(hosts, lambda s: base)
+    mp = worth(paths, lambda s: inside((hosts[s[0]][0] + mh * base) / (hosts[s[0]][1] + mh)))
+    want = {}
+    for (i, h, p, llr, _), e in zip(rows, known, strict=True):
+        host = (hosts[h][0] - e + mh * base) / (hosts[h][1] - 1 + mh)
+        path = (paths[h, p][0] - e + mp * host) / (paths[h, p][1] - 1 + mp)
+        want[i] = (host, path, 1 / (1 + math.exp(-(llr + math.log(inside(path) / (1 - inside(path)))))))
+    for most in (10_000, 5):  # few sites, and many with hot ones
+        table = spark.createDataFrame(rows, "_id long, _host string, _path string, _llr double, _y int")
+        got = {x._id: (x.host_rate, x.path_rate, x.posterior) for x in site_posteriors(table, prior, most).collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+
+
+def test_quality_stage_with_clashing_names(spark, tmp_path):
+    docs = spark.createDataFrame([(i, ("good text " if i % 2 else "### !!! ") * 30, "s", "en", True, "x") for i in range(60)] + [(None, None, None, None, None, None)], "doc_id long, text string, source string, lang string, _good boolean, _id string")
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = quality_stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} - {None} == {i for i in range(60) if i % 2}
+
+
+def test_scores_with_many_ids_and_far_logits():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(5, 8)).astype(np.float32) + np.array([0, -90, 30, -200, 5], np.float32)[:, None]
+    at = np.array([1, 2, 3, 4, 5])
+    want = (x - x.max(1, keepdims=True)) - np.log(np.exp(x - x.max(1, keepdims=True)).sum(1, keepdims=True))
+    assert np.allclose(Network._log_share(x.copy(), at), want[np.arange(5), at], atol=1e-5)
+    ids = 70_016
+    net = Network(ids=ids)
+    near = r.integers(0, ids + 1, (64, 4))
+    near[0] = [3, 3 + 65_536, 3, 3 + 65_536]  # equal in 16 bits
+    before = net.w["embed"].copy()
+    Trainer(net).step(near, r.integers(1, ids + 1, 64))
+    touched = np.flatnonzero((net.w["embed"] != before).any(1))
+    assert set(touched) <= set(near.ravel()) and {3, 3 + 65_536} <= set(touched)
+
+
 def test_quality_parts(spark):
     x = np.random.default_rng(0).normal(size=(200, 5)).astype(np.float32)
     m = fit(x, (x[:, 0] > 0).astype(float))
