@@ -22,6 +22,7 @@ from rollbook.functions.numbers import parse_student_id, split_id_from_name, stu
 from rollbook.functions.text import clean_text, norm_name, norm_text, sort_key, title_name
 from rollbook.operators import identity as I
 from rollbook.operators import inference as N
+from rollbook.operators import order_keys as K
 from rollbook.operators import overlays as O
 from rollbook.operators import reports as P
 from rollbook.operators import results as R
@@ -52,16 +53,18 @@ class State:
     settings: Settings = field(default_factory=Settings)
     next_order: int = 1
     files: int = 0
+    #: Students picked for the top of lists and for reports, by keys of their order.
+    picks: dict = field(default_factory=dict)
 
     @classmethod
     def of(cls, held: dict | None) -> State:
         """A state of another version, or one that cannot be read, is an empty one."""
         if not held or held.get("version") != VERSION:
             return cls()
-        return cls(held["answers"], held["overrides"], Settings.of(held["settings"]), held["next_order"], held["files"])
+        return cls(held["answers"], held["overrides"], Settings.of(held["settings"]), held["next_order"], held["files"], held["picks"])
 
     def to_dict(self) -> dict:
-        return {"version": VERSION, "answers": self.answers, "overrides": self.overrides, "settings": self.settings.to_dict(), "next_order": self.next_order, "files": self.files}
+        return {"version": VERSION, "answers": self.answers, "overrides": self.overrides, "settings": self.settings.to_dict(), "next_order": self.next_order, "files": self.files, "picks": self.picks}
 
     def keys(self) -> dict[str, str]:
         """Of each sheet that something was decided about, a digest of that; a sheet's name is laid over it later."""
@@ -89,6 +92,7 @@ class Engine:
     answers = property(lambda self: self.state.answers)
     overrides = property(lambda self: self.state.overrides)
     settings = property(lambda self: self.state.settings)
+    picks = property(lambda self: self.state.picks)
     next_order = property(lambda self: self.state.next_order)
 
     def refresh(self) -> None:
@@ -219,6 +223,27 @@ class Engine:
     def remove_student(self, student: str, yes: bool = True) -> None:
         self._set(lambda s: {"removed_students": _toggled(s.removed_students, student, yes)})
 
+    def pick(self, student: str, yes: bool = True) -> None:
+        """H3: a student comes last among the picked ones, or is not picked any more."""
+        self._change(lambda s: replace(s, picks=K.placed(s.picks, student) if yes else {k: v for k, v in s.picks.items() if k != student}))
+
+    def move(self, student: str, target: str, after: bool = False) -> None:
+        """H3: a picked student goes right before or after another one."""
+        self._change(lambda s: replace(s, picks=K.moved(s.picks, student, target, after)))
+
+    def nudge(self, student: str, step: int, needle: str | None = None) -> None:
+        """H3: a picked student goes up or down among the picked ones; with a needle, among those that the search shows."""
+        seen = None
+        if needle:
+            picked = self._frame([(k,) for k in self.picks], "student string")
+            seen = {r[0] for r in P.search(self.result()["students"].join(F.broadcast(picked), "student"), needle).select("student").collect()}
+        self._change(lambda s: replace(s, picks=K.nudged(s.picks, student, step, seen)))
+
+    def listed(self, most: int) -> DataFrame:
+        """H3, I4: the first students of a list: picked ones in their order, then by name."""
+        pinned = self._frame(list(self.picks.items()), "student string, pos string")
+        return P.pinned_order(self.result()["students"], pinned, most)
+
     # ------------------------------------------------------------ sheets
 
     def _frame(self, rows: list, schema: str) -> DataFrame:
@@ -346,11 +371,26 @@ class Engine:
         grades = grades.select("source_id", "row", "col", "subject", "season", "route", "column", "document_date", "file_order", "g.value", "g.status", "g.raw")
         return views["people"].join(subjects, "source_id"), grades.withColumn("season_ord", F.array_position(F.array(*map(F.lit, V.SEASONS)), F.col("season")).cast("int") - 1)
 
+    def _clustered(self) -> DataFrame:
+        """F1, K2: rows with the person they belong to; of the rows known before, only clusters that change are solved again."""
+        rows, by_name = self.records()[0], self.settings.merge_by_name
+        held = self._memo.get("people")
+        if not held or json.loads(held[-1][0])[-1] != by_name:
+            return I.cluster_records(rows, by_name)
+        before = held[-1][2]
+        same = ["row_id", "name", "student_id", "name_key"]
+        new = rows.alias("new").join(before.select(*[F.col(c).alias(f"_{c}") for c in same]), [F.col(f"new.{c}").eqNullSafe(F.col(f"_{c}")) for c in same], "left_anti")
+        old = before.alias("old").join(rows.select(*[F.col(c).alias(f"_{c}") for c in same]), [F.col(f"old.{c}").eqNullSafe(F.col(f"_{c}")) for c in same], "left_anti")
+        new, old = table_of(new, "new-rows"), table_of(old.select("row_id"), "old-rows")
+        done = I.recluster(before.select(*same, "cluster"), new.select(*same), old, by_name)
+        # subjects of rows may have changed; who they are has not
+        return rows.join(done.select("row_id", "cluster"), "row_id")
+
     def _people(self) -> DataFrame:
         """People of rows: cluster, student, names and numbers; typed grades and marks leave them as they are."""
         st = self.settings
         depends = self._inferred(), self._named(), st.removed_subjects, st.merge_by_name
-        people = self._kept("people", lambda: I.cluster_records(self.records()[0], st.merge_by_name), *depends)
+        people = self._kept("people", self._clustered, *depends)
 
         def spelled() -> DataFrame:
             s = I.described(people)
@@ -436,6 +476,7 @@ class Engine:
         """A workbook of a selection, in its order: summary, a sheet for each subject, averages, detail and notices."""
         r = self.result()
         people, results = r["students"], r["results"]
+        students = K.ordered(self.picks) if students is None and self.picks else students
         if students is not None:
             picked = P.select_students(people, self._frame(list(enumerate(students)), "pos long, pick string"))
         else:

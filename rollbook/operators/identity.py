@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.text import name_tokens
 from rollbook.operators.components import connected_components
+from rollbook.session import table_of
 
 
 def _star(records: DataFrame, key: str) -> DataFrame:
@@ -27,6 +28,36 @@ def cluster_records(records: DataFrame, merge_by_name: bool = True) -> DataFrame
     return records.join(found.withColumnsRenamed({"node": "row_id", "component": "cluster"}), "row_id", "left").withColumn("cluster", F.coalesce("cluster", "row_id"))
 
 
+def recluster(kept: DataFrame, added: DataFrame, removed: DataFrame, merge_by_name: bool = True) -> DataFrame:
+    """F1, K2: clusters after rows came and went, from those before: as `cluster_records` over all rows that are left.
+
+    kept: records with cluster, as they were; added: new records of the same columns without cluster; removed: (row_id). Only
+    clusters that lose a row are solved again. A new row joins what has its number or name: a row of each such cluster stands
+    for all, and what new rows connect are clusters, so the work grows with the change and not with the table. A row that
+    changed is removed and added.
+    """
+    keys = ["student_id"] + ["name_key"] * merge_by_name
+    gone = removed.select("row_id").distinct()
+    torn = kept.join(gone, "row_id", "left_semi").select("cluster").distinct()
+    left = kept.join(torn, "cluster", "left_semi").join(gone, "row_id", "left_anti").drop("cluster")
+    columns = added.columns
+    again = cluster_records(left, merge_by_name).select(*columns, "cluster")
+    known = table_of(kept.join(torn, "cluster", "left_anti").select(*columns, "cluster").unionByName(again), "known")
+    links = None
+    for key in keys:
+        new = added.where(F.col(key).isNotNull() & (F.col(key) != ""))
+        first = new.groupBy(key).agg(F.min("row_id").alias("least"))
+        # rows of one number, or one name, are of one cluster already
+        held = known.join(first.select(key), key, "left_semi").groupBy(key).agg(F.min("cluster").alias("held"))
+        meets = first.join(held, key, "left")
+        own = new.select(key, "row_id").join(meets, key).select(F.col("row_id").alias("a"), F.coalesce("held", "least").alias("b"))
+        links = own if links is None else links.unionByName(own)
+    found = table_of(connected_components(links), "joined")
+    moved = known.join(found.withColumnsRenamed({"node": "cluster", "component": "_to"}), "cluster", "left").withColumn("cluster", F.coalesce("_to", "cluster")).drop("_to")
+    fresh = added.join(found.withColumnsRenamed({"node": "row_id", "component": "cluster"}), "row_id", "left").withColumn("cluster", F.coalesce("cluster", "row_id"))
+    return moved.select(*columns, "cluster").unionByName(fresh.select(*columns, "cluster"))
+
+
 def best_names(records: DataFrame, key: str = "cluster") -> DataFrame:
     """G1: the name of most words, then the longest, then the first."""
     order = F.struct(F.size(name_tokens("name")), F.length("name"), -F.col("row_id"))

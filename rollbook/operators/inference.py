@@ -7,6 +7,8 @@ and joins with counts for pairs of columns; the sheet's rows are not looked at a
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ from rollbook.session import table_of
 
 #: Rows looked at for a header, samples kept, and the mark below which a first result counts as failed.
 HEADER_ROWS, SAMPLES, FAILED_BELOW = 12, 5, 9.5
+#: Kinds of bitmaps of a column: rows with a cell, rows with a grade; scales, on which a grade may fail, count from 0.
+CELL, FILLED = -2, -1
+#: Bytes of bitmaps whose bits are multiplied together.
+PAIR_BYTES = 512
 
 
 # ---------------------------------------------------------------- header and rows
@@ -138,18 +144,49 @@ def one_name_one_id(columns: DataFrame) -> DataFrame:
 def column_pairs(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """source_id, a, b (b <> a, both grade columns): rows of the sheet, with a, with b, with both, and with b where a failed.
 
-    A row meets itself once for each pair of its grade columns, within the row: no join of rows with rows.
+    Rows are bits: each column has bitmaps of the rows that have a cell, are filled, and fail on each scale of the sheet,
+    made by partial aggregates. Bitmaps of one bucket of rows meet, and pairs are counted there as products of their
+    bits; nothing is shuffled for a pair of columns and a row.
     """
-    graded = cells.join(columns.where("role = 'grade'").select("source_id", "col", "scale"), ["source_id", "col"])
-    graded = with_grade(graded, "text", F.col("scale"), "g")
-    graded = graded.select("source_id", "row", F.struct("col", "scale", F.col("g.value").alias("value"), F.col("g.status").alias("status"), (~is_empty(F.col("g.value"), F.col("g.status"))).alias("filled")).alias("x"))
-    rows = graded.groupBy("source_id", "row").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    pair = rows.select("source_id", F.explode("xs").alias("a"), "xs").select("source_id", "a", F.explode("xs").alias("b")).where("a.col <> b.col")
-    failed = F.when(F.col("a.value").isNotNull(), F.col("a.value") < F.col("b.scale") * FAILED_BELOW / 20).otherwise(F.col("a.status").isin(V.FAILING))
-    return pair.groupBy("source_id", F.col("a.col").alias("a"), F.col("b.col").alias("b")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("a.filled").alias("n_a"), F.count_if("b.filled").alias("n_b"), F.count_if(F.expr("a.filled and b.filled")).alias("n_both"),
-        F.count_if(F.col("b.filled") & F.coalesce(failed, F.lit(False))).alias("failed_first"),
-    )
+    grades = columns.where("role = 'grade'").select("source_id", "col", F.coalesce("scale", F.lit(-1.0)).alias("scale"))
+    scales = grades.groupBy("source_id").agg(F.array_sort(F.collect_set("scale")).alias("scales"))
+    graded = with_grade(cells.join(grades.join(scales, "source_id"), ["source_id", "col"]), "text", F.col("scale"), "g")
+    fails = lambda s: F.when(F.col("g.value").isNotNull(), F.col("g.value") < s * FAILED_BELOW / 20).otherwise(F.coalesce(F.col("g.status").isin(V.FAILING), F.lit(False)))
+    filled = F.when(~is_empty(F.col("g.value"), F.col("g.status")), FILLED)
+    said = F.array_compact(F.concat(F.array(F.lit(CELL), filled), F.transform("scales", lambda s, i: F.when(fails(s), i))))
+    bits = graded.select("source_id", "col", (F.array_position("scales", F.col("scale")) - 1).cast("int").alias("own"), F.expr("bitmap_bucket_number(row)").alias("bucket"), F.expr("bitmap_bit_position(row)").alias("bit"), F.explode(said).alias("said"))
+    maps = bits.groupBy("source_id", "bucket", "col", "said").agg(F.bitmap_construct_agg("bit").alias("bits"), F.first("own").alias("own"))
+    kind = dict(cells.dtypes)
+    counted = maps.groupBy("source_id", "bucket").applyInPandas(_bucket_pairs, f"source_id {kind['source_id']}, a {kind['col']}, b {kind['col']}, n long, n_a long, n_b long, n_both long, failed_first long")
+    return counted.groupBy("source_id", "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "n_a", "n_b", "n_both", "failed_first")])
+
+
+def _bucket_pairs(maps: pd.DataFrame) -> pd.DataFrame:
+    """The counts of all pairs of columns in one bucket of rows, from its bitmaps, some bytes of all columns at a time."""
+    cols, place = np.unique(maps["col"], return_inverse=True)
+    own = np.zeros(len(cols), np.int64)
+    own[place] = maps["own"]
+    packed = np.stack([np.frombuffer(x, np.uint8) for x in maps["bits"]])
+    used = np.flatnonzero(packed.any(0)).max() + 1
+    n, n_a, both, failed = (np.zeros((len(cols), len(cols))) for _ in range(4))
+    for at in range(0, used, PAIR_BYTES):
+        bits = np.unpackbits(packed[:, at : min(used, at + PAIR_BYTES)], axis=1).astype(np.float32)
+
+        def of(said: int, bits: np.ndarray = bits) -> np.ndarray:
+            out = np.zeros((len(cols), bits.shape[1]), np.float32)
+            mine = (maps["said"] == said).to_numpy()
+            out[place[mine]] = bits[mine]
+            return out
+
+        cell, filled = of(CELL), of(FILLED)
+        n += cell @ cell.T
+        n_a += filled @ cell.T
+        both += filled @ filled.T
+        for s in np.unique(own):  # on the scale of the second column
+            failed[:, own == s] += of(s) @ filled[own == s].T
+    a, b = np.nonzero(~np.eye(len(cols), dtype=bool) & (n > 0))
+    counts = {k: x[a, b].astype(np.int64) for k, x in (("n", n), ("n_a", n_a), ("n_b", n_a.T), ("n_both", both), ("failed_first", failed))}
+    return pd.DataFrame({"source_id": maps["source_id"].iloc[0], "a": cols[a], "b": cols[b], **counts})
 
 
 def moment_verdict(rows: Column, second: Column, failed: Column | None) -> Column:

@@ -6,9 +6,11 @@ labels depend on what was decided before, and run page by page.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,8 +92,52 @@ def body_lines(found: DataFrame) -> DataFrame:
     return found.groupBy(*PAGE).applyInPandas(one_page, schema)
 
 
+def covers(words: DataFrame, keys: Sequence[str], gap: float) -> DataFrame:
+    """H5: keys, x0, x1: disjoint intervals, more than gap apart, that cover the words of each batch of rows.
+
+    To join intervals again that were joined before in parts gives what joining all at once would.
+    """
+    kinds = dict(words.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = pa.StructArray.from_arrays([b.column(i) for i in range(len(keys))], list(keys)) if len(keys) > 1 else b.column(0)
+            code = _codes(b, len(keys))
+            x0, x1 = (b.column(i).to_numpy(zero_copy_only=False) for i in (-2, -1))
+            order = np.lexsort((x1, x0, code))
+            code, x0, x1 = code[order], x0[order], x1[order]
+            starts = np.flatnonzero(np.diff(code, prepend=-1))
+            fresh = np.zeros(len(code), bool)
+            for at, end in zip(starts, [*starts[1:], len(code)], strict=True):
+                reach = np.maximum.accumulate(x1[at:end])
+                fresh[at] = True
+                fresh[at + 1 : end] = x0[at + 1 : end] > np.maximum(reach[:-1], x0[at]) + gap
+            first = np.flatnonzero(fresh)
+            kept = key.take(pa.array(order[first]))
+            parts = kept.flatten() if len(keys) > 1 else [kept]
+            yield pa.RecordBatch.from_arrays([*parts, pa.array(x0[first]), pa.array(np.maximum.reduceat(x1, first))], names=[*keys, "x0", "x1"])
+
+    rows = words.select(*keys, F.col("x0").cast("double"), F.col("x1").cast("double"))
+    return rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", x0 double, x1 double")
+
+
+def _codes(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    """A number for each different value of the first n columns together."""
+    code = np.zeros(batch.num_rows, np.int64)
+    for i in range(n):
+        own = batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        _, code = np.unique(code * (int(own.max()) + 1) + own, return_inverse=True)
+    return code
+
+
 def column_bounds(body: DataFrame, keys: Sequence[str] = PAGE, gap: float = COLUMN_GAP) -> DataFrame:
-    """A8d: keys, bounds: left end, the middle of every gap that no word covers, right end. Running maximum and gap test."""
+    """A8d: keys, bounds: left end, the middle of every gap that no word covers, right end. Running maximum and gap test.
+
+    Words that touch are first joined where they lie (`covers`), so that a page, however long, is a few intervals in its window.
+    """
+    body = covers(body, keys, gap)
     w = Window.partitionBy(*keys).orderBy("x0", "x1")
     reach = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     cut = body.withColumn("_reach", F.greatest(reach, F.min("x0").over(w.rowsBetween(Window.unboundedPreceding, -1))))

@@ -1,37 +1,82 @@
-"""Results kept up to date as entries arrive: micro-batches recompute only the students that they touch.
+"""Results kept up to date as entries arrive, with a state for each student.
 
-The batch operators have no streaming twin with other rules: each batch merges into the entries of its students, and the
-same season and version rules run over those. A batch that is run again replaces its own output.
+The state of a student is the list of the entries that count for them; a batch reads the states of its own students and
+no history. What it hands on are all entries of these students, and the batch rules of `results` run over them: there is
+no second form of any rule. A row with `removed` takes back what its source said of the student in earlier batches.
+A batch that is run again starts from the same states and replaces its own output.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rollbook.operators import results as R
 
+#: States lie in the store that `transformWithState` asks for.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def consolidate_batch(batch: DataFrame, batch_id: int, folder: str, order_cols: Sequence[str]) -> None:
-    """Adds the batch's entries, and writes the season results of its students as those of this batch."""
-    spark = batch.sparkSession
-    batch.write.mode("overwrite").parquet(f"{folder}/entries/batch={batch_id}")
-    touched = batch.select("student").distinct()
-    known = spark.read.parquet(f"{folder}/entries").where(F.col("batch") <= batch_id).drop("batch")
-    now = R.season_results(known.join(touched, "student", "left_semi"), order_cols)
-    now.write.mode("overwrite").parquet(f"{folder}/seasons/batch={batch_id}")
+
+class Entries(StatefulProcessor):
+    """Adds and takes back entries of a student, and hands on what they have now; a row without entry if that is nothing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("entries", "entries string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True)
+        held = json.loads(self.held.get()[0]) if self.held.exists() else []
+        gone = set(new.loc[new["removed"], "source"].astype(str))
+        added = [json.loads(x) for x in new.loc[~new["removed"], "entry"]]
+        now = [e for e in held if str(e.get("source")) not in gone] + added
+        self.held.update((json.dumps(now),)) if now else self.held.clear()
+        out = [json.dumps(e) for e in now] or [None]
+        yield pd.DataFrame({"student": [key[0]] * len(out), "entry": out})
+
+    def close(self) -> None:
+        pass
+
+
+def with_states(entries: DataFrame) -> DataFrame:
+    """(student, entry): of each batch all entries that its students have after it, as JSON; null if there are none.
+
+    entries: a stream with student, source and what else the rules need; `removed`, if there is such a column, marks rows
+    that take back their source.
+    """
+    removed = F.coalesce(F.col("removed"), F.lit(False)) if "removed" in entries.columns else F.lit(False)
+    whole = F.to_json(F.struct(*[c for c in entries.columns if c != "removed"]))
+    rows = entries.select("student", F.col("source").cast("string").alias("source"), removed.alias("removed"), whole.alias("entry"))
+    return rows.groupBy("student").transformWithStateInPandas(Entries(), f"student {dict(entries.dtypes)['student']}, entry string", "Update", "none")
+
+
+def consolidate_batch(batch: DataFrame, batch_id: int, folder: str, order_cols: Sequence[str], schema: str) -> None:
+    """Writes the season results of a batch's students, and who they are, as those of this batch."""
+    held = batch.select("student", F.from_json("entry", schema).alias("e"))
+    at = f"{folder}/results/batch={batch_id}"
+    held = held.persist()
+    try:
+        R.season_results(held.where("e is not null").select("e.*"), order_cols).write.mode("overwrite").parquet(f"{at}/part=seasons")
+        held.select("student").distinct().write.mode("overwrite").parquet(f"{at}/part=students")
+    finally:
+        held.unpersist()
 
 
 def start(entries: DataFrame, folder: str, order_cols: Sequence[str], trigger: dict | None = None):
-    """A streaming query over entries; checkpoints lie in folder, which all machines share."""
-    write = entries.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(lambda b, i: consolidate_batch(b, i, folder, order_cols))
-    return write.trigger(**(trigger or {"availableNow": True})).start()
+    """A streaming query over entries; checkpoints, with the states, lie in folder, which all machines share."""
+    entries.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    fields = [f for f in entries.schema.fields if f.name != "removed"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    write = with_states(entries).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint")
+    return write.foreachBatch(lambda b, i: consolidate_batch(b, i, folder, order_cols, schema)).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
     """The season results as of the last batch: of each student, those of the last batch that touched them."""
-    all_of = spark.read.parquet(f"{folder}/seasons")
-    last = all_of.groupBy("student").agg(F.max("batch").alias("batch"))
-    return all_of.join(last, ["student", "batch"], "left_semi").drop("batch")
+    read = lambda part: spark.read.option("basePath", f"{folder}/results").parquet(f"{folder}/results/batch=*/part={part}").drop("part")
+    last = read("students").groupBy("student").agg(F.max("batch").alias("batch"))
+    return read("seasons").join(last, ["student", "batch"], "left_semi").drop("batch")
