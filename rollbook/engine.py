@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.functions import vocabulary as V
-from rollbook.functions.grades import rescale, with_grade
-from rollbook.functions.messages import render
+from rollbook.functions.grades import format_grade, rescale, with_grade
+from rollbook.functions.messages import render, template
 from rollbook.functions.numbers import parse_student_id, split_id_from_name, student_key
 from rollbook.functions.text import clean_text, norm_name, norm_text, sort_key, title_name
 from rollbook.operators import identity as I
@@ -465,12 +465,51 @@ class Engine:
             out = lines if out is None else out.unionByName(lines)
         return out
 
-    def to_json(self) -> DataFrame:
-        """One JSON text for each student, with results nested."""
+    def to_json(self, lang: str | None = None) -> DataFrame:
+        """(student, json): one text for each student, seasons and averages nested, with labels in a language."""
+        r, lang = self.result(), F.lit(lang or self.settings.language)
+        said = lambda kind, c: F.when(c.isNotNull(), template(F.concat(F.lit(f"{kind}."), c), lang))
+        grade = lambda v, s: F.struct(v.alias("value"), s.alias("status"), F.coalesce(format_grade(F.when(v.isNotNull(), v)), F.lit("")).alias("shown"), F.when(v.isNotNull(), format_grade(v)).otherwise(said("status", s)).alias("label"))
+        sheets = self.sheets().select(F.col("source_id").alias("source"), "label")
+        lost = r["other_versions"].join(sheets, "source", "left").groupBy("student", "subject", "season_ord").agg(
+            *[F.array_sort(F.collect_list(F.when(F.col("lost_as") == kind, F.struct("source", "label", "value", "status", said("route", F.col("route")).alias("route"))))).alias(f"other_{kind}s") for kind in ("version", "route")]
+        )
+        none = lambda c: F.coalesce(c, F.array().cast("array<struct<source:string,label:string,value:double,status:string,route:string>>"))
+        seasons = r["seasons"].join(sheets, "source", "left").join(lost, ["student", "subject", "season_ord"], "left")
+        season = F.struct(
+            F.col("season").alias("epoca"), said("season", F.col("season")).alias("label"), grade(F.col("value"), F.col("status")).alias("grade"), F.col("label").alias("source_label"), "column", "route",
+            said("route", F.col("route")).alias("route_label"), none("other_versions").alias("other_versions"), none("other_routes").alias("other_routes"),
+        )
+        nested = seasons.groupBy("student", "subject").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("season", season)))).alias("epocas"))
+        key = F.element_at(F.array(*map(F.lit, V.SEASONS)), F.col("best_season") + 1)
+        best = F.when(F.col("value").isNotNull() | F.col("status").isNotNull(), grade(F.col("value"), F.col("status")))
+        before = F.when(F.col("edited") & (F.col("original_value").isNotNull() | F.col("original_status").isNotNull()), grade(F.col("original_value"), F.col("original_status")))
+        subject = F.struct("subject", "epocas", "pass_mark", key.alias("best_epoca"), F.coalesce(said("season", key), F.lit("—")).alias("best_epoca_label"), best.alias("best"), F.col("final").alias("best_rounded"), "approved", "edited", before.alias("original"))
+        of = r["results"].join(nested, ["student", "subject"], "left").groupBy("student").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("subject", subject)))).alias("subjects"))
+        means = r["averages"].groupBy("student").agg(F.array_sort(F.collect_list(F.struct("level", "year", "semester", "mean", "count", "weighted", "rounded"))).alias("averages"))
+        rows = r["students"].join(of, "student", "left").join(means, "student", "left")
+        return rows.select("student", F.to_json(F.struct(F.col("student").alias("key"), "name", "student_id", "all_ids", "all_names", "averages", "subjects"), {"ignoreNullFields": "false"}).alias("json"))
+
+    def write_json(self, path: str, lang: str | None = None) -> None:
+        """The whole result as one JSON document, in a language: its parts, one after the other in the order of their
+        names, are the text. Tasks write the lines; no row comes to the driver."""
         r = self.result()
-        nested = r["results"].groupBy("student").agg(F.array_sort(F.collect_list(F.struct("subject", "value", "status", "final", "approved", "edited"))).alias("subjects"))
-        rows = r["students"].join(nested, "student", "left")
-        return rows.select("student", F.to_json(F.struct("student", "name", "student_id", "all_ids", "all_names", "subjects")).alias("json"))
+        parts = [("students", self.to_json(lang).select("student", "json"))]
+        for name in ("conflicts", "warnings"):
+            parts.append((name, self.messages(r[name], lang).select(F.to_json(F.struct("*")).alias("json"))))
+        for name in ("subjects", "subject_stats", "subject_files", "subject_groups", "missing_curriculum", "coverage", "stats", "settings"):
+            parts.append((name, r[name].select(F.to_json(F.struct("*")).alias("json"))))
+        lines = None
+        for at, (name, rows) in enumerate(parts):
+            rows = table_of(rows.select("json"), f"json-{name}")
+            last = rows.agg(F.max("json")).first()[0]  # the last in order has no comma
+            own = rows.groupBy("json").agg(F.count(F.lit(1)).alias("n")).select(F.lit(at).alias("part"), F.lit(1).alias("place"), F.col("json").alias("line"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("nth"), "n")
+            comma = F.when((F.col("line") == F.lit(last)) & (F.col("nth") == F.col("n")), "").otherwise(",")
+            own = own.select("part", "place", F.concat("line", comma).alias("line"), "line", "nth").toDF("part", "place", "text", "line", "nth")
+            ends = [(at, 0, ("{" if at == 0 else "") + f'"{name}":[', "", 0), (at, 2, "]}" if at == len(parts) - 1 else "],", "", 0)]
+            own = own.unionByName(self._frame(ends, "part int, place int, text string, line string, nth long"))
+            lines = own if lines is None else lines.unionByName(own)
+        lines.orderBy("part", "place", "line", "nth").select("text").write.text(path)
 
     def export_xlsx(self, path: str, students: list[str] | None = None, subjects: list[str] | None = None) -> None:
         """A workbook of a selection, in its order: summary, a sheet for each subject, averages, detail and notices."""

@@ -156,21 +156,15 @@ def plan_coverage(results: DataFrame, known: DataFrame) -> DataFrame:
     ones for a student of unknown course if any subject names one. Counted without listing plans: sums over subjects by
     course, and the student's own, are enough.
     """
-    students = results.select("student").distinct()
     # one look at the subjects before the plan is made: how many there are, and how many are everybody's
     n_known, everywhere = known.agg(F.count(F.lit(1)), F.count_if(F.col("course").isNull())).first()
-    own = results.select("student", "subject").distinct().join(F.broadcast(known) if n_known <= BROADCAST_ROWS else known, "subject")
-    mine = own.where("course is not null").groupBy("student").agg(F.collect_set("course").alias("courses"), F.count(F.lit(1)).alias("in_course"))
-    common = own.where("course is null").groupBy("student").agg(F.count(F.lit(1)).alias("in_common"))
-    sizes = known.where("course is not null").groupBy("course").agg(F.count(F.lit(1)).alias("size"))
-    total = mine.select("student", F.explode("courses").alias("course")).join(sizes, "course").groupBy("student").agg(F.sum("size").alias("of_courses"))
-    out = students.join(mine, "student", "left").join(common, "student", "left").join(total, "student", "left").withColumn("all_common", F.lit(everywhere))
-    n = F.coalesce(F.size("courses"), F.lit(0))
-    n = F.when(F.col("courses").isNull(), 0).otherwise(n)
-    return out.select(
-        "student", F.when(n == 1, F.get("courses", F.lit(0))).alias("course"), n.cast("bigint").alias("n_courses"),
-        (F.coalesce("in_common", F.lit(0)) + F.coalesce("in_course", F.lit(0))).alias("have"), (F.col("all_common") + F.coalesce("of_courses", F.lit(0))).alias("total"),
-    )
+    # each subject brings the size of its course along, so that one aggregate by student has all
+    sized = known.join(known.where("course is not null").groupBy("course").agg(F.count(F.lit(1)).alias("size")), "course", "left").withColumn("known", F.lit(True))
+    own = results.select("student", "subject").distinct().join(F.broadcast(sized) if n_known <= BROADCAST_ROWS else sized, "subject", "left")
+    of = own.groupBy("student").agg(F.collect_set(F.when(F.col("course").isNotNull(), F.struct("course", "size"))).alias("courses"), F.count("known").alias("have"))
+    n = F.size("courses")
+    total = F.lit(everywhere) + F.aggregate("courses", F.lit(0).cast("bigint"), lambda s, c: s + c["size"])
+    return of.select("student", F.when(n == 1, F.get("courses", F.lit(0))["course"]).alias("course"), n.cast("bigint").alias("n_courses"), "have", total.alias("total"))
 
 
 def plan_missing(results: DataFrame, known: DataFrame) -> DataFrame:

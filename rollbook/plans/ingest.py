@@ -24,7 +24,7 @@ HEAD = ("Nome", "Nº Aluno", "Nota Final")
 #: Customers of one page, workbook or text at most.
 PAGE_ROWS, BOOK_ROWS, BLOCK_ROWS = 40, 10_000, 5_000
 #: Bytes of a file beyond which it is read in pieces.
-SPLIT = 2048
+SPLIT = 1024
 
 # ---------------------------------------------------------------- sheets of customers
 
@@ -67,7 +67,7 @@ def _written(sheets: DataFrame, kind: str, **options: str) -> str:
 
 
 #: Separators and encodings of files, by nation.
-_FORMS = ({"sep": ";", "encoding": "UTF-8"}, {"sep": ",", "encoding": "windows-1252"}, {"sep": "|", "encoding": "UTF-16"}, {"sep": "\t", "encoding": "ISO-8859-1"})
+_FORMS = ({"sep": ";", "encoding": "UTF-8"}, {"sep": ",", "encoding": "ISO-8859-1"}, {"sep": "|", "encoding": "UTF-16"}, {"sep": "\t", "encoding": "UTF-8"})
 #: A block of customers of a nation is a sheet.
 _BLOCK = f"concat_ws('-', cast(c_nationkey % {len(_FORMS)} as {{text}}), cast(c_nationkey as {{text}}), cast(c_custkey {{by}} {BLOCK_ROWS} as {{text}}))"
 _BLOCKS = f"blocks as (select *, {_BLOCK.format(text='varchar', by='//')} as g from customer), files as (select g, row_number() over (order by g) as k from (select distinct g from blocks))"
@@ -103,11 +103,11 @@ def txt_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 files as (select c_nationkey, part, row_number() over (order by c_nationkey || '-' || part || '.xlsx') as k from (select distinct c_nationkey, part from rows))
 select 'f' || k || 's0' as source_id, 'sheet:N ' || c_nationkey || '-' || part as location, row, unnest([0, 1, 2]) as col, unnest([a, b, c]) as text from rows join files using (c_nationkey, part)""")
 def xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Workbooks of up to BOOK_ROWS customers of a nation, made by tasks and read by the source as files in rows."""
+    """Workbooks of up to BOOK_ROWS customers of a nation, made by tasks and read by the source as files in rows."""
     c = table(spark, sf_dir, "customer").select("c_nationkey", (F.col("c_custkey") / BOOK_ROWS).cast("bigint").alias("part"), "c_custkey", "c_name", (F.col("c_custkey") + 900000).cast("string").alias("id"), _grade1().alias("grade"))
 
     def book(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sheet = Sheet(f"N {key[0]}-{key[1]}")
+        sheet = Sheet(f"N {key[0]}/{key[1]}")  # a sign that names of sheets may not have
         sheet.add("")
         sheet.add(*HEAD)
         for r in pdf.sort_values("c_custkey").itertuples():
@@ -147,7 +147,7 @@ select 'result' as part, 'id:' || (900000 + c_custkey) as student, subject, {_ST
 union all select 'conflict', 'id:' || (900000 + c_custkey), subject, 'nota', cast(different as double), null, null, null from best where different > 1
 union all select 'subject', null, subject, null, round(avg(floor({_VALUE} + 0.5)), 2), count(*) filter (where floor({_VALUE} + 0.5) >= 9.5), count(*) filter (where raw in ('RE', 'Faltou') or floor({_VALUE} + 0.5) < 9.5), count(*) filter (where raw is null) from r group by subject""")
 def engine_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results of all ingested sheets (of two grades the later file's counts), what
+    """Results of all ingested sheets (of two grades the later file's counts), what
     differs between files, and counts by subject with listed students who have no grade."""
     r = _engine(spark, sf_dir).result()
     results = r["results"].select(F.lit("result").alias("part"), "student", "subject", "status", "value", F.col("approved").cast("bigint").alias("approved"))
@@ -171,6 +171,48 @@ def engine_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.result()["results"].select("student", "subject", "value", "status", "edited", "original_value", "approved")
 
 
+@query(f"""with {_ENTRIES.format(where="and k not in (1, 2)")}
+select 'result' as part, 'id:' || (900000 + c_custkey) as id, subject, {_STATUS} as status, {_VALUE} as value from best
+union all select 'document', 'f3s0', b, c, cast(null as double) from (select cast(900000 + c_custkey as varchar) as b, {_GRADE1} as c from customer join nations using (c_nationkey) where k = 3 union all select 'Nº Aluno', 'Nota Final')
+union all select 'question', 'f1s0:final', 'final_column', 'warning', 2.0
+union all select 'warning', 'pauta sem nota final', 'Subject ' || c_nationkey % 5, 'warning', null from nations where k = 1
+union all select 'confirmed', 'f3s0', null, null, null""")
+def engine_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sheet's only grade made a component, which is asked and warned about; two sheets
+    confirmed; a file removed, with what was decided about it; then, from the state as written: what is asked, the results
+    of what is left, one file's rows, and what is confirmed."""
+    e = _engine(spark, sf_dir)
+    e.update(overrides={"f1s0": {"2": {"kind": "component"}}, "f2s0": {"2": {"kind": "component"}}})
+    e.confirm("f2s0")
+    e.confirm("f3s0")
+    e.remove_file(e.tables().where("source_id = 'f2s0'").first()["filename"])
+    again = Engine(spark, e.folder)
+    r, asked = again.result(), again.review()["questions"]
+    null = lambda kind="string": F.lit(None).cast(kind)
+    results = r["results"].select(F.lit("result").alias("part"), F.col("student").alias("id"), "subject", "status", "value")
+    rows = again.document("f3s0")[1].select(F.lit("document"), "source_id", F.get("cells", F.lit(1)), F.get("cells", F.lit(2)), null("double"))
+    questions = asked.where("type = 'final_column'").select(F.lit("question"), "id", "type", "severity", F.col("default").cast("double"))
+    warnings = r["warnings"].where("type = 'pauta sem nota final'").select(F.lit("warning"), "type", "subject", "severity", null("double"))
+    confirmed = spark.createDataFrame([(x,) for x in again.settings.confirmed_sources], "id string").select(F.lit("confirmed"), "id", null(), null(), null("double"))
+    return results.union(rows).union(questions).union(warnings).union(confirmed)
+
+
+@query(f"""with {_ENTRIES.format(where="")}, top as (select c_custkey, subject, raw, k, {_VALUE} as value, {_STATUS} as status, row_number() over (partition by c_custkey, subject order by k desc) as n from entries where raw <> '')
+select 'id:' || (900000 + c_custkey) as student, subject, '1.ª Época' as season, value, case status when 'REPROVADO' then 'Reprovado' when 'FALTOU' then 'Faltou' end as status, cast(floor(value + 0.5) as bigint) as final,
+ case when value is not null then floor(value + 0.5) >= 9.5 else false end as approved, (select count(*) from top o where o.c_custkey = top.c_custkey and o.subject = top.subject and o.n > 1) as others from top where n = 1""")
+def result_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole result as one JSON document, written by tasks and read again: seasons, grades and versions in words."""
+    e = _engine(spark, sf_dir)
+    at = f"{e.folder}/document"
+    e.write_json(at)
+    lines = spark.read.text(at)
+    student = "key string, subjects map<string, struct<epocas: map<string, struct<label: string, grade: struct<value: double, status: string, label: string>, other_versions: array<struct<source: string>>>>, best_rounded: bigint, approved: boolean>>"
+    of = lines.where(F.col("value").startswith('{"key"')).select(F.from_json(F.regexp_replace("value", ",$", ""), student).alias("s"))
+    of = of.select(F.col("s.key").alias("student"), F.explode("s.subjects").alias("subject", "x")).select("student", "subject", F.explode("x.epocas").alias("e", "g"), "x.best_rounded", "x.approved")
+    words = F.when(F.col("g.grade.status").isNotNull(), F.col("g.grade.label"))
+    return of.select("student", "subject", F.col("g.label").alias("season"), F.col("g.grade.value").alias("value"), words.alias("status"), F.col("best_rounded").alias("final"), "approved", F.size("g.other_versions").cast("bigint").alias("others"))
+
+
 # ---------------------------------------------------------------- metadata, questions
 
 

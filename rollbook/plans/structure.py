@@ -13,7 +13,7 @@ from rollbook.operators import layout as Y
 from rollbook.operators.similarity import similar_names as similar
 from rollbook.plans.catalog import Catalog
 from rollbook.plans.lens import table
-from rollbook.session import spread
+from rollbook.session import spread, table_of
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -25,11 +25,11 @@ _SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 
 
 def _clean(c: str) -> str:
-    return f"trim(regexp_replace(translate(coalesce({c}, ''), '{T.DASHES}', '{'-' * len(T.DASHES)}'), '{_SPACE}', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace(coalesce({c}, ''), '[\\x{{2010}}-\\x{{2014}}\\x{{2212}}]', '-', 'g'), '{_SPACE}', ' ', 'g'))"
 
 
 def _plain(c: str) -> str:
-    return f"regexp_replace(translate({c}, '{T.ACCENTED}', '{T.PLAIN}'), '\\p{{M}}+', '', 'g')"
+    return f"regexp_replace(strip_accents({c}), '\\p{{M}}+', '', 'g')"
 
 
 def _norm(c: str) -> str:
@@ -151,9 +151,18 @@ i as (select cluster, student_id as best_id from r where student_id is not null
 select cluster, best_name, best_id, ids, spelled from (select cluster, count(distinct student_id) as ids, count(distinct nullif(name, '')) as spelled from r group by 1) left join n using (cluster) left join i using (cluster)""")
 def best_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1, G2, E6."""
-    r = I.cluster_records(_records(spark, sf_dir))
-    s = I.spellings(r).select("cluster", F.size("all_ids").cast("bigint").alias("ids"), F.size("all_names").cast("bigint").alias("spelled"))
-    return s.join(I.best_names(r), "cluster", "left").join(I.best_ids(r), "cluster", "left")
+    s = I.described(I.cluster_records(_records(spark, sf_dir)))
+    return s.select("cluster", "best_name", "best_id", F.size("all_ids").cast("bigint").alias("ids"), F.size("all_names").cast("bigint").alias("spelled"))
+
+
+@query(f"with recursive {_CLUSTERS} select row_id, cluster from clusters")
+def changed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1, K2: the same after changes: a seventh of the rows came later, and others went that had joined different people."""
+    rows, k = _records(spark, sf_dir), F.col("row_id")
+    ghosts = table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").select((-F.col("o_orderkey")).alias("row_id"), F.col("o_custkey").cast("string").alias("student_id"), F.concat(F.lit("name "), F.floor((F.col("o_custkey") + 50) / 2).cast("string")).alias("name"))
+    ghosts = ghosts.withColumn("name_key", F.col("name"))
+    before = table_of(I.cluster_records(rows.where(k % 7 != 0).unionByName(ghosts)), "before")
+    return I.recluster(before, rows.where(k % 7 == 0), ghosts.select("row_id")).select("row_id", "cluster")
 
 
 @query(f"""with recursive {_CLUSTERS}, r as (select c.cluster, r.* from records r join clusters c using (row_id))
@@ -249,6 +258,25 @@ def exam_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair.join(done, "source_id")
 
 
+@query("""with p as (select p_brand as source_id, p_partkey, p_name, row_number() over (partition by p_brand order by p_partkey) as n from part),
+r as (select source_id, 3 * n as row, [upper(p_name), cast(p_partkey as varchar), cast(n % 21 as varchar), ''] as t from p
+ union all select source_id, 3 * n + 1, case n % 6 when 1 then ['Total', '1', '2', '3'] when 2 then ['', '', '', ''] when 3 then ['', 'x', '', 'Total'] when 4 then ['Outra pessoa', '', '', ''] else null end from p),
+kept as (select * from r where t is not null and list_aggregate(t, 'string_agg', '') <> '')
+select source_id, row, unnest([0, 1, 2, 3]) as col, unnest(t) as text from kept""")
+def data_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows below the header of a sheet for each brand, without blank ones and those of totals and signatures; a row
+    that starts with such a word and has four cells filled stays."""
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("source_id"), "p_partkey", "p_name", F.expr("row_number() over (partition by p_brand order by p_partkey)").cast("bigint").alias("n"))
+    lit = lambda *t: F.array(*[F.lit(x) for x in t])
+    n = F.col("n") % 6
+    between = F.when(n == 0, lit("Total", "12", "13", "")).when(n == 1, lit("Total", "1", "2", "3")).when(n == 2, lit("", "", "", "")).when(n == 3, lit("", "x", "", "Total")).when(n == 4, lit("Outra pessoa", "", "", "")).otherwise(lit("", "Assinatura", "", ""))
+    rows = p.select("source_id", (3 * F.col("n")).alias("row"), F.array(F.upper("p_name"), F.col("p_partkey").cast("string"), (F.col("n") % 21).cast("string"), F.lit("")).alias("t"))
+    rows = rows.unionByName(p.select("source_id", (3 * F.col("n") + 1).alias("row"), between.alias("t")))
+    heads = p.select("source_id").distinct().select("source_id", F.lit(0).cast("bigint").alias("row"), lit("Nome", "Nº Aluno", "Nota Final", "Obs").alias("t"))
+    cells = heads.unionByName(rows).select("source_id", "row", F.posexplode("t").alias("col", "text"))
+    return N.data_cells(cells, heads.select("source_id", F.lit(0).alias("header")))
+
+
 @query()
 def column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From cells to roles, seasons and finals; sheet by sheet rules, tested on fixtures."""
