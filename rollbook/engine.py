@@ -469,7 +469,7 @@ class Engine:
         """(student, json): one text for each student, seasons and averages nested, with labels in a language."""
         r, lang = self.result(), F.lit(lang or self.settings.language)
         said = lambda kind, c: F.when(c.isNotNull(), template(F.concat(F.lit(f"{kind}."), c), lang))
-        grade = lambda v, s: F.struct(v.alias("value"), s.alias("status"), F.coalesce(format_grade(F.when(v.isNotNull(), v)), F.lit("")).alias("shown"), F.when(v.isNotNull(), format_grade(v)).otherwise(said("status", s)).alias("label"))
+        grade = lambda v, s: F.struct(v.alias("value"), s.alias("status"), F.when(v.isNotNull(), format_grade(v)).otherwise(said("status", s)).alias("label"))
         sheets = self.sheets().select(F.col("source_id").alias("source"), "label")
         lost = r["other_versions"].join(sheets, "source", "left").groupBy("student", "subject", "season_ord").agg(
             *[F.array_sort(F.collect_list(F.when(F.col("lost_as") == kind, F.struct("source", "label", "value", "status", said("route", F.col("route")).alias("route"))))).alias(f"other_{kind}s") for kind in ("version", "route")]
@@ -485,7 +485,8 @@ class Engine:
         best = F.when(F.col("value").isNotNull() | F.col("status").isNotNull(), grade(F.col("value"), F.col("status")))
         before = F.when(F.col("edited") & (F.col("original_value").isNotNull() | F.col("original_status").isNotNull()), grade(F.col("original_value"), F.col("original_status")))
         subject = F.struct("subject", "epocas", "pass_mark", key.alias("best_epoca"), F.coalesce(said("season", key), F.lit("—")).alias("best_epoca_label"), best.alias("best"), F.col("final").alias("best_rounded"), "approved", "edited", before.alias("original"))
-        of = r["results"].join(nested, ["student", "subject"], "left").groupBy("student").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("subject", subject)))).alias("subjects"))
+        by_subject = lambda a, b: F.when(a["subject"] < b["subject"], -1).otherwise(1)
+        of = r["results"].join(nested, ["student", "subject"], "left").groupBy("student").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("subject", subject)), by_subject)).alias("subjects"))
         means = r["averages"].groupBy("student").agg(F.array_sort(F.collect_list(F.struct("level", "year", "semester", "mean", "count", "weighted", "rounded"))).alias("averages"))
         rows = r["students"].join(of, "student", "left").join(means, "student", "left")
         return rows.select("student", F.to_json(F.struct(F.col("student").alias("key"), "name", "student_id", "all_ids", "all_names", "averages", "subjects"), {"ignoreNullFields": "false"}).alias("json"))
@@ -503,9 +504,10 @@ class Engine:
         for at, (name, rows) in enumerate(parts):
             rows = table_of(rows.select("json"), f"json-{name}")
             last = rows.agg(F.max("json")).first()[0]  # the last in order has no comma
-            own = rows.groupBy("json").agg(F.count(F.lit(1)).alias("n")).select(F.lit(at).alias("part"), F.lit(1).alias("place"), F.col("json").alias("line"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("nth"), "n")
-            comma = F.when((F.col("line") == F.lit(last)) & (F.col("nth") == F.col("n")), "").otherwise(",")
-            own = own.select("part", "place", F.concat("line", comma).alias("line"), "line", "nth").toDF("part", "place", "text", "line", "nth")
+            counts = rows.groupBy("json").agg(F.count(F.lit(1)).alias("n"))
+            own = counts.select(F.lit(at).alias("part"), F.lit(1).alias("place"), "json", "n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("nth"))
+            comma = F.when((F.col("json") == F.lit(last)) & (F.col("nth") == F.col("n")), "").otherwise(",")
+            own = own.select("part", "place", F.concat("json", comma).alias("text"), F.col("json").alias("line"), "nth")
             ends = [(at, 0, ("{" if at == 0 else "") + f'"{name}":[', "", 0), (at, 2, "]}" if at == len(parts) - 1 else "],", "", 0)]
             own = own.unionByName(self._frame(ends, "part int, place int, text string, line string, nth long"))
             lines = own if lines is None else lines.unionByName(own)

@@ -121,14 +121,26 @@ def xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- the engine, from files to results
 
 
+def _called(spark: SparkSession, folder: str) -> str:
+    """The folder, with each of its few files called after its sheet: a name given by a writer is chance, and names say things."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for sheet in fs.listStatus(at):
+        for file in fs.listStatus(sheet.getPath()) if sheet.isDirectory() else []:
+            if file.getPath().getName().endswith(".csv"):
+                fs.rename(file.getPath(), jvm.org.apache.hadoop.fs.Path(at, f"folha_{sheet.getPath().getName()[2:]}.csv"))
+    return folder
+
+
 def _engine(spark: SparkSession, sf_dir: str) -> Engine:
     """Sheets by nation, then by market segment; their subjects are named by answers. There are few files of each kind."""
     e = Engine(spark, new_folder(spark, "engine"))
     c = table(spark, sf_dir, "customer")
     nations = sorted(str(r[0]) for r in c.select("c_nationkey").distinct().collect())
     segments = sorted(r[0] for r in c.select("c_mktsegment").distinct().collect())
-    e.ingest(f"{_written(_sheets(spark, sf_dir, F.col('c_nationkey').cast('string'), _grade1()), 'csv')}/*/*.csv")
-    e.ingest(f"{_written(_sheets(spark, sf_dir, F.col('c_mktsegment'), _grade2()), 'csv')}/*/*.csv")
+    for by, grade in ((F.col("c_nationkey").cast("string"), _grade1()), (F.col("c_mktsegment"), _grade2())):
+        e.ingest(f"{_called(spark, _written(_sheets(spark, sf_dir, by, grade), 'csv'))}/*.csv")
     said = {f"f{k}s0:subject": f"Subject {int(n) % 5}" for k, n in enumerate(nations, 1)}
     said |= {f"f{k}s0:subject": f"Subject {i}" for i, k in enumerate(range(len(nations) + 1, len(nations) + 1 + len(segments)))}
     e.update(answers=said)
@@ -191,7 +203,7 @@ def engine_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     null = lambda kind="string": F.lit(None).cast(kind)
     results = r["results"].select(F.lit("result").alias("part"), F.col("student").alias("id"), "subject", "status", "value")
     rows = again.document("f3s0")[1].select(F.lit("document"), "source_id", F.get("cells", F.lit(1)), F.get("cells", F.lit(2)), null("double"))
-    questions = asked.where("type = 'final_column'").select(F.lit("question"), "id", "type", "severity", F.col("default").cast("double"))
+    questions = asked.where("type = 'final_column'").select(F.lit("question"), "id", "type", "severity", F.col("default").try_cast("double"))
     warnings = r["warnings"].where("type = 'pauta sem nota final'").select(F.lit("warning"), "type", "subject", "severity", null("double"))
     confirmed = spark.createDataFrame([(x,) for x in again.settings.confirmed_sources], "id string").select(F.lit("confirmed"), "id", null(), null(), null("double"))
     return results.union(rows).union(questions).union(warnings).union(confirmed)
