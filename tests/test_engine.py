@@ -198,6 +198,23 @@ def test_workbook_round_trip(school, tmp_path):
     assert parse("out.xlsx", out.read_bytes())[0][0] == "sheet:Resumo"
 
 
+def test_result_is_one_json_document(school, tmp_path):
+    import json
+
+    engine, r = school
+    engine.write_json(f"file://{tmp_path}/doc", "en")
+    doc = json.loads("".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*"))))
+    assert {"students", "conflicts", "warnings", "subjects", "subject_stats", "stats", "settings"} <= doc.keys()
+    of = {s["key"]: s for s in doc["students"]}
+    assert len(of) == len(doc["students"]) == r["students"].count()
+    fisica = of["id:900002"]["subjects"]["Fisica"]
+    assert (fisica["best_epoca_label"], fisica["best"]["value"], fisica["best_rounded"], fisica["edited"], fisica["original"]) == ("2nd season", 14.0, 14, False, None)
+    assert fisica["epocas"]["epoca1"]["grade"] == {"value": None, "status": "REPROVADO", "label": "Failed"} and fisica["epocas"]["epoca2"]["route_label"] == "Exam"
+    assert [v["value"] for v in of["id:900011"]["subjects"]["Química"]["epocas"]["epoca1"]["other_versions"]] == [15.0]
+    assert [c["type"] for c in doc["conflicts"]] == ["nota"] and doc["conflicts"][0]["message"].startswith("Grades differ")
+    assert len(doc["stats"]) == 1
+
+
 def test_log_takes_each_number_once(spark, tmp_path):
     logs = [StateLog(spark, str(tmp_path / "log")) for _ in range(4)]
     assert logs[0].latest() == (0, None)
