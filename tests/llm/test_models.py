@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rollbook.llm.html_extraction import Page, decode, extract, features, trained, training_pages
 from rollbook.llm.language_id import BASE, identify, packed_grams, train_models
+from rollbook.llm import lm_scoring
 from rollbook.llm.lm_scoring import MASKED, OFFSETS, Network, Trainer, Vocabulary, masked, score, train, windows, word_counts, words_of
 from rollbook.llm.quality import classify, fit, quality_stage, site_columns, site_posteriors
 
@@ -338,6 +339,39 @@ def test_lm_every_round_trains(frame):
         assert own.count() and (train(own)[1].flat() != Network().flat()).any()
 
 
+def test_lm_training_masks_every_word_once(frame, monkeypatch):
+    seen, averaged = [], lm_scoring._averaged
+
+    def watched(parts, size):
+        out = averaged(parts, size)
+        seen.append(out[1])
+        return out
+
+    monkeypatch.setattr(lm_scoring, "_averaged", watched)
+    texts = [*(prose(i, 10 + 37 * i) for i in range(40)), None, "", "one", ". , .", "far " * 9000]
+    train(frame(list(enumerate(texts))))
+    assert len(seen) == 2 and min(seen) and sum(seen) == sum(len(words_of(t or "")) for t in texts)
+
+
+def test_lm_runs_equal_windows_of_single_words():
+    r = np.random.default_rng(4)
+    lens = np.array([0, 1, 2, 700, 0, 3, 300, 1])
+    ids = r.integers(1, 200, lens.sum()).astype(np.uint16)
+    laid, at = windows(ids, lens)
+    near, y = laid[at[:, None] + OFFSETS], laid[at]
+    cuts = list(lm_scoring.runs(laid, at, 256))
+    assert np.concatenate([run[own + lm_scoring.SIDE] for run, own in cuts]).tolist() == ids.tolist()
+    nets = [Network(), Network()]
+    trainers = [Trainer(n) for n in nets]
+    for i, (run, own) in enumerate(cuts):
+        here = slice(256 * i, 256 * i + 256)
+        assert np.allclose(nets[0].log_probs_in(run, own), nets[0].log_probs(near[here], y[here]), atol=1e-4)
+        trainers[0].step_in(run, own)
+        trainers[1].step(near[here], y[here])
+    assert trainers[0].seen == trainers[1].seen == len(ids)
+    assert all(np.allclose(nets[0].w[k], nets[1].w[k], atol=1e-3) for k in nets[0].w)
+
+
 def test_lm_scores_marks(frame):
     texts = ['Well, "so-called" words (and_marks) ... l\'été\u3000x=1!', ". , .", "", "a\x1cb\xa0c"]
     v = Vocabulary(["well", "so", ".", ",", "x"])
