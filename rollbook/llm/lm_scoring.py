@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ ROUNDS = 2
 #: masked() names one position of every so many.
 MASKED = 8
 MINIBATCH = 4096
+#: Powers of up to so much, and their sums, are far from the ends of what floats hold.
+NEAR = 60
 #: Words scored together.
 SCORED = 4096
 #: A worker forgets its words beyond so many.
@@ -51,6 +54,12 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _keep_memory() -> None:
+    """The C library gives freed memory back to the system beyond twice the largest block that was freed; with small
+    blocks alone, arrays of a megabyte would be faulted in again in every step (1.9 of 5.4 us a word in training)."""
+    np.empty(24 << 20, np.uint8)
+
+
 def _parts(texts: pa.Array) -> pa.ListArray:
     """What stands between ASCII white space in each text (null: empty); other white space stays inside."""
     return pc.ascii_split_whitespace(pc.fill_null(texts, ""))
@@ -71,16 +80,16 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(word, n) over all texts, counted in each partition before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_memory()
         held: list[pa.Array] = []
 
         def counted() -> pa.RecordBatch:
             found = pc.value_counts(pa.chunked_array(held))
             held.clear()
             words, lens = _words_of_parts(_strings(found.field("values")))
-            n: dict[str, int] = {}
-            for w, k in zip(words, np.repeat(found.field("counts").to_numpy(), lens).tolist(), strict=True):
-                n[w] = n.get(w, 0) + k
-            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+            each = pa.array(words, pa.string()).dictionary_encode()
+            n = np.bincount(each.indices.to_numpy(), np.repeat(found.field("counts").to_numpy(), lens), len(each.dictionary))
+            return pa.RecordBatch.from_arrays([each.dictionary, pa.array(n.astype(np.int64))], names=["word", "n"])
 
         for b in batches:
             held.append(_parts(b.column(0)).flatten())
@@ -150,8 +159,15 @@ class Vocabulary:
         """The smallest type that holds every id."""
         return np.min_scalar_type(self.most + SHARED)
 
+    def _ids(self, words: list[str]) -> np.ndarray:
+        ids = np.fromiter(map(self.own.get, words, repeat(0)), np.int32, len(words))
+        at = np.flatnonzero(ids == 0)
+        raw = "\n".join([words[i] for i in at.tolist()]).encode().split(b"\n")  # words hold no line ends
+        ids[at] = 1 + self.most + np.fromiter(map(zlib.crc32, raw if len(at) else []), np.int64, len(at)) % SHARED
+        return ids
+
     def _id(self, word: str) -> int:
-        return self.own.get(word) or 1 + self.most + zlib.crc32(word.encode()) % SHARED
+        return int(self._ids([word])[0])
 
     def _shares(self, words: list[str], ids: np.ndarray) -> np.ndarray:
         """log of a word's share of its id: 0 for its own; else its spelling's, of which each shared id has one in SHARED."""
@@ -172,7 +188,7 @@ class Vocabulary:
         codes = np.fromiter((index.setdefault(x, len(index)) for x in found), np.int64, len(found))
         if len(index) > known:
             flat, lens = _words_of_parts([found[i] for i in np.flatnonzero(codes >= known).tolist()])
-            ids = np.fromiter(map(self._id, flat), np.int32, len(flat))
+            ids = self._ids(flat)
             self.flat = np.concatenate([self.flat, ids])
             self.share = np.concatenate([self.share, self._shares(flat, ids)])
             self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(lens)])
@@ -188,6 +204,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col).alias("_key"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_memory()
         words = held.value
         for b in batches:
             ids, share, lens = words.ids(b.column(2))
@@ -296,21 +313,27 @@ class Network:
         return order, h, target[order] - 1, c[order], np.bincount(c, minlength=self.ids // CLASS)
 
     def _logits(self, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-        """Logits of all classes, of the words of each row's class, and (class, from, to) of the rows, which come by class."""
+        """Logits of all classes, of the words of each row's class, and (class, from, to) of the rows, which come by class.
+
+        No part of the hidden layer passes 1, so the weights bound the logits; beyond NEAR rows are looked at themselves.
+        """
         of_class = h @ np.vstack([self.w["class_w"], self.w["class_b"]])
         of_word = np.empty((len(h), CLASS), np.float32)
         held = np.flatnonzero(counts)
         ends = np.cumsum(counts[held])
         spans = list(zip(held.tolist(), (ends - counts[held]).tolist(), ends.tolist()))
         both = np.concatenate([self.w["word_w"][held], self.w["word_b"][held, None]], 1)
-        for i, (_, a, z) in enumerate(spans):
-            np.matmul(h[a:z], both[i], out=of_word[a:z])
+        for (_, a, z), weights in zip(spans, both, strict=True):
+            np.matmul(h[a:z], weights, out=of_word[a:z])
+        if max(abs(self.w["class_w"]).sum(0).max() + abs(self.w["class_b"]).max(), np.abs(both, out=both).sum(1).max(initial=0)) > NEAR:
+            self._near_zero(of_class)
+            self._near_zero(of_word)
         return of_class, of_word, spans
 
     @staticmethod
     def _near_zero(x: np.ndarray) -> None:
         """Takes each row's maximum off, but where no sum of powers comes near the ends of what floats hold."""
-        if max(x.max(initial=0), -x.min(initial=0)) > 60:
+        if max(x.max(initial=0), -x.min(initial=0)) > NEAR:
             x -= x.max(1, keepdims=True)
 
     @staticmethod
@@ -322,6 +345,10 @@ class Network:
     def _log_share(cls, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log-softmax of x at one column of each row; x is used up."""
         cls._near_zero(x)
+        return cls._log_share_near(x, at)
+
+    @classmethod
+    def _log_share_near(cls, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         own = x[np.arange(len(at)), at]
         return own - np.log(cls._powers(x))
 
@@ -329,7 +356,7 @@ class Network:
         order, h, t, c, counts = self._sorted(self._before(x, sides)[0], at, target)
         of_class, of_word, _ = self._logits(h, counts)
         out = np.empty(len(t), np.float32)
-        out[order] = self._log_share(of_class, c) + self._log_share(of_word, t % CLASS)
+        out[order] = self._log_share_near(of_class, c) + self._log_share_near(of_word, t % CLASS)
         return out
 
     def log_probs(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -351,9 +378,10 @@ class Trainer:
         self.seen = 0
 
     def _update(self, name: str, g: np.ndarray, rows=slice(None)) -> None:
-        s = self.square[name][rows]
+        s = self.square[name][rows]  # a view, or a copy of some rows
         s += g * g
-        self.square[name][rows] = s
+        if not isinstance(rows, slice):
+            self.square[name][rows] = s
         g = g * self.rate
         g /= np.sqrt(s)
         self.net.w[name][rows] -= g
@@ -375,7 +403,6 @@ class Trainer:
         p, q, spans = net._logits(h, counts)
         rows, scaled = np.arange(n), []
         for logits, own in ((p, c), (q, t % CLASS)):  # gradients times what is divided by here, which h and back take: they are narrower
-            net._near_zero(logits)
             sums = net._powers(logits)
             logits[rows, own] -= sums
             scaled.append((1 / (sums * n))[:, None])
@@ -384,15 +411,17 @@ class Trainer:
         grad_class = (h * scaled[0]).T @ p
         by_word, h_word = np.empty_like(back), h * scaled[1]
         grad_word = np.empty((len(spans), WIDTH + 1, CLASS), np.float32)
-        for i, (k, a, z) in enumerate(spans):
-            np.matmul(q[a:z], w["word_w"][k].T, out=by_word[a:z])
-            np.matmul(h_word[a:z].T, q[a:z], out=grad_word[i])
+        turned, h_word = w["word_w"].transpose(0, 2, 1), h_word.T
+        for (k, a, z), grad in zip(spans, grad_word, strict=True):
+            own = q[a:z]
+            np.matmul(own, turned[k], out=by_word[a:z])
+            np.matmul(h_word[:, a:z], own, out=grad)
         by_word *= scaled[1]
         back += by_word
         slope = h[:, :WIDTH].copy()
         slope *= slope
         back *= np.subtract(1, slope, out=slope)
-        held = np.array([k for k, _, _ in spans])
+        held = slice(None) if len(spans) == len(w["word_w"]) else np.array([k for k, _, _ in spans])
         self._update("word_w", grad_word[:, :WIDTH], held)
         self._update("word_b", grad_word[:, WIDTH], held)
         self._update("class_w", grad_class[:WIDTH])
@@ -442,6 +471,7 @@ def vocabulary_of(docs: DataFrame, text_col: str = "text", words: int = FREQUENT
 
 def learned(batches: Iterator[pa.RecordBatch], trainer: Trainer, dtype: np.dtype) -> Trainer:
     """The trainer after every word of batches of _ids has been masked once, MINIBATCH words at a time."""
+    _keep_memory()
     for b in batches:
         for run, at in runs(*windows(*_ids_of(b.column(0), dtype)), MINIBATCH):
             trainer.step_in(run, at)
@@ -495,6 +525,7 @@ def score_encoded(rows: DataFrame, vocabulary: Vocabulary, net: Network, id_col:
     model, dtype = rows.sparkSession.sparkContext.broadcast(net), vocabulary.dtype
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_memory()
         own = model.value
         for b in batches:
             ids, lens = _ids_of(b.column(1), dtype)
