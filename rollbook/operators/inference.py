@@ -14,16 +14,21 @@ from pyspark.sql import functions as F
 
 from rollbook.functions import vocabulary as V
 from rollbook.functions.grades import guess_scale, is_empty, with_grade
-from rollbook.functions.numbers import looks_like_id_and_name, parse_number, parse_student_id
+from rollbook.functions.numbers import looks_like_id_and_name, number_of, parse_number, parse_student_id, plain_number
 from rollbook.functions.text import clean_text, looks_like_person_name, mentions, moment_index, norm_header, norm_text, padded, priority_in, route_in, season_of
 from rollbook.session import table_of
 
 #: Rows looked at for a header, samples kept, and the mark below which a first result counts as failed.
 HEADER_ROWS, SAMPLES, FAILED_BELOW = 12, 5, 9.5
-#: Kinds of bitmaps of a column: rows with a cell, rows with a grade; scales, on which a grade may fail, count from 0.
+#: What a cell may be: a cell, a grade; scales, on which a grade may fail, count from 0.
 CELL, FILLED = -2, -1
-#: Bytes of bitmaps whose bits are multiplied together.
-PAIR_BYTES = 512
+#: Rows of a sheet go in blocks, whose bits are one number. Blocks that are counted in one group, and at a time.
+BUCKET_BLOCKS, PAIR_BLOCKS = 512, 64
+BLOCK, BIT = "shiftright(row, 6)", "shiftleft(1L, cast(row & 63 as int))"
+#: Samples are looked for in so many rows, and in so many times as many until there are enough.
+SAMPLE_ROWS, SAMPLE_STEP = 1 << 12, 1 << 6
+#: Grade columns, by number, up to which cells of others are told apart by a list.
+LISTED_COLUMNS = 100
 
 
 # ---------------------------------------------------------------- header and rows
@@ -48,36 +53,84 @@ def header_rows(cells: DataFrame) -> DataFrame:
     return best.select("source_id", F.when(F.col("b.score") > 0, -F.col("b.up")).when(F.col("first_is_data"), -1).otherwise(0).cast("int").alias("header"))
 
 
+def _is_clean(text: Column) -> Column:
+    """Whether a text is of ASCII alone, with lone spaces inside as its only white space: most cells are, and stay as they are."""
+    spaced = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    for other in ("  ", *"\t\n\v\f\r"):
+        spaced = spaced | F.contains(text, F.lit(other))
+    return (F.octet_length(text) == F.length(text)) & ~spaced
+
+
+def _odd_rows(below: DataFrame) -> DataFrame:
+    """(source_id, row) of rows that may be left out: blank ones, and ones with a footer's word. Rows are bits of blocks."""
+    bits = lambda test, name: F.coalesce(F.bit_or(F.when(test, F.expr(BIT))), F.lit(0)).alias(name)
+    seen = below.groupBy("source_id", F.expr(BLOCK).alias("block")).agg(F.bit_or(F.expr(BIT)).alias("all"), bits(F.col("text") != "", "filled"), bits(F.col("footer"), "footers"))
+    odd = seen.select("source_id", "block", F.expr("all & ~filled | footers").alias("odd")).where("odd <> 0")
+    return odd.select("source_id", F.explode(F.expr("transform(filter(sequence(0, 63), i -> shiftright(odd, i) & 1 = 1), i -> shiftleft(block, 6) + i)")).alias("row"))
+
+
 def data_cells(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """Cleaned cells below the header, without blank rows and rows of totals or signatures."""
-    below = cells.join(headers, "source_id").where("row > header").select("source_id", "row", "col", clean_text("text").alias("text"))
-    filled = F.col("text") != ""
-    w = Window.partitionBy("source_id", "row")
-    out = below.withColumns({"_n": F.count_if(filled).over(w), "_first": F.min_by("text", F.when(filled, F.col("col"))).over(w)})
-    footer = norm_text("_first").isin(V.FOOTER_WORDS) & (F.col("_n") <= 3)
-    return out.where((F.col("_n") > 0) & ~footer).select("source_id", "row", "col", "text")
+    """Cleaned cells below the header, without blank rows and rows of totals or signatures.
 
+    Only rows that are blank or hold a footer's word are put together and looked at as rows.
+    """
+    clean, glued = _is_clean(F.col("text")), [w.replace(" ", "") for w in V.FOOTER_WORDS]
+    # what is compared of a clean text differs by case and further spaces only
+    may_be = F.length("text").between(min(map(len, glued)), max(map(len, V.FOOTER_WORDS))) & F.lower(F.replace("text", F.lit(" "), F.lit(""))).isin(glued)
+    footer = F.when(clean & ~may_be, F.lit(False)).otherwise(norm_text("text").isin(V.FOOTER_WORDS))
+    below = cells.join(headers, "source_id").where("row > header").select("source_id", "row", "col", F.when(clean, F.col("text")).otherwise(clean_text("text")).alias("text"), footer.alias("footer"))
+    odd = table_of(_odd_rows(below), "odd-rows")
+    if not odd.isEmpty():
+        filled = F.col("text") != ""
+        first = F.min(F.when(filled, F.col("col").cast("bigint") * 2 + F.col("footer").cast("int")))
+        rows = below.join(odd, ["source_id", "row"], "left_semi").groupBy("source_id", "row").agg(F.count_if(filled).alias("n"), first.alias("first"))
+        below = below.join(table_of(rows.where("n = 0 or n <= 3 and first % 2 = 1").select("source_id", "row"), "left-out"), ["source_id", "row"], "left_anti")
+    return below.select("source_id", "row", "col", "text")
+
+
+def counted(cells: DataFrame) -> DataFrame:
+    """source_id, col, text, _k: the different texts of each column, with the number of their cells."""
+    return cells.groupBy("source_id", "col", "text").agg(F.count(F.lit(1)).alias("_k"))
+
+
+def _samples(cells: DataFrame, filled: DataFrame) -> DataFrame:
+    """source_id, col, samples: the first filled cells of each column; rows are read until all columns (filled: source_id, col
+    and their number) have enough, or all they have."""
+    some, upto = cells.where("text <> ''").select("source_id", "col", "row", "text"), SAMPLE_ROWS
+    first = F.row_number().over(Window.partitionBy("source_id", "col").orderBy("row", "text"))
+    while True:
+        kept = (some.where(F.col("row") < upto) if upto < 1 << 62 else some).withColumn("_n", first).where(F.col("_n") <= SAMPLES)
+        kept = kept.groupBy("source_id", "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "text"))), lambda x: x["text"]).alias("samples"))
+        kept = table_of(kept, "samples")
+        short = F.coalesce(F.size("samples"), F.lit(0)) < F.least("filled", F.lit(SAMPLES))
+        if upto >= 1 << 62 or filled.join(kept, ["source_id", "col"], "left").where(short).isEmpty():
+            return kept
+        upto *= SAMPLE_STEP
 
-def profiles(cells: DataFrame) -> DataFrame:
+
+def profiles(cells: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """D3: one row for each source_id and col: ratios, extremes, distinct values and samples (the first filled cells).
 
-    The rules look at each different text of a column once, with the number of its cells.
+    The rules look at each different text of a column once, with the number of its cells (`counted`, if these are not given).
     """
-    first = F.row_number().over(Window.partitionBy("source_id", "col").orderBy("row", "text"))
-    kept = cells.where("text <> ''").select("source_id", "col", "row", "text").withColumn("_n", first).where(F.col("_n") <= SAMPLES)
-    kept = kept.groupBy("source_id", "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "text"))), lambda x: x["text"]).alias("samples"))
-    texts = cells.groupBy("source_id", "col", "text").agg(F.count(F.lit(1)).alias("_k"))
-    texts = with_grade(texts, "text", name="_g").withColumns({"_number": parse_number("text"), "_id": parse_student_id("text"), "_person": looks_like_person_name("text"), "_both": looks_like_id_and_name("text")})
+    texts = (counted(cells) if texts is None else texts).withColumn("_decimal", plain_number("text"))
+    # plain numbers are told apart first: they are no names, and numbers of students by their digits
+    rest = lambda plain, other: F.when(F.col("_decimal").isNotNull(), plain).otherwise(other)
+    is_id = rest(F.length(F.regexp_replace("text", "[^0-9]", "")).between(4, 12), parse_student_id("text").isNotNull())
+    texts = with_grade(texts, "text", name="_g").withColumns(
+        {"_number": rest(F.col("_decimal"), number_of(clean_text("text"))), "_id": is_id, "_person": rest(F.lit(False), looks_like_person_name("text")), "_both": rest(F.lit(False), looks_like_id_and_name("text"))}
+    )
     filled = F.col("text") != ""
     status = F.col("_g.value").isNull()
     on = lambda c: F.coalesce(F.sum(F.when(filled & c, F.col("_k"))), F.lit(0))
     p = texts.groupBy("source_id", "col").agg(
-        F.sum("_k").alias("rows"), on(F.lit(True)).alias("filled"), on(F.col("_number").isNotNull()).alias("numbers"), on(F.col("_id").isNotNull()).alias("ids"),
+        F.sum("_k").alias("rows"), on(F.lit(True)).alias("filled"), on(F.col("_number").isNotNull()).alias("numbers"), on(F.col("_id")).alias("ids"),
         on(F.col("_person")).alias("names"), on(F.col("_both")).alias("combined"), on(status & (F.col("_g.status") != V.NO_GRADE)).alias("statuses"), on(status & (F.col("_g.status") == V.NO_GRADE)).alias("dashes"),
         F.max(F.when(filled, F.col("_number"))).alias("max_value"), F.min(F.when(filled, F.col("_number"))).alias("min_value"), F.count_if(filled).alias("distinct"),
     )
     of = lambda c: F.col(c) / F.greatest("filled", F.lit(1))
-    p = p.join(kept, ["source_id", "col"], "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
+    p = table_of(p, "profiles")
+    p = p.join(_samples(cells, p.select("source_id", "col", "filled")), ["source_id", "col"], "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
     return p.withColumns(
         {
             "filled_ratio": F.col("filled") / F.greatest("rows", F.lit(1)), "numeric_ratio": of("numbers"), "status_ratio": of("statuses"), "dash_ratio": of("dashes"),
@@ -141,49 +194,61 @@ def one_name_one_id(columns: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- seasons
 
 
-def column_pairs(cells: DataFrame, columns: DataFrame) -> DataFrame:
-    """source_id, a, b (b <> a, both grade columns): rows of the sheet, with a, with b, with both, and with b where a failed.
+def row_bits(cells: DataFrame, columns: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """source_id, block, col, own, said, bits: the rows of each block that have a cell of a grade column of which the same is said.
 
-    Rows are bits: each column has bitmaps of the rows that have a cell, are filled, and fail on each scale of the sheet,
-    made by partial aggregates. Bitmaps of one bucket of rows meet, and pairs are counted there as products of their
-    bits; nothing is shuffled for a pair of columns and a row.
+    said: CELL, FILLED for a grade, and each scale of the sheet (own: the column's) on which it fails. Each different text
+    of a column (`counted`, if these are not given) is read once; each cell is one bit of one number.
     """
     grades = columns.where("role = 'grade'").select("source_id", "col", F.coalesce("scale", F.lit(-1.0)).alias("scale"))
     scales = grades.groupBy("source_id").agg(F.array_sort(F.collect_set("scale")).alias("scales"))
-    graded = with_grade(cells.join(grades.join(scales, "source_id"), ["source_id", "col"]), "text", F.col("scale"), "g")
+    listed = [r[0] for r in grades.select("col").distinct().limit(LISTED_COLUMNS + 1).collect()]
+    if len(listed) <= LISTED_COLUMNS:
+        cells = cells.where(F.col("col").isin(listed))
+    texts = (counted(cells) if texts is None else texts).select("source_id", "col", "text").join(grades.join(scales, "source_id"), ["source_id", "col"])
+    graded = with_grade(texts, "text", F.col("scale"), "g")
     fails = lambda s: F.when(F.col("g.value").isNotNull(), F.col("g.value") < s * FAILED_BELOW / 20).otherwise(F.coalesce(F.col("g.status").isin(V.FAILING), F.lit(False)))
     filled = F.when(~is_empty(F.col("g.value"), F.col("g.status")), FILLED)
     said = F.array_compact(F.concat(F.array(F.lit(CELL), filled), F.transform("scales", lambda s, i: F.when(fails(s), i))))
-    bits = graded.select("source_id", "col", (F.array_position("scales", F.col("scale")) - 1).cast("int").alias("own"), F.expr("bitmap_bucket_number(row)").alias("bucket"), F.expr("bitmap_bit_position(row)").alias("bit"), F.explode(said).alias("said"))
-    maps = bits.groupBy("source_id", "bucket", "col", "said").agg(F.bitmap_construct_agg("bit").alias("bits"), F.first("own").alias("own"))
+    read = table_of(graded.select("source_id", "col", "text", (F.array_position("scales", F.col("scale")) - 1).cast("int").alias("own"), said.alias("said")), "grade-texts")
+    placed = cells.join(read, ["source_id", "col", "text"]).select("source_id", F.expr(BLOCK).alias("block"), "col", "own", "said", F.expr(BIT).alias("bit"))
+    return table_of(placed.groupBy("source_id", "block", "col", "own", "said").agg(F.bit_or("bit").alias("bits")), "row-bits")
+
+
+def column_pairs(cells: DataFrame, columns: DataFrame, bits: DataFrame | None = None) -> DataFrame:
+    """source_id, a, b (b <> a, both grade columns): rows of the sheet, with a, with b, with both, and with b where a failed.
+
+    Rows are bits (`row_bits`, if they are not given). Blocks of one bucket of rows meet, and pairs are counted there as
+    products of their bits; nothing is shuffled for a pair of columns and a row.
+    """
+    bits = row_bits(cells, columns) if bits is None else bits
+    maps = bits.select("source_id", F.expr(f"floor(block / {BUCKET_BLOCKS})").alias("bucket"), F.expr(f"cast(pmod(block, {BUCKET_BLOCKS}) as int)").alias("at"), "col", "own", F.explode("said").alias("said"), "bits")
     kind = dict(cells.dtypes)
     counted = maps.groupBy("source_id", "bucket").applyInPandas(_bucket_pairs, f"source_id {kind['source_id']}, a {kind['col']}, b {kind['col']}, n long, n_a long, n_b long, n_both long, failed_first long")
     return counted.groupBy("source_id", "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "n_a", "n_b", "n_both", "failed_first")])
 
 
 def _bucket_pairs(maps: pd.DataFrame) -> pd.DataFrame:
-    """The counts of all pairs of columns in one bucket of rows, from its bitmaps, some bytes of all columns at a time."""
+    """The counts of all pairs of columns in one bucket of rows, from its blocks, some blocks of all columns at a time."""
     cols, place = np.unique(maps["col"], return_inverse=True)
+    kinds, kind = np.unique(maps["said"], return_inverse=True)
+    blocks, at = np.unique(maps["at"], return_inverse=True)
     own = np.zeros(len(cols), np.int64)
     own[place] = maps["own"]
-    packed = np.stack([np.frombuffer(x, np.uint8) for x in maps["bits"]])
-    used = np.flatnonzero(packed.any(0)).max() + 1
+    packed = np.zeros((len(kinds), len(cols), len(blocks)), np.int64)
+    np.bitwise_or.at(packed, (kind, place, at), maps["bits"].to_numpy())
     n, n_a, both, failed = (np.zeros((len(cols), len(cols))) for _ in range(4))
-    for at in range(0, used, PAIR_BYTES):
-        bits = np.unpackbits(packed[:, at : min(used, at + PAIR_BYTES)], axis=1).astype(np.float32)
-
-        def of(said: int, bits: np.ndarray = bits) -> np.ndarray:
-            out = np.zeros((len(cols), bits.shape[1]), np.float32)
-            mine = (maps["said"] == said).to_numpy()
-            out[place[mine]] = bits[mine]
-            return out
-
-        cell, filled = of(CELL), of(FILLED)
+    for start in range(0, len(blocks), PAIR_BLOCKS):
+        some = np.ascontiguousarray(packed[:, :, start : start + PAIR_BLOCKS])
+        bits = np.unpackbits(some.view(np.uint8), axis=2).astype(np.float32)
+        of = {int(k): x for k, x in zip(kinds, bits, strict=True)}
+        cell, filled = of[CELL], of.get(FILLED, np.zeros_like(bits[0]))
         n += cell @ cell.T
         n_a += filled @ cell.T
         both += filled @ filled.T
         for s in np.unique(own):  # on the scale of the second column
-            failed[:, own == s] += of(s) @ filled[own == s].T
+            if s in of:
+                failed[:, own == s] += of[s] @ filled[own == s].T
     a, b = np.nonzero(~np.eye(len(cols), dtype=bool) & (n > 0))
     counts = {k: x[a, b].astype(np.int64) for k, x in (("n", n), ("n_a", n_a), ("n_b", n_a.T), ("n_both", both), ("failed_first", failed))}
     return pd.DataFrame({"source_id": maps["source_id"].iloc[0], "a": cols[a], "b": cols[b], **counts})
@@ -271,16 +336,17 @@ def assign_seasons(columns: DataFrame, pairs: DataFrame, file_season: DataFrame
     return columns.join(c, ["source_id", "col"], "left").select(*columns.columns, "season", "route", "moment")
 
 
-def promote_exam_routes(columns: DataFrame, cells: DataFrame) -> DataFrame:
+def promote_exam_routes(columns: DataFrame, cells: DataFrame, bits: DataFrame | None = None) -> DataFrame:
     """An exam column filled only where the season's finals are empty is a route of its own: a final grade.
 
-    Per row, the finals of each season are looked at together with the exam column, within the row.
+    The finals of each season are laid over each other, and the exam column over these, as bits of rows (`row_bits`).
     """
-    grades = columns.where("role = 'grade'").select("source_id", "col", "scale", "season", (F.col("kind") == "final").alias("is_final"), ((F.col("kind") != "final") & ~F.col("locked") & mentions(padded(norm_header("header")), V.EXAM_WORDS)).alias("may_be"))
-    seen = with_grade(cells.join(grades, ["source_id", "col"]), "text", F.col("scale"), "g").withColumn("on", ~is_empty(F.col("g.value"), F.col("g.status"))).withColumn("s", F.coalesce("season", F.lit("")))
-    w = Window.partitionBy("source_id", "row", "s")
-    seen = seen.withColumns({"finals": F.count_if("is_final").over(w), "filled_finals": F.count_if(F.expr("is_final and on")).over(w)})
-    counts = seen.where("may_be and on and finals > 0").groupBy("source_id", "col").agg(F.count(F.lit(1)).alias("own"), F.count_if(F.col("filled_finals") == 0).alias("alone"))
+    bits = row_bits(cells, columns) if bits is None else bits
+    may_be = (F.col("kind") != "final") & ~F.col("locked") & mentions(padded(norm_header("header")), V.EXAM_WORDS)
+    grades = columns.where("role = 'grade'").select("source_id", "col", F.coalesce("season", F.lit("")).alias("s"), (F.col("kind") == "final").alias("is_final"), may_be.alias("may_be"))
+    on = bits.join(grades, ["source_id", "col"]).withColumn("on", F.array_contains("said", FILLED))
+    finals = on.where("is_final").groupBy("source_id", "s", "block").agg(F.bit_or("bits").alias("finals"), F.coalesce(F.bit_or(F.when(F.col("on"), F.col("bits"))), F.lit(0)).alias("filled_finals"))
+    counts = on.where("may_be and on").join(finals, ["source_id", "s", "block"]).groupBy("source_id", "col").agg(F.expr("sum(bit_count(bits & finals))").alias("own"), F.expr("sum(bit_count(bits & finals & ~filled_finals))").alias("alone"))
     good = counts.where("own >= 2 and alone >= own * 0.9").select("source_id", "col", F.lit(True).alias("_exam"))
     out = columns.join(good, ["source_id", "col"], "left").withColumn("_exam", F.coalesce("_exam", F.lit(False)))
     when = lambda yes, c: F.when(F.col("_exam"), yes).otherwise(F.col(c))
@@ -342,28 +408,34 @@ def pick_finals(columns: DataFrame, pairs: DataFrame) -> DataFrame:
     return c.withColumns({"kind": kind, "reason": reason, "confidence": sure}).select(*columns.columns, "cluster")
 
 
-def refresh_columns(columns: DataFrame, cells: DataFrame) -> DataFrame:
-    """Routes, clusters and finals again, after columns have been changed."""
+def refresh_columns(columns: DataFrame, cells: DataFrame, bits: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Routes, clusters and finals again, after columns have been changed; bits and pairs, if these still hold."""
     base = columns.drop("cluster")
-    base = table_of(promote_exam_routes(base, cells), "routes")
-    return pick_finals(base, column_pairs(cells, base))
+    bits = row_bits(cells, base) if bits is None else bits
+    base = table_of(promote_exam_routes(base, cells, bits), "routes")
+    return pick_finals(base, column_pairs(cells, base, bits) if pairs is None else pairs)
 
 
 def classified(cells: DataFrame, headers: DataFrame, data: DataFrame, file_season: DataFrame | None = None) -> DataFrame:
     """Columns with roles, seasons, routes and final grades, from raw cells, header rows and data cells."""
-    titles = cells.join(headers, "source_id").where("row = header").select("source_id", "col", clean_text("text").alias("header"))
+    deepest = headers.agg(F.max("header")).first()[0]
+    titles = cells.where(F.col("row") <= F.lit(deepest)).join(headers, "source_id").where("row = header").select("source_id", "col", clean_text("text").alias("header"))
     everywhere = cells.select("source_id", "col").distinct()
-    shaped = everywhere.join(profiles(data), ["source_id", "col"], "left").join(titles, ["source_id", "col"], "left")
+    texts = table_of(counted(data), "texts")
+    shaped = everywhere.join(profiles(data, texts), ["source_id", "col"], "left").join(titles, ["source_id", "col"], "left")
     numbers = [c for c, t in shaped.dtypes if t in ("bigint", "double") and c not in ("max_value", "min_value", "col")]
     named = F.when(F.coalesce("header", F.lit("")) != "", F.col("header")).otherwise(F.concat(F.lit("Coluna "), (F.col("col") + 1).cast("string")))
     shaped = shaped.fillna(0, numbers).withColumns({"header": named, "samples": F.coalesce("samples", F.array().cast("array<string>")), "col": F.col("col").cast("int")})
     # a row for each column from here on: written, so that each later step starts from rows, not from the whole plan
     columns = table_of(one_name_one_id(classify(shaped)), "columns")
-    columns = table_of(assign_seasons(columns, column_pairs(data, columns), file_season), "seasons-of-columns")
-    return refresh_columns(columns, data)
+    bits = row_bits(data, columns, texts)
+    pairs = table_of(column_pairs(data, columns, bits), "pairs")  # of columns by role and scale, which stay from here on
+    columns = table_of(assign_seasons(columns, pairs, file_season), "seasons-of-columns")
+    return refresh_columns(columns, data, bits, pairs)
 
 
 def classify_columns(cells: DataFrame, headers: DataFrame, file_season: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(columns, data): from raw cells and header rows."""
+    headers = table_of(headers, "headers")
     data = data_cells(cells, headers)
     return classified(cells, headers, data, file_season), data
