@@ -7,7 +7,7 @@ and it reaches the edges by an equi-join, which adaptive execution may split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from rollbook.session import drop_folder, new_folder, table_of
@@ -26,6 +26,12 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b")
 
 
+def mark(e: DataFrame) -> Row:
+    """What tells whether a round changed a table of different links, of any size: their number and the sum of their hashes,
+    bit by bit and without carrying, so that nothing overflows."""
+    return e.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node that has a link to another; component is the least node id of its component.
 
@@ -37,8 +43,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     path = new_folder(spark, "edges")
     e = table_of(e, "edges", path)
-    mark = F.struct(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).alias("mark")
-    before = e.agg(mark).first()[0]
+    before = mark(e)
     for _ in range(max_rounds):
         if before[0] == 0:
             break
@@ -46,7 +51,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         e = table_of(_small_star(_large_star(e).where("a <> b").distinct()).distinct(), "edges", new_path)
         drop_folder(spark, path)
         path = new_path
-        now = e.agg(mark).first()[0]
+        now = mark(e)
         if now == before:
             break
         before = now
