@@ -284,7 +284,7 @@ def column_meanings(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = o.select(F.col("o_orderpriority").alias("source_id"), (k + 1).cast("bigint").alias("row"), F.posexplode(row).alias("col", "text"))
     head = F.array(*map(F.lit, ["Nome", "Nº Aluno", "Teste 1", "Nota Final", "Recurso", "Obs"]))
     heads = o.select(F.col("o_orderpriority").alias("source_id")).distinct().select("source_id", F.lit(0).cast("bigint").alias("row"), F.posexplode(head).alias("col", "text"))
-    sheets = heads.unionByName(data)
+    sheets = table_of(heads, "heads").unionByName(data)
     columns, _ = N.classify_columns(sheets, N.header_rows(sheets))
     return columns.select("source_id", "col", "header", "role", "kind", "season", "route", "confidence")
 

@@ -282,8 +282,9 @@ def column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From cells to roles, seasons and finals; sheet by sheet rules, tested on fixtures."""
     cells = _cells(spark, sf_dir).withColumn("row", F.col("row") + 1)
     head = ["Nome", "Nº Aluno", "Nota Final", "Exame", "Obs"]
-    titles = cells.select("source_id").distinct().select("source_id", F.lit(0).cast("bigint").alias("row"), F.posexplode(F.array(*map(F.lit, head))).alias("col", "text"))
-    columns, _ = N.classify_columns(cells.unionByName(titles), N.header_rows(cells.unionByName(titles)))
+    titles = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source_id")).distinct().select("source_id", F.lit(0).cast("bigint").alias("row"), F.posexplode(F.array(*map(F.lit, head))).alias("col", "text"))
+    cells = cells.unionByName(table_of(titles, "titles"))
+    columns, _ = N.classify_columns(cells, N.header_rows(cells))
     return columns.select("source_id", "col", "header", "role", "kind", "season", "route", "scale", "confidence")
 
 
